@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import lookalike, percentiles, repetition, survivor
+from factloom.llm import lookalike, percentiles, repetition, residue, survivor
 from factloom.sources.tables import table
 
 # -- 1: best representative ------------------------------------------------------------------------------------------
@@ -123,3 +123,21 @@ QUERIES = {
     "p9_repetition": p9_repetition,
 }
 SQL = {"p1_found": P1_SQL, "p4_percentiles": P4_SQL, "p4_found": P4_FOUND_SQL}
+
+# -- 5: residue ------------------------------------------------------------------------------------------------------
+
+
+def records_with_text(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence texts, and the status and each warning of the runs, with the address of their page."""
+    runs = table(spark, d, "runs").select("run_id", "normalized_url", "status", "warnings")
+    e = table(spark, d, "evidence").select(F.lit("evidence").alias("kind"), F.col("evidence_id").alias("rec_id"), F.col("source_url").alias("url"), F.lit(False).alias("own"), F.col("evidence_text").alias("text"))
+    said = F.coalesce(F.from_json("warnings", "array<string>"), F.array("warnings"))
+    r = runs.select(F.lit("run").alias("kind"), F.col("run_id").alias("rec_id"), F.col("normalized_url").alias("url"), F.lit(True).alias("own"), F.explode(F.concat(F.array("status"), F.coalesce(said, F.array()))).alias("text"))
+    return e.unionAll(r)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(records_with_text(spark, d))
+
+
+QUERIES["p5_found"] = p5_found
