@@ -33,8 +33,9 @@ _MENTION_AFTER = re.compile(r"^\s*(?:marks?\b|tags?\b|beha)", re.I)
 _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum".split())
 # Vocabulary of notices, errors and filler; it only nominates fragments, the corpus decides.
 CUES = [
-    r"javascript|\bscripts?\b|scripting|noscript|\bbrowser|navigateur|navegador",
-    r"captcha|unusual traffic|\bhuman\b|\bmachine\b|\brobot\b|testing your|checking your|\bmensch\b|\bhumain",
+    r"javascript|noscript|scripting|\b(?:enable|allow|turn|needs?|requires?|block|switch)\w*\b.*\bscripts?\b|\bscripts?\b.*\b(?:allowed|blocked|required|off|on)\b",
+    r"(?:newer|your|another|modern|supported) browser|browser (?:is|settings)|(?:votre|autre) navigateur|(?:tu|su|otro) navegador|(?:ihren?|anderen) browser",
+    r"captcha|unusual traffic|(?:are|you're|be) (?:a )?human|no machine|not a robot|testing your|checking your|ein mensch|êtes humain",
     r"not found|no longer exists|has moved|nothing lives|couldn't find|could not|is gone|went wrong|on our side|internal server|bad gateway|unavailable|time-?out|timed out|access (?:denied|to)|was denied|forbidden|maintenance|back in|try again|expired|sign in again|slow down|too many|limit of|connection failed|exception|\bfault\b|upstream|hung up|\berror\b|\bhttp \d",
     r"fehler|nicht gefunden|nicht erreichbar|gesperrt|wartung|introuvable|ne répond|erreur|no existe|no encontrad|error interno|inténtelo|недоступ|не найден|ошибк|включите|активируйте",
     r"placeholder|dummy|goes here|sample (?:text|description|copy)|replace before|\bfoo bar\b|(?:\basdf\b ?){2}|x{5} x{5}|test test|relleno|provisoire|remplacer|beispieltext|platzhalter|ersetzen|заполнитель|образец текста|your text|coming soon",
