@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import lookalike, percentiles, repetition, residue, survivor
+from factloom.llm import lookalike, mainbody, percentiles, repetition, residue, survivor
 from factloom.sources.tables import table
 
 # -- 1: best representative ------------------------------------------------------------------------------------------
@@ -141,3 +141,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["p5_found"] = p5_found
+
+# -- 2: main body ----------------------------------------------------------------------------------------------------
+
+
+def texts_of_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Fetched pages and evidence texts of two or more lines."""
+    p = table(spark, d, "fetched_documents").select(F.lit("page").alias("src"), F.col("page_id").cast("string").alias("rec_id"), "url", "text", F.lit(True).alias("page"))
+    e = table(spark, d, "evidence").filter(F.instr("evidence_text", "\n") > 0)
+    e = e.select(F.lit("evidence").alias("src"), F.col("evidence_id").alias("rec_id"), F.col("source_url").alias("url"), F.col("evidence_text").alias("text"), F.lit(False).alias("page"))
+    return p.unionAll(e)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_body(texts_of_pages(spark, d)).distinct()
+
+
+QUERIES["p2_found"] = p2_found
