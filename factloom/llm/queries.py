@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import lookalike, mainbody, percentiles, repetition, residue, survivor
+from factloom.llm import lookalike, mainbody, mixing, packing, percentiles, repetition, residue, survivor, tokens
+from factloom.session import stage
 from factloom.sources.tables import table
 
 # -- 1: best representative ------------------------------------------------------------------------------------------
@@ -158,3 +159,33 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["p2_found"] = p2_found
+
+# -- 7: packing ------------------------------------------------------------------------------------------------------
+
+
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their token counts, each once, written once for both uses of the counts."""
+    n = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", ("source",))
+    return stage(n.groupBy("doc_id").agg(F.max("source").alias("source"), F.max("n_tokens").alias("n_tokens")), "tokens")
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(counted(spark, d), table(spark, d, "pack_sizes"), "doc_id", "n_tokens")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
+# -- 8: mixing -------------------------------------------------------------------------------------------------------
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(counted(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(counted(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[1]
+
+
+QUERIES |= {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares}
