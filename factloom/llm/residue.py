@@ -17,6 +17,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.session import stage
 from factloom.llm.lookalike import Rewriter, look_alikes, representatives
 
 # Forms of unfilled placeholders and failed renderings.
@@ -51,6 +52,30 @@ _ID = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{5,}\b")
 _CAPITAL = re.compile(r"\b[^\W\d_a-zа-яß-öø-ÿё]\w*(?:\s[^\W\d_a-zа-яß-öø-ÿё]\w*)*")
 
 
+#: Literals of which each pattern above needs at least one, so that one pass of an automaton clears most texts.
+_MARKS = "{{ {% <% %% ${ #{ [[ %( $ __ [ { <no nan null undefined (none todo traceback: render".split(" ")
+_STEMS = (
+    "script|browser|navigateur|navegador|captcha|unusual traffic|human|machine|robot|testing your|checking your|mensch|humain|not found|no longer exists|has moved|nothing lives|couldn't find|could not|is gone|went wrong"
+    "|on our side|internal server|bad gateway|unavailable|time-out|timeout|timed out|access denied|access to|was denied|forbidden|maintenance|back in|try again|expired|sign in again|slow down|too many|limit of|connection failed"
+    "|exception|fault|upstream|hung up|error|http |fehler|nicht gefunden|nicht erreichbar|gesperrt|wartung|introuvable|ne répond|erreur|no existe|no encontrad|inténtelo|недоступ|не найден|ошибк|включите|активируйте|placeholder|dummy"
+    "|goes here|sample |replace before|foo bar|asdf|xxxxx|test test|relleno|provisoire|remplacer|beispieltext|platzhalter|ersetzen|заполнитель|образец текста|your text|coming soon"
+).split("|")
+_MARK, _STEM, _FILLER, _CODE = 1, 2, 4, 8
+
+
+def nominator(form) -> object:
+    """An automaton over lower-case texts in the given form; its values tell which checks a text needs."""
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for words, flag in ((_MARKS, _MARK), ([form(x) for x in _STEMS], _STEM), ([x for x in _LOREM if len(x) > 4], _FILLER), ([str(x) + " " for x in range(400, 600)], _CODE)):
+        for w in words:
+            w = w.lower()
+            auto.add_word(w, flag | (auto.get(w) if w in auto else 0))
+    auto.make_automaton()
+    return auto
+
+
 def placeholder(text: str) -> bool:
     """Whether a text holds an unfilled placeholder or a failed rendering, outside quoted code and mentions."""
     t = _QUOTED.sub(" ", text)
@@ -78,21 +103,23 @@ def masked(fragment: str, host: str, cue: re.Pattern = _CUE) -> tuple[str, str]:
     return plain(t), plain(_CAPITAL.sub("N", known))
 
 
-def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE) -> tuple[bool, list[tuple[str, str]]]:
+def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE, needs: int = 15) -> tuple[bool, list[tuple[str, str]]]:
     """(placeholder or filler found, [(fragment, frame)] that the corpus must judge). own: the text is a list entry or
-    status of the project, whose own wording is no residue."""
-    if placeholder(text):
+    status of the project, whose own wording is no residue. needs: the checks that the nominator asks for."""
+    if needs & _MARK and placeholder(text):
         return True, []
     if own and _OWN.match(text):
         return False, []
     if own:
         text = _PREFIX.sub("", text, count=1)
+    if not needs & (_STEM | _FILLER | _CODE):
+        return False, []
     parts = urlsplit(url or "")
     host = (parts.hostname or "").lower()
     slug = set(re.findall(r"[^\W\d_]{3,}", parts.path.lower()))
     ask = []
     for frag in _SPLIT.split(_URL.sub(" ", text)):
-        if lorem(frag):
+        if needs & _FILLER and lorem(frag):
             return True, []
         if cue.search(frag) or _STATUS_LINE.match(frag):
             words = set(re.findall(r"[^\W\d_]{3,}", frag.lower()))
@@ -114,17 +141,27 @@ def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Rewriter(to)
         cue = re.compile("|".join(map(form, CUES)), re.I)  # in the same form as the texts
+        auto = nominator(form)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for kind, rec, url, own, text in zip(*(c.to_pylist() for c in b.columns)):
-                hit, ask = judged(form(text), url, own, cue)
+            for i, text in enumerate(b.column(4).to_pylist()):
+                t = form(text)
+                needs = 0
+                for _, flag in auto.iter(t.lower()):
+                    needs |= flag
+                if not needs:
+                    continue
+                kind, rec, url, own = (b.column(k)[i].as_py() for k in range(4))
+                hit, ask = judged(t, url, own, cue, needs)
                 page = (url or "").split("?")[0]
                 for frag, frame in [(None, None)] if hit else dict.fromkeys(ask):
                     for o, x in zip(out, (kind, rec, page, frag, frame)):
                         o.append(x)
             yield pa.record_batch([pa.array(o, pa.string()) for o in out], ["kind", "rec_id", "page", "frag", "frame"])
 
-    rows = records.filter(F.length("text") > 0).select("kind", "rec_id", "url", "own", "text").mapInArrow(run, "kind string, rec_id string, page string, frag string, frame string")
+    plain = F.col("own") & F.col("text").rlike(f"^{_OWN.pattern}") & ~F.col("text").rlike(r"[{%$\[<_]{2}|[{%#$]")
+    rows = records.filter((F.length("text") > 0) & ~plain).select("kind", "rec_id", "url", "own", "text")
+    rows = stage(rows.mapInArrow(run, "kind string, rec_id string, page string, frag string, frame string"), "nominated")
     asked = rows.filter(F.col("frag").isNotNull())
     pages = asked.groupBy("frame", "frag").agg(F.countDistinct("page").alias("n"))
     frames = pages.groupBy(F.col("frame").alias("_frame")).agg(F.sum("n").alias("_all"))
