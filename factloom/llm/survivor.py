@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators.ordered import ranked
+from factloom.session import stage
 
 BLANK = r"(?U)^\s*$"
 CUT_OFF = r"(…|\.\.\.)$"
@@ -35,17 +36,16 @@ def best_facts(df: DataFrame, group: list[str], id_: str, value: str, trust: str
     return g.filter((F.col("_lo") != F.col("_hi")) & F.col("_best").isNotNull()).select(*group, F.col("_best.id").alias(id_))
 
 
-def transitions(values: DataFrame, group: list[str], kind: str, value: str, at: str) -> DataFrame:
+def transitions(values: DataFrame, group: str, kind: str, value: str, at: str) -> DataFrame:
     """(kind, earlier, later, n): how often, over all groups, a value was followed by another one. values: a row per
     group and value with the last time it was seen. Neighbours come from distributed ranks and an equi-join on the
     rank, so no group is gathered."""
-    timed = values.filter(F.col(at).isNotNull()).select(*group, F.col(value).alias("_v"), F.col(at).alias("_t"))
-    rows, _ = ranked(timed, group, [F.col("_t"), F.col("_v")])
-    a = rows.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(group)], (F.col("_rank") + 1).alias("_ra"), F.col("_v").alias("earlier"), F.col("_t").alias("_t1"))
-    b = rows.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(group)], F.col("_rank").alias("_rb"), F.col(kind).alias("_k"), F.col("_v").alias("later"), F.col("_t").alias("_t2"))
-    on = [F.col(f"_a{i}") == F.col(f"_b{i}") for i in range(len(group))]
-    both = a.join(b, [*on, F.col("_ra") == F.col("_rb"), F.col("_t1") < F.col("_t2")])
-    return both.groupBy(F.col("_k").alias(kind), "earlier", "later").agg(F.count(F.lit(1)).alias("n"))
+    timed = values.filter(F.col(at).isNotNull()).select(group, F.col(kind).alias("_kind"), F.col(value).alias("_v"), F.col(at).alias("_t"))
+    rows, _ = ranked(timed, [group], [F.col("_t"), F.col("_v")])
+    a = rows.select(F.col(group).alias("_ga"), (F.col("_rank") + 1).alias("_ra"), F.col("_v").alias("earlier"), F.col("_t").alias("_t1"))
+    b = rows.filter("_rank > 0").select(F.col(group).alias("_gb"), F.col("_rank").alias("_rb"), F.col("_kind").alias(kind), F.col("_v").alias("later"), F.col("_t").alias("_t2"))
+    both = a.join(b, (F.col("_ga") == F.col("_gb")) & (F.col("_ra") == F.col("_rb")) & (F.col("_t1") < F.col("_t2")))
+    return both.groupBy(kind, "earlier", "later").agg(F.count(F.lit(1)).alias("n"))
 
 
 def precedence(moves: DataFrame, kind: str, support: int = 2) -> DataFrame:
@@ -72,28 +72,26 @@ def latest_values(df: DataFrame, page: str, kind: str, value: str, at: str, supp
     choice: the most frequent value, then the smallest). Null or blank values and null keys are left out; repeated rows
     count once per time stamp; an empty table gives an empty result."""
     v = df.filter(usable(F.col(value)) & F.col(page).isNotNull() & F.col(kind).isNotNull()).groupBy(page, kind, value).agg(F.max(at).alias("_at"), F.count(F.lit(1)).alias("_n"))
-    v = v.select(F.col(page).alias("_page"), F.col(kind).alias("_kind"), F.col(value).alias("_value"), "_at", "_n")
-    order = precedence(transitions(v, ["_page", "_kind"], "_kind", "_value", "_at"), "_kind", support)
+    v = stage(v.select(F.col(page).alias("_page"), F.col(kind).alias("_kind"), F.col(value).alias("_value"), F.unix_micros(F.col("_at").cast("timestamp")).alias("_at"), "_n"), "values")
+    hashed = [F.xxhash64("_page", "_kind").alias("_g"), F.xxhash64("_value").alias("_v")]
+    h = v.select(*hashed, "_kind", "_at")
+    order = precedence(stage(transitions(h, "_g", "_kind", "_v", "_at"), "transitions"), "_kind", support)
+    o = order.select(F.col("_kind").alias("_ok"), F.col("earlier").alias("_own"), F.col("later").alias("_other"), F.lit(1).alias("_down"))
+    o = o.unionAll(order.select("_kind", "later", "earlier", F.lit(0)))
     # an edge can only matter where one of its ends has no time of its own
-    untimed = v.filter(F.col("_at").isNull()).select("_page", "_kind", F.col("_value").alias("_u"))
-    o = order.select(F.col("_kind").alias("_ok"), "earlier", "later")
-    at_start = untimed.join(o, (F.col("_kind") == F.col("_ok")) & (F.col("_u") == F.col("earlier"))).select("_page", "_kind", "earlier", "later")
-    at_end = untimed.join(o, (F.col("_kind") == F.col("_ok")) & (F.col("_u") == F.col("later"))).select("_page", "_kind", "earlier", "later")
-    edges = at_start.unionAll(at_end).distinct()
-    there = v.select(F.col("_page").alias("_p"), F.col("_kind").alias("_k"), F.col("_value").alias("_w"))
-    for end in ("earlier", "later"):  # keep the edges whose two ends are values of the group
-        edges = edges.join(there, (F.col("_page") == F.col("_p")) & (F.col("_kind") == F.col("_k")) & (F.col(end) == F.col("_w")), "left_semi")
-    marks = edges.select("_page", "_kind", F.col("earlier").alias("_value"), F.lit(1).alias("_down"), F.lit(0).alias("_up"))
-    marks = marks.unionAll(edges.select("_page", "_kind", F.col("later"), F.lit(0), F.lit(1)))
-    rows = v.select("_page", "_kind", "_value", "_at", "_n", F.lit(0).alias("_down"), F.lit(0).alias("_up"), F.lit(1).alias("_own"))
-    rows = rows.unionByName(marks.select("_page", "_kind", "_value", F.lit(None).cast(v.schema["_at"].dataType).alias("_at"), F.lit(0).cast("bigint").alias("_n"), "_down", "_up", F.lit(0).alias("_own")))
-    rows = rows.groupBy("_page", "_kind", "_value").agg(F.max("_at").alias("_at"), F.sum("_n").alias("_n"), F.max("_down").alias("_down"), F.max("_up").alias("_up"), F.max("_own").alias("_own"))
+    untimed = h.filter(F.col("_at").isNull()).select(F.col("_g").alias("_gu"), F.col("_kind").alias("_ku"), F.col("_v").alias("_u"))
+    edges = untimed.join(o, (F.col("_ku") == F.col("_ok")) & (F.col("_u") == F.col("_own"))).select("_gu", "_own", "_other", "_down")
+    edges = edges.join(h.select("_g", "_v"), (F.col("_gu") == F.col("_g")) & (F.col("_other") == F.col("_v")), "left_semi")
+    marks = edges.select("_gu", F.col("_own").alias("_mv"), "_down", (1 - F.col("_down")).alias("_up")).unionAll(edges.select("_gu", "_other", 1 - F.col("_down"), "_down"))
+    marks = marks.groupBy("_gu", "_mv").agg(F.max("_down").alias("_down"), F.max("_up").alias("_up"))
+    rows = v.withColumns({"_g": hashed[0], "_v": hashed[1]}).join(marks, (F.col("_g") == F.col("_gu")) & (F.col("_v") == F.col("_mv")), "left")
     # sinks first: not followed by another value; then values that are known to follow one, or the last seen
+    up, down = F.coalesce(F.col("_up"), F.lit(0)), F.coalesce(F.col("_down"), F.lit(0))
     key = F.struct(
-        F.col("_down").alias("down"),
-        (F.col("_at").isNull() & (F.col("_up") == 0)).cast("int").alias("loose"),
-        (-F.col("_up")).alias("up"),
-        F.coalesce(-F.unix_micros(F.col("_at").cast("timestamp")), F.lit(2**62)).alias("at"),
+        down.alias("down"),
+        (F.col("_at").isNull() & (up == 0)).cast("int").alias("loose"),
+        (-up).alias("up"),
+        F.coalesce(-F.col("_at"), F.lit(2**62)).alias("at"),
         (-F.col("_n")).alias("n"),
         F.col("_value").alias("value"),
     )
