@@ -1,3 +1,569 @@
-"""placeholder"""
-QUERIES = {}
-SQL = {}
+"""Named queries of the engine's own operators, each with its SQL twin where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from factloom import engine
+from factloom.functions import signature as sg, text as tx, web
+from factloom.operators import chain, extract, measures, resolve
+from factloom.plans import fixtures
+from factloom.sources import store
+from factloom.sources.tables import table
+from factloom.streaming import streams
+
+PRODUCT_SCHEMA = {"fields": {"name": "string", "title": "string", "price": "number", "currency": "string", "brand": "string", "availability": {"type": "string", "optional": True}, "source": "string", "category": "string"}}
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fetched_documents").select("page_id", "url", "content_type", "encoding", "ttfb_ms", "body_bytes", F.coalesce("text", F.lit("")).alias("html"))
+
+
+def stored_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts, each once, as candidates of their run: canonical field, method label, valid confidence."""
+    alias = table(spark, d, "field_aliases").select("field", F.col("canonical_field").alias("_c"))
+    f = table(spark, d, "facts").select("run_id", "fact_id", "field", "value", "confidence", "extraction_method").distinct().join(alias, "field")
+    ok = F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(0.0)
+    method = F.regexp_replace(F.replace(F.lower(F.coalesce("extraction_method", F.lit(""))), F.lit("-"), F.lit("_")), "^l3_", "")
+    method = F.when(method == "css", "css_selector").otherwise(method)
+    return f.filter(tx.clean_text(F.col("value")) != "").select("run_id", F.col("_c").alias("field"), "value", method.alias("method"), ok.alias("confidence"), F.col("fact_id").alias("seq"))
+
+
+# -- pages -----------------------------------------------------------------------------------------------------------
+
+_DOC = "(SELECT page_id, url, content_type, coalesce(text, '') AS html FROM fetched_documents)"
+
+
+@query("title_guess", f"SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)', 1)) AS title FROM {_DOC}")
+def title_guess(spark, d):
+    return pages(spark, d).select("page_id", sg.title_guess(F.col("html")).alias("title"))
+
+
+_H = "left(html, 32768)"
+
+
+def _count(tag: str) -> str:
+    return f"len(regexp_extract_all(html, '(?i)<{tag}[\\s>]'))"
+
+
+@query(
+    "page_signature",
+    f"""SELECT page_id, CASE WHEN contains({_H}, '<') THEN round(length(regexp_replace({_H}, '[\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]', '', 'g')) / (length({_H}) - length(replace({_H}, '<', ''))), 2) ELSE 1.0 END AS text_ratio,
+ {_count("h2")} AS h2, {_count("code")} + {_count("pre")} AS code, len(regexp_extract_all(left(html, 65536), '(?i)<script\\b[^>]*>')) AS scripts,
+ contains(lower({_H}), 'ld+json') AS has_jsonld, regexp_matches({_H}, '(?i)<time[\\s>]') OR contains(lower({_H}), 'article:published_time') AS has_time FROM {_DOC}""",
+)
+def page_signature(spark, d):
+    s = sg.signature(F.col("html"))
+    p = pages(spark, d).withColumn("s", s)
+    return p.select("page_id", "s.text_ratio", sg.tag_count(F.col("html"), "h2").alias("h2"), (sg.tag_count(F.col("html"), "code") + sg.tag_count(F.col("html"), "pre")).alias("code"), F.col("s.scripts.total").alias("scripts"), "s.has_jsonld", "s.has_time")
+
+
+@query("signature_struct")
+def signature_struct(spark, d):
+    """All of the signature, with the fast-shell term, for both page tables."""
+    a = pages(spark, d).select("page_id", sg.signature(F.col("html"), F.col("ttfb_ms"), F.col("body_bytes")).alias("s"))
+    b = fixtures.product_pages(spark, d).select("page_id", sg.signature(F.col("html")).alias("s"))
+    return a.unionAll(b).select("page_id", "s.*").withColumn("scripts", F.to_json("scripts"))
+
+
+_LOW = "lower(left(html, 65536))"
+
+
+@query(
+    "page_class",
+    f"""WITH p AS (SELECT page_id, html FROM {_DOC} UNION ALL SELECT -page_id, html FROM ({fixtures.PRODUCT_PAGES}))
+SELECT page_id, CASE
+ WHEN (CASE WHEN contains({_LOW}, 'product:price') OR contains({_LOW}, 'og:type" content="product') THEN 2 ELSE 0 END) + (CASE WHEN contains({_LOW}, 'itemprop="price"') THEN 2 ELSE 0 END)
+    + (CASE WHEN contains({_LOW}, 'application/ld+json') AND (contains({_LOW}, 'product') OR contains({_LOW}, 'aggregateoffer') OR contains({_LOW}, '"offer"')) THEN 1 ELSE 0 END)
+    + (CASE WHEN regexp_matches({_LOW}, 'class=["''][^"'']*price[^"'']*["'']') THEN 1 ELSE 0 END) >= 2 THEN 'product'
+ WHEN {_count("h2")} >= 4 AND {_count("code")} + {_count("pre")} >= 2 THEN 'docs'
+ WHEN (contains({_LOW}, 'docs.') OR contains({_LOW}, '/docs/') OR contains({_LOW}, 'documentation')) AND ({_count("h2")} >= 2 OR {_count("code")} + {_count("pre")} >= 1) THEN 'docs'
+ WHEN contains({_LOW}, '<article') AND (regexp_matches(html, '(?i)<time[\\s>]') OR contains({_LOW}, 'article:published_time') OR contains({_LOW}, 'itemprop="author"') OR contains({_LOW}, 'name="author"') OR contains({_LOW}, 'article:author')) THEN 'article'
+ WHEN contains({_LOW}, 'og:type') AND contains({_LOW}, 'article') THEN 'article'
+ ELSE 'other' END AS page_class FROM p""",
+)
+def page_class(spark, d):
+    p = pages(spark, d).select("page_id", "html").unionAll(fixtures.product_pages(spark, d).select(-F.col("page_id"), "html"))
+    c = sg.page_class(F.col("html"), F.lit(False))
+    return p.select("page_id", F.when(c.isin("product", "docs", "article"), c).otherwise("other").alias("page_class"))
+
+
+_SEEN = "lower(regexp_replace(left(html, 20000), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'))"
+
+
+@query("bot_wall", f"SELECT page_id, {' OR '.join(f'contains({_SEEN}, {m!r})' for m in sg.WALL_MARKERS)} OR {' OR '.join(f'''contains(lower(regexp_extract(html, '(?i)<title[^>]*>([^<]+)', 1)), {m!r})''' for m in sg.WALL_TITLES)} AS bot_wall FROM {_DOC}")
+def bot_wall(spark, d):
+    return pages(spark, d).select("page_id", sg.bot_wall(F.col("html")).alias("bot_wall"))
+
+
+@query("content_ids", f"SELECT page_id, 'sha256:' || sha256(html) AS content_hash, 'src_meta_' || left(sha256(url), 12) AS source_id FROM {_DOC}")
+def content_ids(spark, d):
+    return pages(spark, d).select("page_id", web.content_ids(F.col("html"))[0].alias("content_hash"), web.source_id("src_meta_", F.col("url")).alias("source_id"))
+
+
+@query(
+    "mime_charset",
+    f"""SELECT page_id, content_type IS NULL OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'text/html') OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/xhtml+xml')
+ OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/json') OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/ld+json') AS allowed,
+ coalesce(nullif(lower(regexp_extract(content_type, '(?i)charset=["'']?([\\w-]+)', 1)), ''), nullif(lower(regexp_extract(left(html, 8192), '(?i)<meta[^>]+charset=["'']?([\\w-]+)', 1)), ''), 'utf-8') AS charset FROM {_DOC}""",
+)
+def mime_charset(spark, d):
+    return pages(spark, d).select("page_id", web.mime_allowed(F.col("content_type")).alias("allowed"), web.charset(F.col("content_type"), F.left("html", F.lit(8192))).alias("charset"))
+
+
+# -- addresses -------------------------------------------------------------------------------------------------------
+
+_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
+_PARTS = "list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/'), lambda x: x <> '')"
+_SKIP = ", ".join(f"'{x}'" for x in web.NO_CATEGORY)
+
+
+@query(
+    "url_facts",
+    f"""SELECT DISTINCT url, regexp_replace({_HOST}, '^www\\.', '') AS source,
+ regexp_replace(list_filter({_PARTS}, lambda x: lower(x) NOT IN ({_SKIP}) AND NOT regexp_matches(x, '^\\d+$') AND length(x) > 1)[1], '[-_]', ' ', 'g') AS category,
+ list_filter({_PARTS}, lambda x: regexp_matches(x, '(?i)^v?\\d+(\\.\\d+)*(\\.x)?$'))[1] AS version FROM ({fixtures.URLS}) WHERE NOT contains(url, '[')""",
+)
+def url_facts(spark, d):
+    u = F.col("url")
+    return fixtures.urls(spark, d).filter(~u.contains("[")).select("url", web.site(u).alias("source"), web.url_category(u).alias("category"), web.url_version(u).alias("version")).distinct()
+
+
+_N = "CAST(split_part(h, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(h, '.', 2) AS BIGINT) * 65536 + CAST(split_part(h, '.', 3) AS BIGINT) * 256 + CAST(split_part(h, '.', 4) AS BIGINT)"
+
+
+@query(
+    "url_policy",
+    f"""WITH u AS (SELECT DISTINCT url, {_HOST} AS h, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme FROM ({fixtures.URLS}) WHERE NOT contains(url, '[')),
+ n AS (SELECT *, CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN {_N} END AS ip FROM u)
+ SELECT url, CASE WHEN scheme NOT IN ('http', 'https') OR h IS NULL THEN 'unsupported' WHEN h IN ({", ".join(f"'{x}'" for x in web.BLOCKED_HOSTS)}) OR ends_with(h, '.local') THEN 'blocked_host'
+ WHEN ip BETWEEN 0 AND 16777215 OR ip BETWEEN 167772160 AND 184549375 OR ip BETWEEN 2130706432 AND 2147483647 OR ip BETWEEN 2851995648 AND 2852061183 OR ip BETWEEN 2886729728 AND 2887778303 OR ip BETWEEN 3232235520 AND 3232301055 THEN 'private_ip' ELSE 'ok' END AS verdict FROM n""",
+)
+def url_policy(spark, d):
+    return fixtures.urls(spark, d).filter(~F.col("url").contains("[")).distinct().select("url", web.url_verdict(F.col("url")).alias("verdict"))
+
+
+_KINDS = " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{n}')" for n in needles.split()) + f" THEN '{k}'" for k, needles in web.SITE_KINDS)
+
+
+@query("url_tactic", f"SELECT DISTINCT url, CASE {_KINDS} WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' ELSE 'generic' END AS tactic FROM ({fixtures.URLS})")
+def url_tactic(spark, d):
+    return fixtures.urls(spark, d).select("url", sg.tactic(web.url_kind(F.col("url")), F.lit(None).cast("string")).alias("tactic")).distinct()
+
+
+@query("domain_allowlist", f"SELECT DISTINCT url FROM ({fixtures.URLS}) WHERE {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') OR ends_with({_HOST}, '.test')")
+def domain_allowlist(spark, d):
+    domains = spark.createDataFrame([("example.com",), ("*.example.com",), ("*.test",)], "pattern string")
+    return store.allowed_join(fixtures.urls(spark, d).distinct(), domains).select("url").distinct()
+
+
+# -- values ----------------------------------------------------------------------------------------------------------
+
+_WS = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]+"
+_T = f"trim(regexp_replace(coalesce(value, ''), '{_WS}', ' ', 'g'))"
+
+
+@query(
+    "clean_text",
+    f"""SELECT DISTINCT fact_id, CASE WHEN length({_T}) >= 2 AND ((left({_T}, 1) = right({_T}, 1) AND left({_T}, 1) IN ('"', '''', '«', '»', '“', '”')) OR ({_T} LIKE '«%' AND {_T} LIKE '%»')) THEN trim(substr({_T}, 2, length({_T}) - 2)) ELSE {_T} END AS value FROM facts""",
+)
+def clean_text(spark, d):
+    return table(spark, d, "facts").select("fact_id", tx.clean_text(F.col("value")).alias("value")).distinct()
+
+
+_C = "regexp_replace(value, '[^0-9.,-]', '', 'g')"
+
+
+@query(
+    "price_numbers",
+    f"""SELECT DISTINCT fact_id, TRY_CAST(CASE WHEN length({_C}) - length(replace({_C}, ',', '')) = 1 AND strpos(reverse({_C}), ',') < CASE WHEN contains({_C}, '.') THEN strpos(reverse({_C}), '.') ELSE 100000 END THEN replace(replace({_C}, '.', ''), ',', '.') ELSE replace({_C}, ',', '') END AS DOUBLE) AS price
+ FROM facts JOIN field_aliases USING (field) WHERE canonical_field = 'price'""",
+)
+def price_numbers(spark, d):
+    a = table(spark, d, "field_aliases").filter("canonical_field = 'price'").select("field")
+    return table(spark, d, "facts").join(a, "field", "left_semi").select("fact_id", tx.price_number(F.col("value")).alias("price")).distinct()
+
+
+@query(
+    "currency_availability",
+    """SELECT DISTINCT fact_id, canonical_field AS field, CASE WHEN canonical_field = 'currency' THEN CASE trim(value) WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '¥' THEN 'JPY' WHEN '₽' THEN 'RUB' WHEN 'руб' THEN 'RUB' WHEN 'руб.' THEN 'RUB' ELSE upper(left(trim(value), 3)) END
+ ELSE CASE lower(split_part(trim(value), '/', -1)) WHEN 'instock' THEN 'true' WHEN 'in_stock' THEN 'true' WHEN 'outofstock' THEN 'false' WHEN 'out_of_stock' THEN 'false' WHEN 'preorder' THEN 'preorder' ELSE value END END AS value
+ FROM facts JOIN field_aliases USING (field) WHERE canonical_field IN ('currency', 'availability')""",
+)
+def currency_availability(spark, d):
+    a = table(spark, d, "field_aliases").filter(F.col("canonical_field").isin("currency", "availability"))
+    f = table(spark, d, "facts").join(a, "field")
+    return f.select("fact_id", F.col("canonical_field").alias("field"), F.when(F.col("canonical_field") == "currency", tx.currency_code(F.col("value"))).otherwise(tx.availability(F.col("value"))).alias("value")).distinct()
+
+
+_TITLE_WEAK = f"""(value IS NULL OR length(trim(value)) < 2 OR lower(trim(value)) IN ({", ".join(f"'{x}'" for x in [*tx.NO_TITLE, *tx.SITE_NAMES])}) OR (NOT contains(trim(value), ' ') AND length(trim(value)) <= 12 AND regexp_full_match(trim(value), '\\p{{L}}+'))
+ OR (length(trim(value)) > 80 AND regexp_matches(trim(value), '^\\p{{Ll}}')) OR starts_with(lower(trim(value)), 'general-purpose') OR starts_with(lower(trim(value)), 'a type of'))"""
+
+
+@query("weak_titles", f"SELECT DISTINCT fact_id, {_TITLE_WEAK} AS weak FROM facts JOIN field_aliases USING (field) WHERE canonical_field = 'title'")
+def weak_titles(spark, d):
+    a = table(spark, d, "field_aliases").filter("canonical_field = 'title'").select("field")
+    return table(spark, d, "facts").join(a, "field", "left_semi").select("fact_id", tx.weak_title(F.col("value")).alias("weak")).distinct()
+
+
+# -- facts -----------------------------------------------------------------------------------------------------------
+
+_M = "regexp_replace(replace(lower(coalesce(extraction_method, '')), '-', '_'), '^l3_', '')"
+_CAND = f"""(SELECT run_id, field, value, CASE method WHEN 'css' THEN 'css_selector' ELSE method END AS method, confidence, seq FROM (SELECT DISTINCT f.run_id, a.canonical_field AS field, f.value, {_M} AS method,
+ CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence ELSE 0.0 END AS confidence, f.fact_id AS seq FROM facts f JOIN field_aliases a USING (field) WHERE NOT regexp_full_match(coalesce(value, ''), '[\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}"''«»“”]*')))"""
+_RANK = "CASE method WHEN 'json_ld' THEN 3 WHEN 'meta_og' THEN 2 WHEN 'trafilatura' THEN 2 WHEN 'main_text' THEN 2 WHEN 'css_selector' THEN 1 ELSE 0 END"
+_SCORE = f"""CASE WHEN field = 'title' THEN {_RANK} + confidence - CASE WHEN {_TITLE_WEAK} THEN 5 ELSE 0 END + CASE WHEN length(value) BETWEEN 20 AND 160 THEN 0.8 WHEN length(value) BETWEEN 3 AND 80 THEN 0.3 ELSE 0 END
+ + CASE WHEN regexp_matches(value, '^\\p{{Lu}}') THEN 0.2 ELSE 0 END + CASE WHEN method IN ('meta_og', 'og_manual', 'css_selector', 'css') THEN 0.5 ELSE 0 END - CASE WHEN method IN ('json-ld', 'microdata') AND length(value) < 20 THEN 0.4 ELSE 0 END ELSE {_RANK} END"""
+_RANKED = f"""c AS (SELECT *, field = 'title' AND {_TITLE_WEAK} AS weak FROM {_CAND}), g AS (SELECT *, bool_or(NOT weak) OVER (PARTITION BY run_id, field) AS good FROM c),
+ s AS (SELECT *, round({_SCORE}, 9) AS score FROM g WHERE NOT weak OR NOT good), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY score DESC, confidence DESC, seq) AS n, count(*) OVER (PARTITION BY run_id, field) AS k FROM s)"""
+
+
+@query("resolve_conflicts", f"WITH {_RANKED} SELECT run_id, field, value, method, confidence, k - 1 AS losers FROM r WHERE n = 1")
+def resolve_conflicts(spark, d):
+    f = resolve.resolve(stored_facts(spark, d), "run_id")
+    return f.select("run_id", "field", "value", "method", "confidence", F.size("conflict_values").alias("losers"))
+
+
+@query("conflict_losers", f"WITH {_RANKED} SELECT run_id, field, value, method, confidence FROM r WHERE n > 1")
+def conflict_losers(spark, d):
+    f = resolve.resolve(stored_facts(spark, d), "run_id")
+    return f.select("run_id", "field", F.explode("conflict_values").alias("v")).select("run_id", "field", "v.*")
+
+
+@query(
+    "consensus_vote",
+    f"""WITH c AS (SELECT DISTINCT r.normalized_url, f.field, f.value, f.seq FROM {_CAND} f JOIN (SELECT DISTINCT run_id, normalized_url FROM runs) r USING (run_id)),
+ p AS (SELECT normalized_url, field, lower(trim(value)) AS v, count(*) AS votes, min(seq) AS r, arg_min(value, seq) AS value FROM c GROUP BY ALL),
+ w AS (SELECT *, row_number() OVER (PARTITION BY normalized_url, field ORDER BY votes DESC, r, v) AS n, sum(votes) OVER (PARTITION BY normalized_url, field) AS total, count(*) OVER (PARTITION BY normalized_url, field) AS distinct_values FROM p)
+ SELECT normalized_url, field, value, votes, round(votes / total, 3) AS agreement, distinct_values FROM w WHERE n = 1""",
+)
+def consensus_vote(spark, d):
+    runs = table(spark, d, "runs").select("run_id", "normalized_url").distinct()
+    c = stored_facts(spark, d).join(runs, "run_id").select("normalized_url", "field", "value", "seq").distinct()
+    return resolve.consensus(c.filter(F.col("normalized_url").isNotNull()), ["normalized_url", "field"], "value", "seq")
+
+
+_ASKED = {"title": {}, "description": {}, "source": {}, "publish_date": {"optional": True}}
+
+
+@query(
+    "missing_status",
+    f"""WITH h AS (SELECT run_id, count(*) AS n, count(DISTINCT field) FILTER (WHERE field IN ('title', 'description', 'source', 'publish_date')) AS k, count(DISTINCT field) FILTER (WHERE field IN ('title', 'description', 'source')) AS kr FROM {_CAND} GROUP BY run_id)
+ SELECT r.run_id, 4 - coalesce(k, 0) AS missing, 3 - coalesce(kr, 0) AS required_missing, coalesce(n, 0) AS n_facts, CASE WHEN k = 4 THEN 'success' WHEN n > 0 THEN 'partial' ELSE 'unresolved' END AS status FROM (SELECT DISTINCT run_id FROM runs) r LEFT JOIN h USING (run_id)""",
+)
+def missing_status(spark, d):
+    m = resolve.missing(table(spark, d, "runs").select("run_id").distinct(), stored_facts(spark, d), _ASKED, "run_id")
+    m = m.withColumn("status", resolve.status(F.lit(False), F.size("missing"), F.col("n_facts")))
+    return m.select("run_id", F.size("missing").alias("missing"), F.size("required_missing").alias("required_missing"), "n_facts", "status")
+
+
+@query(
+    "route_decision",
+    f"""WITH t AS (SELECT run_id, level, status, missing_fields, CASE {_KINDS.replace("url", "normalized_url")} WHEN regexp_matches(lower(normalized_url) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' ELSE 'generic' END AS tactic, contains(warnings, 'bot_wall_detected') AS wall,
+ contains(missing_fields, '"price"') AS price, missing_fields <> '[]' AS anymissing FROM (SELECT DISTINCT * FROM runs))
+ SELECT run_id, CASE WHEN wall THEN 'bot_wall' WHEN anymissing AND tactic IN ('product', 'spa') THEN 'browser_hint+missing' WHEN tactic IN ('product', 'spa') THEN 'tactic:' || tactic || ':browser_hint' ELSE 'tactic:' || tactic END AS reason,
+ CASE WHEN wall OR (anymissing AND tactic IN ('product', 'spa')) THEN 'L3_browser' ELSE 'L1_http' END AS backend FROM t""",
+)
+def route_decision(spark, d):
+    r = table(spark, d, "runs").distinct()
+    t = sg.tactic(web.url_kind(F.col("normalized_url")), F.lit(None).cast("string"))
+    r = r.withColumn("tactic", t).withColumn("m", F.from_json("missing_fields", "array<string>"))
+    sig = F.struct(F.col("tactic").isin("product", "spa").alias("browser_hint"), F.lit(0.0).alias("spa_score"), F.lit(False).alias("likely_spa"))
+    x = resolve.route(F.lit("auto"), F.lit(None).cast("string"), F.when(F.col("warnings").contains("bot_wall_detected"), "bot_wall"), F.col("m"), sig, F.col("tactic"), web.site(F.col("normalized_url")))
+    return r.select("run_id", x["reason"].alias("reason"), x["backend"].alias("backend"))
+
+
+# -- telemetry -------------------------------------------------------------------------------------------------------
+
+_R = "(SELECT DISTINCT * FROM runs)"
+_F = "(SELECT DISTINCT * FROM facts)"
+
+
+@query(
+    "economics",
+    f"""WITH r AS (SELECT count(*) AS total_runs, count(*) FILTER (WHERE level IN ('L3', 'L4')) AS browser_runs, count(*) FILTER (WHERE contains(warnings, 'l2_llm_fill') OR contains(warnings, 'l2_failed')) AS llm_runs FROM {_R}),
+ f AS (SELECT count(*) AS facts_total, count(*) FILTER (WHERE len(evidence_ids) > 0) AS ids, count(*) FILTER (WHERE run_id IN (SELECT run_id FROM evidence)) AS facts_with_evidence FROM {_F})
+ SELECT total_runs, browser_runs, llm_runs, 1 - round(browser_runs / total_runs, 3) AS browser_avoidance_rate, 1 - round(llm_runs / total_runs, 3) AS llm_avoidance_rate, facts_total, facts_with_evidence, round(facts_with_evidence / facts_total, 3) AS provenance_coverage, round(ids / facts_total, 3) AS fact_coverage FROM r, f""",
+)
+def economics(spark, d):
+    return measures.economics(table(spark, d, "runs").distinct(), table(spark, d, "facts").distinct(), table(spark, d, "evidence"))
+
+
+@query("level_status", f"SELECT coalesce(level, 'all') AS level, coalesce(status, 'all') AS status, count(*) AS runs FROM (SELECT coalesce(level, 'unknown') AS level, coalesce(status, 'unknown') AS status FROM {_R}) GROUP BY ROLLUP (level, status)")
+def level_status(spark, d):
+    return measures.histogram(table(spark, d, "runs").distinct())
+
+
+@query("warning_kinds", f"""SELECT split_part(w, ':', 1) AS warning, count(*) AS runs FROM (SELECT unnest(from_json(warnings, '["VARCHAR"]')) AS w FROM {_R}) GROUP BY 1""")
+def warning_kinds(spark, d):
+    return measures.warning_counts(table(spark, d, "runs").distinct())
+
+
+@query(
+    "latency_picks",
+    "WITH v AS (SELECT latency_ms, run_id, row_number() OVER (ORDER BY latency_ms, run_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT * FROM runs) WHERE latency_ms > 0 AND NOT isnan(latency_ms)) SELECT CAST(share AS DOUBLE) AS share, latency_ms AS value FROM v, (VALUES (0.5), (0.95)) AS s(share) WHERE r = least(CAST(floor(n * share) AS BIGINT), n - 1)",
+)
+def latency_picks(spark, d):
+    r = table(spark, d, "runs").distinct().filter((F.col("latency_ms") > 0) & ~F.isnan("latency_ms"))
+    return measures.picked(r, "latency_ms", "run_id", [0.5, 0.95])
+
+
+@query(
+    "overview",
+    f"SELECT count(*) AS total_runs, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0 END), 4) AS success_rate, round(avg(CASE WHEN status = 'partial' THEN 1.0 ELSE 0 END), 4) AS partial_rate, round(avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0 END), 4) AS failure_rate, round(avg(bytes_downloaded), 2) AS avg_bytes, round(avg(CASE WHEN level IN ('L3', 'L4') THEN 1.0 ELSE 0 END), 4) AS browser_fallback_rate FROM {_R}",
+)
+def overview(spark, d):
+    return measures.overview(table(spark, d, "runs").distinct())
+
+
+@query(
+    "run_metrics",
+    f"""SELECT r.run_id, coalesce(n, 0) AS n_facts, round(coalesce(n, 0) / 8, 4) AS completeness, round(least(coalesce(n, 0) / 8, 1.0), 4) AS completeness_capped, coalesce(level = 'L1' AND status IN ('success', 'partial'), false) AS deterministic, coalesce(level IN ('L0', 'L1', 'L2'), false) AS no_browser,
+ coalesce(level IN ('L0', 'L1'), false) AS no_model, bytes_downloaded FROM {_R} r LEFT JOIN (SELECT run_id, count(*) AS n FROM {_F} GROUP BY run_id) USING (run_id)""",
+)
+def run_metrics(spark, d):
+    return measures.run_metrics(table(spark, d, "runs").distinct(), table(spark, d, "facts").distinct(), 8)
+
+
+@query("method_stats", f"SELECT coalesce(extraction_method, 'unknown') AS method, count(*) AS facts, count(DISTINCT field) AS fields, round(avg(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END), 6) AS mean_confidence FROM {_F} GROUP BY 1")
+def method_stats(spark, d):
+    return measures.method_stats(table(spark, d, "facts").distinct())
+
+
+@query(
+    "evidence_validity",
+    f"""WITH c AS (SELECT run_id, fact_id, unnest(CASE WHEN len(evidence_ids) > 0 THEN evidence_ids ELSE [NULL] END) AS e FROM {_F}), k AS (SELECT c.run_id, c.fact_id, bool_and(x.evidence_id IS NOT NULL) AS ok FROM c LEFT JOIN (SELECT DISTINCT run_id, evidence_id FROM evidence) x ON x.run_id = c.run_id AND x.evidence_id = c.e GROUP BY c.run_id, c.fact_id)
+ SELECT run_id, count(*) AS facts, count(*) FILTER (WHERE ok) AS valid FROM k GROUP BY run_id""",
+)
+def evidence_validity(spark, d):
+    return measures.evidence_validity(table(spark, d, "facts").distinct(), table(spark, d, "evidence"))
+
+
+# -- ground truth ----------------------------------------------------------------------------------------------------
+
+_RULES = """SELECT run_id AS item_id, field, kind, equals, lo, hi, min_len FROM (SELECT DISTINCT run_id FROM runs) CROSS JOIN (VALUES ('title', 'min_len', CAST(NULL AS STRING), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 12),
+ ('price', 'range', CAST(NULL AS STRING), CAST(10 AS DOUBLE), CAST(60 AS DOUBLE), CAST(NULL AS INT)), ('availability', 'equals', 'true', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS INT)), ('currency', 'in', 'eur', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS INT))) AS t(field, kind, equals, lo, hi, min_len)"""
+
+
+def _truth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    fixtures.views(spark, d, "runs")
+    rules = spark.sql(_RULES).withColumn("contains", F.array(F.lit("x"))).withColumn("in_set", F.array(F.lit("EUR"), F.lit("USD")))
+    return rules, resolve.resolve(stored_facts(spark, d), "run_id", losers=False).select(F.col("run_id").alias("item_id"), "field", "value")
+
+
+_SCORED = f"""{_RANKED}, best AS (SELECT run_id, field, value FROM r WHERE n = 1), rules AS ({_RULES}),
+ j AS (SELECT coalesce(x.item_id, b.run_id) AS item_id, x.item_id IS NOT NULL AS asked, b.value IS NOT NULL AS found, CASE WHEN x.item_id IS NULL THEN 'extra' WHEN x.kind = 'min_len' THEN 'soft' ELSE 'strict' END AS strength,
+  coalesce(CASE x.kind WHEN 'equals' THEN lower(trim(b.value)) = x.equals WHEN 'in' THEN lower(trim(b.value)) IN ('eur', 'usd') WHEN 'range' THEN TRY_CAST(b.value AS DOUBLE) BETWEEN x.lo AND x.hi WHEN 'min_len' THEN length(trim(b.value)) >= x.min_len END, false) AS ok
+  FROM rules x FULL OUTER JOIN best b ON b.run_id = x.item_id AND b.field = x.field),
+ sc AS (SELECT item_id, strength, sum(CASE WHEN asked AND found AND ok THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN asked AND found AND NOT ok THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN asked AND NOT found THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN asked THEN 0 ELSE 1 END) AS extra FROM j GROUP BY 1, 2)"""
+
+
+@query("gt_scores", f"WITH {_SCORED} SELECT item_id, strength, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(extra AS BIGINT) AS extra FROM sc")
+def gt_scores(spark, d):
+    return measures.scores(*_truth(spark, d))
+
+
+_SUM = "sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(extra) AS extra"
+
+
+@query(
+    "gt_summary",
+    f"""WITH {_SCORED}, a AS (SELECT coalesce(strength, 'all') AS strength, count(DISTINCT item_id) AS items, {_SUM} FROM sc GROUP BY ROLLUP (strength))
+ SELECT strength, items, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(extra AS BIGINT) AS extra, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(coalesce(tp / nullif(tp + fp + extra, 0), 0), 6) AS effective_precision FROM a""",
+)
+def gt_summary(spark, d):
+    return measures.summary(measures.scores(*_truth(spark, d)))
+
+
+@query(
+    "completeness_by_class",
+    f"""WITH i AS (SELECT r.run_id, r.schema_hash AS class, f.field FROM (SELECT DISTINCT run_id, schema_hash FROM runs) r CROSS JOIN (VALUES ('title'), ('description'), ('source')) AS f(field)), h AS (SELECT DISTINCT run_id, field FROM {_CAND} WHERE length(trim(value)) > 0)
+ SELECT coalesce(class, 'all') AS class, count(DISTINCT i.run_id) AS items, count(*) AS required, count(h.run_id) AS found, round(count(h.run_id) / count(*), 6) AS completeness FROM i LEFT JOIN h ON h.run_id = i.run_id AND h.field = i.field GROUP BY ROLLUP (class)""",
+)
+def completeness_by_class(spark, d):
+    asked = F.explode(F.array(*[F.lit(x) for x in ("title", "description", "source")])).alias("field")
+    items = table(spark, d, "runs").select(F.col("run_id").alias("item_id"), F.col("schema_hash").alias("class")).distinct().select("item_id", "class", asked, F.lit(False).alias("optional"))
+    return measures.completeness(items, stored_facts(spark, d).withColumnRenamed("run_id", "item_id"), "class")
+
+
+@query(
+    "compare_arms",
+    f"""WITH a AS (SELECT run_id, count(DISTINCT field) AS v FROM {_CAND} GROUP BY run_id), b AS (SELECT run_id, count(DISTINCT field) AS v FROM {_CAND} WHERE method IN ('json_ld', 'meta_og') GROUP BY run_id)
+ SELECT count(*) AS items, round(avg(a.v), 6) AS mean_a, round(avg(b.v), 6) AS mean_b, round(avg(a.v) - avg(b.v), 6) AS delta, count(*) FILTER (WHERE a.v > b.v) AS wins, count(*) FILTER (WHERE a.v < b.v) AS losses, count(*) FILTER (WHERE a.v = b.v) AS ties FROM a JOIN b USING (run_id)""",
+)
+def compare_arms(spark, d):
+    f = stored_facts(spark, d)
+    arm = lambda x: x.groupBy("run_id").agg(F.countDistinct("field").alias("v"))
+    return measures.compare_arms(arm(f), arm(f.filter(F.col("method").isin("json_ld", "meta_og"))), "run_id", "v")
+
+
+@query(
+    "loose_matches",
+    f"""WITH a AS (SELECT f.fact_id, f.value AS a, b.value AS b FROM (SELECT DISTINCT fact_id, run_id, value FROM facts JOIN field_aliases USING (field) WHERE canonical_field = 'price') f JOIN (SELECT run_id, value FROM ({f"WITH {_RANKED} SELECT * FROM r WHERE n = 1 AND field = 'price'"})) b USING (run_id))
+ SELECT fact_id, coalesce(lower(trim(a)) = lower(trim(b)) OR contains(lower(trim(a)), lower(trim(b))) OR contains(lower(trim(b)), lower(trim(a))) OR coalesce(abs(TRY_CAST(trim(a) AS DOUBLE) - TRY_CAST(trim(b) AS DOUBLE)) <= 0.1 * greatest(abs(TRY_CAST(trim(b) AS DOUBLE)), 1e-9), false), false) AS same FROM a""",
+)
+def loose_matches(spark, d):
+    alias = table(spark, d, "field_aliases").filter("canonical_field = 'price'").select("field")
+    f = table(spark, d, "facts").join(alias, "field", "left_semi").select("fact_id", "run_id", F.col("value").alias("a")).distinct()
+    b = resolve.resolve(stored_facts(spark, d).filter("field = 'price'"), "run_id", losers=False).select("run_id", F.col("value").alias("b"))
+    return f.join(b, "run_id").select("fact_id", F.coalesce(tx.loose_match(F.col("a"), F.col("b")), F.lit(False)).alias("same"))
+
+
+# -- store -----------------------------------------------------------------------------------------------------------
+
+
+@query("latest_runs", f"SELECT normalized_url, run_id, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY retrieved_at DESC NULLS LAST, run_id) AS position FROM {_R}) WHERE position <= 2")
+def latest_runs(spark, d):
+    return store.latest_per_url(table(spark, d, "runs").distinct(), 2).select("normalized_url", "run_id", "position")
+
+
+@query("runs_upsert", f"SELECT normalized_url, max(stored_at) AS stored_at, arg_max(status, stored_at) AS status, min(stored_at) AS first_at FROM (SELECT normalized_url, stored_at, coalesce(status, 'unknown') AS status FROM {_R} WHERE stored_at IS NOT NULL AND normalized_url IS NOT NULL) GROUP BY 1")
+def runs_upsert(spark, d):
+    r = table(spark, d, "runs").distinct().filter("stored_at IS NOT NULL AND normalized_url IS NOT NULL").select("normalized_url", "stored_at", F.coalesce("status", F.lit("unknown")).alias("status"), F.col("stored_at").alias("first_at"))
+    cut = F.lit("2024-01-01").cast("timestamp")
+    return store.upsert(r.filter(F.col("stored_at") < cut), r.filter(F.col("stored_at") >= cut), ["normalized_url"], "stored_at", ["status"])
+
+
+_ONE = "(SELECT min(normalized_url) FROM runs)"
+
+
+@query("query_by_url", f"SELECT run_id, retrieved_at FROM (SELECT DISTINCT run_id, retrieved_at, normalized_url FROM runs) WHERE normalized_url = {_ONE} ORDER BY retrieved_at DESC NULLS LAST, run_id LIMIT 10")
+def query_by_url(spark, d):
+    r = table(spark, d, "runs").select("run_id", "retrieved_at", "normalized_url").distinct()
+    url = r.agg(F.min("normalized_url")).first()[0]
+    return store.by_url(r, url).select("run_id", "retrieved_at")
+
+
+@query("changed_signatures", f"SELECT run_id, before AS previous_signature FROM (SELECT *, lag(content_signature) OVER (PARTITION BY normalized_url ORDER BY retrieved_at NULLS FIRST, run_id) AS before FROM {_R}) WHERE before IS NOT NULL AND before <> content_signature")
+def changed_signatures(spark, d):
+    return measures.recent_change(table(spark, d, "runs").distinct(), "normalized_url", "content_signature", "retrieved_at").select("run_id", "previous_signature")
+
+
+_TTL = 30 * 86400
+
+
+@query(
+    "cache_hits",
+    f"""WITH r AS (SELECT DISTINCT run_id, normalized_url, schema_hash, status, retrieved_at, stored_at FROM runs WHERE retrieved_at IS NOT NULL AND stored_at IS NOT NULL)
+ SELECT q.run_id, arg_max(c.run_id, (c.retrieved_at, c.run_id)) AS cached_run FROM r q LEFT JOIN r c ON c.normalized_url = q.normalized_url AND c.schema_hash = q.schema_hash AND c.status IN ('success', 'partial') AND c.retrieved_at <= q.stored_at
+ AND floor(epoch(q.stored_at)) - floor(epoch(c.retrieved_at)) <= {_TTL} GROUP BY q.run_id""",
+)
+def cache_hits(spark, d):
+    r = table(spark, d, "runs").select("run_id", "normalized_url", "schema_hash", "status", "retrieved_at", "stored_at").distinct().filter("retrieved_at IS NOT NULL AND stored_at IS NOT NULL")
+    q = r.select(F.col("run_id").alias("asked"), "normalized_url", "schema_hash", F.col("stored_at").alias("requested_at"))
+    return store.cached(q, r, ["normalized_url", "schema_hash"], ttl_s=_TTL).select(F.col("asked").alias("run_id"), "cached_run")
+
+
+@query("evidence_digests")
+def evidence_digests(spark, d):
+    return chain.evidence_digest(table(spark, d, "facts"), table(spark, d, "evidence"))
+
+
+_LINKED = ["run_id", "url", "level", "status", "evidence_digest"]
+
+
+@query("chain_verify")
+def chain_verify(spark, d):
+    """A chain per schema over all runs, appended and verified, with one entry altered in the second."""
+    r = table(spark, d, "runs").select("run_id", F.col("normalized_url").alias("url"), "level", "status", "schema_hash", "stored_at").distinct()
+    r = r.join(chain.evidence_digest(table(spark, d, "facts"), table(spark, d, "evidence")), "run_id").withColumn("seq", F.concat_ws("|", F.date_format("stored_at", "yyyyMMddHHmmssSSSSSS"), "run_id"))
+    c = chain.append(r, "schema_hash", "seq", _LINKED)
+    return chain.verify(c.withColumn("level", F.when((F.col("schema_hash") == "sc_docs") & (F.col("level") == "L2"), "L1").otherwise(F.col("level"))), "schema_hash", "seq", _LINKED)
+
+
+# -- extraction ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "structured_facts",
+    f"""WITH p AS (SELECT p_partkey AS page_id, p_name, p_brand, {fixtures.PRICE} AS price FROM part)
+ SELECT page_id, field, value, method FROM (
+ SELECT page_id, unnest(['title', 'name', 'brand', 'price', 'currency', 'availability']) AS field, unnest([p_name, p_name, p_brand, price, 'EUR', 'https://schema.org/InStock']) AS value, 'json-ld' AS method FROM p WHERE page_id % 3 <> 0
+ UNION ALL SELECT page_id, unnest(['title', 'name', 'price']), unnest([p_name, p_name, price]), 'microdata' FROM p WHERE page_id % 2 = 0
+ UNION ALL SELECT page_id, 'title', p_name, 'og_manual' FROM p WHERE page_id % 3 = 0 AND page_id % 2 <> 0 UNION ALL SELECT page_id, 'price', price, 'og_manual' FROM p WHERE page_id % 3 = 0 AND page_id % 2 <> 0 UNION ALL SELECT page_id, 'currency', 'EUR', 'og_manual' FROM p WHERE page_id % 3 = 0)""",
+)
+def structured_facts(spark, d):
+    return extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).filter("stage = 0").select("page_id", "field", "value", "method")
+
+
+@query("meta_facts", f"SELECT p_partkey AS page_id, unnest(['title', 'name', 'source', 'price', 'currency']) AS field, unnest([p_name, p_name, 'Shop', {fixtures.PRICE}, 'EUR']) AS value FROM part")
+def meta_facts(spark, d):
+    return extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).filter("method = 'meta_og'").select("page_id", "field", "value")
+
+
+@query("candidate_facts")
+def candidate_facts(spark, d):
+    """Candidates of every extractor, for product pages and for the stored pages."""
+    schema = {"fields": {"title": "string", "description": "string", "source": "string", "category": "string", "version": {"type": "string", "optional": True}}}
+    a = extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA)
+    return a.unionByName(extract.candidates(pages(spark, d), schema)).select("page_id", "page_class", "tactic", "stage", "method", "field", "value", "confidence", "selector")
+
+
+@query("extracted_facts", f"SELECT p_partkey AS page_id, unnest(['title', 'name', 'price', 'currency', 'source']) AS field, unnest([p_name, p_name, {fixtures.PRICE}, 'EUR', 'Shop']) AS value FROM part")
+def extracted_facts(spark, d):
+    f = engine.extract(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).facts
+    return f.filter(F.col("field").isin("title", "name", "price", "currency", "source")).select("page_id", "field", "value")
+
+
+@query("extracted_runs")
+def extracted_runs(spark, d):
+    r = engine.extract(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).runs
+    return r.select("page_id", "status", "tactic", F.array_join("missing", ",").alias("missing"), "n_facts", F.col("route.reason").alias("reason"), F.to_json("warnings").alias("warnings"))
+
+
+@query("page_snapshots", "SELECT p_partkey AS page_id, p_name || ' | Shop' AS title, 'en' AS language, '/product/' || CAST(p_partkey AS VARCHAR) AS canonical, 1 AS sections, CAST(4 AS INT) AS metas FROM part")
+def page_snapshots(spark, d):
+    s = extract.snapshots(fixtures.product_pages(spark, d))
+    return s.select("page_id", "title", "language", "canonical", F.size("sections").alias("sections"), F.size("meta").alias("metas"))
+
+
+@query("canonical_links", "SELECT p_partkey AS page_id, 'https://shop.example.com/product/' || CAST(p_partkey AS VARCHAR) AS canonical FROM part")
+def canonical_links(spark, d):
+    return extract.primary_canonical(extract.links(fixtures.product_pages(spark, d)))
+
+
+@query("text_pages_snapshots")
+def text_pages_snapshots(spark, d):
+    """Sections, links and meta of the stored pages."""
+    s = extract.snapshots(pages(spark, d))
+    return s.select("page_id", "title", "language", F.size("sections").alias("sections"), F.size("links").alias("links"), F.size("meta").alias("metas"))
+
+
+# -- streams ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "stream_telemetry",
+    "SELECT date_trunc('hour', retrieved_at) AS start, level, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed FROM runs WHERE retrieved_at IS NOT NULL GROUP BY 1, 2",
+)
+def stream_telemetry(spark, d):
+    """The hourly telemetry of a stream that has read the whole table."""
+    schema = table(spark, d, "runs").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/runs.parquet" if _is_folder(spark, f"{d}/runs.parquet") else _alone(d))
+    out = streams.telemetry(rows.filter("retrieved_at IS NOT NULL"))
+    name = f"telemetry_{abs(hash(d)) % 10**9}"
+    q = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select("start", "level", "runs", "failed")
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def _alone(d: str) -> str:
+    """A glob that names the runs file alone: streams read folders or globs."""
+    return f"{d}/runs.parque[t]"
