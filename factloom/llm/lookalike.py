@@ -170,9 +170,7 @@ class Rewriter:
 
 def consistent_form(df: DataFrame, text: str, form: str = "form", to: dict[str, str] | None = None) -> DataFrame:
     """df with column `form`. Null texts keep a null form; a text of invisible characters only becomes empty. `to`: the
-    rewriting of an earlier corpus, else it is made from this one. The column `form` must not exist yet."""
-    if form in df.columns:
-        raise ValueError(f"column {form} would be overwritten")
+    rewriting of an earlier corpus, else it is made from this one. A column `form` that is already there is replaced."""
     if to is None:
         classes = look_alikes()
         to = representatives(classes, member_counts(df.select(text), [m for g in classes.members().values() for m in g]))
