@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.session import stage
+
 # Latin letters, then the Cyrillic, Greek and other letters that look the same.
 HOMOGLYPHS = """
 a а α
@@ -182,7 +184,8 @@ def consistent_form(df: DataFrame, text: str, form: str = "form", to: dict[str,
         f = _CACHE["rewriter"]
         return pa.array([t if t is None else f(t) for t in x.to_pylist()], pa.string())
 
-    return df.withColumn(form, rewrite(F.col(text)))
+    plain = F.lit(all(not m.isascii() for m in to)) & F.col(text).rlike(r"^\p{ASCII}*$")  # its own form: no need to send it
+    return df.withColumn(form, F.when(plain, F.col(text)).otherwise(rewrite(F.when(~plain, F.col(text)))))
 
 
 _CACHE: dict = {}
@@ -193,9 +196,10 @@ def same_look_pairs(df: DataFrame, scope: list[str], id_: str, text: str, form:
     Blank forms are left out and repeated rows count once. Only forms with more than one stored text are joined, so
     a hot scope full of copies costs one aggregate."""
     rows = df.filter(F.col(text).isNotNull() & ~F.col(form).rlike(r"(?U)^\s*$"))
-    rows = rows.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)], F.col(id_).alias("_id"), F.xxhash64(form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t")).distinct()
+    rows = rows.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(scope)], F.col(id_).alias("_id"), F.xxhash64(form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t"))
+    rows = stage(rows, "forms")
     key = [*[f"_s{i}" for i in range(len(scope))], "_f"]
     mixed = rows.groupBy(*key).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).filter("_lo <> _hi").select(*key)
-    rows = rows.join(mixed, key, "left_semi")
+    rows = rows.join(mixed, key, "left_semi").distinct()
     a, b = (rows.select(*[F.col(c).alias(f"{c}{s}") for c in key], F.col("_id").alias(f"key_{s}"), F.col("_t").alias(f"_t{s}")) for s in "ab")
     return a.join(b, [*[F.col(f"{c}a") == F.col(f"{c}b") for c in key], F.col("key_a") < F.col("key_b"), F.col("_ta") != F.col("_tb")]).select("key_a", "key_b")
