@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from factloom.operators.ordered import ranked
 
@@ -99,8 +99,8 @@ def mix(docs: DataFrame, targets: DataFrame, id_: str, source: str, size: str, t
     draws = rows.select("slot", "source", "pass", F.col("_id").alias(id_), F.col("_size").alias("tokens"))
     said = spark.createDataFrame([(s, w, r, s in plan and plan[s]["capped"], s in plan) for s, (w, r) in want.items()], "source string, target_share double, max_repeats int, capped boolean, has_texts boolean")
     got = draws.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("draws"), F.max("pass").alias("_p"))
-    sums = got.agg(F.sum("tokens").alias("_all"))
-    shares = said.join(got, "source", "left").join(F.broadcast(sums))
+    got = got.withColumn("_all", F.sum("tokens").over(W.partitionBy()))  # a row per source
+    shares = said.join(got, "source", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     shares = shares.select("source", "target_share", F.coalesce(F.round(F.col("tokens") / F.col("_all"), 6), F.lit(0.0)).alias("reached_share"), z("tokens").alias("tokens"), z("draws").alias("draws"), F.coalesce(F.col("_p") + 1, F.lit(0)).alias("repeats"), "max_repeats", "capped", "has_texts")
     return draws, shares

@@ -166,23 +166,23 @@ def intervals(plan: Plan) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, packs: DataFrame, id_: str, size: str) -> DataFrame:
-    """(pack_id, capacity, id, part, first, tokens): each text once per pack, split only if it exceeds the capacity: into
-    full pieces and one rest. packs is a table of a few rows."""
-    p = packs.select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    d = docs.select(F.col(id_).alias("_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n"))
-    rows = d.join(F.broadcast(p), F.col("capacity") > 0)
+def pieces(docs: DataFrame, packs: list[tuple], pack_type: str, id_: str, size: str) -> DataFrame:
+    """(pack_id, id, part, first, tokens): each text once per pack, split only if it exceeds the capacity: into full
+    pieces and one rest. packs: (pack_id, capacity), a few."""
+    p = F.array(*[F.struct(F.lit(k).cast(pack_type).alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for k, c in packs])
+    rows = docs.select(F.col(id_).alias("_id"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_n")).withColumn("_p", F.explode(p)).select("_id", "_n", "_p.*")
     last = F.greatest(F.ceil(F.col("_n") / F.col("capacity")), F.lit(1)).cast("int") - 1
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
     first = F.col("part") * F.col("capacity")
-    return rows.select("pack_id", "capacity", F.col("_id").alias(id_), "part", first.alias("first"), F.least(F.col("_n") - first, F.col("capacity")).alias("tokens"))
+    return rows.select("pack_id", F.col("_id").alias(id_), "part", first.alias("first"), F.least(F.col("_n") - first, F.col("capacity")).alias("tokens"))
 
 
 def pack(docs: DataFrame, packs: DataFrame, id_: str, size: str, most_packs: int = 64) -> DataFrame:
     """(pack_id, container, id, part, first, tokens). Containers count from 0 per pack; `first` is the piece's first token.
 
     Every row of docs is packed, repeated ids as often as they stand there; texts without tokens take no room and go into
-    container 0; an empty table gives an empty result. Capacities that are null or not positive are left out.
+    container 0; an empty table gives an empty result. Capacities that are null or not positive are left out; without any
+    other one ValueError is raised.
     most_packs bounds the table of capacities, which is held on the driver."""
     packs = packs.select("pack_id", "capacity_tokens").filter(F.col("capacity_tokens") > 0).distinct()
     known = packs.limit(most_packs + 1).collect()
@@ -192,7 +192,10 @@ def pack(docs: DataFrame, packs: DataFrame, id_: str, size: str, most_packs: int
     if len(order) < len(known):
         raise ValueError("a pack_id has two capacities")
     capacity = {r["pack_id"]: int(r["capacity_tokens"]) for r in known}
-    rows, parts = ranked(pieces(docs, packs, id_, size), ["pack_id", "tokens"], [F.col(id_), F.col("part")])
+    if not known:
+        raise ValueError("no capacity")
+    found = pieces(docs, sorted(capacity.items()), packs.schema["pack_id"].dataType.simpleString(), id_, size)
+    rows, parts = ranked(found, ["pack_id", "tokens"], [F.col(id_), F.col("part")])
     count: dict = {k: {} for k in capacity}
     for r in parts.filter("tokens > 0").groupBy("pack_id", "tokens").agg(F.sum("_n").alias("n")).collect():  # at most one row per length and pack
         count[r["pack_id"]][r["tokens"]] = r["n"]
