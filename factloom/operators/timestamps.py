@@ -8,7 +8,8 @@ stays below `decide`, the value is marked `ambiguous` instead of being guessed.
 
 Defined cases: null value -> `null`; no date in it or relative -> `none`; only a day -> `day`; a date, clock or zone that
 doesn't exist -> `invalid`; empty table -> empty result; null source forms a source of its own; null zone is UTC; null
-locale is `default_locale`. Extra columns pass through; columns named `ts_*` of the result raise ValueError on a clash.
+locale is `default_locale`; repeated rows stay repeated. Extra columns pass through, whatever their names; columns that
+bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.timeparse import _zone, readings
+from factloom.session import stage
 
 ADDED = ("ts_utc", "ts_status", "ts_reading", "ts_posterior")
 
@@ -93,18 +95,19 @@ def normalise_timestamps(df: DataFrame, value: str = "value", source: str = "sou
     """df with `ts_utc` (timestamp), `ts_status` (`resolved`, `ambiguous`, `day`, `none`, `invalid`, `null`), `ts_reading`
     (the label chosen) and `ts_posterior`. declared: how far the row's locale and zone are trusted against the
     source's mixture; decide: the least posterior at which a reading is taken."""
-    if clash := {*ADDED, "_p"} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
     none = F.lit(None).cast("string")
-    parsed = df.withColumn("_p", _parser(default_locale)(F.col(value).cast("string"), F.col(locale) if locale else none, F.col(tz) if tz else none))
-    open_ = F.size("_p.us") > 1
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source).alias("src"), F.col(value).cast("string").alias("v"), (F.col(locale) if locale else none).alias("lo"), (F.col(tz) if tz else none).alias("tz"))
+    # parsed once and written: the counts and both branches below read it
+    parsed = stage(row.select("row", "src", _parser(default_locale)("v", "lo", "tz").alias("p")), "parsed")
+    open_ = F.size("p.us") > 1
+    timed = F.col("p.status") == "time"
+    bare = lambda sig: F.regexp_replace(sig, r"\*", "")
+    added = lambda us, status, reading, post: [F.timestamp_micros(us).alias("ts_utc"), status.alias("ts_status"), bare(reading).alias("ts_reading"), post.alias("ts_posterior")]
     # one reading: the posterior is 1, no join is needed
     sure = parsed.filter(F.coalesce(~open_, F.lit(True)))
-    sure = sure.withColumn("ts_utc", F.timestamp_micros(F.when(F.col("_p.status") == "time", F.try_element_at("_p.us", F.lit(1)))))
-    sure = sure.withColumn("ts_status", F.when(F.col("_p.status") == "time", "resolved").otherwise(F.col("_p.status")))
-    sure = sure.withColumn("ts_reading", F.regexp_replace("_p.sig", r"\*", "")).withColumn("ts_posterior", F.when(F.col("_p.status") == "time", 1.0)).drop("_p")
+    sure = sure.select("row", *added(F.when(timed, F.try_element_at("p.us", F.lit(1))), F.when(timed, "resolved").otherwise(F.col("p.status")), F.col("p.sig"), F.when(timed, 1.0)))
 
-    counts = parsed.filter(F.col("_p.status") == "time").groupBy(F.col(source).alias("_src"), F.col("_p.sig").alias("_sig")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = parsed.filter(timed).groupBy(F.col("src").alias("_src"), F.col("p.sig").alias("_sig")).agg(F.count(F.lit(1)).alias("_n"))
 
     def em(t: pa.Table) -> pa.Table:
         sigs = t["_sig"].to_pylist()
@@ -115,11 +118,10 @@ def normalise_timestamps(df: DataFrame, value: str = "value", source: str = "sou
 
     kind = df.schema[source].dataType.simpleString()
     chosen = counts.groupBy("_src").applyInArrow(em, f"_src {kind}, _sig string, _i int, _post double")
-    asked = parsed.filter(open_).join(chosen, F.col(source).eqNullSafe(F.col("_src")) & (F.col("_p.sig") == F.col("_sig")), "left")
-    asked = asked.withColumn("ts_utc", F.when(F.col("_post") >= decide, F.timestamp_micros(F.element_at("_p.us", F.col("_i")))))
-    asked = asked.withColumn("ts_status", F.when(F.col("_post") >= decide, "resolved").otherwise("ambiguous"))
-    asked = asked.withColumn("ts_reading", F.regexp_replace(F.element_at(F.split("_p.sig", r"\|"), F.col("_i")), r"\*", "")).withColumn("ts_posterior", F.col("_post"))
-    return sure.unionByName(asked.drop("_p", "_src", "_sig", "_i", "_post"))
+    asked = parsed.filter(open_).join(chosen, F.col("src").eqNullSafe(F.col("_src")) & (F.col("p.sig") == F.col("_sig")), "left")
+    taken = F.col("_post") >= decide
+    asked = asked.select("row", *added(F.when(taken, F.element_at("p.us", F.col("_i"))), F.when(taken, "resolved").otherwise("ambiguous"), F.element_at(F.split("p.sig", r"\|"), F.col("_i")), F.col("_post")))
+    return sure.unionAll(asked).select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
 
 
 def same_instant_pairs(df: DataFrame, key: list[str], id_: str, instant: str = "ts_utc") -> DataFrame:

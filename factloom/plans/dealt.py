@@ -9,23 +9,24 @@ from factloom.sources.tables import table
 
 
 def time_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of kind time with page, locale and zone of their run. The alias table is fixed and small."""
+    """Facts of kind time with page, locale and zone of their run, repeated rows as often as they are stored. The alias table
+    is fixed and small."""
     alias = table(spark, d, "field_aliases").filter(F.col("kind") == "time").select("field", "canonical_field")
-    runs = table(spark, d, "runs").select("run_id", "normalized_url", "locale", "timezone").distinct()
-    facts = table(spark, d, "facts").select("run_id", "fact_id", "field", "value", "source_id").distinct()
-    return facts.join(alias, "field").join(runs, "run_id")
+    runs = table(spark, d, "runs").select("run_id", "normalized_url", "locale", "timezone")
+    facts = table(spark, d, "facts").select("run_id", "fact_id", "field", "value", "source_id")
+    return facts.join(alias, "field").join(runs, "run_id").select("fact_id", "normalized_url", "canonical_field", "source_id", "value", "locale", "timezone")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    done = normalise_timestamps(time_facts(spark, d)).filter(F.col("ts_status") == "resolved")
-    done = done.filter(F.col("normalized_url").isNotNull())
+    facts = time_facts(spark, d).filter(F.col("normalized_url").isNotNull() & F.col("value").isNotNull())
+    done = normalise_timestamps(facts).filter(F.col("ts_status") == "resolved")
     return same_instant_pairs(done, ["normalized_url", "canonical_field"], "fact_id").select(F.col("a").alias("fact_a"), F.col("b").alias("fact_b"))
 
 
 def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
     """One row per fact of kind time: the instant, or why there is none."""
     done = normalise_timestamps(time_facts(spark, d))
-    return done.select("fact_id", "value", F.col("ts_utc"), "ts_status", "ts_reading", F.round("ts_posterior", 6).alias("ts_posterior"))
+    return done.select("fact_id", "value", F.col("ts_utc"), "ts_status", "ts_reading", F.round("ts_posterior", 6).alias("ts_posterior")).distinct()
 
 
 QUERIES = {"p3_found": p3_found, "p3_normalised": p3_normalised}
