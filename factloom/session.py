@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,21 @@ def get_session(app: str = "factloom", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for k, v in (DEFAULTS | conf).items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in Python workers: by path where they share this machine's files, else as a file that
+    executors fetch. Done once per application."""
+    sc = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[1])
+    have = sc.environment.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+        if not sc.master.startswith("local"):
+            with tempfile.TemporaryDirectory() as d:
+                sc.addPyFile(shutil.make_archive(f"{d}/factloom", "zip", root, "factloom"))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
