@@ -47,6 +47,17 @@ def add_aliases(facts: DataFrame, fields: list[str], id_: str = "page_id") -> Da
     return facts.unionByName(new.select(*facts.columns))
 
 
+def add_availability(facts: DataFrame, fields: list[str], id_: str = "page_id") -> DataFrame:
+    """For product pages with a price and no availability, when it is asked for: in stock, with low confidence."""
+    if "availability" not in fields:
+        return facts
+    price = facts.filter((F.col("field") == "price") & (F.col("tactic") == "product"))
+    price = price.withColumn("_n", F.row_number().over(W.partitionBy(id_).orderBy("stage", "seq"))).filter("_n = 1").drop("_n")
+    new = price.join(facts.filter("field = 'availability'").select(id_), id_, "left_anti")
+    made = {"field": "availability", "value": "InStock", "method": "url_derived", "confidence": 0.55, "selector": "default::availability", "datatype": "string"}
+    return facts.unionByName(new.select(*[F.lit(made[c]).alias(c) if c in made else F.col(c) for c in facts.columns]))
+
+
 def scaled(facts: DataFrame) -> DataFrame:
     return facts.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("confidence") * F.col("scale")), 3))
 
@@ -142,6 +153,35 @@ def route(mode: Column, rule: Column, failure: Column, missing_: Column, sig: Co
     )
 
 
+def value_warnings(field: Column, value: Column) -> Column:
+    """What is odd about a value: an array of short reasons, empty if nothing."""
+    n = tx.price_number(value)
+    price = field == "price"
+    return F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.trim(value), F.lit("")) == "", "empty"),
+            F.when(price & n.isNull(), "no_number"),
+            F.when(price & (n <= 0), "not_positive"),
+            F.when(price & (n > 1_000_000), "very_high"),
+            F.when((field == "currency") & ~F.coalesce(value.rlike(r"^[A-Z]{3}$"), F.lit(False)), "no_code"),
+            F.when((field == "availability") & ~F.coalesce(tx.availability(value).isin("true", "false", "preorder"), F.lit(False)), "unknown_word"),
+            F.when(field.isin("title", "name") & tx.weak_title(value), "weak_title"),
+        )
+    )
+
+
+def auto_truth(claims: DataFrame, key: list[str], least: float = 0.5, value: str = "value", rank: str = "source_rank") -> DataFrame:
+    """Consensus values whose agreement reaches `least`, with their warnings; the last key column is the field."""
+    c = consensus(claims, key, value, rank).filter(F.col("agreement") >= least)
+    return c.withColumn("warnings", value_warnings(F.col(key[-1]), F.col(value)))
+
+
+def candidate_map(facts: DataFrame, id_: str = "page_id") -> DataFrame:
+    """(id, candidates): field to value of each page's facts."""
+    one = facts.groupBy(id_, "field").agg(F.min_by("value", "seq").alias("value")) if "seq" in facts.columns else facts.groupBy(id_, "field").agg(F.min("value").alias("value"))
+    return one.groupBy(id_).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("candidates"))
+
+
 def consensus(claims: DataFrame, key: list[str], value: str = "value", rank: str = "source_rank") -> DataFrame:
     """The most frequent value per key, case aside; ties go to the best-ranked source. Adds votes, agreement and the
     number of distinct values."""

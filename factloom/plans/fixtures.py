@@ -25,6 +25,13 @@ SELECT url FROM (VALUES ('http://localhost/a'), ('https://127.0.0.1/'), ('http:/
  ('http://169.254.169.254/latest'), ('https://user:pw@example.com:8443/docs/a?b=1'), ('https://WWW.Example.COM/'), ('http:///nohost'), ('javascript:alert(1)'), ('http://8.8.8.8/'), ('http://[fd00::1]/'), ('https://sub.deep.example.com/v2/guide')) AS t(url)
 UNION ALL SELECT DISTINCT url FROM runs
 """
+#: Response headers, and what they mean.
+HEADERS = """
+SELECT * FROM VALUES (1, map('Server', 'cloudflare', 'Age', '61')), (2, map('Via', '1.1 x.CloudFront.net', 'X-Cache', 'Hit from cloudfront')), (3, map('Server', 'nginx', 'Cache-Control', 'max-age=299')), (4, map('Server', 'AkamaiGHost', 'Cache-Control', 'max-age=300')),
+ (5, map('x-vercel-id', 'a', 'cache-control', 'no-cache, max-age=900')), (6, map('CF-Cache-Status', 'HIT')), (7, map('X-NF-Request-Id', '1', 'age', 'x')) AS t(k, h)
+"""
+HEADER_TRUTH = "(1, 'cloudflare', true, 61), (2, 'cloudfront', true, NULL), (3, NULL, false, NULL), (4, 'akamai', true, NULL), (5, 'vercel', false, NULL), (6, 'cloudflare', true, NULL), (7, 'netlify', false, NULL)"
+
 
 def views(spark: SparkSession, d: str, *names: str) -> None:
     for n in names:

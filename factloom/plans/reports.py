@@ -123,6 +123,21 @@ def mime_charset(spark, d):
     return pages(spark, d).select("page_id", web.mime_allowed(F.col("content_type")).alias("allowed"), web.charset(F.col("content_type"), F.left("html", F.lit(8192))).alias("charset"))
 
 
+_LINKS = "regexp_extract_all(left(html, 32768), '(?i)<link\\b[^>]*>')"
+
+
+@query("head_links", f"""SELECT page_id, regexp_extract(list_filter(l, lambda x: lower(regexp_extract(x, '(?i)\\brel=["'']([^"'']*)', 1)) = 'canonical')[1], '(?i)\\bhref=["'']([^"'']*)', 1) AS canonical, len(list_filter(l, lambda x: regexp_matches(x, '(?i)\\bhreflang='))) AS hreflang FROM (SELECT page_id, {_LINKS} AS l FROM ({fixtures.PRODUCT_PAGES}))""")
+def head_links(spark, d):
+    h = sg.head_links(F.col("html"))
+    return fixtures.product_pages(spark, d).select("page_id", h["canonical"].alias("canonical"), h["hreflang_count"].alias("hreflang"))
+
+
+@query("header_profiles", f"SELECT k, cdn, static_hint, age_s FROM (VALUES {fixtures.HEADER_TRUTH}) AS t(k, cdn, static_hint, age_s)")
+def header_profiles(spark, d):
+    h = web.header_profile(F.col("h"))
+    return spark.sql(fixtures.HEADERS).select("k", h["cdn"].alias("cdn"), h["static_hint"].alias("static_hint"), h["age_s"].alias("age_s"))
+
+
 # -- addresses -------------------------------------------------------------------------------------------------------
 
 _HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
@@ -421,6 +436,27 @@ def loose_matches(spark, d):
     return f.join(b, "run_id").select("fact_id", F.coalesce(tx.loose_match(F.col("a"), F.col("b")), F.lit(False)).alias("same"))
 
 
+@query(
+    "value_warnings",
+    f"""SELECT DISTINCT fact_id, concat_ws(',', CASE WHEN coalesce(trim(value), '') = '' THEN 'empty' END, CASE WHEN k = 'price' AND p IS NULL THEN 'no_number' END, CASE WHEN k = 'price' AND p <= 0 THEN 'not_positive' END, CASE WHEN k = 'price' AND p > 1000000 THEN 'very_high' END,
+ CASE WHEN k = 'currency' AND NOT coalesce(regexp_full_match(value, '[A-Z]{{3}}'), false) THEN 'no_code' END) AS warnings
+ FROM (SELECT fact_id, value, canonical_field AS k, TRY_CAST(CASE WHEN length({_C}) - length(replace({_C}, ',', '')) = 1 AND strpos(reverse({_C}), ',') < CASE WHEN contains({_C}, '.') THEN strpos(reverse({_C}), '.') ELSE 100000 END THEN replace(replace({_C}, '.', ''), ',', '.') ELSE replace({_C}, ',', '') END AS DOUBLE) AS p
+ FROM facts JOIN field_aliases USING (field) WHERE canonical_field IN ('price', 'currency', 'brand'))""",
+)
+def value_warnings(spark, d):
+    a = table(spark, d, "field_aliases").filter(F.col("canonical_field").isin("price", "currency", "brand"))
+    w = resolve.value_warnings(F.col("canonical_field"), F.col("value"))
+    return table(spark, d, "facts").join(a, "field").select("fact_id", F.array_join(w, ",").alias("warnings")).distinct()
+
+
+@query("auto_truth")
+def auto_truth(spark, d):
+    """Consensus values of each page with an agreement of half or more."""
+    runs = table(spark, d, "runs").select("run_id", "normalized_url").distinct()
+    c = stored_facts(spark, d).join(runs, "run_id").select("normalized_url", "field", "value", "seq").distinct()
+    return resolve.auto_truth(c, ["normalized_url", "field"], 0.5, "value", "seq").withColumn("warnings", F.array_join("warnings", ","))
+
+
 # -- store -----------------------------------------------------------------------------------------------------------
 
 

@@ -75,6 +75,16 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def record_fallbacks(routes: DataFrame, path: str) -> None:
+    """Append the decisions that left the plain backend as JSON lines: time, host, asked and chosen backend, reason."""
+    f = routes.filter(F.col("route.backend") != "L1_http")
+    f.select(F.current_timestamp().alias("ts"), web.site(F.col("url")).alias("host"), F.lit("L1_http").alias("attempted"), F.col("route.backend").alias("actual"), F.col("route.reason").alias("reason")).write.mode("append").json(path)
+
+
+def fallbacks(spark: SparkSession, path: str) -> DataFrame:
+    return read_jsonl(spark, path, "ts timestamp, host string, attempted string, actual string, reason string")
+
+
 def cache_key(url: Column, schema_hash: Column, signature: Column, etag: Column | None = None) -> Column:
     return F.concat_ws("|", url, schema_hash, signature, *([etag] if etag is not None else []))
 

@@ -26,11 +26,14 @@ def telemetry(runs: DataFrame, at: str = "retrieved_at", window: str = "1 hour",
     return w.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failed"), F.avg("latency_ms").alias("mean_ms")).select("window.start", "window.end", "level", "runs", "failed", "mean_ms")
 
 
-def cached_runs(runs: DataFrame, ttl_s: int = 3600) -> DataFrame:
-    """(key, run_id, hit): a run is a hit if one with the same key was seen within the ttl; the state is one time stamp and id
-    per key and leaves when it is older than the ttl."""
+def cached_runs(runs: DataFrame, ttl_s: int = 3600, late: str = "1 day") -> DataFrame:
+    """(key, run_id, hit, cached_run): a run is a hit if one with the same key was seen within the ttl. The state is one time
+    stamp and id per key; it leaves when the watermark passes its ttl, and runs later than the watermark are left out."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, run = state.get if state.exists else (None, None)
         out = []
         for r in pd.concat(list(batches)).sort_values(["at", "run_id"]).itertuples():
@@ -39,17 +42,11 @@ def cached_runs(runs: DataFrame, ttl_s: int = 3600) -> DataFrame:
             if not hit:
                 at, run = int(r.at), r.run_id
         state.update((at, run))
-        state.setTimeoutDuration(ttl_s * 1000)
+        state.setTimeoutTimestamp(max((at + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "run_id", "hit", "cached_run"])
 
-    def guarded(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return iter(())
-        return step(key, batches, state)
-
-    rows = runs.select(F.concat_ws("|", "normalized_url", "schema_hash", "content_signature").alias("key"), "run_id", F.unix_timestamp("retrieved_at").alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(guarded, "key string, run_id string, hit boolean, cached_run string", "at bigint, run string", "append", "ProcessingTimeTimeout")
+    rows = runs.withWatermark("retrieved_at", late).select(F.concat_ws("|", "normalized_url", "schema_hash", "content_signature").alias("key"), "run_id", "retrieved_at", F.unix_timestamp("retrieved_at").alias("at"))
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, run_id string, hit boolean, cached_run string", "at bigint, run string", "append", "EventTimeTimeout")
 
 
 def page_signatures(pages: DataFrame, page: str = "text") -> DataFrame:

@@ -181,7 +181,7 @@ def test_streams(spark, data, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == runs.select("normalized_url").distinct().count()
     s = streams.runs_stream(spark, str(src), runs.schema)
-    q = streams.append_to(streams.cached_runs(s, ttl_s=10**9), str(tmp_path / "o2"), str(tmp_path / "c2"))
+    q = streams.append_to(streams.cached_runs(s, ttl_s=10**9, late="3650 days"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "o2"))
     keys = runs.select(F.concat_ws("|", "normalized_url", "schema_hash", "content_signature")).distinct().count()
@@ -189,3 +189,50 @@ def test_streams(spark, data, tmp_path):
     seen = []
     streams.upsert_each(streams.runs_stream(spark, str(src), runs.schema), str(tmp_path / "c3"), lambda df, i: seen.append(df.count())).awaitTermination()
     assert sum(seen) == runs.count()
+
+
+def test_product_links_and_hop(spark):
+    shell = '<a href="/product/9">x</a><a href="../product/8">y</a><a href="//cdn.example/item/3?x=1">z</a><a href="/about">w</a><meta property="product:price:currency" content="EUR"><span itemprop="price">'
+    target = '<meta property="product:price:amount" content="7.50"><h1>Nine of them</h1>'
+    pages = spark.createDataFrame([(1, "https://h.example/shop/a", shell), (2, "https://h.example/product/9", target)], "page_id long, url string, html string")
+    got = pages.filter("page_id = 1").select(sg.product_links(F.col("html"), F.col("url"))).first()[0]
+    assert got[0] == "https://h.example/product/9" and "https://cdn.example/item/3?x=1" in got
+    schema = {"title": "string", "price": "number", "availability": "string"}
+    plain = {(r.page_id, r.field): r.value for r in engine.extract(pages, schema).facts.collect()}
+    assert (1, "price") not in plain and plain[2, "price"] == "7.50" and plain[2, "availability"] == "InStock"
+    assert {(r.page_id, r.field): r.value for r in engine.extract(pages, schema, hop=True).facts.collect()}[1, "price"] == "7.50"
+
+
+def test_price_scan():
+    at = lambda h: extract.price_in(Tree(h), h)
+    assert at('<span class="price">only $ 1,299.00</span>') == ("1299.0", "USD", 0.75, "price_regex:near_price_class")
+    assert at("<p>Made in 2020. Buy from 49,90 EUR today</p>")[:3] == ("49.9", "EUR", 0.5) and at("<p>Room 12, price 7</p>") is None and at("") is None
+
+
+def test_lead(spark):
+    wiki = '<table class="infobox"><p>' + "A river is a natural stream of water that flows towards another body. " + "<p>x"
+    pages = spark.createDataFrame([(1, "https://r.example/w/River", wiki)], "page_id long, url string, html string")
+    f = {r.field: r for r in engine.extract(pages, {"description": "string"}).facts.collect()}
+    assert f["description"].selector in ("lead:p", "p") and f["description"].value.startswith("A river is")
+
+
+def test_fallbacks_and_cli(spark, tmp_path):
+    from factloom.__main__ import main
+
+    pages = spark.createDataFrame([(1, "https://www.h.example/", "<title>Just a moment</title>"), (2, "https://h.example/docs/", "<h1>A page about docs</h1>")], "page_id long, url string, html string")
+    runs = engine.extract(pages, {"title": "string"}).runs
+    store.record_fallbacks(runs, str(tmp_path / "f"))
+    got = store.fallbacks(spark, str(tmp_path / "f")).collect()
+    assert [(r.host, r.actual, r.reason) for r in got] == [("h.example", "L3_browser", "bot_wall")]
+    pages.write.parquet(str(tmp_path / "p"))
+    (tmp_path / "s.json").write_text('{"fields": {"title": "string"}}')
+    assert main(["extract", str(tmp_path / "p"), str(tmp_path / "s.json"), str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out/runs")).count() == 2
+    c = chain.append(pages.withColumn("chain_id", F.lit("a")), "chain_id", "page_id", ["url"])
+    c.write.parquet(str(tmp_path / "c"))
+    assert main(["verify", str(tmp_path / "c"), "url", "--seq", "page_id"]) == 0
+
+
+def test_candidate_map(spark):
+    f = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "y", 2), (1, "a", "z", 3)], "page_id int, field string, value string, seq int")
+    assert resolve.candidate_map(f).first().candidates == {"a": "x", "b": "y"}
