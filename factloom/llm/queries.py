@@ -50,7 +50,8 @@ o AS (
 
 def measured_runs(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "runs").select("run_id", "level", "status", "latency_ms", "retrieved_at").distinct()
-    return runs.withColumn("day", F.to_date("retrieved_at"))
+    # UTC days, whatever the session's zone
+    return runs.withColumn("day", F.date_from_unix_date(F.floor(F.unix_micros("retrieved_at") / 86_400_000_000).cast("int")))
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
