@@ -65,9 +65,8 @@ def _count(tag: str) -> str:
  contains(lower({_H}), 'ld+json') AS has_jsonld, regexp_matches({_H}, '(?i)<time[\\s>]') OR contains(lower({_H}), 'article:published_time') AS has_time FROM {_DOC}""",
 )
 def page_signature(spark, d):
-    s = sg.signature(F.col("html"))
-    p = pages(spark, d).withColumn("s", s)
-    return p.select("page_id", "s.text_ratio", sg.tag_count(F.col("html"), "h2").alias("h2"), (sg.tag_count(F.col("html"), "code") + sg.tag_count(F.col("html"), "pre")).alias("code"), F.col("s.scripts.total").alias("scripts"), "s.has_jsonld", "s.has_time")
+    h = F.col("html")
+    return pages(spark, d).select("page_id", F.round(sg.text_ratio(h), 2).alias("text_ratio"), sg.tag_count(h, "h2").alias("h2"), (sg.tag_count(h, "code") + sg.tag_count(h, "pre")).alias("code"), sg.scripts(h)["total"].alias("scripts"), F.lower(sg.head_of(h)).contains("ld+json").alias("has_jsonld"), sg.has_time(h).alias("has_time"))
 
 
 @query("signature_struct")
