@@ -5,13 +5,15 @@ messages and notices are judged by host evidence over the whole corpus: a fragme
 is residue if it is a duplicated low-information response, that is if the same words (host, numbers and ids masked)
 stand on several pages although these pages' addresses and titles say something else, and if the words are fixed:
 among the fragments that differ only in their capitalised words this one holds the larger part. A sentence about an
-error names its subject, so it shares its frame with many others that each name another one.
+error names its subject, so it shares its frame with many others that each name another one. A status line or a message
+of known wording that fills its fragment needs no such evidence: it is residue on a single page too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from http import HTTPStatus
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -52,6 +54,47 @@ _ID = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{5,}\b")
 _CAPITAL = re.compile(r"\b[^\W\d_a-zа-яß-öø-ÿё]\w*(?:\s[^\W\d_a-zа-яß-öø-ÿё]\w*)*")
 
 
+# Messages that fill a fragment and name no subject, in masked form (@ host, 9 number, # id, / path). Texts and
+# patterns are compared in upper case, so no pattern holds a letter escape.
+_THING = "(?:page|address|file|url|link|resource|site)"
+_ASKED = f"(?:(?:the|this|that) (?:requested )?{_THING}(?: you (?:have )?(?:requested|asked for|(?:are|were) looking for))?)"
+_SITE = "(?:@|(?:this|the|our) (?:web ?)?(?:site|page|app|application|service|server))"
+_SCRIPTS = "(?:javascript|scripts?|scripting)"
+_SHOWN = f"(?:(?:view|see|use|run|read|open|load|continue(?: to)?) (?:{_SITE}|this content)|continue|go on)"
+_SOON = "(?:later|again|in (?:9|a few) (?:seconds|minutes|hours)|in a (?:moment|minute))"
+MESSAGES = [
+    rf"(?:sorry, )?{_ASKED} (?:has moved|(?:has moved or )?(?:no longer exists|does not exist|doesn't exist|(?:can ?not|can't|could not|couldn't) be found|(?:was|is) not found|is no longer available|is gone))", r"(?:page|file|url) not found",
+    rf"(?:sorry, )?we (?:couldn't|could not) find {_ASKED}", r"(?:sorry, )?we looked everywhere, but this [a-z]+ is gone", r"nothing lives at this address(?: any ?more)?",
+    rf"access(?: to (?:/|{_SITE}|this content))?(?: (?:was|is|has been))? (?:denied|forbidden)", r"(?:oops, )?something went wrong(?: on our (?:side|end))?",
+    r"(?:(?:an? )?(?:unexpected |unknown |internal )?(?:server )?error (?:has )?occurred)", r"internal (?:server )?error", r"application (?:fault|error): (?:the server met an exception|a (?:client|server)-side exception has occurred)(?: \((?:digest )?#\))?",
+    rf"{_SITE} is (?:currently |temporarily )?(?:(?:down|offline) for (?:scheduled )?maintenance|under maintenance|unavailable)", r"(?:we are )?(?:currently )?(?:down for|under) maintenance", rf"please (?:check|come) back {_SOON}", rf"(?:please )?try again {_SOON}",
+    r"your session (?:has )?expired(?:[;,:] (?:please )?sign in again(?: to (?:go on|continue))?)?", r"(?:please )?sign in again to (?:go on|continue)", r"(?:@: )?limit of 9 (?:calls|requests) reached(?:, slow down)?", r"too many requests(?:[,;:] (?:please )?slow down)?",
+    r"(?:database )?connection (?:failed|timed out)(?:: too many (?:clients|connections))?(?: \(#\))?", r"the (?:connection|request|server) (?:has )?timed out", r"upstream host hung up before any header came(?: \(reason: [a-z ]+\))?", r"upstream connect error or disconnect/reset before headers(?:.*)", r"bad gateway|gateway time-?out|service (?:temporarily )?unavailable",
+    rf"(?:please |you need to )?(?:enable|allow|activate|turn on|switch on) {_SCRIPTS}(?: and cookies)?(?: from @)?(?: in your browser)?(?: (?:in order )?to {_SHOWN})?", rf"{_SITE} (?:needs|requires) (?:{_SCRIPTS}|a (?:newer|modern) browser(?: with {_SCRIPTS} (?:allowed|enabled))?)",
+    rf"{_SITE} works (?:only|best) with {_SCRIPTS} (?:(?:switched|turned) on|enabled|allowed)", rf"{_SCRIPTS} (?:(?:is|are) )?(?:required|disabled|blocked)(?: in your browser)?", rf"{_SCRIPTS} must be (?:allowed|enabled)(?: before {_SITE} can start)?", r"noscript: turn scripts on", r"if nothing appears, allow scripts(?: and cookies)?",
+    r"turn it on in your browser settings(?: and reload)?", r"your browser is (?:not|no longer) supported",
+    r"(?:please )?(?:prove|verify|confirm) (?:that )?you are (?:a )?human(?:: tick the box(?: to continue(?: to @)?)?)?", r"(?:please )?(?:solve|complete) the captcha(?: to (?:go on|continue))?", r"(?:we detected )?unusual traffic from your (?:computer )?network", r"hold on while we make sure that you are no machine(?: \(#\))?",
+    r"(?:one moment, )?(?:we are )?(?:testing|checking) your browser(?: before (?:opening|accessing) @)?", r"i(?:'m| am) not a robot",
+    r"this is (?:a )?(?:dummy|placeholder|sample) (?:text|copy)(?: for layout purposes only)?", r"(?:your )?(?:text|headline|title|description|caption|content|copy) goes here", r"sample (?:text|description|copy)(?:[,:;]? (?:please )?replace before launch)?", r"(?:please )?replace before launch", r"(?:foo bar(?: baz)? )?placeholder(?: (?:text|copy|headline|image))?",
+    r"foo bar(?: baz)?", r"asdf(?: asdf)+", r"xxxxx+(?: xxxxx+)+", r"test test(?:(?: 9)? test)*",
+    r"bitte aktivieren sie javascript(?:, um (?:@|diese seite|fortzufahren)(?: zu (?:nutzen|sehen|öffnen))?)?", r"(?:es ist )?ein (?:interner |unerwarteter )?(?:server)?fehler(?: ist)? aufgetreten", r"(?:die )?(?:angeforderte |gesuchte )?seite (?:wurde )?(?:leider )?nicht gefunden", r"(?:der )?(?:server|dienst) (?:ist )?(?:vorübergehend |derzeit )?nicht erreichbar", r"beispieltext(?:, bitte ersetzen)?", r"platzhalter(?:text)?(?:, bitte ersetzen)?",
+    r"(?:cette )?page (?:est )?introuvable(?: \(erreur 9\))?", r"le serveur ne répond pas", r"(?:veuillez )?activer javascript dans votre navigateur", r"texte provisoire(?: à remplacer)?", r"une erreur (?:interne )?(?:est survenue|s'est produite)",
+    r"la página (?:solicitada |que busca )?no existe", r"página no encontrada", r"error interno(?: del servidor)?(?:: inténtelo (?:en 9 minutos|más tarde|de nuevo))?", r"active javascript(?: para continuar(?: en @)?)?", r"texto de relleno(?: pendiente)?",
+    r"страница не найдена", r"сервер временно недоступен(?: \(код 9\))?", r"включите javascript(?:, чтобы (?:открыть страницу|продолжить))?", r"(?:произошла )?ошибка сервера", r"(?:это )?образец текста", r"текст-?заполнитель",
+]
+_REASON = "|".join(sorted({re.escape(x.phrase) for x in HTTPStatus if x >= 400} | {"gateway time-?out", "request time-?out", "(?:page|file) not found", "service temporarily unavailable", "access denied", "connection timed out", "web server is down"}))
+_SERVER = r" (?:nginx|apache|openresty|litespeed|caddy|cloudflare|microsoft-iis|varnish|envoy)(?:/[0-9.]+)?"
+#: A status line as servers write it: a code with its reason, a code said to be an error, or a reason with the server's name.
+_STATUS = re.compile(rf"(?:(?:http(?:/[0-9.]+)?|(?:http )?error(?: code)?)[ :]*)?[45][0-9][0-9][ :–—-]+(?:{_REASON})(?:{_SERVER})?|(?:http(?:/[0-9.]+)?|(?:http )?error(?: code)?)[ :]*[45][0-9][0-9](?:{_SERVER})?|(?:{_REASON}){_SERVER}", re.I)
+
+
+def known_message(form: Callable[[str], str] = str) -> Callable[[str, str], bool]:
+    """Whether a fragment, given as it stands and masked, is nothing but a status line or a message of known wording.
+    form: the form of the texts. Look-alikes of two alphabets may differ in lower case only, so upper case is compared."""
+    known = re.compile("|".join(form(x.upper()) for x in MESSAGES))
+    return lambda fragment, mask: bool(_STATUS.fullmatch(fragment.strip(" .!|")) or known.fullmatch(form(mask.strip(" .!|").upper())))
+
+
 #: Literals of which each pattern above needs at least one, so that one pass of an automaton clears most texts.
 _MARKS = "{{ {% <% %% ${ #{ [[ %( $ __ [ { <no nan null undefined (none todo traceback: render".split(" ")
 _STEMS = (
@@ -103,9 +146,10 @@ def masked(fragment: str, host: str, cue: re.Pattern = _CUE) -> tuple[str, str]:
     return plain(t), plain(_CAPITAL.sub("N", known))
 
 
-def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE, needs: int = 15) -> tuple[bool, list[tuple[str, str]]]:
-    """(placeholder or filler found, [(fragment, frame)] that the corpus must judge). own: the text is a list entry or
-    status of the project, whose own wording is no residue. needs: the checks that the nominator asks for."""
+def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE, needs: int = 15, known: Callable[[str, str], bool] = known_message()) -> tuple[bool, list[tuple[str, str]]]:
+    """(placeholder, filler or known message found, [(fragment, frame)] that the corpus must judge). A known message stays
+    among the fragments, as evidence for other pages. own: the text is a list entry or status of the project, whose own
+    wording is no residue. needs: the checks that the nominator asks for. known: see known_message."""
     if needs & _MARK and placeholder(text):
         return True, []
     if own and _OWN.match(text):
@@ -117,7 +161,7 @@ def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE
     parts = urlsplit(url or "")
     host = (parts.hostname or "").lower()
     slug = set(re.findall(r"[^\W\d_]{3,}", parts.path.lower()))
-    ask = []
+    ask, hit = [], False
     for frag in _SPLIT.split(_URL.sub(" ", text)):
         if needs & _FILLER and lorem(frag):
             return True, []
@@ -125,14 +169,15 @@ def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE
             words = set(re.findall(r"[^\W\d_]{3,}", frag.lower()))
             if words and len(words & slug) < 0.5 * len(words):  # it says what the address says: content
                 ask.append(masked(frag, host, cue))
-    return False, ask
+                hit = hit or known(frag, ask[-1][0])
+    return hit, ask
 
 
 def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> DataFrame:
     """(kind, rec_id) of the records with residue. records: kind, rec_id, url, own BOOLEAN, text.
 
-    least_pages: on how many pages a message must stand; fixed: the share it must hold among the fragments of its
-    frame. Null and empty texts hold nothing; a null url gives no host evidence; repeated rows count once, for pages are
+    least_pages: on how many pages a message of unknown wording must stand; fixed: the share it must hold among the fragments
+    of its frame. Null and empty texts hold nothing; a null url gives no host evidence; repeated rows count once, for pages are
     counted. Only nominated fragments are shuffled; what is joined back is the table of judged messages, which
     does not grow with the pages that show them."""
     classes = look_alikes()
@@ -141,7 +186,7 @@ def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Rewriter(to)
         cue = re.compile("|".join(map(form, CUES)), re.I)  # in the same form as the texts
-        auto = nominator(form)
+        auto, known = nominator(form), known_message(form)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, text in enumerate(b.column(4).to_pylist()):
@@ -152,9 +197,9 @@ def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> Dat
                 if not needs:
                     continue
                 kind, rec, url, own = (b.column(k)[i].as_py() for k in range(4))
-                hit, ask = judged(t, url, own, cue, needs)
+                hit, ask = judged(t, url, own, cue, needs, known)
                 page = (url or "").split("?")[0]
-                for frag, frame in [(None, None)] if hit else dict.fromkeys(ask):
+                for frag, frame in [(None, None)] * hit + list(dict.fromkeys(ask)):
                     for o, x in zip(out, (kind, rec, page, frag, frame)):
                         o.append(x)
             yield pa.record_batch([pa.array(o, pa.string()) for o in out], ["kind", "rec_id", "page", "frag", "frame"])

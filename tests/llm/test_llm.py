@@ -167,6 +167,18 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).collect() == []
 
 
+MESSAGES = ["429 Too Many Requests", "Error 503: service unavailable", "504 Gateway Time-out", "HTTP 403 – Forbidden nginx/1.27", "Texto de relleno pendiente", "asdf asdf asdf", "Your text goes here.", "Access to /shop/8671 was denied", "Sorry, we couldn't find that page.", "Aone is down for maintenance. Please check back in 54 minutes.", "Включите JavaScript, чтобы открыть страницу", "Страница не найдена.", "Le serveur ne répond pas.", "Scholars came. Texte provisoire à remplacer", "Something went wrong on our side. Reference 8dd4e92-68", "Ｎｏｔ Ｆｏｕｎｄ nginx/1.2"]
+TALK = ["Access denied for centuries, Kloneid opens its tower", "Why Koskokai works without JavaScript", "Forbidden gardens of", "Maintenance ...", "Not found in Feistivi until 1911: the...", "Every archive carries a modern browser and 959 bytes.", "404 Not Found is what the reader of the guide sees", "The server answers `503 Service Unavailable` under load", "http status 503", "7 Not Found letters"]
+
+
+def test_residue_message_on_one_page(spark):
+    rows = [("evidence", f"m{i}", "https://www.aone.example/en/lamp-1", False, m) for i, m in enumerate(MESSAGES)]
+    rows += [("evidence", f"t{i}", "https://www.aone.example/en/lamp-1", False, m) for i, m in enumerate(TALK)]
+    rows += [("evidence", "content", "https://www.aone.example/en/too-many-requests", False, "429 Too Many Requests"), ("evidence", "nowhere", None, False, "504 Gateway Time-out"), ("run", "r", "https://www.aone.example/x", True, "page text: Error 404: not found"), ("run", "own", "https://www.aone.example/x", True, "fetch failed: 503 Service Unavailable")]
+    df = spark.createDataFrame(rows, "kind string, rec_id string, url string, own boolean, text string")
+    assert {r.rec_id for r in residue.residue(df).collect()} == {*(f"m{i}" for i in range(len(MESSAGES))), "nowhere", "r"}
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 SAME = [("Loukidru", "Lоukіdru"), ("Fastix", "Ｆａｓｔｉｘ"), ("a b", "a b"), ("ab", "a​b"), ("Löffel", "Löﬀel"), ("K2", "K2"), ("Hoвый", "Новый"), ("a–b", "a–b﻿"), ("ё", "ë")]
