@@ -204,7 +204,9 @@ def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> Dat
                         o.append(x)
             yield pa.record_batch([pa.array(o, pa.string()) for o in out], ["kind", "rec_id", "page", "frag", "frame"])
 
-    plain = F.col("own") & F.col("text").rlike(f"^{_OWN.pattern}") & ~F.col("text").rlike(r"[{%$\[<_]{2}|[{%#$]")
+    # the project's own wording needs no look if it is its own form and holds no literal of a placeholder
+    marks = "|".join(map(re.escape, _MARKS))
+    plain = F.col("own") & F.col("text").rlike(rf"^{_OWN.pattern}") & F.col("text").rlike(r"^\p{ASCII}*$") & ~F.col("text").rlike(f"(?i){marks}")
     rows = records.filter((F.length("text") > 0) & ~plain).select("kind", "rec_id", "url", "own", "text")
     rows = stage(rows.mapInArrow(run, "kind string, rec_id string, page string, frag string, frame string"), "nominated")
     asked = rows.filter(F.col("frag").isNotNull())

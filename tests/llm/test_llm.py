@@ -179,6 +179,18 @@ def test_residue_message_on_one_page(spark):
     assert {r.rec_id for r in residue.residue(df).collect()} == {*(f"m{i}" for i in range(len(MESSAGES))), "nowhere", "r"}
 
 
+OWN_BROKEN = ["missing_fields: undefined", "missing_fields: UNDEFINED {x}", "page_class:[object Object]", "route: NaN", "tactic:<no value>", "missing_fields: (null)", "fetch failed: [TITLE]", "route: ｛｛ x ｝｝", "partial: cannot render", "success\nTraceback:"]
+OWN_WHOLE = ["bot_wall_detected", "fetch failed: 503 Service Unavailable", "http status 503", "missing_fields: financial", "route: café", "missing_fields: renderings", "page_class:product_page", "success"]
+
+
+def test_residue_in_own_wording(spark):
+    rows = [("run", f"{k}{i}", "https://www.a.example/x", True, t) for k, ts in (("bad", OWN_BROKEN), ("ok", OWN_WHOLE)) for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "kind string, rec_id string, url string, own boolean, text string")
+    want = {r[1] for r in rows if residue.judged(r[4].translate({0xFF5B: "{", 0xFF5D: "}"}), r[2], True)[0]}
+    assert want == {f"bad{i}" for i in range(len(OWN_BROKEN))}
+    assert {r.rec_id for r in residue.residue(df).collect()} == want
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 SAME = [("Loukidru", "Lоukіdru"), ("Fastix", "Ｆａｓｔｉｘ"), ("a b", "a b"), ("ab", "a​b"), ("Löffel", "Löﬀel"), ("K2", "K2"), ("Hoвый", "Новый"), ("a–b", "a–b﻿"), ("ё", "ë")]
