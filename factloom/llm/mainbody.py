@@ -192,6 +192,10 @@ def match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     return best[n][m], pairs[::-1]
 
 
+def is_crumb(x: Line) -> bool:
+    return bool(_CRUMB.match(x.text)) and not _CODE.search(x.text)
+
+
 def is_template(x: Line, constant) -> bool:
     """Whether a line is constant over the host's pages, or built from constant items, or an insert by its label."""
     if x.key in constant or _LABEL.match(x.text) or _PAGER.match(x.text) or _COPYRIGHT.match(x.text) or _ADDRESS.match(x.mask):
@@ -199,7 +203,7 @@ def is_template(x: Line, constant) -> bool:
     items = [i for i in _ITEMS.split(x.mask) if i]
     if len(items) >= 2:
         known = sum(key(i) in constant for i in items)
-        return known >= 0.6 * len(items) or (known >= 1 and bool(_CRUMB.match(x.text)) and not _CODE.search(x.text))
+        return known >= 0.6 * len(items) or (known >= 1 and is_crumb(x))
     return False
 
 
@@ -311,7 +315,8 @@ def _parsed(text: str, host: str) -> tuple[list[str], list[Line]]:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(host, key, address) of every line, and of the items of lines that list several, once per text."""
+    """(host, key, address) of every line, and of the items of lines that list three or more and of breadcrumbs, once per
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -324,9 +329,10 @@ def line_keys(docs: DataFrame) -> DataFrame:
                 host = host_of(url)
                 _, lines = _parsed(text, host)
                 at = key(_address(url))
-                found = {x.key for x in lines if x.words <= 60}
+                found = {x.key for x in lines}
                 for x in lines:
-                    if x.words <= 30 and len(items := [i for i in _ITEMS.split(x.mask) if i]) >= 3:
+                    # of two items both say the line unless it is a breadcrumb: label and value of a specification repeat too
+                    if len(items := [i for i in _ITEMS.split(x.mask) if i]) >= 3 or (len(items) == 2 and is_crumb(x)):
                         found.update(map(key, items))
                 hosts += [host] * (len(found) + 1)
                 keys += [*found, 0]

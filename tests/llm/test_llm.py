@@ -98,6 +98,30 @@ def test_main_body(spark):
     assert mainbody.main_body(df.limit(0)).collect() == []
 
 
+def test_constants_of_any_length(spark):
+    rnd = random.Random(6)
+    words = "quiet river moves past old mill and carries leaves under bridges where children fish until evening".split()
+    notice = " ".join(rnd.choice(words) for _ in range(90)).capitalize() + "."
+    some = lambda n: " ".join(rnd.sample(words, n)).capitalize()
+    colours = ["red", "blue", "green", "black", "white"]
+    rows, want = [], {}
+    for i in range(30):
+        lines = [f"Home > {some(3)} {i}", f"{some(4)}", f"{some(9)} {i}.", notice, f"Colour – {colours[i % 5]}", f"Finish – {colours[i // 5 % 5]}", f"{some(8)} {i}."]
+        rows.append(("page", f"p{i}", f"https://www.kanto.example/en/story-{i}", "\n".join(lines), True))
+        want[f"p{i}"] = {2, 3, 5, 6, 7}
+    for i in range(30):  # the notice holds more words than the body
+        body = [f"<h1>{some(4)}</h1>", f"<p>{some(9)} {i}.</p>", f"<p>{some(8)} {i}.</p>"]
+        rows.append(("page", f"h{i}", f"https://www.bruno.example/en/story-{i}", "\n".join(["<html>", "<body>", '<div class="note">', f"<p>{notice}</p>", "</div>", '<div class="main">', *body, "</div>", "</body></html>"]), True))
+        want[f"h{i}"] = {7, 8, 9}
+    df = spark.createDataFrame(rows, "src string, rec_id string, url string, text string, page boolean")
+    got = {}
+    for r in mainbody.main_body(df, host_share=0.3, least=4).collect():
+        got.setdefault(r.rec_id, set()).add(r.line_no)
+    assert {k: v & {1, 4} if k[0] == "p" else v for k, v in got.items()} == {k: set() if k[0] == "p" else v for k, v in want.items()}
+    keys = {r.key for r in mainbody.line_keys(df.filter("rec_id like 'p%'").select("url", "text")).collect()}
+    assert mainbody.key(mainbody.mask(notice, "www.kanto.example")) in keys and mainbody.key("Home") in keys and mainbody.key("Colour") not in keys
+
+
 def brute_match(a, b):
     if not a or not b:
         return 0
