@@ -101,7 +101,7 @@ def parse_html(text: str, host: str, blocks_only: bool = False) -> tuple[list[st
     """(block labels, lines with text). Block 0 is the body itself. A line of mere markup that opens a container starts a
     block, one that closes a container ends it; a missing end tag is made up for by the next container that opens."""
     labels, lines, stack = ["body"], [], [0]
-    inside = "<body" not in text[:5000].lower()
+    inside = "<body" not in text.lower()
     skip = ""
     for no, raw in enumerate(text.split("\n"), 1):
         if not inside:

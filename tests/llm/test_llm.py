@@ -122,6 +122,12 @@ def test_constants_of_any_length(spark):
     assert mainbody.key(mainbody.mask(notice, "www.kanto.example")) in keys and mainbody.key("Home") in keys and mainbody.key("Colour") not in keys
 
 
+def test_long_head_is_no_body():
+    head = ["<html>", "<head>", "<title>A long walk</title>", *(f'<meta name="m{i}" content="{"x" * 90}">' for i in range(80)), "</head>"]
+    _, lines = mainbody.parse_html("\n".join([*head, "<BODY>", "<h1>Walk</h1>", "</BODY></html>"]), "a.example")
+    assert [(x.no, x.text) for x in lines] == [(len(head) + 2, "Walk")]
+
+
 def brute_match(a, b):
     if not a or not b:
         return 0
