@@ -1,12 +1,12 @@
 """The main body of pages whose text is mixed with menus, notices, sidebars, inserts and footers.
 
 Wrapper induction per host. Every page becomes a small tree: body, blocks (containers), leaves (lines). For each host the
-page with the commonest block layout is the reference, all its pages are aligned to that tree by simple tree matching,
-and what the aligned nodes hold is counted over all pages: text that stands at many addresses of the host (or of the
-corpus) is constant and becomes template, slots whose text varies are content candidates, and the slot that holds the
-most running text is the host's main slot. Each page is then read through the wrapper of its host. Texts without
-markup have no tree: their lines are judged by the same constants, and the body is the stretch from the title line to the
-first list of foreign titles.
+page with the commonest block layout is the reference. Lines are counted by their masked text over all texts, before any
+alignment: what stands at many addresses of the host (or of the corpus) is constant and becomes template. All pages of the
+host are then aligned to the reference by simple tree matching of blocks and lines, which only chooses the host's main slot:
+the one that holds the most running text once template is gone. Texts without markup, and pages without containers on lines
+of their own, have no tree: their lines are judged by the same constants, and the body is the stretch from the title line
+to the first list of foreign titles.
 
 Work per page is linear in its lines but for the matching (lines of the page times lines of the reference). Nothing is
 gathered per host except its constants, of which there are at most (lines per page / share).
