@@ -3,10 +3,11 @@
 A record is split into fragments (lines, sentences, title parts). Placeholder detectors judge a fragment by itself. Error
 messages and notices are judged by host evidence over the whole corpus: a fragment with the vocabulary of such messages
 is residue if it is a duplicated low-information response, that is if the same words (host, numbers and ids masked)
-stand on several pages although these pages' addresses and titles say something else, and if the words are fixed:
+stand on several pages although these pages' addresses say something else, and if the words are fixed:
 among the fragments that differ only in their capitalised words this one holds the larger part. A sentence about an
 error names its subject, so it shares its frame with many others that each name another one. A status line or a message
 of known wording that fills its fragment needs no such evidence: it is residue on a single page too.
+Titles are not compared: the title of an error page repeats the message, and agreement would clear it.
 """
 
 from __future__ import annotations
