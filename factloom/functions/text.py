@@ -89,10 +89,35 @@ def weak_title(x: Column) -> Column:
     return x.isNull() | (F.length(s) < 2) | low.isin(*NO_TITLE, *SITE_NAMES) | one_word | abstract | low.startswith("general-purpose") | low.startswith("a type of")
 
 
-def coerced(x: Column, kind: str) -> Column:
-    """A text as number, integer, boolean, url or string; null where it is none."""
+def is_weak_title(x: str | None) -> bool:
+    """`weak_title` for code that already runs in a Python worker."""
+    s = (x or "").strip()
+    low = s.lower()
+    one_word = " " not in s and len(s) <= 12 and s.isalpha()
+    return len(s) < 2 or low in NO_TITLE or low in SITE_NAMES or one_word or (len(s) > 80 and s[0].islower()) or low.startswith(("general-purpose", "a type of"))
+
+
+#: Languages that write a comma before the decimals and group digits by dots or spaces.
+COMMA_LANGUAGES = ["de", "fr", "es", "it", "ru", "pt", "nl", "pl", "sv", "da", "nb", "fi", "cs", "tr", "uk"]
+
+
+def local_number(x: Column, locale: Column) -> Column:
+    """A number as its locale writes it. The locale decides only where the text leaves both readings open: one separator with
+    three digits after it (`1.234`, `1,234`); everything else reads as in `plain_number`, spaces between digit groups aside.
+    A null locale leaves the open case to `plain_number`."""
+    t = F.regexp_replace(F.trim(x), r"(?U)(?<=\d)[\s'’](?=\d{3}(?!\d))", "")
+    open_ = t.rlike(r"^\D*\d{1,3}[.,]\d{3}\D*$")
+    comma = F.lower(F.substring_index(F.replace(locale, F.lit("_"), F.lit("-")), "-", 1)).isin(*COMMA_LANGUAGES)
+    digits = F.regexp_extract(t, r"(-?\d{1,3}[.,]\d{3})", 1)
+    groups = F.when(comma, F.lit(".")).otherwise(F.lit(","))
+    read = F.replace(F.replace(digits, groups, F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(open_ & locale.isNotNull(), read).otherwise(plain_number(t))
+
+
+def coerced(x: Column, kind: str, locale: Column | None = None) -> Column:
+    """A text as number, integer, boolean, url or string; null where it is none. locale: how its numbers are written."""
     if kind == "number":
-        return plain_number(x)
+        return plain_number(x) if locale is None else local_number(x, locale)
     if kind == "integer":
         return F.coalesce(F.nullif(F.regexp_replace(x, r"\D", ""), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
     if kind == "boolean":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions import text as tx
 from factloom.operators.ordered import ranked
@@ -52,7 +52,7 @@ def economics(runs: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataFra
     r = runs.agg(F.count(F.lit(1)).alias("total_runs"), F.count_if(browser).alias("browser_runs"), F.count_if(model).alias("llm_runs"))
     f = facts.agg(F.count(F.lit(1)).alias("facts_total"), F.count_if(F.size("evidence_ids") > 0).alias("facts_with_ids"))
     c = facts.join(evidence.select("run_id").distinct(), "run_id", "left_semi").agg(F.count(F.lit(1)).alias("facts_with_evidence"))
-    x = r.join(F.broadcast(f)).join(F.broadcast(c))  # three tables of one row
+    x = r.withColumns({"facts_total": f.select("facts_total").scalar(), "facts_with_ids": f.select("facts_with_ids").scalar(), "facts_with_evidence": c.scalar()})
     part = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 3)
     return x.select(
         "total_runs", "browser_runs", "llm_runs", (1 - part("browser_runs", "total_runs")).alias("browser_avoidance_rate"), (1 - part("llm_runs", "total_runs")).alias("llm_avoidance_rate"),
@@ -138,6 +138,22 @@ def verdicts(candidates: DataFrame, decisions: DataFrame, keys: list[str]) -> Da
 
 
 def recent_change(runs: DataFrame, key: str, signature: str, at: str) -> DataFrame:
-    """Runs whose signature differs from the one before at the same address."""
-    w = W.partitionBy(key).orderBy(at, "run_id")
-    return runs.withColumn("_before", F.lag(signature).over(w)).filter(F.col("_before").isNotNull() & (F.col("_before") != F.col(signature))).withColumnRenamed("_before", "previous_signature")
+    """Runs whose signature differs from the one before at the same address, runs without time first. Neighbours come from
+    distributed ranks and an equi-join, so an address with most of the runs is no single task."""
+    rows, _ = ranked(runs.filter(F.col(key).isNotNull()), [key], [F.col(at).asc_nulls_first(), F.col("run_id")])
+    before = rows.select(F.col(key).alias("_k"), (F.col("_rank") + 1).alias("_r"), F.col(signature).alias("previous_signature"))
+    j = rows.join(before, (F.col(key) == F.col("_k")) & (F.col("_rank") == F.col("_r")))
+    return j.filter(F.col("previous_signature") != F.col(signature)).drop("_k", "_r", "_rank", "_block")
+
+
+def class_precision(rules: DataFrame, facts: DataFrame, latency: DataFrame, by: str) -> DataFrame:
+    """Per class: items, asked and matched values, precision and two latencies (the values at half and at 95 % of the sorted
+    list). rules and facts as in `scores`; latency: item_id, class, latency_ms. Latencies come from distributed ranks."""
+    s = scores(rules, facts).groupBy("item_id").agg(F.sum("tp").alias("tp"), (F.sum("tp") + F.sum("fp") + F.sum("fn")).alias("asked"))
+    items = latency.select("item_id", F.coalesce(by, F.lit("unknown")).alias(by), F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"))
+    g = items.join(s, "item_id").groupBy(by).agg(F.count(F.lit(1)).alias("items"), F.sum("tp").alias("correct"), F.sum("asked").alias("asked"))
+    rows, parts = ranked(items.join(s.select("item_id"), "item_id", "left_semi"), [by], [F.col("latency_ms"), F.col("item_id")])
+    n = parts.groupBy(F.col(by).alias("_c")).agg(F.sum("_n").alias("_all"))
+    at = lambda share: F.least(F.floor(F.col("_all") * share), F.col("_all") - 1)
+    picks = rows.join(n, F.col(by) == F.col("_c")).groupBy(F.col(by).alias("_c")).agg(*[F.max(F.when(F.col("_rank") == at(q), F.col("latency_ms"))).alias(name) for name, q in (("p50_ms", 0.5), ("p95_ms", 0.95))])
+    return g.join(picks, F.col(by) == F.col("_c")).select(by, "items", "asked", "correct", F.round(F.coalesce(F.try_divide("correct", "asked"), F.lit(0.0)), 6).alias("precision"), "p50_ms", "p95_ms")

@@ -24,9 +24,9 @@ def fill_gaps(candidates: DataFrame, id_: str = "page_id") -> DataFrame:
     return candidates.withColumn("_first", first).filter((F.col("stage") <= 1) | (F.col("stage") == F.col("_first"))).drop("_first")
 
 
-def add_aliases(facts: DataFrame, fields: list[str], id_: str = "page_id") -> DataFrame:
+def add_aliases(facts: DataFrame, fields: list[str], id_: str = "page_id", most: int | None = None) -> DataFrame:
     """Copies for asked fields that are missing: date and publish_date, title and name, the text's first paragraph as
-    description. Built from one aggregate per page, not a self-join."""
+    description (all of it, or its first `most` characters). Built from one aggregate per page, not a self-join."""
     wanted = [(a, b) for a, b in ALIASES if b in fields]
     if not wanted:
         return facts
@@ -38,7 +38,8 @@ def add_aliases(facts: DataFrame, fields: list[str], id_: str = "page_id") -> Da
         s = F.col(f"_{a}.k")
         text = F.trim(s["value"])
         lead = F.trim(F.split(text, "\n\n")[0])
-        value = F.when(F.length(lead) < 40, F.left(text, F.lit(400))).otherwise(F.left(lead, F.lit(500))) if a == "main_text" else s["value"]
+        chunk = F.when(F.length(lead) < 40, text).otherwise(lead)
+        value = (chunk if most is None else F.left(chunk, F.lit(most))) if a == "main_text" else s["value"]
         conf = F.least(s["confidence"], F.lit(0.72)) if a == "main_text" else s["confidence"]
         method = F.lit("main_text_alias") if a == "main_text" else s["method"]
         row = F.struct(*[{"field": F.lit(b), "value": value, "confidence": F.round(conf * 0.95, 3), "method": method}.get(c, s[c]).alias(c) for c in facts.columns if c != id_])
@@ -113,17 +114,73 @@ def status(bot_wall: Column, n_missing: Column, n_facts: Column) -> Column:
     return F.when(bot_wall, "failed").when((n_missing == 0) & (n_facts > 0), "success").when(n_facts > 0, "partial").otherwise("unresolved")
 
 
+def without_challenge(facts: DataFrame, walls: DataFrame, id_: str = "page_id") -> DataFrame:
+    """facts without the titles that challenge pages show: on pages in `walls` weak names and titles leave."""
+    weak = F.col("field").isin("title", "name") & tx.weak_title(F.col("value"))
+    marked = facts.join(walls.select(F.col(id_).alias("_wall")).distinct(), F.col(id_) == F.col("_wall"), "left")
+    return marked.filter(F.col("_wall").isNull() | ~weak).drop("_wall")
+
+
+def validated(facts: DataFrame) -> DataFrame:
+    """facts with `validation_status` and a datatype that agrees with the value: a number that cannot be read as one becomes a
+    string; blank values and flags that are none are invalid; what came from embedded state or a model is unverified."""
+    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
+    no_number = F.col("datatype").isin("number", "integer") & tx.price_number(F.col("value")).isNull()
+    no_flag = (F.col("datatype") == "boolean") & ~F.coalesce(F.lower("value").isin("true", "false"), F.lit(False))
+    state = F.when(blank | no_flag, "invalid").when(F.col("method").isin("embedded_state", "llm_fill"), "unverified").otherwise("valid")
+    return facts.withColumn("validation_status", state).withColumn("datatype", F.when(no_number, "string").otherwise(F.col("datatype")))
+
+
 def failure_reason(error: Column, message: Column) -> Column:
-    """An acquisition error as a short reason."""
+    """An acquisition error, by its name and message, as a short reason."""
     low = F.lower(F.coalesce(message, F.lit("")))
+    policy = F.when(low.contains("robots"), "robots_disallowed").when(low.contains("mime"), "wrong_mime_type").when(low.contains("max_bytes"), "no_html:too_large").when(low.rlike("private|blocked"), "policy_blocked")
     return (
-        F.when(error.contains("Timeout"), "timeout")
-        .when(low.contains("robots"), "robots_disallowed")
-        .when(error.contains("Policy"), "policy_blocked")
-        .when(low.rlike(r"\b4\d\d\b"), "http_4xx")
-        .when(low.rlike(r"\b5\d\d\b"), "http_5xx")
-        .when(error.contains("Connect"), "connection")
-        .when(error.isNotNull(), F.concat(F.lit("error:"), error))
+        F.when(error.contains("Policy"), F.coalesce(policy, F.concat(F.lit("policy_error: "), F.coalesce(message, F.lit("")))))
+        .when(error.isin("ConnectError", "ConnectTimeout", "ReadTimeout", "TimeoutException", "TimeoutError"), "no_html:timeout")
+        .when(error == "HTTPStatusError", "no_html:http_error")
+        .when(low.contains("max_bytes"), "no_html:too_large")
+        .when(error.isNotNull(), F.concat(error, F.lit(": "), F.coalesce(message, F.lit(""))))
+    )
+
+
+def predicted_confidence(sig: Column) -> Column:
+    """How far an extraction without a browser is trusted before any decision."""
+    return F.when(sig["likely_spa"] | sig["browser_hint"], 0.3).otherwise(0.8)
+
+
+def should_escalate(route_: Column) -> Column:
+    return route_["backend"] == "L3_browser"
+
+
+def run_warnings(sig: Column, n: dict[str, Column]) -> Column:
+    """What a run has to say, in a fixed order. sig: a signature; n: tactic, browser_hint, missing, filled (fields that a model
+    gave), route and, of the response, header (a header profile) and canonical; each may be a null of its type."""
+    say = lambda tag, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(tag), x))
+    listed = lambda x: F.array_join(x, ",")
+    h = n["header"]
+    return F.array_compact(
+        F.array(
+            F.when(sig["likely_spa"], "likely_spa: low confidence in L1 extraction"),
+            F.when(sig["has_jsonld"], "jsonld_detected"),
+            say("generator:", sig["generator"]),
+            say("cdn:", h["cdn"]),
+            say("frameworks:", listed(sig["frameworks"])),
+            say("embedded:", listed(sig["embedded_blobs"])),
+            F.when(h["static_hint"], "static_hint:cache_hit"),
+            say("etag:", h["etag"]),
+            F.when(sig["tracker_count"] > 0, F.concat(F.lit("trackers:"), sig["tracker_count"].cast("string"))),
+            say("spa_score:", sig["spa_score"].cast("string")),
+            say("canonical:", n["canonical"]),
+            say("ab_cookies:", listed(h["ab_cookies"])),
+            say("page_class:", sig["page_class"]),
+            say("tactic:", n["tactic"]),
+            F.when(n["browser_hint"], F.concat(F.lit("needs_browser:"), n["tactic"], F.lit("_low_yield"))),
+            F.when(sig["bot_wall"], "bot_wall_detected"),
+            F.when(~sig["bot_wall"] & (F.size(n["missing"]) > 0), F.concat(F.lit("missing_fields: "), F.array_join(n["missing"], ", "))),
+            F.when(F.size(n["filled"]) > 0, F.concat(F.lit("l2_llm_fill:+"), F.array_join(n["filled"], ", "))),
+            F.concat(F.lit("route:"), n["route"]["backend"], F.lit(":"), n["route"]["reason"]),
+        )
     )
 
 

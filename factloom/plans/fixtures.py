@@ -19,10 +19,22 @@ SELECT p_partkey AS page_id, 'https://shop.example.com/product/' || CAST(p_partk
   || '<p>A part of size ' || CAST(p_size AS STRING) || ' for everyday use, made by ' || p_brand || ', that fits where other parts of its type do not.</p></main></body></html>' AS html
 FROM part
 """
+#: Pages with heads of several habits, from `supplier`: attribute order, quotes and upper case vary, relative addresses too;
+#: state blobs, scripts, frameworks, trackers and generators by turns; half of them have a head of more than 70,000 characters.
+HEAD_PAGES = """
+SELECT s_suppkey AS page_id, 'https://h.example/shop/page' AS url,
+  '<!doctype html><html><head>' || CASE WHEN s_suppkey % 2 = 0 THEN '<style>' || repeat('.a{color:red}\n', 5000) || '</style>' ELSE '' END || '<title>' || s_name || '</title>'
+  || CASE s_suppkey % 4 WHEN 0 THEN '<link rel="canonical" href="/c/1">' WHEN 1 THEN '<link href=' || chr(39) || 'https://h.example/c/2' || chr(39) || ' rel=' || chr(39) || 'Canonical' || chr(39) || '>' WHEN 2 THEN '<LINK HREF="../c/3" REL="canonical">' ELSE '<link rel="canonical">' END
+  || CASE s_suppkey % 3 WHEN 0 THEN '<link rel="alternate" hreflang="de" href="/de"><link href="/fr" hreflang="fr" rel="alternate">' WHEN 1 THEN '<link rel="alternate" type="application/rss+xml" href="/feed"><link type="application/atom+xml" rel="alternate" href="https://h.example/atom">' ELSE '' END
+  || CASE s_suppkey % 5 WHEN 0 THEN '<link rel="preload" href="/a.js"><link rel="preload" href="/b.js">' WHEN 1 THEN '<link rel="next" href="/p/3"><link rel="prev" href="/p/1">' WHEN 2 THEN '<meta name="theme-color" content="#fff">' WHEN 3 THEN '<meta name="generator" content="Gatsby 5">' ELSE '<!-- WordPress 6 -->' END
+  || CASE s_suppkey % 7 WHEN 0 THEN '<script id="__NEXT_DATA__" type="application/json">{"a": 1}</script>' WHEN 1 THEN '<script src="/_nuxt/x.js"></script>' WHEN 2 THEN '<script src="/static/js/main.chunk.js"></script><script src="/static/js/1.chunk.js"></script><script src="https://www.googletagmanager.com/gtag/js"></script><script>a()</script><script>b()</script>' WHEN 3 THEN '<div class="infobox">x</div>' ELSE '' END
+  || '</head><body>' || CASE s_suppkey % 6 WHEN 0 THEN '<article><time datetime="2024-01-01">d</time></article>' WHEN 1 THEN '<h2>a</h2><h2>b</h2><h2>c</h2><h2>d</h2><pre>x</pre><code>y</code>' WHEN 2 THEN '<div id="root"></div>' ELSE '<p>' || s_name || ' sells parts of many kinds and writes a few plain words about each of them.</p>' END || '</body></html>' AS html
+FROM supplier
+"""
 #: Addresses for the fetch policy, with odd ones.
 URLS = """
 SELECT url FROM (VALUES ('http://localhost/a'), ('https://127.0.0.1/'), ('http://10.1.2.3/x'), ('http://172.16.0.9:8080/'), ('http://172.32.0.1/'), ('https://192.168.1.1/'), ('ftp://files.example.com/a'), ('http://printer.local/'),
- ('http://169.254.169.254/latest'), ('https://user:pw@example.com:8443/docs/a?b=1'), ('https://WWW.Example.COM/'), ('http:///nohost'), ('javascript:alert(1)'), ('http://8.8.8.8/'), ('http://[fd00::1]/'), ('https://sub.deep.example.com/v2/guide')) AS t(url)
+ ('http://169.254.169.254/latest'), ('https://user:pw@example.com:8443/docs/a?b=1'), ('https://WWW.Example.COM/'), ('http:///nohost'), ('javascript:alert(1)'), ('http://8.8.8.8/'), ('http://[fd00::1]/'), ('http://[FE80::2]:80/'), ('http://[2001:db8::7]/v1/a'), ('http://[::1]/'), ('http://[0:0:0:0:0:0:0:1]/'), ('http://[::ffff:10.0.0.1]/x'), ('https://[::ffff:8.8.8.8]/docs/a'), ('https://sub.deep.example.com/v2/guide')) AS t(url)
 UNION ALL SELECT DISTINCT url FROM runs
 """
 #: Response headers, and what they mean.
@@ -44,6 +56,10 @@ def product_pages(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(PRODUCT_PAGES)
 
 
+def head_pages(spark: SparkSession, d: str) -> DataFrame:
+    return _by_view(spark, d, HEAD_PAGES, "supplier")
+
+
 def urls(spark: SparkSession, d: str) -> DataFrame:
     return _by_view(spark, d, URLS, "runs")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom import engine
 from factloom.functions import signature as sg, text as tx, web
 from factloom.operators import chain, extract, measures, resolve
 from factloom.plans import fixtures
+from factloom.session import shared_folder
 from factloom.sources import store
 from factloom.sources.tables import table
 from factloom.streaming import streams
@@ -51,7 +54,7 @@ def title_guess(spark, d):
     return pages(spark, d).select("page_id", sg.title_guess(F.col("html")).alias("title"))
 
 
-_H = "left(html, 32768)"
+_H = "html"
 
 
 def _count(tag: str) -> str:
@@ -61,7 +64,7 @@ def _count(tag: str) -> str:
 @query(
     "page_signature",
     f"""SELECT page_id, CASE WHEN contains({_H}, '<') THEN round(length(regexp_replace({_H}, '[\\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]', '', 'g')) / (length({_H}) - length(replace({_H}, '<', ''))), 2) ELSE 1.0 END AS text_ratio,
- {_count("h2")} AS h2, {_count("code")} + {_count("pre")} AS code, len(regexp_extract_all(left(html, 65536), '(?i)<script\\b[^>]*>')) AS scripts,
+ {_count("h2")} AS h2, {_count("code")} + {_count("pre")} AS code, len(regexp_extract_all(html, '(?i)<script\\b[^>]*>')) AS scripts,
  contains(lower({_H}), 'ld+json') AS has_jsonld, regexp_matches({_H}, '(?i)<time[\\s>]') OR contains(lower({_H}), 'article:published_time') AS has_time FROM {_DOC}""",
 )
 def page_signature(spark, d):
@@ -69,40 +72,70 @@ def page_signature(spark, d):
     return pages(spark, d).select("page_id", F.round(sg.text_ratio(h), 2).alias("text_ratio"), sg.tag_count(h, "h2").alias("h2"), (sg.tag_count(h, "code") + sg.tag_count(h, "pre")).alias("code"), sg.scripts(h)["total"].alias("scripts"), F.lower(sg.head_of(h)).contains("ld+json").alias("has_jsonld"), sg.has_time(h).alias("has_time"))
 
 
-@query("signature_struct")
-def signature_struct(spark, d):
-    """All of the signature, with the fast-shell term, for both page tables."""
-    a = pages(spark, d).select("page_id", sg.signature(F.col("html"), F.col("ttfb_ms"), F.col("body_bytes")).alias("s"))
-    b = fixtures.product_pages(spark, d).select("page_id", sg.signature(F.col("html")).alias("s"))
-    return a.unionAll(b).select("page_id", "s.*").withColumn("scripts", F.to_json("scripts"))
-
-
-_LOW = "lower(left(html, 65536))"
+def _any(text: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
 
 
-@query(
-    "page_class",
-    f"""WITH p AS (SELECT page_id, html FROM {_DOC} UNION ALL SELECT -page_id, html FROM ({fixtures.PRODUCT_PAGES}))
-SELECT page_id, CASE
- WHEN (CASE WHEN contains({_LOW}, 'product:price') OR contains({_LOW}, 'og:type" content="product') THEN 2 ELSE 0 END) + (CASE WHEN contains({_LOW}, 'itemprop="price"') THEN 2 ELSE 0 END)
+_LOW = "lower(html)"
+_SCRIPT = "regexp_extract_all(html, '(?i)<script\\b[^>]*>')"
+_MARKED = _any("html", [m for _, m in sg.STATE_MARKERS])
+_SHELL = _any(_LOW, [n for n, name in sg.FRAMEWORKS if name in ("next.js", "nuxt.js", "gatsby", "svelte", "react", "shopify")])
+_GEN = """coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+name=["'']generator["''][^>]+content=["'']([^"'']+)', 1), ''), nullif(regexp_extract(html, '(?i)<meta[^>]+content=["'']([^"'']+)["''][^>]+name=["'']generator["'']', 1), ''))"""
+_RATIO = "CASE WHEN contains(html, '<') THEN length(regexp_replace(html, '[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]', '', 'g')) / (length(html) - length(replace(html, '<', ''))) ELSE 1.0 END"
+_SPA = f"({_MARKED} OR {_any(f'lower(coalesce({_GEN}, {chr(39)*2}))', ['next.js', 'nuxt', 'gatsby'])} OR ({_SHELL} AND {_RATIO} < 8) OR ({_RATIO} < 4 AND len({_SCRIPT}) >= 5))"
+_CHUNKS = f"len(list_filter({_SCRIPT}, lambda x: regexp_matches(x, '(?i)(chunk|bundle|/static/js/|webpack|runtime)')))"
+_SPA_SCORE = f"CASE WHEN {_MARKED} THEN 0.35 ELSE 0 END + CASE WHEN {_SHELL} THEN 0.25 ELSE 0 END + CASE WHEN {_CHUNKS} >= 2 THEN 0.15 ELSE 0 END + CASE WHEN {_RATIO} < 5 THEN 0.15 ELSE 0 END"
+_CLASS = f"""CASE
+ WHEN (CASE WHEN contains({_LOW}, 'product:price') OR contains({_LOW}, 'og:type" content="product') OR contains({_LOW}, 'og:type' || chr(39) || ' content=' || chr(39) || 'product') THEN 2 ELSE 0 END) + (CASE WHEN contains({_LOW}, 'itemprop="price"') OR contains({_LOW}, 'itemprop=' || chr(39) || 'price' || chr(39)) THEN 2 ELSE 0 END)
     + (CASE WHEN contains({_LOW}, 'application/ld+json') AND (contains({_LOW}, 'product') OR contains({_LOW}, 'aggregateoffer') OR contains({_LOW}, '"offer"')) THEN 1 ELSE 0 END)
     + (CASE WHEN regexp_matches({_LOW}, 'class=["''][^"'']*price[^"'']*["'']') THEN 1 ELSE 0 END) >= 2 THEN 'product'
  WHEN {_count("h2")} >= 4 AND {_count("code")} + {_count("pre")} >= 2 THEN 'docs'
  WHEN (contains({_LOW}, 'docs.') OR contains({_LOW}, '/docs/') OR contains({_LOW}, 'documentation')) AND ({_count("h2")} >= 2 OR {_count("code")} + {_count("pre")} >= 1) THEN 'docs'
  WHEN contains({_LOW}, '<article') AND (regexp_matches(html, '(?i)<time[\\s>]') OR contains({_LOW}, 'article:published_time') OR contains({_LOW}, 'itemprop="author"') OR contains({_LOW}, 'name="author"') OR contains({_LOW}, 'article:author')) THEN 'article'
  WHEN contains({_LOW}, 'og:type') AND contains({_LOW}, 'article') THEN 'article'
- ELSE 'other' END AS page_class FROM p""",
+ WHEN (contains({_LOW}, 'wikipedia.org') OR contains({_LOW}, 'infobox')) AND ({_count("table")} >= 2 OR contains({_LOW}, 'infobox')) THEN 'reference'
+ WHEN {_SPA} THEN 'spa' ELSE 'generic' END"""
+_SEEN = "lower(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'))"
+_WALL = f"{_any(_SEEN, sg.WALL_MARKERS)} OR " + _any("lower(regexp_extract(html, '(?i)<title[^>]*>([^<]+)', 1))", sg.WALL_TITLES)
+#: Stored pages, product pages and pages with odd heads under one key.
+_ALL_PAGES = f"(SELECT page_id, url, html, ttfb_ms, body_bytes FROM (SELECT page_id, url, coalesce(text, '') AS html, ttfb_ms, body_bytes FROM fetched_documents) UNION ALL SELECT -page_id, url, html, NULL, NULL FROM ({fixtures.PRODUCT_PAGES}) UNION ALL SELECT -1000000000 - page_id, url, html, 120.0, 5000 FROM ({fixtures.HEAD_PAGES}))"
+
+
+def all_pages(spark: SparkSession, d: str) -> DataFrame:
+    none = [F.lit(None).cast("double").alias("ttfb_ms"), F.lit(None).cast("bigint").alias("body_bytes")]
+    a = pages(spark, d).select("page_id", "url", "html", "ttfb_ms", "body_bytes")
+    b = fixtures.product_pages(spark, d).select(-F.col("page_id").cast("bigint"), "url", "html", *none)
+    c = fixtures.head_pages(spark, d).select(-1000000000 - F.col("page_id").cast("bigint"), "url", "html", F.lit(120.0), F.lit(5000).cast("bigint"))
+    return a.unionAll(b).unionAll(c)
+
+
+def _list(needles: list, text: str) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains({text}, '{n}') THEN '{name}' END" for name, n in needles) + "], lambda x: x IS NOT NULL), ',')"
+
+
+_FRAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any(_LOW, [n for n, x in sg.FRAMEWORKS if x == name])} THEN '{name}' END" for name in dict.fromkeys(x for _, x in sg.FRAMEWORKS)) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(
+    "signature_struct",
+    f"""SELECT page_id, round({_RATIO}, 2) AS text_ratio, coalesce({_GEN}, nullif(regexp_extract(html, '(?i)<!--\\s*(WordPress|Drupal|Joomla|Shopify|Wix|Squarespace|Ghost|Hugo|Jekyll|TYPO3)[^>]*>', 1), '')) AS generator, {_SPA} AS likely_spa,
+ round(least(1.0, {_SPA_SCORE} + CASE WHEN body_bytes < 8000 AND ttfb_ms < 400 THEN 0.2 ELSE 0 END), 2) AS spa_score, regexp_matches(html, '(?i)<time[\\s>]') OR contains({_LOW}, 'article:published_time') AS has_time, contains({_LOW}, 'ld+json') AS has_jsonld, {_CLASS} AS page_class, {_FRAMES} AS frameworks,
+ {_list(sg.STATE_MARKERS, "html")} AS embedded_blobs, len({_SCRIPT}) AS scripts_total, len(list_filter({_SCRIPT}, lambda x: regexp_matches(x, '(?i)\\bsrc='))) AS scripts_external, {_CHUNKS} AS scripts_chunks, {_list([(t, t) for t in sg.TRACKERS], _LOW)} AS trackers, {_WALL} AS bot_wall FROM {_ALL_PAGES}""",
 )
-def page_class(spark, d):
-    p = pages(spark, d).select("page_id", "html").unionAll(fixtures.product_pages(spark, d).select(-F.col("page_id"), "html"))
-    c = sg.page_class(F.col("html"), F.lit(False))
-    return p.select("page_id", F.when(c.isin("product", "docs", "article"), c).otherwise("other").alias("page_class"))
+def signature_struct(spark, d):
+    """All of the signature, with the fast-shell term, for all page tables."""
+    s = all_pages(spark, d).select("page_id", sg.signature(F.col("html"), F.col("ttfb_ms"), F.col("body_bytes")).alias("s"))
+    lists = [F.array_join(f"s.{c}", ",").alias(c) for c in ("frameworks", "embedded_blobs", "trackers")]
+    plain = [f"s.{c}" for c in ("text_ratio", "generator", "likely_spa", "spa_score", "has_time", "has_jsonld", "page_class", "bot_wall")]
+    return s.select("page_id", *plain, *lists, *[F.col(f"s.scripts.{c}").alias(f"scripts_{c}") for c in ("total", "external", "chunks")])
 
 
-_SEEN = "lower(regexp_replace(left(html, 20000), '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'))"
+@query("page_class", f"SELECT page_id, {_CLASS} AS page_class FROM {_ALL_PAGES}")
+def page_class(spark, d):
+    return all_pages(spark, d).select("page_id", sg.page_class(F.col("html"), sg.single_page_app(F.col("html"))[0]).alias("page_class"))
 
 
-@query("bot_wall", f"SELECT page_id, {' OR '.join(f'contains({_SEEN}, {m!r})' for m in sg.WALL_MARKERS)} OR {' OR '.join(f'''contains(lower(regexp_extract(html, '(?i)<title[^>]*>([^<]+)', 1)), {m!r})''' for m in sg.WALL_TITLES)} AS bot_wall FROM {_DOC}")
+@query("bot_wall", f"SELECT page_id, {_WALL} AS bot_wall FROM {_DOC}")
 def bot_wall(spark, d):
     return pages(spark, d).select("page_id", sg.bot_wall(F.col("html")).alias("bot_wall"))
 
@@ -116,19 +149,38 @@ def content_ids(spark, d):
     "mime_charset",
     f"""SELECT page_id, content_type IS NULL OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'text/html') OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/xhtml+xml')
  OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/json') OR starts_with(lower(trim(split_part(content_type, ';', 1))), 'application/ld+json') AS allowed,
- coalesce(nullif(lower(regexp_extract(content_type, '(?i)charset=["'']?([\\w-]+)', 1)), ''), nullif(lower(regexp_extract(left(html, 8192), '(?i)<meta[^>]+charset=["'']?([\\w-]+)', 1)), ''), 'utf-8') AS charset FROM {_DOC}""",
+ coalesce(nullif(lower(regexp_extract(content_type, '(?i)charset=["'']?([\\w-]+)', 1)), ''), nullif(lower(regexp_extract(html, '(?i)<meta[^>]+charset=["'']?([\\w-]+)', 1)), ''), 'utf-8') AS charset FROM {_DOC}""",
 )
 def mime_charset(spark, d):
-    return pages(spark, d).select("page_id", web.mime_allowed(F.col("content_type")).alias("allowed"), web.charset(F.col("content_type"), F.left("html", F.lit(8192))).alias("charset"))
+    return pages(spark, d).select("page_id", web.mime_allowed(F.col("content_type")).alias("allowed"), web.charset(F.col("content_type"), F.col("html")).alias("charset"))
+
+
+_TAGS = "regexp_extract_all(html, '(?is)<link\\b[^>]*>')"
+
 
+def _attr(x: str, a: str) -> str:
+    return f"""regexp_replace(regexp_extract({x}, '(?is)\\b{a}\\s*=\\s*("[^"]*"|''[^'']*'')', 1), '^["'']|["'']$', '', 'g')"""
 
-_LINKS = "regexp_extract_all(left(html, 32768), '(?i)<link\\b[^>]*>')"
 
+def _rel(name: str, more: str = "true") -> str:
+    return f"list_filter(l, lambda x: list_contains(string_split(lower({_attr('x', 'rel')}), ' '), '{name}') AND {_attr('x', 'href')} <> '' AND {more})"
 
-@query("head_links", f"""SELECT page_id, regexp_extract(list_filter(l, lambda x: lower(regexp_extract(x, '(?i)\\brel=["'']([^"'']*)', 1)) = 'canonical')[1], '(?i)\\bhref=["'']([^"'']*)', 1) AS canonical, len(list_filter(l, lambda x: regexp_matches(x, '(?i)\\bhreflang='))) AS hreflang FROM (SELECT page_id, {_LINKS} AS l FROM ({fixtures.PRODUCT_PAGES}))""")
+
+_FULL = f"CASE WHEN starts_with({_attr('x', 'href')}, '/') THEN 'https://h.example' || {_attr('x', 'href')} WHEN starts_with({_attr('x', 'href')}, '../') THEN 'https://h.example/' || substr({_attr('x', 'href')}, 4) ELSE {_attr('x', 'href')} END"
+_LANGS = _rel("alternate", f"{_attr('x', 'hreflang')} <> ''")
+_FEEDS = _rel("alternate", f"lower({_attr('x', 'type')}) IN ('application/rss+xml', 'application/atom+xml')")
+
+
+@query(
+    "head_links",
+    f"""SELECT page_id, list_transform({_rel("canonical")}, lambda x: {_FULL})[1] AS canonical, len({_LANGS}) AS hreflang_count, array_to_string(list_transform({_LANGS}, lambda x: {_attr("x", "hreflang")} || ' ' || {_FULL}), ',') AS hreflangs,
+ array_to_string(list_transform({_FEEDS}, lambda x: {_FULL}), ',') AS rss, len({_rel("preload")}) AS preload_count, list_transform({_rel("next")}, lambda x: {_FULL})[1] AS rel_next, list_transform({_rel("prev")}, lambda x: {_FULL})[1] AS rel_prev,
+ nullif(regexp_extract(html, '(?is)<meta name="theme-color" content="([^"]*)"', 1), '') AS theme_color FROM (SELECT page_id, html, {_TAGS} AS l FROM ({fixtures.HEAD_PAGES}))""",
+)
 def head_links(spark, d):
-    h = sg.head_links(F.col("html"))
-    return fixtures.product_pages(spark, d).select("page_id", h["canonical"].alias("canonical"), h["hreflang_count"].alias("hreflang"))
+    p = fixtures.head_pages(spark, d).select("page_id", sg.head_links(F.col("html"), F.col("url")).alias("h"))
+    langs = F.array_join(F.transform("h.hreflangs", lambda x: F.concat_ws(" ", x["lang"], x["href"])), ",").alias("hreflangs")
+    return p.select("page_id", "h.canonical", "h.hreflang_count", langs, F.array_join("h.rss", ",").alias("rss"), "h.preload_count", "h.rel_next", "h.rel_prev", "h.theme_color")
 
 
 @query("header_profiles", f"SELECT k, cdn, static_hint, age_s FROM (VALUES {fixtures.HEADER_TRUTH}) AS t(k, cdn, static_hint, age_s)")
@@ -139,7 +191,7 @@ def header_profiles(spark, d):
 
 # -- addresses -------------------------------------------------------------------------------------------------------
 
-_HOST = "nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '')"
+_HOST = "nullif(lower(regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1), '[\\[\\]]', '', 'g')), '')"
 _PARTS = "list_filter(string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/'), lambda x: x <> '')"
 _SKIP = ", ".join(f"'{x}'" for x in web.NO_CATEGORY)
 
@@ -148,11 +200,11 @@ _SKIP = ", ".join(f"'{x}'" for x in web.NO_CATEGORY)
     "url_facts",
     f"""SELECT DISTINCT url, regexp_replace({_HOST}, '^www\\.', '') AS source,
  regexp_replace(list_filter({_PARTS}, lambda x: lower(x) NOT IN ({_SKIP}) AND NOT regexp_matches(x, '^\\d+$') AND length(x) > 1)[1], '[-_]', ' ', 'g') AS category,
- list_filter({_PARTS}, lambda x: regexp_matches(x, '(?i)^v?\\d+(\\.\\d+)*(\\.x)?$'))[1] AS version FROM ({fixtures.URLS}) WHERE NOT contains(url, '[')""",
+ list_filter({_PARTS}, lambda x: regexp_matches(x, '(?i)^v?\\d+(\\.\\d+)*(\\.x)?$'))[1] AS version FROM ({fixtures.URLS})""",
 )
 def url_facts(spark, d):
     u = F.col("url")
-    return fixtures.urls(spark, d).filter(~u.contains("[")).select("url", web.site(u).alias("source"), web.url_category(u).alias("category"), web.url_version(u).alias("version")).distinct()
+    return fixtures.urls(spark, d).select("url", web.site(u).alias("source"), web.url_category(u).alias("category"), web.url_version(u).alias("version")).distinct()
 
 
 _N = "CAST(split_part(h, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(h, '.', 2) AS BIGINT) * 65536 + CAST(split_part(h, '.', 3) AS BIGINT) * 256 + CAST(split_part(h, '.', 4) AS BIGINT)"
@@ -160,16 +212,16 @@ _N = "CAST(split_part(h, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(h, '.',
 
 @query(
     "url_policy",
-    f"""WITH u AS (SELECT DISTINCT url, {_HOST} AS h, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme FROM ({fixtures.URLS}) WHERE NOT contains(url, '[')),
- n AS (SELECT *, CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN {_N} END AS ip FROM u)
+    f"""WITH u AS (SELECT DISTINCT url, {_HOST} AS h, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme FROM ({fixtures.URLS})),
+ n AS (SELECT * REPLACE (CASE WHEN starts_with(h, '::ffff:') THEN substr(h, 8) ELSE h END AS h), CASE WHEN regexp_matches(h, '^\\d{{1,3}}(\\.\\d{{1,3}}){{3}}$') THEN {_N} END AS ip FROM (SELECT * REPLACE (CASE WHEN starts_with(h, '::ffff:') THEN substr(h, 8) ELSE h END AS h) FROM u))
  SELECT url, CASE WHEN scheme NOT IN ('http', 'https') OR h IS NULL THEN 'unsupported' WHEN h IN ({", ".join(f"'{x}'" for x in web.BLOCKED_HOSTS)}) OR ends_with(h, '.local') THEN 'blocked_host'
- WHEN ip BETWEEN 0 AND 16777215 OR ip BETWEEN 167772160 AND 184549375 OR ip BETWEEN 2130706432 AND 2147483647 OR ip BETWEEN 2851995648 AND 2852061183 OR ip BETWEEN 2886729728 AND 2887778303 OR ip BETWEEN 3232235520 AND 3232301055 THEN 'private_ip' ELSE 'ok' END AS verdict FROM n""",
+ WHEN ip BETWEEN 0 AND 16777215 OR ip BETWEEN 167772160 AND 184549375 OR ip BETWEEN 2130706432 AND 2147483647 OR ip BETWEEN 2851995648 AND 2852061183 OR ip BETWEEN 2886729728 AND 2887778303 OR ip BETWEEN 3232235520 AND 3232301055 OR (contains(h, ':') AND (left(h, 2) IN ('fc', 'fd') OR left(h, 3) IN ('fe8', 'fe9', 'fea', 'feb') OR h = '0:0:0:0:0:0:0:1')) THEN 'private_ip' ELSE 'ok' END AS verdict FROM n""",
 )
 def url_policy(spark, d):
-    return fixtures.urls(spark, d).filter(~F.col("url").contains("[")).distinct().select("url", web.url_verdict(F.col("url")).alias("verdict"))
+    return fixtures.urls(spark, d).distinct().select("url", web.url_verdict(F.col("url")).alias("verdict"))
 
 
-_KINDS = " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{n}')" for n in needles.split()) + f" THEN '{k}'" for k, needles in web.SITE_KINDS)
+_KINDS = " ".join("WHEN " + " OR ".join(f"contains(lower(url), '{n}')" for n in needles) + f" THEN '{k}'" for needles, k in web.SITE_KINDS)
 
 
 @query("url_tactic", f"SELECT DISTINCT url, CASE {_KINDS} WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' ELSE 'generic' END AS tactic FROM ({fixtures.URLS})")
@@ -177,6 +229,15 @@ def url_tactic(spark, d):
     return fixtures.urls(spark, d).select("url", sg.tactic(web.url_kind(F.col("url")), F.lit(None).cast("string")).alias("tactic")).distinct()
 
 
+_URL_KIND = f"CASE {_KINDS} WHEN regexp_matches(lower(regexp_replace(url, '[?#].*$', '')) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' END"
+
+
+@query("page_tactic", f"SELECT page_id, coalesce({_URL_KIND}, {_CLASS}) AS tactic FROM {_ALL_PAGES}")
+def page_tactic(spark, d):
+    """The address' kind, else the markup's."""
+    return all_pages(spark, d).select("page_id", sg.tactic(web.url_kind(F.col("url")), sg.page_class(F.col("html"), sg.single_page_app(F.col("html"))[0])).alias("tactic"))
+
+
 @query("domain_allowlist", f"SELECT DISTINCT url FROM ({fixtures.URLS}) WHERE {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') OR ends_with({_HOST}, '.test')")
 def domain_allowlist(spark, d):
     domains = spark.createDataFrame([("example.com",), ("*.example.com",), ("*.test",)], "pattern string")
@@ -299,6 +360,14 @@ def route_decision(spark, d):
     return r.select("run_id", x["reason"].alias("reason"), x["backend"].alias("backend"))
 
 
+def whole_runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Runs, each once, with the named columns alone: only these are read and shuffled. Repeated rows of a run are equal in
+    all columns, so they are equal in these too, and rows of one run that differ keep apart where they differ in these."""
+    return table(spark, d, "runs").select("run_id", *columns).distinct()
+
+
+_FACT_ROW = ["extraction_method"]
+
 # -- telemetry -------------------------------------------------------------------------------------------------------
 
 _R = "(SELECT DISTINCT * FROM runs)"
@@ -312,17 +381,18 @@ _F = "(SELECT DISTINCT * FROM facts)"
  SELECT total_runs, browser_runs, llm_runs, 1 - round(browser_runs / total_runs, 3) AS browser_avoidance_rate, 1 - round(llm_runs / total_runs, 3) AS llm_avoidance_rate, facts_total, facts_with_evidence, round(facts_with_evidence / facts_total, 3) AS provenance_coverage, round(ids / facts_total, 3) AS fact_coverage FROM r, f""",
 )
 def economics(spark, d):
-    return measures.economics(table(spark, d, "runs").distinct(), table(spark, d, "facts").distinct(), table(spark, d, "evidence"))
+    f = table(spark, d, "facts").select("run_id", "fact_id", F.size("evidence_ids").alias("n"), *_FACT_ROW).distinct()
+    return measures.economics(whole_runs(spark, d, "level", "warnings"), f.withColumn("evidence_ids", F.when(F.col("n") > 0, F.array(F.lit("x")))), table(spark, d, "evidence"))
 
 
 @query("level_status", f"SELECT coalesce(level, 'all') AS level, coalesce(status, 'all') AS status, count(*) AS runs FROM (SELECT coalesce(level, 'unknown') AS level, coalesce(status, 'unknown') AS status FROM {_R}) GROUP BY ROLLUP (level, status)")
 def level_status(spark, d):
-    return measures.histogram(table(spark, d, "runs").distinct())
+    return measures.histogram(whole_runs(spark, d, "level", "status"))
 
 
 @query("warning_kinds", f"""SELECT split_part(w, ':', 1) AS warning, count(*) AS runs FROM (SELECT unnest(from_json(warnings, '["VARCHAR"]')) AS w FROM {_R}) GROUP BY 1""")
 def warning_kinds(spark, d):
-    return measures.warning_counts(table(spark, d, "runs").distinct())
+    return measures.warning_counts(whole_runs(spark, d, "warnings"))
 
 
 @query(
@@ -330,7 +400,7 @@ def warning_kinds(spark, d):
     "WITH v AS (SELECT latency_ms, run_id, row_number() OVER (ORDER BY latency_ms, run_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT * FROM runs) WHERE latency_ms > 0 AND NOT isnan(latency_ms)) SELECT CAST(share AS DOUBLE) AS share, latency_ms AS value FROM v, (VALUES (0.5), (0.95)) AS s(share) WHERE r = least(CAST(floor(n * share) AS BIGINT), n - 1)",
 )
 def latency_picks(spark, d):
-    r = table(spark, d, "runs").distinct().filter((F.col("latency_ms") > 0) & ~F.isnan("latency_ms"))
+    r = whole_runs(spark, d, "latency_ms").filter((F.col("latency_ms") > 0) & ~F.isnan("latency_ms"))
     return measures.picked(r, "latency_ms", "run_id", [0.5, 0.95])
 
 
@@ -339,7 +409,7 @@ def latency_picks(spark, d):
     f"SELECT count(*) AS total_runs, round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0 END), 4) AS success_rate, round(avg(CASE WHEN status = 'partial' THEN 1.0 ELSE 0 END), 4) AS partial_rate, round(avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0 END), 4) AS failure_rate, round(avg(bytes_downloaded), 2) AS avg_bytes, round(avg(CASE WHEN level IN ('L3', 'L4') THEN 1.0 ELSE 0 END), 4) AS browser_fallback_rate FROM {_R}",
 )
 def overview(spark, d):
-    return measures.overview(table(spark, d, "runs").distinct())
+    return measures.overview(whole_runs(spark, d, "level", "status", "bytes_downloaded"))
 
 
 @query(
@@ -348,12 +418,12 @@ def overview(spark, d):
  coalesce(level IN ('L0', 'L1'), false) AS no_model, bytes_downloaded FROM {_R} r LEFT JOIN (SELECT run_id, count(*) AS n FROM {_F} GROUP BY run_id) USING (run_id)""",
 )
 def run_metrics(spark, d):
-    return measures.run_metrics(table(spark, d, "runs").distinct(), table(spark, d, "facts").distinct(), 8)
+    return measures.run_metrics(whole_runs(spark, d, "level", "status", "bytes_downloaded"), table(spark, d, "facts").select("run_id", "fact_id", *_FACT_ROW).distinct(), 8)
 
 
 @query("method_stats", f"SELECT coalesce(extraction_method, 'unknown') AS method, count(*) AS facts, count(DISTINCT field) AS fields, round(avg(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END), 6) AS mean_confidence FROM {_F} GROUP BY 1")
 def method_stats(spark, d):
-    return measures.method_stats(table(spark, d, "facts").distinct())
+    return measures.method_stats(table(spark, d, "facts").select("run_id", "fact_id", *_FACT_ROW, "field", "confidence").distinct())
 
 
 @query(
@@ -362,7 +432,7 @@ def method_stats(spark, d):
  SELECT run_id, count(*) AS facts, count(*) FILTER (WHERE ok) AS valid FROM k GROUP BY run_id""",
 )
 def evidence_validity(spark, d):
-    return measures.evidence_validity(table(spark, d, "facts").distinct(), table(spark, d, "evidence"))
+    return measures.evidence_validity(table(spark, d, "facts").select("run_id", "fact_id", "evidence_ids").distinct(), table(spark, d, "evidence"))
 
 
 # -- ground truth ----------------------------------------------------------------------------------------------------
@@ -438,12 +508,13 @@ def loose_matches(spark, d):
 @query(
     "value_warnings",
     f"""SELECT DISTINCT fact_id, concat_ws(',', CASE WHEN coalesce(trim(value), '') = '' THEN 'empty' END, CASE WHEN k = 'price' AND p IS NULL THEN 'no_number' END, CASE WHEN k = 'price' AND p <= 0 THEN 'not_positive' END, CASE WHEN k = 'price' AND p > 1000000 THEN 'very_high' END,
- CASE WHEN k = 'currency' AND NOT coalesce(regexp_full_match(value, '[A-Z]{{3}}'), false) THEN 'no_code' END) AS warnings
+ CASE WHEN k = 'currency' AND NOT coalesce(regexp_full_match(value, '[A-Z]{{3}}'), false) THEN 'no_code' END,
+ CASE WHEN k = 'availability' AND NOT coalesce(lower(split_part(trim(value), '/', -1)) IN ('instock', 'in_stock', 'outofstock', 'out_of_stock', 'preorder') OR value IN ('true', 'false', 'preorder'), false) THEN 'unknown_word' END, CASE WHEN k IN ('title', 'name') AND {_TITLE_WEAK} THEN 'weak_title' END) AS warnings
  FROM (SELECT fact_id, value, canonical_field AS k, TRY_CAST(CASE WHEN length({_C}) - length(replace({_C}, ',', '')) = 1 AND strpos(reverse({_C}), ',') < CASE WHEN contains({_C}, '.') THEN strpos(reverse({_C}), '.') ELSE 100000 END THEN replace(replace({_C}, '.', ''), ',', '.') ELSE replace({_C}, ',', '') END AS DOUBLE) AS p
- FROM facts JOIN field_aliases USING (field) WHERE canonical_field IN ('price', 'currency', 'brand'))""",
+ FROM facts JOIN field_aliases USING (field))""",
 )
 def value_warnings(spark, d):
-    a = table(spark, d, "field_aliases").filter(F.col("canonical_field").isin("price", "currency", "brand"))
+    a = table(spark, d, "field_aliases")
     w = resolve.value_warnings(F.col("canonical_field"), F.col("value"))
     return table(spark, d, "facts").join(a, "field").select("fact_id", F.array_join(w, ",").alias("warnings")).distinct()
 
@@ -461,12 +532,12 @@ def auto_truth(spark, d):
 
 @query("latest_runs", f"SELECT normalized_url, run_id, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY normalized_url ORDER BY retrieved_at DESC NULLS LAST, run_id) AS position FROM {_R}) WHERE position <= 2")
 def latest_runs(spark, d):
-    return store.latest_per_url(table(spark, d, "runs").distinct(), 2).select("normalized_url", "run_id", "position")
+    return store.latest_per_url(whole_runs(spark, d, "normalized_url", "retrieved_at"), 2).select("normalized_url", "run_id", "position")
 
 
 @query("runs_upsert", f"SELECT normalized_url, max(stored_at) AS stored_at, arg_max(status, stored_at) AS status, min(stored_at) AS first_at FROM (SELECT normalized_url, stored_at, coalesce(status, 'unknown') AS status FROM {_R} WHERE stored_at IS NOT NULL AND normalized_url IS NOT NULL) GROUP BY 1")
 def runs_upsert(spark, d):
-    r = table(spark, d, "runs").distinct().filter("stored_at IS NOT NULL AND normalized_url IS NOT NULL").select("normalized_url", "stored_at", F.coalesce("status", F.lit("unknown")).alias("status"), F.col("stored_at").alias("first_at"))
+    r = whole_runs(spark, d, "normalized_url", "status", "stored_at").filter("stored_at IS NOT NULL AND normalized_url IS NOT NULL").select("normalized_url", "stored_at", F.coalesce("status", F.lit("unknown")).alias("status"), F.col("stored_at").alias("first_at"))
     cut = F.lit("2024-01-01").cast("timestamp")
     return store.upsert(r.filter(F.col("stored_at") < cut), r.filter(F.col("stored_at") >= cut), ["normalized_url"], "stored_at", ["status"])
 
@@ -477,13 +548,14 @@ _ONE = "(SELECT min(normalized_url) FROM runs)"
 @query("query_by_url", f"SELECT run_id, retrieved_at FROM (SELECT DISTINCT run_id, retrieved_at, normalized_url FROM runs) WHERE normalized_url = {_ONE} ORDER BY retrieved_at DESC NULLS LAST, run_id LIMIT 10")
 def query_by_url(spark, d):
     r = table(spark, d, "runs").select("run_id", "retrieved_at", "normalized_url").distinct()
-    url = r.agg(F.min("normalized_url")).first()[0]
-    return store.by_url(r, url).select("run_id", "retrieved_at")
+    one = r.agg(F.min("normalized_url").alias("_u"))  # a single row
+    mine = r.join(F.broadcast(one), F.col("normalized_url") == F.col("_u"), "left_semi")
+    return mine.orderBy(F.desc_nulls_last("retrieved_at"), "run_id").limit(10).select("run_id", "retrieved_at")
 
 
 @query("changed_signatures", f"SELECT run_id, before AS previous_signature FROM (SELECT *, lag(content_signature) OVER (PARTITION BY normalized_url ORDER BY retrieved_at NULLS FIRST, run_id) AS before FROM {_R}) WHERE before IS NOT NULL AND before <> content_signature")
 def changed_signatures(spark, d):
-    return measures.recent_change(table(spark, d, "runs").distinct(), "normalized_url", "content_signature", "retrieved_at").select("run_id", "previous_signature")
+    return measures.recent_change(whole_runs(spark, d, "normalized_url", "content_signature", "retrieved_at"), "normalized_url", "content_signature", "retrieved_at").select("run_id", "previous_signature")
 
 
 _TTL = 30 * 86400
@@ -587,11 +659,8 @@ def stream_telemetry(spark, d):
     """The hourly telemetry of a stream that has read the whole table."""
     schema = table(spark, d, "runs").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/runs.parquet" if _is_folder(spark, f"{d}/runs.parquet") else _alone(d))
-    out = streams.telemetry(rows.filter("retrieved_at IS NOT NULL"))
-    name = f"telemetry_{abs(hash(d)) % 10**9}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select("start", "level", "runs", "failed")
+    folder = f"{shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
+    return streams.materialised(streams.telemetry(rows.filter("retrieved_at IS NOT NULL"), late="3650 days"), ["start", "level"], folder).select("start", "level", "runs", "failed")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,18 +42,24 @@ def ship(spark: SparkSession) -> SparkSession:
     have = sc.environment.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-        if not sc.master.startswith("local"):
-            with tempfile.TemporaryDirectory() as d:
-                sc.addPyFile(shutil.make_archive(f"{d}/factloom", "zip", root, "factloom"))
+        if not on_one_machine(sc.master):
+            d = tempfile.mkdtemp(prefix="factloom-ship-")  # executors fetch the file whenever they start: it stays until exit
+            atexit.register(shutil.rmtree, d, ignore_errors=True)
+            sc.addPyFile(shutil.make_archive(f"{d}/factloom", "zip", root, "factloom"))
     return spark
 
 
+def on_one_machine(master: str) -> bool:
+    """Whether driver and executors are one process; `local-cluster` starts executors of their own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Only where the setting is absent, as in tests on one
     machine, a temporary folder is made, kept in the session's setting and removed at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not on_one_machine(spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
@@ -71,19 +79,32 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     folder = _FALLBACK.get(spark.sparkContext.applicationId) or shared_folder(spark)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written(spark, path)
+    _STAGED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _written(spark: SparkSession, path: str) -> None:
-    """Staged tables live as long as the application: the driver removes them when it ends."""
+_STAGED: list[tuple[SparkSession, str]] = []
+
 
-    def remove() -> None:
+@contextmanager
+def staged_here() -> Iterator[None]:
+    """Tables staged inside the block are removed at its end. For callers that have written or collected the result; other
+    staged tables live until the driver ends."""
+    n = len(_STAGED)
+    try:
+        yield
+    finally:
+        _remove(n)
+
+
+def _remove(since: int = 0) -> None:
+    while len(_STAGED) > since:
+        spark, path = _STAGED.pop()
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may already be gone
             shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
-    atexit.register(remove)
+
+atexit.register(_remove)

@@ -60,6 +60,23 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, by: str | None = No
     return (w.partitionBy(by) if by else w).trigger(availableNow=True).start()
 
 
+def materialised(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The state of an aggregate over all input so far, as a table: every micro-batch appends the groups it changed with its
+    number to a parquet folder; of each group the last batch counts. Nothing passes through the driver."""
+    spark = stream.sparkSession
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/changes/_batch_no={number}")
+
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(add).trigger(availableNow=True).start()
+    q.awaitTermination()
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    rows = spark.read.schema(f"{fields}, _batch bigint").option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+    rest = [c for c in stream.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s"))
+    return best.select(*keys, *[F.col(f"_s.{c}") for c in rest])
+
+
 def upsert_each(stream: DataFrame, checkpoint: str, merge: Callable[[DataFrame, int], None]):
     """Start a sink that merges each micro-batch by a function of (batch, id); ids make repeated batches harmless."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()

@@ -143,8 +143,9 @@ def test_verdicts_and_reason(spark):
     c = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, value string")
     d = spark.createDataFrame([(1, "accepted", None), (2, "edited", "B")], "id int, verdict string, edited_value string")
     assert {r.id: (r.verdict, r.value) for r in measures.verdicts(c, d, ["id"]).collect()} == {1: ("accepted", "a"), 2: ("edited", "B"), 3: ("skipped", "c")}
-    e = spark.createDataFrame([("ReadTimeout", ""), ("HTTPError", "status 404"), ("ConnectError", "x"), (None, None)], "e string, m string")
-    assert [r[0] for r in e.select(resolve.failure_reason(F.col("e"), F.col("m"))).collect()] == ["timeout", "http_4xx", "connection", None]
+    e = spark.createDataFrame([("ReadTimeout", ""), ("HTTPStatusError", "status 404"), ("ConnectError", "x"), ("PolicyError", "mime image/png"), ("PolicyError", "private_ip"), ("PolicyError", "robots"), ("PolicyError", "max_bytes"), ("OSError", "gone"), (None, None)], "e string, m string")
+    want = ["no_html:timeout", "no_html:http_error", "no_html:timeout", "wrong_mime_type", "policy_blocked", "robots_disallowed", "no_html:too_large", "OSError: gone", None]
+    assert [r[0] for r in e.select(resolve.failure_reason(F.col("e"), F.col("m"))).collect()] == want
 
 
 def test_signature_markers(spark):
@@ -192,11 +193,11 @@ def test_streams(spark, data, tmp_path):
 
 
 def test_product_links_and_hop(spark):
-    shell = '<a href="/product/9">x</a><a href="../product/8">y</a><a href="//cdn.example/item/3?x=1">z</a><a href="/about">w</a><meta property="product:price:currency" content="EUR"><span itemprop="price">'
+    shell = '<a href="/product/9">x</a><a href="../product/8">y</a><a href="//cdn.example/dp/3?x=1">z</a><a href="/about">w</a><meta property="product:price:currency" content="EUR"><span itemprop="price">'
     target = '<meta property="product:price:amount" content="7.50"><h1>Nine of them</h1>'
     pages = spark.createDataFrame([(1, "https://h.example/shop/a", shell), (2, "https://h.example/product/9", target)], "page_id long, url string, html string")
     got = pages.filter("page_id = 1").select(sg.product_links(F.col("html"), F.col("url"))).first()[0]
-    assert got[0] == "https://h.example/product/9" and "https://cdn.example/item/3?x=1" in got
+    assert got[0] == "https://h.example/product/9" and "https://cdn.example/dp/3?x=1" in got and got[1] == "https://h.example/product/8"
     schema = {"title": "string", "price": "number", "availability": "string"}
     plain = {(r.page_id, r.field): r.value for r in engine.extract(pages, schema).facts.collect()}
     assert (1, "price") not in plain and plain[2, "price"] == "7.50" and plain[2, "availability"] == "InStock"
@@ -236,3 +237,140 @@ def test_fallbacks_and_cli(spark, tmp_path):
 def test_candidate_map(spark):
     f = spark.createDataFrame([(1, "a", "x", 1), (1, "b", "y", 2), (1, "a", "z", 3)], "page_id int, field string, value string, seq int")
     assert resolve.candidate_map(f).first().candidates == {"a": "x", "b": "y"}
+
+
+def test_every_hop_is_checked(spark):
+    asked = []
+
+    def get(url):
+        hops = {"https://h.example/meta": "http://169.254.169.254/latest/", "https://h.example/v6": "http://[fd00::1]/", "https://h.example/mapped": "http://[::ffff:10.0.0.1]/", "https://h.example/name": "https://inner.example/x", "https://h.example/file": "file:///etc/passwd"}
+        assert not url.startswith(("http://1", "http://[", "https://inner", "file:"))
+        if url in hops:
+            return {"status": 302, "headers": {"Location": hops[url]}}
+        return {"status": 200, "headers": {"Content-Type": "image/png"}, "body": b"x"}
+
+    urls = [f"https://h.example/{x}" for x in ("meta", "v6", "mapped", "name", "file", "png")]
+    df = spark.createDataFrame([(u,) for u in [*urls, None]], "url string")
+    got = {r.url: r for r in acquire.fetch(df, get, resolve=lambda host: ["10.0.0.7"] if host == "inner.example" else []).collect()}
+    want = dict(zip(urls, ["private_ip|blocked_host", "private_ip", "private_ip", "private_ip", "unsupported", "mime image/png"]))
+    for u, w in want.items():
+        assert got[u].body is None and got[u].error.removeprefix("PolicyError: ") in w.split("|"), got[u]
+    assert got[None].error == "PolicyError: unsupported" and asked == []
+
+
+def test_python_and_column_policy_agree(spark, data):
+    from factloom.plans import fixtures
+
+    def by_python(u):
+        try:
+            acquire.check_address(u, lambda host: [])
+            return "ok"
+        except acquire.Refused as e:
+            return str(e)
+
+    for r in fixtures.urls(spark, data).select("url", web.url_verdict(F.col("url")).alias("v")).distinct().collect():
+        assert by_python(r.url) == r.v, r
+
+
+def test_robots_groups(spark):
+    text = "Crawl-delay: 9\nuser-agent: a\nUser-Agent: ourbot\nCrawl-Delay: 3 # slow\nDisallow: /x\n\nUser-agent: ourbot-news\nCrawl-delay: x\nUser-agent: *\nCrawl-delay: 7"
+    assert [g.agents for g in acquire.groups(text)] == [("a", "ourbot"), ("ourbot-news",), ("*",)]
+    assert acquire.crawl_delay(text, "OurBot/2") == 3 and acquire.crawl_delay(text, "ourbot-news/1") == 7 and acquire.crawl_delay(text, "zzz") == 7 and acquire.crawl_delay("User-agent: zzz", "zzz") is None
+    pages = spark.createDataFrame([("https://h.example/no", "2024-01-01 02:00:00"), ("https://h.example/no", "2024-01-01 00:30:00")], "url string, now string")
+    rules = spark.createDataFrame([("h.example", "User-agent: *\nDisallow: /no", "2024-01-01 00:00:00"), ("h.example", "", "2023-01-01 00:00:00")], "host string, text string, fetched_at string")
+    got = sorted((r.now, r.allowed) for r in acquire.robots(pages, rules, "x", at="now").collect())
+    assert got == [("2024-01-01 00:30:00", False), ("2024-01-01 02:00:00", True)]  # rules that are too old do not count
+
+
+def test_throttle_spreads_a_hot_host(spark):
+    df = spark.createDataFrame([(f"https://h.example/{i:03}", 2.0) for i in range(50)] + [("https://o.example/", None)], "url string, crawl_delay double")
+    got = {r.url: r.scheduled_at for r in acquire.planned(df, "2024-01-01 00:00:00").collect()}
+    t0 = got["https://h.example/000"]
+    assert (got["https://h.example/049"] - t0).total_seconds() == 98 and got["https://o.example/"] == t0
+
+
+def test_chain_with_escapes_and_a_long_chain(spark):
+    odd = ['a"b', "back\\slash", "line\nbreak", "tab\t", "\x01", "é", None]
+    df = spark.createDataFrame([("c", i, v) for i, v in enumerate(odd * 30)], "chain string, seq int, url string")
+    c = chain.append(df, "chain", "seq", ["url"])
+    r = chain.verify(c, "chain", "seq", ["url"]).first()
+    assert (r.ok, r.verified, r.error) == (True, 210, None)
+    cut = chain.verify(c.filter("seq <> 100"), "chain", "seq", ["url"]).first()
+    assert (cut.ok, cut.verified, cut.error) == (False, 100, "broken link")
+
+
+def test_digests_need_the_run(spark):
+    f = spark.createDataFrame([("r", "f", "title", "x", ["e"]), ("s", "g", "title", "x", ["e"])], "run_id string, fact_id string, field string, value string, evidence_ids array<string>")
+    e = spark.createDataFrame([("r", "e", "css", "h1", "1"), ("s", "e", "css", "h2", "2"), ("s", "e", "css", "h3", "0")], "run_id string, evidence_id string, extraction_backend string, selector string, content_hash string")
+    d = {r.run_id: r.evidence_digest for r in chain.evidence_digest(f, e).collect()}
+    alone = chain.evidence_digest(f.filter("run_id = 's'"), e.filter("selector = 'h2'")).first()
+    assert d["r"] != d["s"] and d["s"] == alone.evidence_digest
+
+
+def test_secondary_syntaxes_and_typed_pass():
+    page = """<div vocab="https://schema.org/" typeof="Product"><b property="name">Lamp of brass</b><span property="offers" typeof="Offer"><i property="price" content="12.5">x</i></span></div>
+    <article class="h-entry"><h1 class="p-name">A long walk along the river</h1><time class="dt-published" datetime="2024-03-04">x</time><a class="p-author h-card" href="/a"><b class="p-name">Ann</b></a></article>"""
+    a = {(x["syntax"], x["field"], x["value"]) for x in st.structured(Tree(page))}
+    assert {("rdfa", "name", "Lamp of brass"), ("rdfa", "price", "12.5"), ("microformat", "title", "A long walk along the river"), ("microformat", "publish_date", "2024-03-04"), ("microformat", "author", "Ann")} <= a
+    assert st.secondary_wanted("<p class=x>", False) is False and st.secondary_wanted("<p TYPEOF=x>", False) and st.secondary_wanted("", True)
+    ld = '<script type="application/ld+json">[{"@type": "Product", "headline": "A lamp for every room", "offers": [{"price": 3}], "brand": "B"}, {"@type": ["X", "WebPage"], "name": "Some page"}, {"@type": "Person", "name": "no"}]</script>'
+    assert {(t["type"], t["field"], t["value"]) for t in st.typed(Tree(ld))} == {("Product", "title", "A lamp for every room"), ("Product", "brand", "B"), ("Product", "price", "3"), ("WebPage", "title", "Some page")}
+    got = extract.page_candidates(ld, "product", ["json_ld"], False, extract.schema_fields({"title": "string", "price": "number"}))
+    assert not [c for c in got if c["stage"] == 1 and c["field"] in ("title", "price")]  # claimed by the structured layer
+
+
+def test_trees_of_any_shape():
+    deep = {"a": 1}
+    for _ in range(300):
+        deep = {"mainEntity": deep}
+    assert len(list(st.entities(deep))) == 301
+    assert [p for _, p in st.entities({"@graph": [{"x": 1}, [{"y": 2}]]})] == [("@graph", 0), ("@graph", 1, 0)]
+    assert st.follow({"a": [[{"b": 1}], {"b": [2, 3]}, 4]}, ["a", "b"]) == [(1, ("a", 0, 0, "b")), ([2, 3], ("a", 1, "b"))]
+    wide = {"items": [{"k": i} for i in range(2000)], "name": "n"}
+    assert list(st.flat(wide))[0] == ("name", "n") and len(list(st.flat(wide))) == 2001
+    assert st.state_value("availability", "OutOfStock") == "false" and st.state_value("availability", True) == "true" and st.state_value("availability", "soon") is None and st.state_value("price", "$1,200") == "1200.0" and st.state_value("currency", "euros") is None
+    shop = '<script>var meta = {"product": {"name": "Green lamp", "price": 990}}; var x</script><script>ShopifyAnalytics.lib.track("Viewed product", {"brand": "Acme"})</script>'
+    assert {(x["field"], x["value"]) for x in st.embedded(shop)} == {("name", "Green lamp"), ("price", "990.0")}
+    assert extract.json_object('so {not} this: {"a": {"b": "}"}} {"c": 1}') == {"a": {"b": "}"}}
+
+
+def test_walls_keep_no_titles_and_ask_no_model(spark):
+    asked = []
+    pages = spark.createDataFrame([(1, "https://h.example/", "<title>Access denied</title><meta property='og:title' content='Access denied'><meta name='description' content='why'>")], "page_id long, url string, html string")
+    t = engine.extract(pages, {"title": "string", "description": "string"}, ask=lambda _: 1 / 0)
+    r = t.runs.first()
+    assert {f.field for f in t.facts.collect()} == {"description"} and r.status == "failed" and r.failure_reason == "bot_wall" and "bot_wall_detected" in r.warnings and asked == []
+
+
+def test_warnings_and_validation(spark):
+    html = '<head><meta name="generator" content="Gatsby 5"><script src="https://www.googletagmanager.com/gtag/js"></script><script type="application/ld+json">{"@type": "Product", "name": "A lamp of green glass", "offers": {"price": "from ten"}}</script></head>'
+    pages = spark.createDataFrame([(1, "https://h.example/product/1", html, {"Server": "cloudflare", "ETag": "W1", "Age": "99"}, "https://h.example/p")], "page_id long, url string, html string, headers map<string,string>, canonical string")
+    t = engine.extract(pages, {"name": "string", "price": "number", "brand": "string", "sku": "string"})
+    w = t.runs.first().warnings
+    tags = [x.split(":")[0] for x in w]
+    assert tags == ["likely_spa", "jsonld_detected", "generator", "cdn", "frameworks", "static_hint", "etag", "trackers", "spa_score", "canonical", "page_class", "tactic", "needs_browser", "missing_fields", "route"], w
+    f = {x.field: x for x in t.facts.collect()}
+    assert f["price"].datatype == "string" and f["price"].validation_status == "valid" and f["name"].validation_status == "valid"
+    assert t.runs.select(resolve.should_escalate(F.col("route"))).first()[0]
+
+
+def test_local_numbers(spark):
+    df = spark.createDataFrame([("1.234", "de-DE"), ("1.234", "en-US"), ("1,234", "fr_FR"), ("1,234", "en"), ("1 234,5", "ru"), ("12.345,6", "en"), ("1.234", None), ("x", "de"), (None, "de")], "v string, l string")
+    assert [r[0] for r in df.select(tx.local_number(F.col("v"), F.col("l"))).collect()] == [1234.0, 1.234, 1.234, 1234.0, 1234.5, 12345.6, 1.234, None, None]
+    assert [tx.is_weak_title(x) for x in ("Home", "", None, "A good long title here", "ipsum")] == [True, True, True, False, True]
+
+
+def test_whole_pages_are_read(spark):
+    head = "<html><head><style>" + ".a{}" * 300_000 + "</style>"
+    page = head + '<meta name="generator" content="Hugo"><link rel="next" href="../n?q=1#f"><a href="/dp/1">x</a></head><body><article><time>x</time></article><p>captcha</p></body>'
+    df = spark.createDataFrame([(page, "https://h.example/a/b/c")], "h string, u string")
+    s, h, p = df.select(sg.signature(F.col("h")), sg.head_links(F.col("h"), F.col("u")), sg.product_links(F.col("h"), F.col("u"))).first()
+    assert s.generator == "Hugo" and s.page_class == "article" and s.bot_wall and s.has_time and h.rel_next == "https://h.example/a/n?q=1#f" and p == ["https://h.example/dp/1"]
+
+
+def test_class_precision(spark):
+    rules = spark.createDataFrame([(f"i{i}", "title", "equals", "x", None, None, None) for i in range(4)], "item_id string, field string, kind string, equals string, lo double, hi double, min_len int").withColumn("contains", F.array(F.lit("x"))).withColumn("in_set", F.array(F.lit("x")))
+    facts = spark.createDataFrame([("i0", "title", "x"), ("i1", "title", "y"), ("i2", "title", "x")], "item_id string, field string, value string")
+    lat = spark.createDataFrame([("i0", "a", 5.0), ("i1", "a", 1.0), ("i2", "b", None), ("i3", "b", 7.0)], "item_id string, class string, latency_ms double")
+    got = {r["class"]: r for r in measures.class_precision(rules, facts, lat, "class").collect()}
+    assert (got["a"].precision, got["a"].p50_ms, got["b"].precision, got["b"].p95_ms) == (0.5, 5.0, 0.5, 7.0)
