@@ -348,7 +348,7 @@ def test_warnings_and_validation(spark):
     t = engine.extract(pages, {"name": "string", "price": "number", "brand": "string", "sku": "string"})
     w = t.runs.first().warnings
     tags = [x.split(":")[0] for x in w]
-    assert tags == ["likely_spa", "jsonld_detected", "generator", "cdn", "frameworks", "static_hint", "etag", "trackers", "spa_score", "canonical", "page_class", "tactic", "needs_browser", "missing_fields", "route"], w
+    assert tags == ["likely_spa", "jsonld_detected", "generator", "cdn", "frameworks", "static_hint", "etag", "trackers", "spa_score", "canonical", "page_class", "tactic", "missing_fields", "route"], w
     f = {x.field: x for x in t.facts.collect()}
     assert f["price"].datatype == "string" and f["price"].validation_status == "valid" and f["name"].validation_status == "valid"
     assert t.runs.select(resolve.should_escalate(F.col("route"))).first()[0]
