@@ -48,43 +48,105 @@ def transitions(values: DataFrame, group: str, kind: str, value: str, at: str) -
     return both.groupBy(kind, "earlier", "later").agg(F.count(F.lit(1)).alias("n"))
 
 
-def precedence(moves: DataFrame, kind: str, support: int = 2) -> DataFrame:
-    """The learnt order: (kind, earlier, later, lateness) for value pairs seen at least `support` times more often in
-    this direction than in the other. lateness of a value is its net share of arrivals, from -1 to 1; only edges that
-    raise it are kept, so the order has no cycle and lateness is a linear extension of it."""
-    ends = moves.select(kind, F.col("later").alias("_v"), F.col("n").alias("_in"), F.lit(0).cast("bigint").alias("_out")).unionAll(moves.select(kind, F.col("earlier").alias("_v"), F.lit(0).cast("bigint"), F.col("n")))
-    late = ends.groupBy(kind, "_v").agg(((F.sum("_in") - F.sum("_out")) / (F.sum("_in") + F.sum("_out"))).alias("_late"))
-    pair = moves.withColumn("_x", F.least("earlier", "later")).withColumn("_y", F.greatest("earlier", "later"))
-    net = pair.groupBy(kind, "_x", "_y").agg(F.sum(F.when(F.col("earlier") == F.col("_x"), F.col("n")).otherwise(-F.col("n"))).alias("_net"))
-    net = net.filter(F.abs("_net") >= support)
-    edge = net.select(kind, F.when(F.col("_net") > 0, F.col("_x")).otherwise(F.col("_y")).alias("earlier"), F.when(F.col("_net") > 0, F.col("_y")).otherwise(F.col("_x")).alias("later"))
-    e1 = late.select(F.col(kind).alias("_k1"), F.col("_v").alias("_v1"), F.col("_late").alias("_l1"))
-    e2 = late.select(F.col(kind).alias("_k2"), F.col("_v").alias("_v2"), F.col("_late").alias("lateness"))
-    edge = edge.join(e1, (F.col(kind) == F.col("_k1")) & (F.col("earlier") == F.col("_v1"))).join(e2, (F.col(kind) == F.col("_k2")) & (F.col("later") == F.col("_v2")))
-    return edge.filter(F.col("_l1") < F.col("lateness")).select(kind, "earlier", "later", "lateness")
-
-
-def latest_values(df: DataFrame, page: str, kind: str, value: str, at: str, support: int = 2) -> DataFrame:
+def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, node): the nodes that each key's seeds reach over one edge or more. seeds: key, node and, if there, `least`, the
+    strength that every edge of a path must have. edges: a, b, n. Semi-naive: each round joins only what the round before
+    found new, so a chain costs its length in rounds and a node is expanded once per key; cycles end by themselves."""
+    keyed = "least" in seeds.columns
+    rest = ["least"] if keyed else []
+    strong = (F.col("n") >= F.col("least")) if keyed else F.lit(True)
+    e = edges.select("a", F.col("b").alias("_to"), "n")
+    step = lambda x: x.join(e, (F.col("node") == F.col("a")) & strong).select("key", F.col("_to").alias("node"), *rest).distinct()
+    new = stage(step(seeds), "reach")
+    seen = new
+    while not new.isEmpty():
+        old = seen.select(F.col("key").alias("_k"), F.col("node").alias("_n"))
+        new = stage(step(new).join(old, (F.col("key") == F.col("_k")) & (F.col("node") == F.col("_n")), "left_anti"), "reach")
+        seen = seen.unionAll(new)
+    return seen.select("key", "node")
+
+
+def _on_cycles(edges: DataFrame, most_rounds: int = 6) -> DataFrame:
+    """A superset of the edges that lie on cycles: edges whose tail nothing enters or whose head nothing leaves are peeled
+    off, in a few rounds. Peeling only saves work; what stays is judged exactly."""
+    left = edges
+    n = left.count()
+    for _ in range(most_rounds):
+        into, out = left.select(F.col("b").alias("_x")).distinct(), left.select(F.col("a").alias("_y")).distinct()
+        left = stage(left.join(into, F.col("a") == F.col("_x"), "left_semi").join(out, F.col("b") == F.col("_y"), "left_semi"), "core")
+        m = left.count()
+        if m in (0, n):
+            break
+        n = m
+    return left
+
+
+def precedence(moves: DataFrame, support: int = 2) -> DataFrame:
+    """The learnt order as edges (a, b, n) from an earlier to a later value: pairs seen at least `support` times more often in
+    this direction than in the other, n times. Cycles are broken by the stronger evidence: an edge leaves if a path of edges
+    at least as strong leads back from its head to its tail. Every cycle has a weakest edge, which the others contradict, so
+    the result has no cycle, and no edge leaves but for stronger ones against it. moves: earlier, later, n."""
+    pair = moves.select(F.least("earlier", "later").alias("_x"), F.greatest("earlier", "later").alias("_y"), F.when(F.col("earlier") < F.col("later"), F.col("n")).otherwise(-F.col("n")).alias("_s"))
+    net = pair.groupBy("_x", "_y").agg(F.sum("_s").alias("_net")).filter((F.abs("_net") >= support) & (F.col("_x") != F.col("_y")))
+    up = F.col("_net") > 0
+    edges = stage(net.select(F.when(up, F.col("_x")).otherwise(F.col("_y")).alias("a"), F.when(up, F.col("_y")).otherwise(F.col("_x")).alias("b"), F.abs("_net").alias("n")), "order")
+    core = _on_cycles(edges)
+    if core.isEmpty():
+        return edges
+    # an edge asks whether its head leads back to its tail; strengths differ per edge, so the edge itself is the key
+    asked = core.select(F.struct("a", "b").alias("key"), F.col("b").alias("node"), F.col("n").alias("least"))
+    back = reach(asked, core).filter(F.col("node") == F.col("key.a")).select(F.col("key.a").alias("_a"), F.col("key.b").alias("_b"))
+    return stage(edges.join(back, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "order")
+
+
+def _marks(members: DataFrame, edges: DataFrame, pairs_up_to: int) -> DataFrame:
+    """(_gu, _mv, _down, _up): which values of a group are followed by, and which follow, another value of it, over any number
+    of values in between, these in the group or not. members: _g, _v, _timed. A relation counts if one of its ends has
+    no time of its own.
+
+    Values that the order does not know are left out first, then groups without a value to ask for. In a group of
+    up to `pairs_up_to` such values the pairs are asked, each distinct pair once for all groups, so a value that stands
+    in many groups is followed once. Larger groups are never paired: there the walk itself is kept per group."""
+    ends = edges.select("a").unionAll(edges.select("b")).distinct()
+    known = members.join(ends, F.col("_v") == F.col("a"), "left_semi")
+    per = known.groupBy(F.col("_g").alias("_gs")).agg(F.count(F.lit(1)).alias("_k"), F.min(F.col("_timed").cast("int")).alias("_t")).filter("_k > 1 AND _t = 0")
+    known = stage(known.join(per, F.col("_g") == F.col("_gs")).select("_g", "_v", "_timed", "_k"), "members")
+    small, large = known.filter(F.col("_k") <= pairs_up_to), known.filter(F.col("_k") > pairs_up_to)
+    # small groups
+    g = small.groupBy("_g").agg(F.collect_list(F.struct("_v", "_timed")).alias("_m"))
+    g = g.select("_g", F.explode("_m").alias("_s"), "_m").select("_g", "_s", F.explode(F.filter("_m", lambda x: (x["_v"] != F.col("_s._v")) & ~(x["_timed"] & F.col("_s._timed")))).alias("_t"))
+    asked = stage(g.select("_g", F.col("_s._v").alias("_from"), F.col("_t._v").alias("_to")), "pairs")
+    goals = asked.select("_from", "_to").distinct()
+    goals = goals.join(edges.select("a").distinct(), F.col("_from") == F.col("a"), "left_semi").join(edges.select("b").distinct(), F.col("_to") == F.col("b"), "left_semi")
+    goals = stage(goals, "goals")
+    walked = reach(goals.select(F.col("_from").alias("key"), F.col("_from").alias("node")).distinct(), edges)
+    true = goals.join(walked, (F.col("_from") == F.col("key")) & (F.col("_to") == F.col("node")), "left_semi").select(F.col("_from").alias("_f"), F.col("_to").alias("_o"))
+    hit = asked.join(true, (F.col("_from") == F.col("_f")) & (F.col("_to") == F.col("_o")))
+    marks = hit.select("_g", F.col("_from").alias("_v"), F.lit(1).alias("_down"), F.lit(0).alias("_up")).unionAll(hit.select("_g", "_to", F.lit(0), F.lit(1)))
+    # large groups: walks per group, from timed and untimed values apart, with the order and against it
+    if not large.isEmpty():
+        for down, e in ((0, edges), (1, edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))):
+            seen = reach(large.select(F.struct("_g", "_timed").alias("key"), F.col("_v").alias("node")), e)
+            at = seen.join(large, (F.col("key._g") == F.col("_g")) & (F.col("node") == F.col("_v")) & ~(F.col("key._timed") & F.col("_timed")), "right").filter(F.col("key").isNotNull())
+            marks = marks.unionAll(at.select("_g", "_v", F.lit(down), F.lit(1 - down)))
+    return marks.groupBy(F.col("_g").alias("_gu"), F.col("_v").alias("_mv")).agg(F.max("_down").alias("_down"), F.max("_up").alias("_up"))
+
+
+def latest_values(df: DataFrame, page: str, kind: str, value: str, at: str, support: int = 2, pairs_up_to: int = 16) -> DataFrame:
     """For each (page, kind) with a usable value the topologically latest one: `value`, `basis` and `n_values`.
 
-    basis: `only` (one value), `timestamp` (the last one seen, and no untimed value comes after it), `precedence` (an
-    untimed value that the learnt order puts after another value of the group) or `unordered` (no order reaches the
+    The order of a group is that of its time stamps and, where a value has none, the learnt order, closed over values in
+    between. basis: `only` (one value), `timestamp` (the last one seen, and no untimed value comes after it), `precedence`
+    (an untimed value that the learnt order puts after another value of the group) or `unordered` (no order reaches the
     choice: the most frequent value, then the smallest). Null or blank values and null keys are left out; repeated rows
-    count once per time stamp; an empty table gives an empty result."""
+    count once per time stamp; an empty table gives an empty result; other columns are not read. pairs_up_to changes how
+    an answer is found, never the answer."""
     v = df.filter(usable(F.col(value)) & F.col(page).isNotNull() & F.col(kind).isNotNull()).groupBy(page, kind, value).agg(F.max(at).alias("_at"), F.count(F.lit(1)).alias("_n"))
-    v = stage(v.select(F.col(page).alias("_page"), F.col(kind).alias("_kind"), F.col(value).alias("_value"), F.unix_micros(F.col("_at").cast("timestamp")).alias("_at"), "_n"), "values")
-    hashed = [F.xxhash64("_page", "_kind").alias("_g"), F.xxhash64("_value").alias("_v")]
-    h = v.select(*hashed, "_kind", "_at")
-    order = precedence(stage(transitions(h, "_g", "_kind", "_v", "_at"), "transitions"), "_kind", support)
-    o = order.select(F.col("_kind").alias("_ok"), F.col("earlier").alias("_own"), F.col("later").alias("_other"), F.lit(1).alias("_down"))
-    o = o.unionAll(order.select("_kind", "later", "earlier", F.lit(0)))
-    # an edge can only matter where one of its ends has no time of its own
-    untimed = h.filter(F.col("_at").isNull()).select(F.col("_g").alias("_gu"), F.col("_kind").alias("_ku"), F.col("_v").alias("_u"))
-    edges = untimed.join(o, (F.col("_ku") == F.col("_ok")) & (F.col("_u") == F.col("_own"))).select("_gu", "_own", "_other", "_down")
-    edges = edges.join(h.select("_g", "_v"), (F.col("_gu") == F.col("_g")) & (F.col("_other") == F.col("_v")), "left_semi")
-    marks = edges.select("_gu", F.col("_own").alias("_mv"), "_down", (1 - F.col("_down")).alias("_up")).unionAll(edges.select("_gu", "_other", 1 - F.col("_down"), "_down"))
-    marks = marks.groupBy("_gu", "_mv").agg(F.max("_down").alias("_down"), F.max("_up").alias("_up"))
-    rows = v.withColumns({"_g": hashed[0], "_v": hashed[1]}).join(marks, (F.col("_g") == F.col("_gu")) & (F.col("_v") == F.col("_mv")), "left")
+    v = v.select(F.col(page).alias("_page"), F.col(kind).alias("_kind"), F.col(value).alias("_value"), F.unix_micros(F.col("_at").cast("timestamp")).alias("_at"), "_n")
+    v = stage(v.withColumns({"_g": F.xxhash64("_page", "_kind"), "_v": F.xxhash64("_kind", "_value")}), "values")
+    edges = precedence(stage(transitions(v.select("_g", "_kind", "_v", "_at"), "_g", "_kind", "_v", "_at"), "transitions"), support)
+    marks = _marks(v.select("_g", "_v", F.col("_at").isNotNull().alias("_timed")), edges, pairs_up_to)
+    rows = v.join(marks, (F.col("_g") == F.col("_gu")) & (F.col("_v") == F.col("_mv")), "left")
     # sinks first: not followed by another value; then values that are known to follow one, or the last seen
     up, down = F.coalesce(F.col("_up"), F.lit(0)), F.coalesce(F.col("_down"), F.lit(0))
     key = F.struct(
