@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from factloom.functions import signature
 from factloom.llm import lookalike, mainbody, mixing, packing, percentiles, repetition, residue, survivor, tokens
 from factloom.session import stage
 from factloom.sources.tables import table
@@ -139,7 +140,8 @@ def records_with_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(records_with_text(spark, d))
+    pages = table(spark, d, "fetched_documents").select("url", signature.title_guess(F.col("text")).alias("title"))
+    return residue.residue(records_with_text(spark, d), pages)
 
 
 QUERIES["p5_found"] = p5_found

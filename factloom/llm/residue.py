@@ -1,58 +1,56 @@
 """Template leftovers, filler, error-page text and script notices where content should stand.
 
-A record is split into fragments (lines, sentences, title parts). Placeholder detectors judge a fragment by itself. Error
-messages and notices are judged by host evidence over the whole corpus: a fragment with the vocabulary of such messages
-is residue if it is a duplicated low-information response, that is if the same words (host, numbers and ids masked)
-stand on several pages although these pages' addresses say something else, and if the words are fixed:
-among the fragments that differ only in their capitalised words this one holds the larger part. A sentence about an
-error names its subject, so it shares its frame with many others that each name another one. A status line or a message
-of known wording that fills its fragment needs no such evidence: it is residue on a single page too.
-Titles are not compared: the title of an error page repeats the message, and agreement would clear it.
+Host evidence, which knows no words: a record is a *response* if it is the same low-information text, host name, numbers and
+ids masked, on several pages of several hosts, and neither the words of these pages' addresses nor their titles agree
+with it. What a site says about its pages differs from page to page, and what it says on all of them stands on one host; only a
+server's or a template's own message replaces the content of unrelated pages of unrelated hosts. From the responses
+their messages are learnt, and a record holds residue if it is a response, if one of its fragments (lines, sentences, title
+parts) is a learnt message, or if a fragment is a learnt message followed by another piece that stands on several pages.
+Titles that are responses themselves agree with nothing: error pages repeat their message there.
+
+Detectors, second: unfilled placeholders and failed renderings, filler Latin, status lines and messages of known wording count
+on a single page too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 from http import HTTPStatus
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.signature import once
+from factloom.llm.lookalike import Rewriter, consistent_form, look_alikes, representatives
 from factloom.session import stage
-from factloom.llm.lookalike import Rewriter, look_alikes, representatives
 
-# Forms of unfilled placeholders and failed renderings.
-PLACEHOLDERS = [
-    r"\{\{\{?[^{}]*\}?\}\}?|\{\{", r"\{%[^%]*%?\}?", r"<%[^%]*%?>?", r"%%\w+%%", r"\$\{[^}]*\}?", r"#\{[^}]*\}?", r"\[\[[^\]]*\]?\]?", r"%\(\w+\)[sdf]",
-    r"\$[A-Z][A-Z_]{2,}\$", r"__[A-Z][A-Z_]*[A-Z]__", r"\[(?:YOUR|INSERT|ADD|ENTER)[ _][^\]]*\]", r"\[[A-Z]+(?:_[A-Z]+)+\]", r"\[(?:NAME|TITLE|DATE|PRICE|TODO|TBD|BRAND|AUTHOR|SUMMARY|HEADLINE|DESCRIPTION)\]",
-    r"\[(?:insert|your|add|enter) [^\]]*\]", r"(?<![\w.])\{[a-z_]+(?:\.[a-z_]+)*\}", r"<no value>", r"\[object Object\]", r"\bNaN\b", r"\bnull null\b", r"\bundefined\b", r"\(none\)", r"\(null\)", r"\bTODO\b:", r"\bTraceback\b:", r"\bcannot render\b",
+# Template syntax that was not filled in.
+TEMPLATES = [
+    r"\{\{\{?[^{}]*\}?\}\}?|\{\{", r"\{%[^%]*%?\}?", r"<%[^%]*%?>?", r"%%\w+%%", r"\$\{[^}]*\}?", r"#\{[^}]*\}?", r"\[\[[^\]]*\]?\]?", r"%\(\w+\)[sdf]", r"\$[A-Z][A-Z_]{2,}\$", r"__[A-Z][A-Z_]*[A-Z]__",
+    r"(?<![\w.])\{[a-z_]+(?:\.[a-z_]+)*\}", r"\[(?:[Ii]nsert|[Yy]our|[Aa]dd|[Ee]nter|YOUR|INSERT|ADD|ENTER)[ _][^\]]*\]", r"\[[A-Z]+(?:_[A-Z]+)+\]",
 ]
-_PLACEHOLDER = re.compile("|".join(PLACEHOLDERS))
+# Words that a failed rendering leaves in the place of a value.
+FAILED = [
+    r"<no value>", r"\[object Object\]", r"\bNaN\b", r"\bnull null\b", r"\bundefined\b", r"\(none\)", r"\(null\)", r"\bTODO\b:", r"\bTraceback\b:", r"\bcannot render\b",
+    r"\[(?:NAME|TITLE|DATE|PRICE|TODO|TBD|BRAND|AUTHOR|SUMMARY|HEADLINE|DESCRIPTION)\]",
+]
+_TEMPLATE, _FAILED = re.compile("|".join(TEMPLATES)), re.compile("|".join(FAILED))
+#: Literals of which each pattern above needs at least one.
+_MARKS = r"[{}\[$#<]|%%|%\(|__|NaN|null|undefined|\(none|TODO|Traceback|render"
+#: Words around a token by which a sentence talks about it: what prints, writes or names it, and what it is said to be.
+_NAMED = re.compile(r"(?:\b(?:print|display|show|log|return|emit)(?:s|ed|ing)?|\bsa(?:y|ys|id)|\bwr(?:ite|ites|ote|itten)|\bquot(?:e|es|ed|ing)|\bcalled|\bnamed|\b(?:tag|token|word|term|string|value|marker?)|\bsuch as)\s*$", re.I)
+_NAMES = re.compile(r"\s*(?:marks?|tags?|tokens?|markers?|beha[a-z]*)\b", re.I)
 _QUOTED = re.compile(r"`[^`\n]*(?:`|$)", re.M)
-#: Words around a token by which a text talks about it.
-_MENTION_BEFORE = re.compile(r"(?:\bprint(?:s|ed)?|\bthe (?:tag|token|word|mark|string)|\bsuch as|\bleave no|\bwrites|\bquot(?:ing|es|ed)|\bcalled)\s*$", re.I)
-_MENTION_AFTER = re.compile(r"^\s*(?:marks?\b|tags?\b|beha)", re.I)
 _LOREM = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident culpa officia deserunt mollit anim laborum".split())
-# Vocabulary of notices, errors and filler; it only nominates fragments, the corpus decides.
-CUES = [
-    r"javascript|noscript|scripting|\b(?:enable|allow|turn|needs?|requires?|block|switch)\w*\b.*\bscripts?\b|\bscripts?\b.*\b(?:allowed|blocked|required|off|on)\b",
-    r"(?:newer|your|another|modern|supported) browser|browser (?:is|settings)|(?:votre|autre) navigateur|(?:tu|su|otro) navegador|(?:ihren?|anderen) browser",
-    r"captcha|unusual traffic|(?:are|you're|be) (?:a )?human|no machine|not a robot|testing your|checking your|ein mensch|êtes humain",
-    r"not found|no longer exists|has moved|nothing lives|couldn't find|could not|is gone|went wrong|on our side|internal server|bad gateway|unavailable|time-?out|timed out|access (?:denied|to)|was denied|forbidden|maintenance|back in|try again|expired|sign in again|slow down|too many|limit of|connection failed|exception|\bfault\b|upstream|hung up|\berror\b|\bhttp \d",
-    r"fehler|nicht gefunden|nicht erreichbar|gesperrt|wartung|introuvable|ne répond|erreur|no existe|no encontrad|error interno|inténtelo|недоступ|не найден|ошибк|включите|активируйте",
-    r"placeholder|dummy|goes here|sample (?:text|description|copy)|replace before|\bfoo bar\b|(?:\basdf\b ?){2}|x{5} x{5}|test test|relleno|provisoire|remplacer|beispieltext|platzhalter|ersetzen|заполнитель|образец текста|your text|coming soon",
-]
-_CUE = re.compile("|".join(CUES), re.I)
-#: The project's own wording, and prefixes after which a message is quoted.
-_OWN = re.compile(r"(?:page_class|tactic|cdn|missing_fields|robots disallow|bot_wall\w*|fetch failed|http status|route|cache_hit|success|partial|failed|unresolved)\b")
-_PREFIX = re.compile(r"(?:l\d_\w+:\w+|note|page text|static_hint|canonical|generator|browser_hint):\s*")
-_STATUS_LINE = re.compile(r"[45]\d\d [A-Z][a-z]")
-_SPLIT = re.compile(r"\n|(?<=[.!?…])\s+|\s[|–—]\s|\s(?=(?:Try again later|Return to the|Request id|Reference [0-9a-f]|Contact the|Time \d))")
-_URL = re.compile(r"https?://\S+")
-_ID = re.compile(r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{5,}\b")
-_CAPITAL = re.compile(r"\b[^\W\d_a-zа-яß-öø-ÿё]\w*(?:\s[^\W\d_a-zа-яß-öø-ÿё]\w*)*")
+# Tags and statuses of the project's own wording.
+OWN = [
+    "page_class", "tactic", "cdn", "missing_fields", "robots disallow", "bot_wall", "fetch failed", "http status", "route", "cache_hit", "success", "partial", "failed", "unresolved", "likely_spa", "jsonld_detected", "frameworks", "embedded",
+    "trackers", "spa_score", "ab_cookies", "needs_browser",
+]
+_OWN = rf"^(?:{'|'.join(OWN)})\w*"
+#: A tag before something quoted.
+_TAG = r"^(?:l\d_\w+:\w+|[a-z][a-z0-9_ ]{0,40}):\s*"
+_SPLIT = r"\n|(?<=[.!?…])\s+|\s[|–—]\s"
 
 
 # Messages that fill a fragment and name no subject, in masked form (@ host, 9 number, # id, / path). Texts and
@@ -89,130 +87,137 @@ _SERVER = r" (?:nginx|apache|openresty|litespeed|caddy|cloudflare|microsoft-iis|
 _STATUS = re.compile(rf"(?:(?:http(?:/[0-9.]+)?|(?:http )?error(?: code)?)[ :]*)?[45][0-9][0-9][ :–—-]+(?:{_REASON})(?:{_SERVER})?|(?:http(?:/[0-9.]+)?|(?:http )?error(?: code)?)[ :]*[45][0-9][0-9](?:{_SERVER})?|(?:{_REASON}){_SERVER}", re.I)
 
 
-def known_message(form: Callable[[str], str] = str) -> Callable[[str, str], bool]:
-    """Whether a fragment, given as it stands and masked, is nothing but a status line or a message of known wording.
-    form: the form of the texts. Look-alikes of two alphabets may differ in lower case only, so upper case is compared."""
-    known = re.compile("|".join(form(x.upper()) for x in MESSAGES))
-    return lambda fragment, mask: bool(_STATUS.fullmatch(fragment.strip(" .!|")) or known.fullmatch(form(mask.strip(" .!|").upper())))
 
+def placeholder(text: str) -> bool:
+    """Whether a text holds an unfilled placeholder or a failed rendering. Quoted code does not count, nor does a failed
+    rendering that the sentence names."""
+    t = _QUOTED.sub(" ", text)
+    if _TEMPLATE.search(t):
+        return True
+    return any(not (_NAMED.search(t[: m.start()]) or _NAMES.match(t[m.end() :])) for m in _FAILED.finditer(t))
 
-#: Literals of which each pattern above needs at least one, so that one pass of an automaton clears most texts.
-_MARKS = "{{ {% <% %% ${ #{ [[ %( $ __ [ { <no nan null undefined (none todo traceback: render".split(" ")
-_STEMS = (
-    "script|browser|navigateur|navegador|captcha|unusual traffic|human|machine|robot|testing your|checking your|mensch|humain|not found|no longer exists|has moved|nothing lives|couldn't find|could not|is gone|went wrong"
-    "|on our side|internal server|bad gateway|unavailable|time-out|timeout|timed out|access denied|access to|was denied|forbidden|maintenance|back in|try again|expired|sign in again|slow down|too many|limit of|connection failed"
-    "|exception|fault|upstream|hung up|error|http |fehler|nicht gefunden|nicht erreichbar|gesperrt|wartung|introuvable|ne répond|erreur|no existe|no encontrad|inténtelo|недоступ|не найден|ошибк|включите|активируйте|placeholder|dummy"
-    "|goes here|sample |replace before|foo bar|asdf|xxxxx|test test|relleno|provisoire|remplacer|beispieltext|platzhalter|ersetzen|заполнитель|образец текста|your text|coming soon"
-).split("|")
-_MARK, _STEM, _FILLER, _CODE = 1, 2, 4, 8
 
+class Masks:
+    """Columns that mask texts. Upper case is compared, in the form of `to`: look-alikes of two alphabets may differ in lower
+    case only."""
 
-def nominator(form) -> object:
-    """An automaton over lower-case texts in the given form; its values tell which checks a text needs."""
-    import ahocorasick
+    def __init__(self, to: dict[str, str], url: Column) -> None:
+        self.single = [(m, r) for m, r in to.items() if len(m) == len(r) == 1 and ord(m) < 0x10000 and ord(r) < 0x10000 and m.lower() != m]
+        self.host = F.upper(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+        parts = F.split(self.host, r"\.")
+        self.brand = F.coalesce(F.try_element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(-1))), F.lit(""))
+        self.slug = self.words(F.upper(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")))
 
-    auto = ahocorasick.Automaton()
-    for words, flag in ((_MARKS, _MARK), ([form(x) for x in _STEMS], _STEM), ([x for x in _LOREM if len(x) > 4], _FILLER), ([str(x) + " " for x in range(400, 600)], _CODE)):
-        for w in words:
-            w = w.lower()
-            auto.add_word(w, flag | (auto.get(w) if w in auto else 0))
-    auto.make_automaton()
-    return auto
+    def upper(self, x: Column) -> Column:
+        return F.translate(F.upper(x), "".join(m for m, _ in self.single), "".join(r for _, r in self.single))
 
+    def mask(self, x: Column) -> Column:
+        """Upper case without host name, paths, ids and numbers: @, /, # and 9."""
+        u = F.regexp_replace(self.upper(x), r"(?<!\S)/\S+", "/")
+        u = F.when(self.host == "", u).otherwise(F.replace(u, self.host, F.lit("@")))
+        u = F.when(F.length(self.brand) > 2, F.replace(u, self.brand, F.lit("@"))).otherwise(u)
+        u = F.regexp_replace(F.regexp_replace(u, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9")
+        return F.regexp_replace(u, r"(?U)^[\s.!|]+|[\s.!|]+$", "")
 
-def placeholder(text: str) -> bool:
-    """Whether a text holds an unfilled placeholder or a failed rendering, outside quoted code and mentions."""
-    t = _QUOTED.sub(" ", text)
-    for m in _PLACEHOLDER.finditer(t):
-        if not (_MENTION_BEFORE.search(t[max(0, m.start() - 24) : m.start()]) or _MENTION_AFTER.match(t[m.end() : m.end() + 8])):
-            return True
-    return False
-
-
-def lorem(text: str) -> bool:
-    words = re.findall(r"[a-z]+", text.lower())
-    known = sum(w in _LOREM for w in words)
-    return known >= 4 and known >= 0.6 * len(words)
-
-
-def masked(fragment: str, host: str, cue: re.Pattern = _CUE) -> tuple[str, str]:
-    """(the fragment without host name, ids and numbers; the same without its capitalised words)."""
-    t = re.sub(r"(?<!\S)/\S+", "/", fragment.strip())
-    if host:
-        t = re.sub(re.escape(host), "@", t, flags=re.I)
-        if len(brand := host.split(".")[-2 if "." in host else 0]) > 2:
-            t = re.sub(re.escape(brand), "@", t, flags=re.I)
-    known = cue.sub(lambda m: m[0].lower(), t.lower() if _STATUS_LINE.match(t) else t)
-    plain = lambda x: re.sub(r"\d+", "9", _ID.sub("#", x)).strip(" .|")
-    return plain(t), plain(_CAPITAL.sub("N", known))
-
-
-def judged(text: str, url: str | None, own: bool = False, cue: re.Pattern = _CUE, needs: int = 15, known: Callable[[str, str], bool] = known_message()) -> tuple[bool, list[tuple[str, str]]]:
-    """(placeholder, filler or known message found, [(fragment, frame)] that the corpus must judge). A known message stays
-    among the fragments, as evidence for other pages. own: the text is a list entry or status of the project, whose own
-    wording is no residue. needs: the checks that the nominator asks for. known: see known_message."""
-    if needs & _MARK and placeholder(text):
-        return True, []
-    if own and _OWN.match(text):
-        return False, []
-    if own:
-        text = _PREFIX.sub("", text, count=1)
-    if not needs & (_STEM | _FILLER | _CODE):
-        return False, []
-    parts = urlsplit(url or "")
-    host = (parts.hostname or "").lower()
-    slug = set(re.findall(r"[^\W\d_]{3,}", parts.path.lower()))
-    ask, hit = [], False
-    for frag in _SPLIT.split(_URL.sub(" ", text)):
-        if needs & _FILLER and lorem(frag):
-            return True, []
-        if cue.search(frag) or _STATUS_LINE.match(frag):
-            words = set(re.findall(r"[^\W\d_]{3,}", frag.lower()))
-            if words and len(words & slug) < 0.5 * len(words):  # it says what the address says: content
-                ask.append(masked(frag, host, cue))
-                hit = hit or known(frag, ask[-1][0])
-    return hit, ask
-
-
-def residue(records: DataFrame, least_pages: int = 3, fixed: float = 0.4) -> DataFrame:
-    """(kind, rec_id) of the records with residue. records: kind, rec_id, url, own BOOLEAN, text.
-
-    least_pages: on how many pages a message of unknown wording must stand; fixed: the share it must hold among the fragments
-    of its frame. Null and empty texts hold nothing; a null url gives no host evidence; repeated rows count once, for pages are
-    counted. Only nominated fragments are shuffled; what is joined back is the table of judged messages, which
-    does not grow with the pages that show them."""
+    @staticmethod
+    def words(x: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(x, F.lit(r"\p{L}{3,}"), F.lit(0)))
+
+
+def agree(a: Column, b: Column) -> Column:
+    """Whether half of the words of a stand in b."""
+    return (F.size(a) > 0) & (2 * F.size(F.array_intersect(a, b)) >= F.size(a))
+
+
+def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: int = 3, least_hosts: int = 2, least_words: int = 3, most_words: int = 40, agreeing: float = 0.5) -> DataFrame:
+    """(kind, rec_id) of the records with residue. records: kind, rec_id, url, own BOOLEAN (a list entry or status of the
+    project, whose own wording is no residue), text; other columns are not read. titles: url, title of pages, if known.
+
+    A response is a content record (not an own one) that is no cut-off text, of `least_words` to `most_words` words, more words than numbers, on `least_pages` pages of
+    `least_hosts` hosts, with which less than `agreeing` of the pages that have words in address or title agree.
+    Null and empty texts hold nothing; a null url gives no host evidence and agrees with nothing; repeated rows
+    count once, for pages are counted; an empty table gives an empty result. Texts are masked in the JVM, only what is not ASCII
+    or may hold a placeholder visits Python; what is shuffled are hashes, and what is joined back are the learnt
+    messages, which do not grow with the pages that show them."""
     classes = look_alikes()
     to = representatives(classes, {m: 1 for g in classes.members().values() for m in g if m.isascii()})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        form = Rewriter(to)
-        cue = re.compile("|".join(map(form, CUES)), re.I)  # in the same form as the texts
-        auto, known = nominator(form), known_message(form)
-        for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for i, text in enumerate(b.column(4).to_pylist()):
-                t = form(text)
-                needs = 0
-                for _, flag in auto.iter(t.lower()):
-                    needs |= flag
-                if not needs:
-                    continue
-                kind, rec, url, own = (b.column(k)[i].as_py() for k in range(4))
-                hit, ask = judged(t, url, own, cue, needs, known)
-                page = (url or "").split("?")[0]
-                for frag, frame in [(None, None)] * hit + list(dict.fromkeys(ask)):
-                    for o, x in zip(out, (kind, rec, page, frag, frame)):
-                        o.append(x)
-            yield pa.record_batch([pa.array(o, pa.string()) for o in out], ["kind", "rec_id", "page", "frag", "frame"])
-
-    # the project's own wording needs no look if it is its own form and holds no literal of a placeholder
-    marks = "|".join(map(re.escape, _MARKS))
-    plain = F.col("own") & F.col("text").rlike(rf"^{_OWN.pattern}") & F.col("text").rlike(r"^\p{ASCII}*$") & ~F.col("text").rlike(f"(?i){marks}")
-    rows = records.filter((F.length("text") > 0) & ~plain).select("kind", "rec_id", "url", "own", "text")
-    rows = stage(rows.mapInArrow(run, "kind string, rec_id string, page string, frag string, frame string"), "nominated")
-    asked = rows.filter(F.col("frag").isNotNull())
-    pages = asked.groupBy("frame", "frag").agg(F.countDistinct("page").alias("n"))
-    frames = pages.groupBy(F.col("frame").alias("_frame")).agg(F.sum("n").alias("_all"))
-    bad = pages.join(frames, F.col("frame") == F.col("_frame")).filter((F.col("n") >= least_pages) & (F.col("n") >= fixed * F.col("_all"))).select(F.col("frag").alias("_bad")).distinct()
-    found = asked.join(bad, F.col("frag") == F.col("_bad"), "left_semi").select("kind", "rec_id")
-    return rows.filter(F.col("frag").isNull()).select("kind", "rec_id").unionAll(found).distinct()
+    form = Rewriter(to)
+    rows = consistent_form(records.filter(F.length("text") > 0).select("kind", "rec_id", "url", "own", "text"), "text", "_form", to)
+
+    @F.arrow_udf("boolean")
+    def unfilled(x: pa.Array) -> pa.Array:
+        return pa.array([t is not None and placeholder(t) for t in x.to_pylist()], pa.bool_())
+
+    marked = F.col("_form").rlike(_MARKS)
+    rows = rows.withColumn("_bad", F.coalesce(F.when(marked, unfilled(F.when(marked, F.col("_form")))), F.lit(False)))
+    k = Masks(to, F.col("url"))
+    own = F.coalesce(F.col("own"), F.lit(False))
+    said = F.when(~own, F.array("_form")).when(F.col("_form").rlike(_OWN), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array("_form", F.regexp_replace("_form", _TAG, ""))))
+    page = F.when(F.col("url").isNotNull(), F.xxhash64(F.regexp_replace("url", r"\?.*$", "")))
+    rows = rows.select("kind", "rec_id", "url", "own", page.alias("page"), "_bad", F.explode_outer(said).alias("t"))
+    rows = rows.withColumn("_m", k.mask(F.col("t"))).withColumn("frags", F.filter(F.split(F.regexp_replace("t", r"https?://\S+", " "), _SPLIT), lambda x: x.rlike(r"\S")))
+    n_words = lambda x: F.regexp_count(x, F.lit(r"\p{L}{2,}"))
+    low = n_words(F.col("_m")).between(least_words, most_words) & (n_words(F.col("_m")) > F.regexp_count(F.col("_m"), F.lit("[9#]"))) & ~F.col("t").rlike(r"(?U)(?:…|\.\.\.)\s*$")
+    rows = rows.select("kind", "rec_id", "url", "page", "_bad", F.when(low & ~own, F.col("_m")).alias("whole"), F.posexplode_outer("frags").alias("pos", "x"))
+    rows = rows.withColumn("m", k.mask(F.col("x"))).withColumn("u", k.upper(F.col("x")))
+    rows = rows.withColumn("_says", agree(k.words(F.col("u")), k.slug))  # what the address says is content
+    messages = "|".join(form(x.upper()) for x in MESSAGES)
+    known = lambda m, u: m.rlike(rf"^(?:{messages})$") | F.regexp_replace(u, r"^[\s.!|]+|[\s.!|]+$", "").rlike(rf"(?i)^(?:{_STATUS.pattern})$")
+    latin = F.regexp_count(F.col("u"), F.lit(rf"\b(?:{'|'.join(sorted(_LOREM)).upper()})\b"))
+    filler = (latin >= 4) & (latin >= 0.6 * F.regexp_count(F.col("u"), F.lit(r"[A-Z]+")))
+    # where a piece may begin that no mark parts from the one before: at a capital letter
+    starts = F.split("x", r"(?<=[\p{L}\p{N})\]])\s+(?=\p{Lu})")
+
+    def cut(i: Column) -> Column:
+        head, rest = F.array_join(F.slice(starts, F.lit(1), i), " "), F.array_join(F.slice(starts, i + 1, F.size(starts)), " ")
+        return once(k.mask(head), lambda m: F.struct(F.xxhash64(m).alias("a"), F.xxhash64(k.mask(rest)).alias("b"), known(m, k.upper(head)).alias("k")))
+
+    parts = F.size(starts)
+    cuts = F.when((parts > 1) & (n_words(F.col("m")) <= 2 * most_words), F.transform(F.sequence(F.lit(1), parts - 1), cut))
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    rows = rows.select(
+        "kind", "rec_id", "page", F.when(k.host != "", F.xxhash64(k.host)).alias("host"), "url",
+        (F.col("_bad") | F.coalesce((known(F.col("m"), F.col("u")) & ~F.col("_says")) | filler, F.lit(False))).alias("bad"), F.col("_says").alias("says"),
+        F.when(n_words(F.col("m")) > 0, F.xxhash64("m")).alias("h"), (n_words(F.col("m")) > 1).alias("several"), F.when(first, F.col("whole")).alias("whole"), cuts.alias("cuts"),
+    )
+    rows = stage(rows, "fragments")
+    learnt = stage(_learnt(rows, titles, to, least_pages, least_hosts, agreeing), "messages")
+    found = rows.filter("bad").select("kind", "rec_id")
+    responses = learnt.select(F.col("w").alias("_w")).distinct()
+    found = found.unionAll(rows.filter("whole IS NOT NULL").join(responses, F.xxhash64("whole") == F.col("_w"), "left_semi").select("kind", "rec_id"))
+    heads = learnt.filter("head IS NOT NULL").select(F.col("head").alias("_h")).distinct()
+    asked = rows.filter("NOT says")
+    found = found.unionAll(asked.join(heads, F.col("h") == F.col("_h"), "left_semi").select("kind", "rec_id"))
+    # a message and, after it, a piece that stands on several pages
+    joined = asked.filter("cuts IS NOT NULL").select("kind", "rec_id", F.explode("cuts").alias("c")).join(heads, F.col("c.a") == F.col("_h"), "left").filter("c.k OR _h IS NOT NULL")
+    joined = stage(joined.select("kind", "rec_id", F.col("c.b").alias("b")), "joined")
+    pieces = rows.join(joined.select(F.col("b").alias("_b")).distinct(), F.col("h") == F.col("_b"), "left_semi").select("h", "page").distinct()
+    pieces = pieces.groupBy(F.col("h").alias("_p")).agg(F.count("page").alias("n")).filter(F.col("n") >= least_pages)
+    found = found.unionAll(joined.join(pieces, F.col("b") == F.col("_p"), "left_semi").select("kind", "rec_id"))
+    return found.distinct()
+
+
+def _learnt(rows: DataFrame, titles: DataFrame | None, to: dict[str, str], least_pages: int, least_hosts: int, agreeing: float) -> DataFrame:
+    """(w, head): the hashes of the responses and of the fragments they begin with. Pages are counted after a map-side
+    combine per text, host and page, so a text that stands on a third of all pages is no single task."""
+    r = rows.filter("whole IS NOT NULL AND page IS NOT NULL").select(F.xxhash64("whole").alias("w"), "host", "page", "url", "whole", F.when(F.col("several"), F.col("h")).alias("head"))
+    per_page = r.groupBy("w", "host", "page").agg(F.min("head").alias("head"))
+    per_host = per_page.groupBy("w", "host").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("head"))
+    often = per_host.groupBy("w").agg(F.sum("n").alias("n"), F.count("host").alias("hosts"), F.min("head").alias("head"))
+    often = stage(often.filter((F.col("n") >= least_pages) & (F.col("hosts") >= least_hosts)).select(F.col("w").alias("_w"), "head"), "often")
+    # only for these texts: what addresses and titles of their pages say
+    here = r.join(often.select("_w"), F.col("w") == F.col("_w"), "left_semi").groupBy("w", "page").agg(F.min("url").alias("url"), F.min("whole").alias("whole"))
+    k = Masks(to, F.col("url"))
+    if titles is not None:
+        t = titles.select(F.xxhash64(F.regexp_replace("url", r"\?.*$", "")).alias("_page"), F.col("title").alias("_title")).filter("_page IS NOT NULL AND length(_title) > 0").groupBy("_page").agg(F.min("_title").alias("_title"))
+        here = here.join(t, F.col("page") == F.col("_page"), "left")
+    else:
+        here = here.withColumn("_title", F.lit(None).cast("string"))
+    # a title that repeats the message itself, or its beginning, is no second voice
+    mine, title = k.words(F.col("whole")), k.words(k.mask(F.coalesce("_title", F.lit(""))))
+    echo = (F.size(title) > 0) & (F.size(F.array_except(title, mine)) == 0)
+    voices = F.when(echo, k.slug).otherwise(F.array_union(k.slug, title))
+    here = here.select("w", (F.size(voices) > 0).cast("int").alias("heard"), agree(mine, voices).cast("int").alias("yes"))
+    says = here.groupBy("w").agg(F.sum("heard").alias("heard"), F.sum("yes").alias("yes"))
+    out = says.filter(F.col("yes") <= agreeing * F.greatest(F.col("heard"), F.lit(1)) - 1e-9).select("w")
+    return out.join(often, F.col("w") == F.col("_w")).select("w", "head")
