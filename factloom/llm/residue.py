@@ -20,7 +20,6 @@ from http import HTTPStatus
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.signature import once
 from factloom.llm.lookalike import Rewriter, consistent_form, look_alikes, representatives
 from factloom.session import stage
 
@@ -117,7 +116,7 @@ class Masks:
         u = F.when(self.host == "", u).otherwise(F.replace(u, self.host, F.lit("@")))
         u = F.when(F.length(self.brand) > 2, F.replace(u, self.brand, F.lit("@"))).otherwise(u)
         u = F.regexp_replace(F.regexp_replace(u, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9")
-        return F.regexp_replace(u, r"(?U)^[\s.!|]+|[\s.!|]+$", "")
+        return _stripped(u)
 
     @staticmethod
     def words(x: Column) -> Column:
@@ -155,52 +154,55 @@ def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: in
     said = F.when(~own, F.array("_form")).when(F.col("_form").rlike(_OWN), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array("_form", F.regexp_replace("_form", _TAG, ""))))
     page = F.when(F.col("url").isNotNull(), F.xxhash64(F.regexp_replace("url", r"\?.*$", "")))
     rows = rows.select("kind", "rec_id", "url", "own", page.alias("page"), "_bad", F.explode_outer(said).alias("t"))
-    rows = rows.withColumn("_m", k.mask(F.col("t"))).withColumn("frags", F.filter(F.split(F.regexp_replace("t", r"https?://\S+", " "), _SPLIT), lambda x: x.rlike(r"\S")))
+    rows = rows.withColumn("frags", F.filter(F.split(F.regexp_replace("t", r"https?://\S+", " "), _SPLIT), lambda x: x.rlike(r"\S")))
     n_words = lambda x: F.regexp_count(x, F.lit(r"\p{L}{2,}"))
-    low = n_words(F.col("_m")).between(least_words, most_words) & (n_words(F.col("_m")) > F.regexp_count(F.col("_m"), F.lit("[9#]"))) & ~F.col("t").rlike(r"(?U)(?:…|\.\.\.)\s*$")
-    rows = rows.select("kind", "rec_id", "url", "page", "_bad", F.when(low & ~own, F.col("_m")).alias("whole"), F.posexplode_outer("frags").alias("pos", "x"))
+    single = F.size("frags") <= 1  # then the fragment is the whole
+    rows = rows.select("kind", "rec_id", "url", "own", "page", "_bad", F.col("t").rlike(r"(?U)(?:…|\.\.\.)\s*$").alias("cut"), F.when(~single, k.mask(F.col("t"))).alias("_m"), F.posexplode_outer("frags").alias("pos", "x"))
     rows = rows.withColumn("m", k.mask(F.col("x"))).withColumn("u", k.upper(F.col("x")))
-    rows = rows.withColumn("_says", agree(k.words(F.col("u")), k.slug))  # what the address says is content
+    rows = rows.withColumn("words", k.words(F.col("u"))).withColumn("n", n_words(F.col("m"))).withColumn("whole", F.when(F.col("pos") == 0, F.coalesce("_m", "m")))
+    rows = rows.withColumn("says", agree(F.col("words"), k.slug))  # what the address says is content
+    low = n_words(F.col("whole")).between(least_words, most_words) & (n_words(F.col("whole")) > F.regexp_count(F.col("whole"), F.lit("[9#]"))) & ~F.col("cut") & ~own
     messages = "|".join(form(x.upper()) for x in MESSAGES)
-    known = lambda m, u: m.rlike(rf"^(?:{messages})$") | F.regexp_replace(u, r"^[\s.!|]+|[\s.!|]+$", "").rlike(rf"(?i)^(?:{_STATUS.pattern})$")
-    latin = F.regexp_count(F.col("u"), F.lit(rf"\b(?:{'|'.join(sorted(_LOREM)).upper()})\b"))
-    filler = (latin >= 4) & (latin >= 0.6 * F.regexp_count(F.col("u"), F.lit(r"[A-Z]+")))
-    # where a piece may begin that no mark parts from the one before: at a capital letter
-    starts = F.split("x", r"(?<=[\p{L}\p{N})\]])\s+(?=\p{Lu})")
-
-    def cut(i: Column) -> Column:
-        head, rest = F.array_join(F.slice(starts, F.lit(1), i), " "), F.array_join(F.slice(starts, i + 1, F.size(starts)), " ")
-        return once(k.mask(head), lambda m: F.struct(F.xxhash64(m).alias("a"), F.xxhash64(k.mask(rest)).alias("b"), known(m, k.upper(head)).alias("k")))
-
-    parts = F.size(starts)
-    cuts = F.when((parts > 1) & (n_words(F.col("m")) <= 2 * most_words), F.transform(F.sequence(F.lit(1), parts - 1), cut))
-    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    # a known message or status line at the beginning, and what follows it
+    known, status = rf"^(?:{messages})(?:$|[ .!|]+)", rf"^[\s.!|]*(?:{_STATUS.pattern.upper()})(?:$|[ .!|–—]+)"
+    asked = ~F.col("says") & (F.col("n") <= 2 * most_words)
+    after = F.when(asked & F.col("m").rlike(known), F.regexp_replace("m", known, "")).when(asked & F.col("u").rlike(status), k.mask(F.regexp_replace("u", status, "")))
+    latin = F.size(F.array_intersect("words", F.array(*[F.lit(x.upper()) for x in sorted(_LOREM)])))
+    filler = (latin >= 4) & (latin >= 0.6 * F.size("words"))
+    rows = rows.withColumn("after", after)
     rows = rows.select(
-        "kind", "rec_id", "page", F.when(k.host != "", F.xxhash64(k.host)).alias("host"), "url",
-        (F.col("_bad") | F.coalesce((known(F.col("m"), F.col("u")) & ~F.col("_says")) | filler, F.lit(False))).alias("bad"), F.col("_says").alias("says"),
-        F.when(n_words(F.col("m")) > 0, F.xxhash64("m")).alias("h"), (n_words(F.col("m")) > 1).alias("several"), F.when(first, F.col("whole")).alias("whole"), cuts.alias("cuts"),
+        "kind", "rec_id", "page", F.when(k.host != "", F.xxhash64(k.host)).alias("host"), "url", "says",
+        (F.col("_bad") | F.coalesce((F.col("after") == "") | filler, F.lit(False))).alias("bad"),
+        F.when(F.col("n") > 0, F.xxhash64("m")).alias("h"), F.when(low, F.col("whole")).alias("whole"), F.when(F.col("after") != "", F.xxhash64(_stripped(F.col("after")))).alias("after"),
+        F.when(F.col("n").between(2, 2 * most_words), F.col("m")).alias("m"),
     )
     rows = stage(rows, "fragments")
     learnt = stage(_learnt(rows, titles, to, least_pages, least_hosts, agreeing), "messages")
     found = rows.filter("bad").select("kind", "rec_id")
     responses = learnt.select(F.col("w").alias("_w")).distinct()
     found = found.unionAll(rows.filter("whole IS NOT NULL").join(responses, F.xxhash64("whole") == F.col("_w"), "left_semi").select("kind", "rec_id"))
-    heads = learnt.filter("head IS NOT NULL").select(F.col("head").alias("_h")).distinct()
+    heads = learnt.filter("head IS NOT NULL").select(F.xxhash64("head").alias("_h"), F.col("head").alias("_m")).distinct()
     asked = rows.filter("NOT says")
     found = found.unionAll(asked.join(heads, F.col("h") == F.col("_h"), "left_semi").select("kind", "rec_id"))
-    # a message and, after it, a piece that stands on several pages
-    joined = asked.filter("cuts IS NOT NULL").select("kind", "rec_id", F.explode("cuts").alias("c")).join(heads, F.col("c.a") == F.col("_h"), "left").filter("c.k OR _h IS NOT NULL")
-    joined = stage(joined.select("kind", "rec_id", F.col("c.b").alias("b")), "joined")
-    pieces = rows.join(joined.select(F.col("b").alias("_b")).distinct(), F.col("h") == F.col("_b"), "left_semi").select("h", "page").distinct()
+    # a message and, after it, a piece that stands on several pages: messages meet texts by their first two words
+    first = lambda c: F.xxhash64(F.substring_index(c, " ", 2))
+    glued = asked.filter("m IS NOT NULL").withColumn("_k", first("m")).join(heads.withColumn("_f", first("_m")), (F.col("_k") == F.col("_f")) & F.startswith(F.col("m"), F.concat("_m", F.lit(" "))))
+    glued = glued.select("kind", "rec_id", F.xxhash64(_stripped(F.substring("m", F.length("_m") + 2, F.length("m")))).alias("b"))
+    glued = stage(glued.unionAll(asked.filter("after IS NOT NULL").select("kind", "rec_id", "after")), "glued")
+    pieces = rows.join(glued.select(F.col("b").alias("_b")).distinct(), F.col("h") == F.col("_b"), "left_semi").select("h", "page").distinct()
     pieces = pieces.groupBy(F.col("h").alias("_p")).agg(F.count("page").alias("n")).filter(F.col("n") >= least_pages)
-    found = found.unionAll(joined.join(pieces, F.col("b") == F.col("_p"), "left_semi").select("kind", "rec_id"))
+    found = found.unionAll(glued.join(pieces, F.col("b") == F.col("_p"), "left_semi").select("kind", "rec_id"))
     return found.distinct()
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"(?U)^[\s.!|–—]+|[\s.!|–—]+$", "")
+
+
 def _learnt(rows: DataFrame, titles: DataFrame | None, to: dict[str, str], least_pages: int, least_hosts: int, agreeing: float) -> DataFrame:
-    """(w, head): the hashes of the responses and of the fragments they begin with. Pages are counted after a map-side
+    """(w, head): the hashes of the responses and the fragments they begin with. Pages are counted after a map-side
     combine per text, host and page, so a text that stands on a third of all pages is no single task."""
-    r = rows.filter("whole IS NOT NULL AND page IS NOT NULL").select(F.xxhash64("whole").alias("w"), "host", "page", "url", "whole", F.when(F.col("several"), F.col("h")).alias("head"))
+    r = rows.filter("whole IS NOT NULL AND page IS NOT NULL").select(F.xxhash64("whole").alias("w"), "host", "page", "url", "whole", F.col("m").alias("head"))
     per_page = r.groupBy("w", "host", "page").agg(F.min("head").alias("head"))
     per_host = per_page.groupBy("w", "host").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("head"))
     often = per_host.groupBy("w").agg(F.sum("n").alias("n"), F.count("host").alias("hosts"), F.min("head").alias("head"))
