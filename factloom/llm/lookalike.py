@@ -1,7 +1,9 @@
 """Texts that look the same but are stored as different characters: one form per look.
 
-Look-alike classes come from union-find over code points and short strings (a ligature and its letters): a table of
-look-alike letters, and Unicode's own compatibility data for full-width forms, spaces and ligatures. The representative
+Look-alike classes come from union-find over code points and short strings (a ligature and its letters), from three
+sources: a table of look-alike letters; Unicode's own compatibility data for full-width forms, spaces and ligatures; and the
+strings of the corpus, where a letter of a foreign script stands in a word of Latin letters and the corpus holds the same
+word with a Latin letter in its place. Classes are transitive over all three. The representative
 of a class is its most frequent member in the corpus, and texts are rewritten with a multi-pattern automaton, longest
 match first, over decomposed text; recomposition follows. Other case, accents, superscripts, circled digits and
 fractions are kept apart, for they look different.
@@ -9,6 +11,7 @@ fractions are kept apart, for they look different.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -21,7 +24,7 @@ from factloom.session import stage
 
 # Latin letters, then the Cyrillic, Greek and other letters that look the same.
 HOMOGLYPHS = """
-a а α
+a а α ɑ
 c с ϲ
 d ԁ
 e е
@@ -38,29 +41,32 @@ v ν ѵ
 w ԝ
 x х χ
 y у γ
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
+g ɡ
+A А Α Ꭺ
+B В Β Ᏼ
+C С Ϲ Ꮯ
+D Ꭰ
+E Е Ε Ꭼ
 F Ϝ
-G Ԍ
-H Н Η
+G Ԍ Ꮐ
+H Н Η Ꮋ
 I І Ι Ӏ
-J Ј
-K К Κ
-M М Μ Ϻ
+J Ј Ꭻ
+K К Κ Ꮶ
+L Ꮮ
+M М Μ Ϻ Ꮇ
 N Ν
 O О Ο Օ
-P Р Ρ
+P Р Ρ Ꮲ
 Q Ԛ
-S Ѕ
-T Т Τ
+S Ѕ Ꮪ
+T Т Τ Ꭲ
 U Ս
-V Ѵ
-W Ԝ
+V Ѵ Ꮩ
+W Ԝ Ꮃ
 X Х Χ
 Y У Υ Ү
-Z Ζ
+Z Ζ Ꮓ
 Γ Г
 Π П
 Φ Ф
@@ -97,7 +103,11 @@ class Classes:
 
 
 def invisible(c: str) -> bool:
-    return unicodedata.category(c) == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F or c in "͏ᅟᅠ឴឵ㅤ"
+    """Whether a character has no look of its own: formats, tags and variation selectors of all planes, fillers."""
+    return unicodedata.category(c) == "Cf" or any(a <= ord(c) <= b for a, b in _SELECTORS) or c in "͏ᅟᅠ឴឵ㅤ"
+
+
+_SELECTORS = [(0xFE00, 0xFE0F), (0xE0100, 0xE01EF), (0x180B, 0x180F)]
 
 
 def look_alikes() -> Classes:
@@ -117,6 +127,58 @@ def look_alikes() -> Classes:
     return k
 
 
+def _latin(c: str) -> bool:
+    return c.isascii() or ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00
+
+
+_MIXED = re.compile(r"[^\W\d_]*[A-Za-z][^\W\d_]*")
+
+
+def mixed_words(texts: DataFrame, text: str, known: set[str]) -> DataFrame:
+    """(word, at, letter): words of Latin letters but for one letter of another script that no class holds yet, each once,
+    with its place. Texts of ASCII alone never leave the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for t in b.column(0).to_pylist():
+                for w in _MIXED.findall(unicodedata.normalize("NFD", t)):
+                    if not w.isascii():
+                        odd = [i for i, c in enumerate(w) if not _latin(c) and c not in known]
+                        if len(odd) == 1 and all(_latin(c) for i, c in enumerate(w) if i != odd[0]):
+                            found.add((w, odd[0], w[odd[0]]))
+            rows = sorted(found)
+            yield pa.record_batch({"word": pa.array([r[0] for r in rows], pa.string()), "at": pa.array([r[1] for r in rows], pa.int32()), "letter": pa.array([r[2] for r in rows], pa.string())})
+
+    odd = texts.select(text).filter(F.col(text).isNotNull() & ~F.col(text).rlike(r"^\p{ASCII}*$"))
+    return odd.mapInArrow(run, "word string, at int, letter string").distinct()
+
+
+def learn_from_words(texts: DataFrame, text: str, classes: Classes, least_words: int = 2, share: float = 0.9) -> Classes:
+    """classes with the letters that the strings of the corpus show to look like a Latin one: in `least_words` different words
+    or more the same word stands elsewhere with one Latin letter in that place, in `share` of the cases the same letter. Case
+    is kept. Words meet in an equi-join on the word with a hole; only a vote per letter comes to the driver. Without
+    a mixed word nothing more is read."""
+    odd = stage(mixed_words(texts, text, {m for g in classes.members().values() for m in g}), "mixed")
+    if odd.isEmpty():
+        return classes
+    hole = lambda w, i: F.concat(F.left(w, i), F.lit("\0"), F.substring(w, i + 2, F.length(w)))
+    asked = odd.select("word", "letter", hole(F.col("word"), F.col("at")).alias("hole"), F.length("word").alias("_n"))
+    plain = texts.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z\u00C0-\u024F]{2,}"), F.lit(0))).alias("w")).distinct()
+    plain = plain.join(asked.select("_n").distinct(), F.length("w") == F.col("_n"), "left_semi")
+    plain = plain.select("w", F.posexplode(F.split("w", "")).alias("i", "c")).select(F.col("c").alias("latin"), hole(F.col("w"), F.col("i")).alias("_hole"))
+    votes = asked.join(plain, F.col("hole") == F.col("_hole")).groupBy("letter", "latin").agg(F.countDistinct("word").alias("n")).collect()  # a row per letter pair
+    best: dict[str, list] = {}
+    for r in votes:
+        if r["letter"].isupper() == r["latin"].isupper() or not (r["letter"].isupper() or r["letter"].islower()):
+            best.setdefault(r["letter"], []).append((r["n"], r["latin"]))
+    for letter, got in best.items():
+        n, latin = max(got)
+        if n >= least_words and n >= share * sum(x for x, _ in got):
+            classes.union(letter, unicodedata.normalize("NFD", latin))
+    return classes
+
+
 def member_counts(texts: DataFrame, members: list[str]) -> dict[str, int]:
     """How often each class member stands in the corpus. Counted in all partitions; at most one row per member comes
     to the driver."""
@@ -156,7 +218,7 @@ class Rewriter:
         for m, r in to.items():
             self.auto.add_word(m, (len(m), r))
         self.auto.make_automaton()
-        self.invisible = {ord(c): None for c in map(chr, range(0x80, 0x10000)) if invisible(c)}
+        self.invisible = {ord(c): None for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE1000))) if invisible(c)}
 
     def __call__(self, text: str) -> str:
         if text.isascii() and not self.touched_ascii:
@@ -174,7 +236,7 @@ def consistent_form(df: DataFrame, text: str, form: str = "form", to: dict[str,
     """df with column `form`. Null texts keep a null form; a text of invisible characters only becomes empty. `to`: the
     rewriting of an earlier corpus, else it is made from this one. A column `form` that is already there is replaced."""
     if to is None:
-        classes = look_alikes()
+        classes = learn_from_words(df, text, look_alikes())
         to = representatives(classes, member_counts(df.select(text), [m for g in classes.members().values() for m in g]))
 
     @F.arrow_udf("string")
@@ -191,6 +253,21 @@ def consistent_form(df: DataFrame, text: str, form: str = "form", to: dict[str,
 _CACHE: dict = {}
 
 
+def same_look_classes(df: DataFrame, scope: list[str], id_: str, text: str, form: str = "form") -> DataFrame:
+    """(scope, id, class, links) for each id that looks like another one of its scope stored differently: class is the smallest
+    such id, links the number of ids that look the same and are stored as another text. What the pairs say, in a row per
+    id: a hot class is two aggregates, never pairs. Blank forms are left out and repeated rows count once."""
+    rows = df.filter(F.col(text).isNotNull() & ~F.col(form).rlike(r"(?U)^\s*$"))
+    rows = stage(rows.select(*scope, F.col(id_), F.xxhash64(form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t")).distinct(), "forms")
+    key = [*scope, "_f"]
+    per = rows.groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n"), F.min(id_).alias("_lo"))
+    whole = per.groupBy(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)]).agg(F.sum("_n").alias("_all"), F.min("_lo").alias("class"), F.count(F.lit(1)).alias("_texts")).filter("_texts > 1")
+    on = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{i}")) for i, c in enumerate(key)]
+    mine = per.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(key)], F.col("_t").alias("_pt"), "_n")
+    j = rows.join(whole, on("_w")).join(mine, [*on("_p"), F.col("_t") == F.col("_pt")])
+    return j.select(*scope, id_, "class", (F.col("_all") - F.col("_n")).alias("links"))
+
+
 def same_look_pairs(df: DataFrame, scope: list[str], id_: str, text: str, form: str = "form") -> DataFrame:
     """Pairs (key_a, key_b), key_a < key_b, within equal scope, whose texts differ as stored but have the same form.
     Blank forms are left out and repeated rows count once. Only forms with more than one stored text are joined, so

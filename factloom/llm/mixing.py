@@ -66,13 +66,16 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(docs: DataFrame, targets: DataFrame, id_: str, source: str, size: str, total: int | None = None, n_blocks: int = 4096, seed: int = 0, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(draws, shares). draws: (slot, source, pass, id, tokens), slot being the block's place in the stream; passes count
-    from 0. shares: per target source the target and reached share, tokens, draws, and whether its cap limits it.
+def mix(docs: DataFrame, targets: DataFrame, id_: str, source: str, size: str, total: int | None = None, block_tokens: int = 4096, most_blocks: int = 262_144, seed: int = 0, most_sources: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(draws, shares). draws: (slot, place, source, pass, id, tokens): slot is the block's place in the stream, place the
+    first token of the text within its block, so (slot, place) orders the whole stream; passes count from 0. shares: per
+    target source the target and reached share, tokens, draws, and whether its cap limits it.
 
     docs holds an id once; repeated ids are texts of their own. Sources without target, null sources and texts without
-    tokens are not drawn; a target without texts is reported with share 0. n_blocks: the blocks of the whole stream, so a
-    block is that part of it, at every size of the corpus. most_sources bounds the table of targets, which is held on the
+    tokens are not drawn; a target without texts is reported with share 0. total: tokens of the whole stream; None is the most
+    that every source with texts can follow, a larger one fills up capped sources from the others. block_tokens: the size of a
+    block, larger only where the stream would have more than most_blocks, whose order is planned on the driver and
+    broadcast. most_sources bounds the table of targets, which is held on the
     driver; texts are only aggregated, ranked and joined."""
     known = targets.select("source", "target_share", "max_repeats").distinct().limit(most_sources + 1).collect()
     if len(known) > most_sources:
@@ -85,7 +88,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_: str, source: str, size: str, t
     available = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("_sum").alias("n")).collect()}
     plan = quotas(available, want, total)
     all_tokens = sum(p["quota"] for p in plan.values())
-    block = max(1, -(-all_tokens // n_blocks))
+    block = max(1, block_tokens, -(-all_tokens // most_blocks))
     order = schedule({s: -(-p["quota"] // block) for s, p in plan.items()})
     kind = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_have", T.LongType()), T.StructField("_quota", T.LongType())])
     q = spark.createDataFrame([(s, available[s], p["quota"]) for s, p in plan.items()], kind)
@@ -96,7 +99,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_: str, source: str, size: str, t
     rows = rows.withColumn("_last", reach.cast("int")).filter("_last >= 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("_last"))))
     at = F.least(F.col("pass").cast("bigint") * F.col("_have") + F.col("_before"), F.col("_quota") - 1)
     rows = rows.withColumn("_k", F.floor(at / block)).join(F.broadcast(slots), (F.col("source") == F.col("_bs")) & (F.col("_k") == F.col("_bk")))
-    draws = rows.select("slot", "source", "pass", F.col("_id").alias(id_), F.col("_size").alias("tokens"))
+    draws = rows.select("slot", (at - F.col("_k") * block).alias("place"), "source", "pass", F.col("_id").alias(id_), F.col("_size").alias("tokens"))
     said = spark.createDataFrame([(s, w, r, s in plan and plan[s]["capped"], s in plan) for s, (w, r) in want.items()], "source string, target_share double, max_repeats int, capped boolean, has_texts boolean")
     got = draws.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("draws"), F.max("pass").alias("_p"))
     got = got.withColumn("_all", F.sum("tokens").over(W.partitionBy()))  # a row per source

@@ -183,7 +183,8 @@ def pack(docs: DataFrame, packs: DataFrame, id_: str, size: str, most_packs: int
     Every row of docs is packed, repeated ids as often as they stand there; texts without tokens take no room and go into
     container 0; an empty table gives an empty result. Capacities that are null or not positive are left out; without any
     other one ValueError is raised.
-    most_packs bounds the table of capacities, which is held on the driver."""
+    most_packs bounds the table of capacities, which is held on the driver. Packs times capacity stay below 2**62, and the
+    number of distinct lengths times that of texts of one length too; beyond that ValueError is raised."""
     packs = packs.select("pack_id", "capacity_tokens").filter(F.col("capacity_tokens") > 0).distinct()
     known = packs.limit(most_packs + 1).collect()
     if len(known) > most_packs:
@@ -201,9 +202,15 @@ def pack(docs: DataFrame, packs: DataFrame, id_: str, size: str, most_packs: int
         count[r["pack_id"]][r["tokens"]] = r["n"]
     table = [(order[k], *i) for k, h in count.items() for i in intervals(plan_containers(h, capacity[k]))]
     table.sort()
-    # one sorted key for pack, length and rank; ranks below 2**40, lengths below 2**16 times a pack's number
+    # one sorted key of pack and length, numbered as they occur, and rank
     widest = max([1, *capacity.values()]) + 1
-    key = np.array([(p * widest + x) << 40 | a for p, x, a, *_ in table], np.int64)
+    if len(order) * widest >= 2**62:
+        raise ValueError("packs times capacity exceed 2**62")
+    kinds, kind_of = np.unique(np.array([p * widest + x for p, x, *_ in table], np.int64), return_inverse=True)
+    bits = max([1, *(t[3].bit_length() for t in table)])  # of the ranks
+    if len(kinds).bit_length() + bits > 62:
+        raise ValueError(f"{len(kinds)} lengths of up to 2**{bits} texts each are more than one key holds")
+    key = kind_of.astype(np.int64) << bits | np.array([t[2] for t in table], np.int64)
     end, base, per, start = (np.array([t[i] for t in table], np.int64) for i in (3, 4, 5, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +220,7 @@ def pack(docs: DataFrame, packs: DataFrame, id_: str, size: str, most_packs: int
             box = np.zeros(len(p), np.int64)
             some = tokens > 0
             if some.any():
-                i = np.searchsorted(key, ((p * widest + tokens) << 40 | rank)[some], "right") - 1
+                i = np.searchsorted(key, (np.searchsorted(kinds, p * widest + tokens) << bits | rank)[some], "right") - 1
                 assert (rank[some] < end[i]).all()
                 box[some] = base[i] + (rank[some] - start[i]) // per[i]
             yield pa.record_batch([b.column("pack_id"), pa.array(box), *(b.column(c) for c in (id_, "part", "first", "tokens"))], ["pack_id", "container", id_, "part", "first", "tokens"])

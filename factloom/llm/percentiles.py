@@ -3,7 +3,9 @@
 All rows are sorted by value across the cluster (range partitions with a unique tie-breaker, so a value that holds a third
 of the rows spreads over many tasks). Per-partition counts per cell give the offset of every partition, target
 positions are located from the offsets alone, and only the neighbouring order statistics are read. The error is zero.
-The counts of separate partitions, days or tables are kept per cell and add up, so results can be combined.
+`partial_counts` is a part that can be stored: how often each value of a group stands in a day or a partition. Parts add up,
+and `combined_percentiles` finds the positions in the sum, without the rows and with error zero; where values are
+rounded first, by a stated step, a part holds a bounded number of rows and the error is half a step.
 """
 
 from __future__ import annotations
@@ -36,6 +38,31 @@ def exact_percentiles(df: DataFrame, group: list[str], value: str, id_: str, qua
     return near.groupBy(*group, "quantile", "n").agg(F.sum(F.col("_v") * weight).alias("value"))
 
 
+def partial_counts(df: DataFrame, group: list[str], value: str, step: float | None = None) -> DataFrame:
+    """(group, value, n) of the measured values of one part (a day, a partition, a table), to be stored and added to others.
+    step: values are rounded to multiples of it, which bounds a part's rows by (range / step) per group and the error of
+    every percentile by step / 2; None keeps the values and the error zero. Combined map-side. Null group keys form groups of
+    their own; an empty table gives an empty part."""
+    v = F.col(value).cast("double")
+    return df.filter(measured(F.col(value))).groupBy(*group, (v if step is None else F.round(v / step) * step).alias(value)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def combined_percentiles(parts: DataFrame, group: list[str], value: str, quantiles: list[float]) -> DataFrame:
+    """(group, quantile, n, value) as `exact_percentiles`, from the union of stored parts. Equal values of all parts are added
+    first; running counts come from the distributed sort of the distinct values, so a group of any size spreads over tasks.
+    Repeated parts count as often as they stand there."""
+    c = parts.groupBy(*group, F.col(value).alias("_v")).agg(F.sum("n").cast("bigint").alias("_w"))
+    rows, sums = ranked(c, group, [F.col("_v")], size="_w")
+    n = sums.groupBy(*group).agg(F.sum("_sum").alias("n")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "n", F.explode(F.array(*[F.lit(float(x)) for x in quantiles])).alias("quantile"))
+    n = n.withColumn("_pos", F.col("quantile") * (F.col("n") - 1))
+    n = n.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    on = (F.col("_before") <= F.col("_at")) & (F.col("_at") < F.col("_before") + F.col("_w"))
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    near = rows.join(n, on)
+    return near.groupBy(*group, "quantile", "n").agg(F.sum(F.col("_v") * (1 - F.abs(F.col("_pos") - F.col("_at")))).alias("value"))
+
+
 def interval_shares(df: DataFrame, claims: DataFrame, value: str, id_: str, day: str, keys: list[str]) -> DataFrame:
     """For each claim (claim_id, keys with null for any, day_from, day_to, claimed_ms) over its group of rows: `n`, the
     numbers of rows `below` and `upto` (at or below) the claimed value. Claims whose group is empty have no row.

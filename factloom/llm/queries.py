@@ -60,6 +60,13 @@ def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("level", "status", "quantile", "n", F.round("value", 4).alias("latency_ms"))
 
 
+def p4_combined(spark: SparkSession, d: str) -> DataFrame:
+    """The same percentiles from parts, one per day, that were stored and put together."""
+    days = stage(percentiles.partial_counts(measured_runs(spark, d), ["level", "status", "day"], "latency_ms"), "parts")
+    p = percentiles.combined_percentiles(days, ["level", "status"], "latency_ms", [0.5, 0.9, 0.95, 0.99])
+    return p.select("level", "status", "quantile", "n", F.round("value", 4).alias("latency_ms"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.wrong_claims(measured_runs(spark, d), table(spark, d, "latency_claims"), "latency_ms", "run_id", "day", ["level", "status"])
 
@@ -96,6 +103,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs[0].unionAll(pairs[1])
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each fact or evidence with a look-alike in its scope: its class and its number of links."""
+    t = lookalike.consistent_form(texts_to_compare(spark, d), "text")
+    return lookalike.same_look_classes(t, ["kind", "run_id", "field"], "key", "text")
+
+
 # -- 9: repetition ---------------------------------------------------------------------------------------------------
 
 
@@ -119,13 +132,15 @@ QUERIES = {
     "p1_method": p1_method,
     "p1_found": p1_found,
     "p4_percentiles": p4_percentiles,
+    "p4_combined": p4_combined,
     "p4_found": p4_found,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p9_method": p9_method,
     "p9_found": p9_found,
     "p9_repetition": p9_repetition,
 }
-SQL = {"p1_found": P1_SQL, "p4_percentiles": P4_SQL, "p4_found": P4_FOUND_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_percentiles": P4_SQL, "p4_combined": P4_SQL, "p4_found": P4_FOUND_SQL}
 
 # -- 5: residue ------------------------------------------------------------------------------------------------------
 
@@ -161,7 +176,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.main_body(texts_of_pages(spark, d)).distinct()
 
 
-QUERIES["p2_found"] = p2_found
+def p2_method(spark: SparkSession, d: str) -> DataFrame:
+    """Wrapper induction alone over the whole table: texts without containers are aligned as sequences of lines."""
+    return mainbody.main_body(texts_of_pages(spark, d), plain_rule=False).distinct()
+
+
+QUERIES |= {"p2_method": p2_method, "p2_found": p2_found}
 
 # -- 7: packing ------------------------------------------------------------------------------------------------------
 

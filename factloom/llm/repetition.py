@@ -1,8 +1,8 @@
 """Repetition inside single documents.
 
-`repeated_share` measures which words lie in stretches that already stood earlier in the same text. `line_first` is
-line-first cleaning: rules per line remove lines, and documents that lose too much text are rejected.
-Both work document by document: no shuffle, no state between rows.
+`repeated_share` measures which words lie in stretches that already stood earlier in the same text: document by document, no
+shuffle. `line_first` is line-first cleaning: punctuation, navigation and boilerplate rules per line, the boilerplate
+learnt from the corpus, remove lines, and documents that lose too much text are rejected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_WORD = re.compile(r"\w+")
+from factloom.session import stage
+
+#: Words; in scripts that write no spaces every character is one.
+_WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]|[^\W\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 
 
 def repeated_words(text: str | None, stretch: int = 5) -> tuple[int, int]:
@@ -55,23 +58,40 @@ def repeated_share(df: DataFrame, id_: str, text: str, stretch: int = 5) -> Data
     return df.select(F.col(id_).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n_words bigint, n_repeated bigint, share double").withColumnRenamed("id", id_)
 
 
-# Words of navigation and notices in the corpus' languages, as line rules.
-NOTICE = r"(?iU)\b(cookies?|javascript|all rights reserved|terms of use|privacy policy|sign in|subscribe|lorem ipsum|alle rechte vorbehalten|tous droits réservés|todos los derechos|все права защищены)\b"
+def line_rules(x: F.Column, least_words: int = 3) -> F.Column:
+    """Whether a line fails by itself: navigation (items parted by two separators or more), or a scrap without closing
+    punctuation. Code (indented lines) passes."""
+    few = F.regexp_count(x, F.lit(r"(?U)\w+")) < least_words
+    scrap = few & ~x.rlike(r"[.!?…:;»”\"。！？]$") & ~x.rlike(r"^(\s{4}|\t)")
+    return scrap | x.rlike(r"(?U)^[^|·»/>]*([|·»]|\s[/>]\s)[^|·»/>]*([|·»]|\s[/>]\s)")
+
+
+def boilerplate(lines: DataFrame, least_docs: int = 5, doc_share: float = 0.0005) -> DataFrame:
+    """(_h): hashes of the lines, numbers aside, that stand in `doc_share` of all documents and in `least_docs` at least: what no
+    single document says. lines: _id, _h, a row per document and distinct line. There are at most (lines per document /
+    doc_share) of them, whatever the number of documents; counts are combined map-side."""
+    n = lines.groupBy(F.col("_h").alias("_hb")).agg(F.count(F.lit(1)).alias("_docs"))
+    every = lines.select(F.countDistinct("_id").alias("n")).scalar()
+    return n.filter((F.col("_docs") >= least_docs) & (F.col("_docs") >= doc_share * every)).select("_hb")
 
 
-def line_first(df: DataFrame, id_: str, text: str, least_words: int = 3, most_lost: float = 0.3) -> DataFrame:
-    """(id, n_lines, n_kept, n_words, n_words_kept, lost, rejected). A line is removed if it has fewer than `least_words`
-    words and no closing punctuation, holds mostly separators (navigation), is a notice, or stood earlier in the
-    document. Code lines (indented) keep. A document losing more than `most_lost` of its words is rejected; texts without
-    words lose nothing and are not rejected. Null texts count as empty."""
+def line_first(df: DataFrame, id_: str, text: str, least_words: int = 3, most_lost: float = 0.3, least_docs: int = 5, doc_share: float = 0.0005) -> DataFrame:
+    """(id, n_lines, n_kept, n_words, n_words_kept, lost, rejected) per distinct row. A line is removed if it fails the rules by
+    itself, is boilerplate of the corpus (learnt from how many documents it stands in), or stood earlier in the document.
+    A document losing more than `most_lost` of its words is rejected; texts without words lose nothing and are not rejected.
+    Null texts count as empty; ids should be unique, rows of one id are read as one text each; an empty table
+    gives an empty result; other columns are not read. Lines leave their texts as hashes and word counts."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    words = lambda x: F.regexp_count(x, F.lit(r"(?U)\w+"))
-    full = F.filter(lines, lambda x: F.length(F.trim(x)) > 0)
-    good = lambda x: ((words(x) >= least_words) | x.rlike(r"[.!?…:;»”\"]$") | x.rlike(r"^(\s{4}|\t)")) & ~x.rlike(r"(?U)^[^|·»/>]*([|·»]|\s[/>]\s)[^|·»/>]*([|·»]|\s[/>]\s)") & ~x.rlike(NOTICE)
-    kept = F.filter(F.array_distinct("_full"), good)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + words(x))
-    d = df.select(F.col(id_), full.alias("_full")).withColumn("_kept", kept)
-    d = d.select(F.col(id_), F.size("_full").alias("n_lines"), F.size("_kept").alias("n_kept"), total(F.col("_full")).alias("n_words"), total(F.col("_kept")).alias("n_words_kept"))
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: F.length(F.trim(x)) > 0)
+    one = lambda x: F.struct(F.xxhash64(F.regexp_replace(F.lower(F.trim(x)), r"\d+", "9")).alias("h"), F.xxhash64(x).alias("e"), F.regexp_count(x, F.lit(r"(?U)\w+")).alias("w"), line_rules(x, least_words).alias("bad"))
+    d = df.select(F.col(id_).alias("_id"), F.xxhash64(t).alias("_text"), F.transform(lines, one).alias("_full")).distinct()
+    d = d.select("_id", "_text", F.size("_full").alias("n_lines"), F.aggregate("_full", F.lit(0), lambda s, x: s + x["w"]).alias("n_words"), F.array_distinct("_full").alias("_once"))
+    d = stage(d.withColumn("_key", F.xxhash64("_id", "_text")), "documents")
+    each = d.select("_key", F.explode("_once").alias("x")).select("_key", "x.*")
+    common = boilerplate(each.select(F.col("_key").alias("_id"), F.col("h").alias("_h")).distinct(), least_docs, doc_share)
+    kept = each.filter("NOT bad").join(common, F.col("h") == F.col("_hb"), "left_anti").groupBy(F.col("_key").alias("_k")).agg(F.count(F.lit(1)).alias("n_kept"), F.sum("w").alias("n_words_kept"))
+    d = d.select("_id", "_key", "n_lines", "n_words").join(kept, F.col("_key") == F.col("_k"), "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c)
+    d = d.select(F.col("_id").alias(id_), "n_lines", z("n_kept"), "n_words", z("n_words_kept"))
     lost = F.when(F.col("n_words") > 0, 1 - F.col("n_words_kept") / F.col("n_words")).otherwise(0.0)
     return d.withColumn("lost", F.round(lost, 6)).withColumn("rejected", F.col("lost") > most_lost)

@@ -87,6 +87,16 @@ _STATUS = re.compile(rf"(?:(?:http(?:/[0-9.]+)?|(?:http )?error(?: code)?)[ :]*)
 
 
 
+_KNOWN = re.compile(rf"(?:{'|'.join(MESSAGES)})(?:$|[ .!|–—…])".upper().replace("@", r"[\w.-]+"))
+_KNOWN_STATUS = re.compile(rf"(?:{_STATUS.pattern})(?:$|[ .!|–—])", re.I)
+
+
+def known_line(text: str) -> bool:
+    """Whether a line, or a sentence of it, begins with a status line or a message of known wording."""
+    m = re.sub(r"\d+", "9", re.sub(r"\b(?=[0-9a-f-]*\d)[0-9a-f][0-9a-f-]{5,}\b", "#", re.sub(r"(?<!\S)/\S+", "/", text)))
+    return text.startswith("Traceback") or bool(_KNOWN_STATUS.match(text)) or any(_KNOWN.match(x.upper()) for x in re.split(r"(?<=[.!?…])\s+", m))
+
+
 def placeholder(text: str) -> bool:
     """Whether a text holds an unfilled placeholder or a failed rendering. Quoted code does not count, nor does a failed
     rendering that the sentence names."""

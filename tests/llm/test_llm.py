@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 from datetime import datetime
 
@@ -160,6 +161,41 @@ def test_main_body(spark):
     assert mainbody.main_body(df.limit(0)).collect() == []
 
 
+def test_tree_matching():
+    a = "<html>\n<head>\n<title>no line</title>\n" + "<style>.x{}</style>\n" * 900 + "</head>\n<body>\n<nav>\n<li>Home</li>\n</nav>\n<main>\n<section class='text'>\n<h1>Red lamp</h1>\n<div><p>Long words.</p></div>\n</section>\n<ul>\n<li>One</li>\n</ul>\n</main>\n</body>\n</html>"
+    x = mainbody.parse_html(a, "h.example")
+    assert mainbody.layout(x) == "body(nav()main(section.text()ul()))" and [k.text for k in x[3].kids] == ["Red lamp", "Long words."] and [k.text for b in x for k in b.kids if isinstance(k, mainbody.Line)][0] == "Home"
+    y = mainbody.unpack(mainbody.pack(x))
+    assert mainbody.layout(y) == mainbody.layout(x) and [(k.no, k.text, k.tag, k.key) for k in y[3].kids] == [(k.no, k.text, k.tag, k.key) for k in x[3].kids]
+    b = "<body>\n<div>\n<p>Notice</p>\n</div>\n<nav>\n<li>About</li>\n<li>Home</li>\n</nav>\n<main>\n<section class='text'>\n<h1>Blue lamp</h1>\n</section>\n</main>\n</body>"
+    weight, pairs = mainbody.match(x[0], mainbody.parse_html(b, "h.example")[0], True)
+    assert dict(pairs) == {0: 0, 1: 2, 2: 3, 3: 4} and weight == 4 + 2 + 1  # containers, the same line, a line of the same tag
+    open_ = "<body>\n<div class=a>\n<p>x\n<div class=b>\n<p>y\n<div class=c>\n<p>z"
+    assert mainbody.layout(mainbody.parse_html(open_, "")) == "body(div.a()div.b()div.c())"  # no end tags, no depth
+    assert mainbody.layout(mainbody.parse_html("plain <b>line", "")) == "body()" and mainbody.match(x[0], mainbody.parse_html("", "")[0])[0] == 1
+
+
+def test_wrapper_over_layouts_and_nesting(spark):
+    rnd = random.Random(4)
+    some = lambda n: " ".join(rnd.sample("quiet river moves past old mill and carries leaves under bridges where children fish".split(), n)).capitalize()
+    rows, want = [], {}
+    for i in range(40):
+        notice = ["<div class='note'>", f"<p>{'We keep small files on your machine to remember what you like. ' * 12}</p>", "</div>"] if i % 3 else []
+        body = ["<main>", "<article>", f"<h1>{some(4)}</h1>", f"<p>{some(9)} {i}.</p>", "<p>Join our letter and never miss a story again.</p>", f"<p>{some(8)} {i}.</p>", "</article>", "</main>"]
+        rail = ["<aside>", *[f"<li>{some(5)}</li>" for _ in range(3)], "</aside>"] if i % 2 else []
+        lines = ["<html>", "<head>", *["<meta name='x' content='" + "y" * 200 + "'>"] * (60 if i % 4 == 0 else 1), "</head>", "<body>", *notice, "<nav>", "<li>Home</li>", f"<li>{some(3)}</li>", "</nav>", *body, *rail, "</body>", "</html>"]
+        at = lines.index("<article>") + 1
+        rows.append(("page", f"p{i}", f"https://www.selva.example/en/story-{i}", "\n".join(lines), True))
+        want[f"p{i}"] = {at + 1, at + 2, at + 4}
+    rows += [("evidence", f"e{i}", f"https://www.selva.example/en/e-{i}", f"Home\nJoin our letter and never miss a story again.\n{some(9)} {i}.", False) for i in range(6)]
+    df = spark.createDataFrame(rows, "src string, rec_id string, url string, text string, page boolean")
+    for plain_rule in (True, False):
+        got = {}
+        for r in mainbody.main_body(df, plain_rule).collect():
+            got.setdefault(r.rec_id, set()).add(r.line_no)
+        assert {k: v for k, v in got.items() if k[0] == "p"} == want and all(got[f"e{i}"] == {3} for i in range(6))
+
+
 def test_constants_of_any_length(spark):
     rnd = random.Random(6)
     words = "quiet river moves past old mill and carries leaves under bridges where children fish until evening".split()
@@ -180,13 +216,13 @@ def test_constants_of_any_length(spark):
     for r in mainbody.main_body(df, host_share=0.3, least=4).collect():
         got.setdefault(r.rec_id, set()).add(r.line_no)
     assert {k: v & {1, 4} if k[0] == "p" else v for k, v in got.items()} == {k: set() if k[0] == "p" else v for k, v in want.items()}
-    keys = {r.key for r in mainbody.line_keys(df.filter("rec_id like 'p%'").select("url", "text")).collect()}
+    keys = {r.k for r in mainbody.parsed(df.filter("rec_id like 'p%'")).select(F.explode("keys").alias("k")).collect()}
     assert mainbody.key(mainbody.mask(notice, "www.kanto.example")) in keys and mainbody.key("Home") in keys and mainbody.key("Colour") not in keys
 
 
 def test_long_head_is_no_body():
     head = ["<html>", "<head>", "<title>A long walk</title>", *(f'<meta name="m{i}" content="{"x" * 90}">' for i in range(80)), "</head>"]
-    _, lines = mainbody.parse_html("\n".join([*head, "<BODY>", "<h1>Walk</h1>", "</BODY></html>"]), "a.example")
+    lines = mainbody.parse_html("\n".join([*head, "<BODY>", "<h1>Walk</h1>", "</BODY></html>"]), "a.example")[0].kids
     assert [(x.no, x.text) for x in lines] == [(len(head) + 2, "Walk")]
 
 
@@ -204,9 +240,20 @@ TREES = st.lists(st.tuples(st.sampled_from("ab"), st.lists(LEAF, max_size=3)), m
 @settings(max_examples=150, deadline=None)
 @given(TREES, TREES)
 def test_tree_matching_is_the_largest(a, b):
-    size, pairs = mainbody.match(a, b)
-    assert size == brute_match(a, b)
-    assert all(a[i][0] == b[j][0] for i, j in pairs) and pairs == sorted(pairs)
+    def tree(kids, start):
+        blocks = [mainbody.Block("body", None, 0)]
+        for label, leaves in kids:
+            inner = mainbody.Block(label, blocks[0], len(blocks)) if label in "ab" else blocks[0]
+            if inner is not blocks[0]:
+                blocks.append(inner)
+                blocks[0].kids.append(inner)
+            inner.kids += [mainbody.Line(0, f"{start} {len(blocks)} {i} of them", t, 0, "") for i, (t, _) in enumerate(leaves)]
+        return blocks
+
+    x, y = tree(a, "one"), tree(b, "two")
+    size, pairs = mainbody.match(x[0], y[0], True)
+    assert size == brute_match(a, b) + 1
+    assert all(x[i].label == y[j].label for i, j in pairs) and sorted(pairs) == sorted(pairs, key=lambda p: p[1])
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------
@@ -431,7 +478,7 @@ def test_mix(spark):
     rows = [(i, rnd.choice(["big", "big", "big", "small", None, "unasked"]), rnd.randint(1, 30)) for i in range(3000)] + [(9000, "big", 0), (9001, "small", None)]
     df = spark.createDataFrame(rows, "id long, source string, n long").withColumn("slot", F.lit(1))
     targets = spark.createDataFrame([("big", 0.4, 1), ("small", 0.5, 3), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    draws, shares = mixing.mix(df, targets, "id", "source", "n", n_blocks=64)
+    draws, shares = mixing.mix(df, targets, "id", "source", "n", block_tokens=1, most_blocks=64)
     d = draws.collect()
     uses = {}
     for r in d:
@@ -495,6 +542,65 @@ def test_repetition_cases(spark):
 
 
 def test_line_first(spark):
-    rows = [(1, "A first sentence stands here.\nHome | About | Contact\nok\nA first sentence stands here.\nAnother sentence ends it."), (2, None), (3, "Home | A | B\nmenu\n" * 5), (4, "    code = 1\n\n    more()")]
-    got = {r.doc: r for r in repetition.line_first(spark.createDataFrame(rows, "doc long, text string"), "doc", "text").collect()}
-    assert (got[1].n_lines, got[1].n_kept) == (5, 2) and got[1].rejected and got[2].n_lines == 0 and not got[2].rejected and got[3].rejected and not got[4].rejected
+    notice, rnd = "We keep small files on your machine number {} to remember you", random.Random(8)
+    words = "quiet river moves past old mill and carries leaves under bridges where children fish until evening".split()
+    rows, bad, total = [], {}, {}
+    for i in range(60):
+        lines = [(" ".join(rnd.sample(words, 10)).capitalize() + f" {i}.", False) for _ in range(6)]
+        if i % 2:
+            lines.insert(rnd.randrange(6), (notice.format(i), True))  # boilerplate of the corpus, in words no list holds
+        if i % 3 == 0:
+            lines.insert(2, ("Home | News | Shop | About", True))
+        if i % 5 == 0:
+            lines += [(lines[0][0], True), ("More", True), (f"    {rnd.choice(words)} = {rnd.choice(words)} + {rnd.choice(words)}", False)]
+        rows.append((i, "\n".join(t for t, _ in lines)))
+        n = lambda t: len(re.findall(r"\w+", t))
+        bad[i], total[i] = sum(n(t) for t, b in lines if b), sum(n(t) for t, _ in lines)
+    rows += [(100, None), (101, ""), (102, "A | B | C\nshort\nOne whole sentence stands here."), rows[0]]
+    df = spark.createDataFrame(rows, "doc long, text string").withColumn("h", F.lit("clash"))
+    out = repetition.line_first(df, "doc", "text").collect()
+    got = {r.doc: r for r in out}
+    assert len(out) == 63 and all((got[i].n_words, got[i].n_words - got[i].n_words_kept) == (total[i], bad[i]) for i in range(60))
+    assert (got[100].n_words, got[100].rejected, got[101].lost) == (0, False, 0.0) and (got[102].n_lines, got[102].n_kept, got[102].rejected) == (3, 1, True)
+    assert repetition.line_first(df.limit(0), "doc", "text").collect() == []
+    assert repetition.repeated_words("一二三四五六。一二三四五六") == (12, 6)
+
+
+def test_partial_percentiles_add_up(spark):
+    rnd = random.Random(2)
+    rows = [(f"r{i}", "ab"[i % 2] if i % 7 else None, i % 3, rnd.choice([rnd.random() * 100, 30.0])) for i in range(500)] + [("x", "a", 0, float("nan")), ("y", "a", 0, None), ("z", "a", 1, -1.0)]
+    df = spark.createDataFrame(rows, "id string, g string, day int, v double")
+    whole = {(r.g, r.quantile): (r.n, round(r.value, 9)) for r in percentiles.exact_percentiles(df, ["g"], "v", "id", [0.0, 0.25, 0.5, 0.99, 1.0]).collect()}
+    parts = [percentiles.partial_counts(df.filter(F.col("day") == d), ["g"], "v") for d in range(3)]
+    union = parts[0].unionAll(parts[1]).unionAll(parts[2])
+    assert {(r.g, r.quantile): (r.n, round(r.value, 9)) for r in percentiles.combined_percentiles(union, ["g"], "v", [0.0, 0.25, 0.5, 0.99, 1.0]).collect()} == whole
+    rough = percentiles.combined_percentiles(percentiles.partial_counts(df, ["g"], "v", step=0.5), ["g"], "v", [0.25, 0.5, 0.99])
+    assert all(abs(r.value - whole[r.g, r.quantile][1]) <= 0.25 + 1e-9 for r in rough.collect())
+    assert percentiles.combined_percentiles(union.limit(0), ["g"], "v", [0.5]).collect() == []
+
+
+def test_large_capacities(spark):
+    docs = spark.createDataFrame([(i, 1 + i % 5) for i in range(40)], "id long, n long")
+    packs = spark.createDataFrame([(f"p{k}", 2**20 + k) for k in range(9)], "pack_id string, capacity_tokens int")
+    got = packing.pack(docs, packs, "id", "n").groupBy("pack_id").agg(F.count("*").alias("n"), F.max("container").alias("c")).collect()
+    assert len(got) == 9 and all((r.n, r.c) == (40, 0) for r in got)
+
+
+def test_invisible_of_all_planes():
+    form = lookalike.Rewriter(lookalike.representatives(lookalike.look_alikes(), {m: 1 for g in lookalike.look_alikes().members().values() for m in g if m.isascii()}))
+    assert form("a\U000e0041\U000e007fb\U000e0100\ufe0f\u200d") == "ab" and form("Ꮋello ɑ") == "Hello a"
+
+
+def test_letters_learnt_from_words(spark):
+    odd = "\ua4d0"  # a letter of a script that no table holds
+    rows = [(1, "the Big barn"), (2, f"the {odd}ig barn"), (3, "Bold move"), (4, f"{odd}old move"), (5, f"x{odd}x"), (6, "ⴰnce"), (7, "once"), (8, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    form = {r.id: r.form for r in lookalike.consistent_form(df, "text").collect()}
+    assert form[1] == form[2] and form[3] == form[4] and form[6] != form[7]  # one word is no evidence
+    c = {r.id: (r["class"], r.links) for r in lookalike.same_look_classes(lookalike.consistent_form(df.withColumn("s", F.lit("s")), "text"), ["s"], "id", "text").collect()}
+    assert c == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1)}
+    rows = [("s", k, t) for k, t in enumerate(["ab", "аb", "a\u200bb", "ab", "ab", " ", "other"])] + [("t", 9, "аb")]
+    df = lookalike.consistent_form(spark.createDataFrame(rows, "s string, id long, text string"), "text")
+    links = {r.id: r.links for r in lookalike.same_look_classes(df, ["s"], "id", "text").collect()}
+    pairs = [(r.key_a, r.key_b) for r in lookalike.same_look_pairs(df, ["s"], "id", "text").collect()]
+    assert links == {i: sum(i in p for p in pairs) for i in range(5)}
