@@ -1,7 +1,8 @@
 """Readings of one time string: every valid parse, each as (label, instant).
 
-Labels name what had to be decided: `dmy`/`mdy` for the order of a numeric date, `z:<name>:<minutes>` for a zone
-abbreviation with several meanings, `s`/`ms`/`us`/`ns` for the unit of a bare number, else `fixed`.
+Labels name what had to be decided: `dmy`/`mdy` for the order of a numeric date (years of two digits are those
+of 1969 to 2068), `z:<name>:<minutes>` for a zone abbreviation with several meanings, `first`/`second` for a local time that occurs
+twice, `s`/`ms`/`us`/`ns` for the unit of a bare number, else `fixed`.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ FORMS = [
     ("week", re.compile(rf"(?P<y>\d{{4}})-?W(?P<w>\d{{2}})-?(?P<wd>[1-7]){_CLOCK}", _I)),
     ("ordinal", re.compile(rf"(?P<y>\d{{4}})-(?P<yd>\d{{3}}){_CLOCK}", _I)),
     ("basic", re.compile(rf"(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})(?:T(?P<h>\d{{2}})(?P<mi>\d{{2}})(?:(?P<s>\d{{2}})(?:[.,](?P<f>\d{{1,9}}))?)?{_Z})?", _I)),
-    ("numeric", re.compile(rf"(?P<a>\d{{1,2}})([-/.])(?P<b>\d{{1,2}})\2(?P<y>\d{{4}}){_CLOCK}", _I)),
+    ("numeric", re.compile(rf"(?P<a>\d{{1,2}})([-/.])(?P<b>\d{{1,2}})\2(?P<y>\d{{4}}|\d{{2}}){_CLOCK}", _I)),
     ("month_first", re.compile(rf"(?:[^\W\d]{{2,12}}\.?,?\s+)?(?P<mon>[^\W\d]{{3,12}})\.?\s+(?P<d>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?P<y>\d{{4}}){_CLOCK}", _I)),
     ("day_first", re.compile(rf"(?:[^\W\d]{{2,12}}\.?,?\s+)?(?P<d>\d{{1,2}})(?:er|\.)?\s+(?:de\s+)?(?P<mon>[^\W\d]{{3,12}})\.?,?\s+(?:de\s+)?(?P<y>\d{{4}})(?:\s*г\.?)?{_CLOCK}", _I)),
     ("ctime", re.compile(rf"[^\W\d]{{2,12}}\s+(?P<mon>[^\W\d]{{3,12}})\s+(?P<d>\d{{1,2}})\s+{_T}{_Z}\s+(?P<y>\d{{4}})", _I)),
@@ -79,9 +80,19 @@ def _local(t: datetime, zone: ZoneInfo | None) -> int:
     return _us(t) - round(t.replace(tzinfo=zone, fold=0).utcoffset().total_seconds() * 1_000_000)
 
 
-def readings(value: str | None, tz: str | None = None) -> tuple[str, list[tuple[str, int]]]:
+def _locals(t: datetime, zone: ZoneInfo | None, twice: bool) -> list[tuple[str, int]]:
+    """(label, instant) of a wall time: two where the clock shows it twice, if asked for."""
+    first = _local(t, zone)
+    if zone is None or not twice:
+        return [("", first)]
+    second = _us(t) - round(t.replace(tzinfo=zone, fold=1).utcoffset().total_seconds() * 1_000_000)
+    return [("first", first), ("second", second)] if second > first else [("", first)]
+
+
+def readings(value: str | None, tz: str | None = None, twice: bool = False) -> tuple[str, list[tuple[str, int]]]:
     """(status, [(label, microseconds since 1970 UTC)]). status: `null`, `none` (no date), `day` (names a day only),
-    `invalid` (a date or clock that doesn't exist) or `time`. A value without zone is local to tz (None: UTC)."""
+    `invalid` (a date or clock that doesn't exist) or `time`. A value without zone is local to tz (None: UTC). twice: a
+    local time that occurs twice gives both instants, else the earlier one."""
     if value is None:
         return "null", []
     v = unicodedata.normalize("NFKC", value).translate({0x2212: "-", 0x200B: None, 0x200E: None, 0x200F: None, 0xFEFF: None})
@@ -94,7 +105,7 @@ def readings(value: str | None, tz: str | None = None) -> tuple[str, list[tuple[
         return _number(m)
     for form, pattern in FORMS:
         if m := pattern.fullmatch(v):
-            return _read(form, m.groupdict(), tz)
+            return _read(form, m.groupdict(), tz, twice)
     return "none", []
 
 
@@ -110,8 +121,10 @@ def _number(m: re.Match) -> tuple[str, list[tuple[str, int]]]:
     return ("time", out) if out else ("invalid", [])
 
 
-def _read(form: str, g: dict, tz: str | None) -> tuple[str, list[tuple[str, int]]]:
+def _read(form: str, g: dict, tz: str | None, twice: bool) -> tuple[str, list[tuple[str, int]]]:
     y = int(g["y"])
+    if len(g["y"]) == 2:
+        y += 2000 if y <= 68 else 1900
     days: list[tuple[str, date]] = []
     try:
         if form == "week":
@@ -153,11 +166,9 @@ def _read(form: str, g: dict, tz: str | None) -> tuple[str, list[tuple[str, int]
     for label, d in days:
         t = datetime(d.year, d.month, d.day, h, mi, s, us)
         try:
-            if not zones:
-                out.append((label or "fixed", _local(t, _zone(tz) if tz else None)))
-            for name, z in zones:
-                both = ",".join(x for x in (label, name) if x) or "fixed"
-                out.append((both, _us(t) - z * 60_000_000 if isinstance(z, int) else _local(t, z)))
+            for name, z in zones or [("", _zone(tz) if tz else None)]:
+                for fold, us_ in [("", _us(t) - z * 60_000_000)] if isinstance(z, int) else _locals(t, z, twice):
+                    out.append((",".join(x for x in (label, name, fold) if x) or "fixed", us_))
         except OverflowError:
             pass
     return ("time", out) if out else ("invalid", [])

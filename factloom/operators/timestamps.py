@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from factloom.functions.timeparse import _zone, readings
 from factloom.session import stage
 
-ADDED = ("ts_utc", "ts_status", "ts_reading", "ts_posterior")
+ADDED = ("ts_utc", "ts_status", "ts_reading", "ts_posterior", "ts_options")
 
 
 def _signature(found: list[tuple[str, int]], locale: str | None, tz: str | None) -> str:
@@ -43,7 +43,7 @@ def _signature(found: list[tuple[str, int]], locale: str | None, tz: str | None)
     return "|".join(out)
 
 
-def _parser(default_locale: str):
+def _parser(default_locale: str, twice: bool):
     kind = pa.struct([("status", pa.string()), ("us", pa.list_(pa.int64())), ("sig", pa.string())])
 
     @F.arrow_udf("status string, us array<bigint>, sig string")
@@ -53,7 +53,7 @@ def _parser(default_locale: str):
         for key in zip(value.to_pylist(), locale.to_pylist(), tz.to_pylist()):
             if key not in memo:
                 v, lo, z = key
-                st, found = readings(v, z)
+                st, found = readings(v, z, twice)
                 memo[key] = {"status": st, "us": [u for _, u in found], "sig": _signature(found, lo or default_locale, z) if found else None}
             out.append(memo[key])
         return pa.array(out, kind)
@@ -91,18 +91,21 @@ def mixture(counts: dict[str, int], declared: float, rounds: int = 50, smooth: f
     return {sig: max(enumerate(p), key=lambda t: (t[1], -t[0])) for sig, p in post.items()}
 
 
-def normalise_timestamps(df: DataFrame, value: str = "value", source: str = "source_id", locale: str | None = "locale", tz: str | None = "timezone", default_locale: str = "en-US", declared: float = 0.999999, decide: float = 0.9) -> DataFrame:
+def normalise_timestamps(df: DataFrame, value: str = "value", source: str = "source_id", locale: str | None = "locale", tz: str | None = "timezone", default_locale: str = "en-US", declared: float = 0.999999, decide: float = 0.9, twice: bool = False) -> DataFrame:
     """df with `ts_utc` (timestamp), `ts_status` (`resolved`, `ambiguous`, `day`, `none`, `invalid`, `null`), `ts_reading`
-    (the label chosen) and `ts_posterior`. declared: how far the row's locale and zone are trusted against the
-    source's mixture; decide: the least posterior at which a reading is taken."""
+    (the label chosen), `ts_posterior` and, where a value has several readings, `ts_options` (their instants). declared: how far the row's locale and zone are trusted against the
+    source's mixture; decide: the least posterior at which a reading is taken. twice: a local time that the clock shows twice
+    has two readings, which nothing in the row tells apart, so it is `ambiguous` unless the source's mixture decides; without
+    it such a time is the earlier one by definition."""
     none = F.lit(None).cast("string")
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source).alias("src"), F.col(value).cast("string").alias("v"), (F.col(locale) if locale else none).alias("lo"), (F.col(tz) if tz else none).alias("tz"))
     # parsed once and written: the counts and both branches below read it
-    parsed = stage(row.select("row", "src", _parser(default_locale)("v", "lo", "tz").alias("p")), "parsed")
+    parsed = stage(row.select("row", "src", _parser(default_locale, twice)("v", "lo", "tz").alias("p")), "parsed")
     open_ = F.size("p.us") > 1
     timed = F.col("p.status") == "time"
     bare = lambda sig: F.regexp_replace(sig, r"\*", "")
-    added = lambda us, status, reading, post: [F.timestamp_micros(us).alias("ts_utc"), status.alias("ts_status"), bare(reading).alias("ts_reading"), post.alias("ts_posterior")]
+    options = F.when(open_, F.transform("p.us", lambda x: F.timestamp_micros(x))).alias("ts_options")
+    added = lambda us, status, reading, post: [F.timestamp_micros(us).alias("ts_utc"), status.alias("ts_status"), bare(reading).alias("ts_reading"), post.alias("ts_posterior"), options]
     # one reading: the posterior is 1, no join is needed
     sure = parsed.filter(F.coalesce(~open_, F.lit(True)))
     sure = sure.select("row", *added(F.when(timed, F.try_element_at("p.us", F.lit(1))), F.when(timed, "resolved").otherwise(F.col("p.status")), F.col("p.sig"), F.when(timed, 1.0)))
@@ -124,6 +127,15 @@ def normalise_timestamps(df: DataFrame, value: str = "value", source: str = "sou
     return sure.unionAll(asked).select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ADDED], *ADDED)
 
 
+def instant_classes(df: DataFrame, key: list[str], id_: str, instant: str = "ts_utc") -> DataFrame:
+    """(id, class, links): for each id its class, the smallest id with equal key and instant, and how many other ids are in it:
+    what the pairs below say, in a row per id. Repeated rows count once; a class of any size is one aggregate."""
+    rows = df.filter(F.col(instant).isNotNull()).select(*key, instant, id_).distinct()
+    per = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*key, instant])]).agg(F.min(id_).alias("class"), (F.count(F.lit(1)) - 1).alias("links"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*key, instant])]
+    return rows.join(per, on).select(id_, "class", "links")
+
+
 def same_instant_pairs(df: DataFrame, key: list[str], id_: str, instant: str = "ts_utc") -> DataFrame:
     """Pairs (a, b), a < b, of ids with equal key and instant; repeated rows count once. The join key holds the
     instant, so a hot page spreads by time, and what is left skewed AQE splits."""

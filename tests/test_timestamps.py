@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from factloom.functions.timeparse import readings
-from factloom.operators.timestamps import mixture, normalise_timestamps, same_instant_pairs
+from factloom.operators.timestamps import instant_classes, mixture, normalise_timestamps, same_instant_pairs
 
 
 def at(s):
@@ -92,3 +92,31 @@ def test_pairs(spark):
     t = datetime(2020, 1, 1)
     df = spark.createDataFrame([("u", "b", t), ("u", "a", t), ("u", "a", t), ("u", "c", datetime(2020, 1, 2)), ("v", "d", t), (None, "e", t), (None, "f", t), ("v", "g", None)], "u string, id string, ts_utc timestamp")
     assert [tuple(r) for r in same_instant_pairs(df, ["u"], "id").collect()] == [("a", "b")]
+
+
+def test_repeated_hours_are_ambiguous(spark):
+    rows = [("a", "s", "2024-10-27 02:30:00", "Europe/Berlin"), ("b", "s", "2024-10-27 03:30:00", "Europe/Berlin"), ("c", "s", "2024-03-31 02:30:00", "Europe/Berlin"), ("d", "s", "2024-10-27 02:30:00+02:00", "Europe/Berlin"), ("e", "s", "05.11.24 10:00", None), ("f", "s", "31/12/99 10:00", None)]
+    df = spark.createDataFrame(rows, "id string, source_id string, value string, timezone string").withColumn("locale", F.lit("de-DE"))
+    both = {r.id: r for r in normalise_timestamps(df, twice=True).collect()}
+    assert (both["a"].ts_status, both["a"].ts_utc, len(both["a"].ts_options)) == ("ambiguous", None, 2) and (both["a"].ts_options[1] - both["a"].ts_options[0]).seconds == 3600
+    assert [both[x].ts_status for x in "bcdef"] == ["resolved"] * 5 and both["b"].ts_options is None
+    one = {r.id: r for r in normalise_timestamps(df).collect()}
+    assert one["a"].ts_status == "resolved" and one["a"].ts_utc == both["a"].ts_options[0]
+    assert (one["e"].ts_utc.year, one["e"].ts_utc.month, one["f"].ts_utc.year) == (2024, 11, 1999)
+
+
+def test_mixture_decides_where_the_row_says_nothing(spark):
+    rows = [(f"u{i}", "dmy", f"{13 + i % 15}/0{1 + i % 9}/2024 10:00") for i in range(60)] + [("x", "dmy", "03/04/2024 10:00"), ("y", "lone", "03/04/2024 10:00")]
+    rows += [(f"m{i}", "mixed", v) for i, v in enumerate(["13/02/2024 10:00", "02/13/2024 10:00"] * 20)] + [("z", "mixed", "03/04/2024 10:00")]
+    df = spark.createDataFrame(rows, "id string, source_id string, value string").withColumn("locale", F.lit(None).cast("string")).withColumn("timezone", F.lit(None).cast("string"))
+    got = {r.id: r for r in normalise_timestamps(df, declared=0.5).collect()}
+    assert (got["x"].ts_status, got["x"].ts_reading, got["x"].ts_utc.month) == ("resolved", "dmy", 4)
+    assert got["y"].ts_status == "ambiguous" and got["z"].ts_status == "ambiguous" and len(got["z"].ts_options) == 2
+
+
+def test_classes_say_what_the_pairs_say(spark):
+    rows = [("p", "a", 1), ("p", "b", 1), ("p", "c", 1), ("p", "d", 2), ("q", "e", 1), ("p", "a", 1), ("p", "n", None)]
+    df = spark.createDataFrame(rows, "k string, id string, s long").withColumn("ts_utc", F.timestamp_seconds("s"))
+    pairs = [(r.a, r.b) for r in same_instant_pairs(df, ["k"], "id").collect()]
+    got = {r.id: (r["class"], r.links) for r in instant_classes(df, ["k"], "id").collect()}
+    assert got == {x: (min([x] + [a for a, b in pairs if b == x]), sum(x in p for p in pairs)) for x in "abcde"}
