@@ -48,6 +48,9 @@ _CRUMB = re.compile(r"^[^.!?]{1,60}(?:\s[>›»/→]\s[^.!?>›»/→]{1,90})+(?
 _PAGER = re.compile(r"^[\d\s…«»<>‹›.|·-]+$")
 _COPYRIGHT = re.compile(r"^(?:©|\(c\)|copyright)\s", re.I)
 _CODE = re.compile(r"^\s{2,}\S|^\$ |^\t|[={}\[\]]|\w\([^)]*\)|^(?:import|from|for|assert|def|return|class|const|let|var|print)\b.*[\w)]$")
+#: A line of a specification: a label of a few words, and a quantity with its unit, or single words.
+_MEASURED = re.compile(r"^(?:\* )?[^:–.!?]{2,40}?\s?[:–]\s\d[\d.,]*\s?(?:[^\W\d_]{1,4}|[%°\"])$")
+_VALUED = re.compile(r"^(?:\* )?[^:–.!?]{2,40}?\s?[:–]\s[^\W\d_]+(?:, [^\W\d_]+)*$")
 _PROSE_END = re.compile(r"[.!?…][»”\"')\]]*$|:$")
 _ITEMS = re.compile(r"\s*[|·•/]\s*|\s{2,}|\s+[>›»–]\s+")
 
@@ -275,7 +278,10 @@ def frame(masked: str) -> str | None:
 
 
 def is_template(x: Line, constant) -> bool:
-    """Whether a line is constant over the host's pages, or built from constant items, or an insert by its label."""
+    """Whether a line is constant over the host's pages, or built from constant items, or an insert by its label. A quantity
+    with its unit is never template."""
+    if _MEASURED.match(x.text):  # with the number masked, what many pages say of their own things looks constant
+        return False
     if x.key in constant or _LABEL.match(x.text) or _PAGER.match(x.text) or _COPYRIGHT.match(x.text):
         return True
     if (f := frame(x.mask)) and key(f) in constant:
@@ -327,8 +333,10 @@ def _fold(t: str) -> str:
 
 def _is_title(text: str, slug: list[str]) -> bool:
     """Whether the slug's words begin the text, as far as the slug kept them."""
-    words = re.findall(r"[a-z0-9]+", _fold(text))
-    return len(slug) >= 2 and words[: len(slug)] == slug
+    if len(slug) < 2:
+        return False
+    # addresses fold letters with marks, or drop them
+    return any(re.findall(r"[a-z0-9]+", t)[: len(slug)] == slug for t in (_fold(text), text.lower()))
 
 
 def body_of_plain(lines: list[Line], constant, url: str | None) -> list[int]:
@@ -342,6 +350,8 @@ def body_of_plain(lines: list[Line], constant, url: str | None) -> list[int]:
                 crumb = re.split(r"\s[>›»/→]\s", x.text)[-1].strip(" .…")
         elif x.bare or _CODE.search(x.text):
             x.kind = "code"
+        elif _MEASURED.match(x.text) or _VALUED.match(x.text):
+            x.kind = "spec"
         elif x.tag == "*" or (x.words >= 4 and _PROSE_END.search(x.text) and not (x.words <= 3)):
             x.kind = "prose"
         else:
@@ -357,6 +367,11 @@ def body_of_plain(lines: list[Line], constant, url: str | None) -> list[int]:
         first = next((i for i in own if lines[i].kind != "title"), None)
         run = []
         i = (len(lines) if first is None else first) - 1
+        back = i
+        while back >= 0 and lines[back].kind == "template":
+            back -= 1
+        if first is not None and 0 <= back < i and lines[back].kind == "title" and (back == 0 or lines[back - 1].kind == "template"):
+            i = back  # a title alone, with inserts between it and the text; foreign titles come in runs
         while i >= 0 and lines[i].kind == "title":
             run.append(i)
             i -= 1
@@ -507,6 +522,7 @@ def constants(texts: DataFrame, host_share: float = 0.04, corpus_share: float =
     by_host = often.groupBy("h", "slot").agg(F.collect_set("key").alias("keys")).groupBy("h").agg(F.collect_list(F.struct("slot", "keys")).alias("places"))
     whole = n.filter(F.col("slot") == _ANY).groupBy("key").agg(F.sum("n").alias("n"))
     total = whole.filter("key = 0").select("n").first()  # key 0 counts the addresses themselves
+    by_host = stage(by_host, "constants")
     if total is None:
         return by_host, []
     common = whole.filter((F.col("key") != 0) & (F.col("n") >= max(least, corpus_share * total["n"]))).select("key").limit(most_common + 1).collect()
@@ -525,7 +541,8 @@ def main_body(docs: DataFrame, plain_rule: bool = True, layouts: int = 3, **opti
     corpus' constants and each page's own best block. options: host_share, corpus_share, least of `constants`."""
     docs = docs.filter(F.length("text") > 0).select("src", "rec_id", "url", "text")
     read = stage(parsed(docs), "parsed")
-    pages = stage(aligned(read, references(read, layouts)), "aligned")
+    # wrappers are written first: their size is then known, and while it is small no page is shuffled for them
+    pages = stage(aligned(read, stage(references(read, layouts), "references")), "aligned")
     texts = read.filter("layout IS NULL").unionAll(pages)
     by_host, everywhere = constants(texts, **options)
 

@@ -128,6 +128,26 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_share(distinct_documents(spark, d), "doc_id", "text").withColumn("share", F.round("share", 6))
 
 
+P9_SHARES = r"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+g AS (SELECT id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 5)),
+r AS (SELECT id, i, min(i) OVER (PARTITION BY id, k) AS f FROM g),
+c AS (SELECT id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2), (3), (4)) AS t(j) WHERE i > f GROUP BY id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_repeated, coalesce(n, 0) / greatest(len(ws), 1) AS share FROM w LEFT JOIN c USING (id)
+"""
+P9_METHOD_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT row_number() OVER () AS id, * FROM d),
+l AS (SELECT id, regexp_replace(unnest(string_split(text, chr(10))), '[\s\p{Z}]+$', '') AS x FROM n), f AS (SELECT id, x, len(regexp_extract_all(x, '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS w FROM l WHERE trim(x) <> ''),
+k AS (SELECT id, x, min(w) AS w, count(*) AS times, regexp_replace(lower(trim(x)), '[0-9]+', '9', 'g') AS h FROM f GROUP BY id, x),
+b AS (SELECT h FROM (SELECT DISTINCT id, h FROM k) GROUP BY h HAVING count(*) >= 5 AND count(*) >= 0.0005 * (SELECT count(DISTINCT id) FROM k)),
+ok AS (SELECT id, count(*) AS n_kept, sum(w) AS n_words_kept FROM k WHERE h NOT IN (SELECT h FROM b)
+  AND NOT (w < 3 AND NOT regexp_matches(x, '[.!?…:;»”"。！？]$') AND NOT regexp_matches(x, '^(\s{4}|\t)')) AND NOT regexp_matches(x, '^[^|·»/>]*([|·»]|[\s\p{Z}][/>][\s\p{Z}])[^|·»/>]*([|·»]|[\s\p{Z}][/>][\s\p{Z}])') GROUP BY id),
+t AS (SELECT id, count(*) AS n_lines, sum(w) AS n_words FROM f GROUP BY id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(n_kept, 0) AS INT) AS n_kept, CAST(coalesce(n_words, 0) AS INT) AS n_words, CAST(coalesce(n_words_kept, 0) AS INT) AS n_words_kept,
+ CASE WHEN n_words > 0 THEN round(1 - coalesce(n_words_kept, 0) / n_words, 6) ELSE 0.0 END AS lost, coalesce(CASE WHEN n_words > 0 THEN 1 - coalesce(n_words_kept, 0) / n_words ELSE 0.0 END > 0.3, false) AS rejected
+FROM n LEFT JOIN t USING (id) LEFT JOIN ok USING (id)
+"""
+
 QUERIES = {
     "p1_method": p1_method,
     "p1_found": p1_found,
@@ -140,7 +160,9 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_repetition": p9_repetition,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_percentiles": P4_SQL, "p4_combined": P4_SQL, "p4_found": P4_FOUND_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p4_percentiles": P4_SQL, "p4_combined": P4_SQL, "p4_found": P4_FOUND_SQL, "p9_method": P9_METHOD_SQL}
+SQL["p9_repetition"] = f"SELECT doc_id, n_words, n_repeated, round(share, 6) AS share FROM ({P9_SHARES})"
+SQL["p9_found"] = f"SELECT DISTINCT doc_id FROM ({P9_SHARES}) WHERE share >= 0.3"
 
 # -- 5: residue ------------------------------------------------------------------------------------------------------
 
