@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Availability words and currency signs.
 AVAILABILITY = {"instock": "true", "in_stock": "true", "outofstock": "false", "out_of_stock": "false", "preorder": "preorder"}
+YES = ["1", "true", "yes", "да", "in stock", "available", "instock", "https://schema.org/instock", "http://schema.org/instock"]
 CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₽": "RUB", "руб": "RUB", "руб.": "RUB"}
 # Titles that are no titles, and names of sites.
 NO_TITLE = ["robot or human?", "access denied", "home", "untitled"]
@@ -121,7 +122,7 @@ def coerced(x: Column, kind: str, locale: Column | None = None) -> Column:
     if kind == "integer":
         return F.coalesce(F.nullif(F.regexp_replace(x, r"\D", ""), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
     if kind == "boolean":
-        return F.lower(x).isin("1", "true", "yes", "да", "in stock", "available", "instock", "https://schema.org/instock", "http://schema.org/instock")
+        return F.lower(x).isin(*YES)
     if kind == "url":
         return F.when(x.startswith("http"), x)
     return clean_text(x)

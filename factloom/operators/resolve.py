@@ -55,7 +55,7 @@ def add_availability(facts: DataFrame, fields: list[str], id_: str = "page_id")
     price = facts.filter((F.col("field") == "price") & (F.col("tactic") == "product"))
     price = price.withColumn("_n", F.row_number().over(W.partitionBy(id_).orderBy("stage", "seq"))).filter("_n = 1").drop("_n")
     new = price.join(facts.filter("field = 'availability'").select(id_), id_, "left_anti")
-    made = {"field": "availability", "value": "InStock", "method": "url_derived", "confidence": 0.55, "selector": "default::availability", "datatype": "string"}
+    made = {"field": "availability", "value": "true", "method": "url_derived", "confidence": 0.55, "selector": "heuristic::availability_from_price", "backend": "L1_heuristic", "datatype": "boolean"}
     return facts.unionByName(new.select(*[F.lit(made[c]).alias(c) if c in made else F.col(c) for c in facts.columns]))
 
 
@@ -121,6 +121,12 @@ def without_challenge(facts: DataFrame, walls: DataFrame, id_: str = "page_id")
     return marked.filter(F.col("_wall").isNull() | ~weak).drop("_wall")
 
 
+def normalised(facts: DataFrame) -> DataFrame:
+    """facts with the values of availability and currency in their one form, other texts without stray white space."""
+    value = F.when(F.col("field") == "availability", tx.availability(F.col("value"))).when(F.col("field") == "currency", tx.currency_code(F.col("value"))).when(F.col("field") == "main_text", F.col("value")).otherwise(F.trim("value"))
+    return facts.withColumn("value", value)
+
+
 def validated(facts: DataFrame) -> DataFrame:
     """facts with `validation_status` and a datatype that agrees with the value: a number that cannot be read as one becomes a
     string; blank values and flags that are none are invalid; what came from embedded state or a model is unverified."""

@@ -344,20 +344,31 @@ def missing_status(spark, d):
     return m.select("run_id", F.size("missing").alias("missing"), F.size("required_missing").alias("required_missing"), "n_facts", "status")
 
 
+_ROUTED = "coalesce(bytes_downloaded, 0)"
+
+
 @query(
     "route_decision",
-    f"""WITH t AS (SELECT run_id, level, status, missing_fields, CASE {_KINDS.replace("url", "normalized_url")} WHEN regexp_matches(lower(normalized_url) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' ELSE 'generic' END AS tactic, contains(warnings, 'bot_wall_detected') AS wall,
- contains(missing_fields, '"price"') AS price, missing_fields <> '[]' AS anymissing FROM (SELECT DISTINCT * FROM runs))
- SELECT run_id, CASE WHEN wall THEN 'bot_wall' WHEN anymissing AND tactic IN ('product', 'spa') THEN 'browser_hint+missing' WHEN tactic IN ('product', 'spa') THEN 'tactic:' || tactic || ':browser_hint' ELSE 'tactic:' || tactic END AS reason,
- CASE WHEN wall OR (anymissing AND tactic IN ('product', 'spa')) THEN 'L3_browser' ELSE 'L1_http' END AS backend FROM t""",
+    f"""WITH t AS (SELECT DISTINCT run_id, level, status, warnings, missing_fields, normalized_url, {_ROUTED} AS b FROM runs), u AS (SELECT run_id, {_HOST.replace("url,", "normalized_url,")} AS h, CASE {_KINDS.replace("url", "normalized_url")} WHEN regexp_matches(lower(normalized_url) || '/', '://[^/]*.*/(docs|doc|api|reference)/') THEN 'docs' ELSE 'generic' END AS tactic,
+  CASE level WHEN 'L0' THEN 'http' WHEN 'L3' THEN 'browser' ELSE 'auto' END AS mode, CASE WHEN status = 'unresolved' AND b % 2 = 0 THEN 'L3_browser' WHEN status = 'unresolved' THEN 'L1_http' END AS rule, coalesce(contains(warnings, 'bot_wall_detected'), false) AS wall, coalesce(contains(warnings, 'http status'), false) AS fault,
+  coalesce(contains(missing_fields, '"price"'), false) AS price, coalesce(missing_fields <> '[]', false) AS gaps, b % 5 = 0 AS score, b % 7 = 0 AS spa FROM t),
+ v AS (SELECT *, regexp_replace(h, '^www\\.', '') AS site, tactic IN ('product', 'spa') AS hint FROM u)
+ SELECT run_id, CASE WHEN mode = 'http' THEN 'mode=http' WHEN rule IS NOT NULL THEN 'domain_rule:' || site WHEN mode = 'browser' THEN 'mode=browser' WHEN wall THEN 'bot_wall' WHEN fault THEN 'failure:needs_browser:http' WHEN gaps AND hint THEN 'browser_hint+missing' WHEN price AND score THEN 'price_missing+spa_score'
+  WHEN gaps AND spa THEN 'likely_spa+missing' WHEN hint THEN 'tactic:' || tactic || ':browser_hint' ELSE 'tactic:' || tactic END AS reason,
+ CASE WHEN mode = 'http' THEN 1.0 WHEN rule = 'L3_browser' THEN 0.9 WHEN rule IS NOT NULL THEN 0.7 WHEN mode = 'browser' THEN 1.0 WHEN wall THEN 0.95 WHEN fault THEN 0.9 WHEN gaps AND hint THEN 0.85 WHEN price AND score THEN 0.8 WHEN gaps AND spa THEN 0.75 WHEN hint THEN 0.55 WHEN tactic = 'docs' THEN 0.9 ELSE 0.7 END AS confidence,
+ mode <> 'http' AND (coalesce(rule = 'L3_browser', false) OR (rule IS NULL AND (mode = 'browser' OR wall OR fault OR (gaps AND hint) OR (price AND score) OR (gaps AND spa)))) AS escalate, CASE WHEN spa OR hint THEN 0.3 ELSE 0.8 END AS predicted FROM v""",
 )
 def route_decision(spark, d):
-    r = table(spark, d, "runs").distinct()
-    t = sg.tactic(web.url_kind(F.col("normalized_url")), F.lit(None).cast("string"))
-    r = r.withColumn("tactic", t).withColumn("m", F.from_json("missing_fields", "array<string>"))
-    sig = F.struct(F.col("tactic").isin("product", "spa").alias("browser_hint"), F.lit(0.0).alias("spa_score"), F.lit(False).alias("likely_spa"))
-    x = resolve.route(F.lit("auto"), F.lit(None).cast("string"), F.when(F.col("warnings").contains("bot_wall_detected"), "bot_wall"), F.col("m"), sig, F.col("tactic"), web.site(F.col("normalized_url")))
-    return r.select("run_id", x["reason"].alias("reason"), x["backend"].alias("backend"))
+    """All branches of the decision: mode, rules, faults and signs are derived from each run's columns."""
+    r = whole_runs(spark, d, "level", "status", "warnings", "missing_fields", "normalized_url", "bytes_downloaded").withColumn("b", F.expr(_ROUTED))
+    r = r.withColumn("tactic", sg.tactic(web.url_kind(F.col("normalized_url")), F.lit(None).cast("string"))).withColumn("m", F.coalesce(F.from_json("missing_fields", "array<string>"), F.array().cast("array<string>")))
+    mode = F.when(F.col("level") == "L0", "http").when(F.col("level") == "L3", "browser").otherwise("auto")
+    rule = F.when((F.col("status") == "unresolved") & (F.col("b") % 2 == 0), "L3_browser").when(F.col("status") == "unresolved", "L1_http")
+    fault = F.when(F.col("warnings").contains("bot_wall_detected"), "bot_wall").when(F.col("warnings").contains("http status"), "needs_browser:http")
+    sig = F.struct(F.col("tactic").isin("product", "spa").alias("browser_hint"), F.when(F.col("b") % 5 == 0, 0.6).otherwise(0.2).alias("spa_score"), (F.col("b") % 7 == 0).alias("likely_spa"))
+    x = resolve.route(mode, rule, fault, F.col("m"), sig, F.col("tactic"), web.site(F.col("normalized_url")))
+    r = r.select("run_id", x.alias("x"), resolve.predicted_confidence(sig).alias("predicted"))
+    return r.select("run_id", "x.reason", "x.confidence", resolve.should_escalate(F.col("x")).alias("escalate"), "predicted")
 
 
 def whole_runs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -471,6 +482,65 @@ def gt_summary(spark, d):
     return measures.summary(measures.scores(*_truth(spark, d)))
 
 
+@query(
+    "class_precision",
+    f"""WITH {_SCORED}, it AS (SELECT item_id, sum(tp) AS tp, sum(tp + fp + fn) AS asked FROM sc GROUP BY 1), ru AS (SELECT DISTINCT run_id, coalesce(schema_hash, 'unknown') AS class, coalesce(CASE WHEN isnan(latency_ms) THEN NULL ELSE latency_ms END, 0) AS ms FROM runs),
+ jo AS (SELECT class, tp, asked, ms, row_number() OVER (PARTITION BY class ORDER BY ms, run_id) - 1 AS i, count(*) OVER (PARTITION BY class) AS n FROM ru JOIN it ON it.item_id = ru.run_id)
+ SELECT class, count(*) AS items, CAST(sum(asked) AS BIGINT) AS asked, CAST(sum(tp) AS BIGINT) AS correct, round(coalesce(sum(tp) / nullif(sum(asked), 0), 0), 6) AS precision, max(CASE WHEN i = least(floor(n * 0.5), n - 1) THEN ms END) AS p50_ms, max(CASE WHEN i = least(floor(n * 0.95), n - 1) THEN ms END) AS p95_ms FROM jo GROUP BY class""",
+)
+def class_precision(spark, d):
+    rules, facts = _truth(spark, d)
+    ms = F.when(~F.isnan("latency_ms"), F.col("latency_ms"))
+    latency = whole_runs(spark, d, "schema_hash", "latency_ms").select(F.col("run_id").alias("item_id"), F.col("schema_hash").alias("class"), ms.alias("latency_ms"))
+    return measures.class_precision(rules, facts, latency, "class")
+
+
+@query("conflict_winners", f"WITH {_RANKED} SELECT method, count(*) AS facts, count(*) FILTER (WHERE k > 1) AS won, CAST(sum(k - 1) AS BIGINT) AS beaten FROM r WHERE n = 1 GROUP BY method")
+def conflict_winners(spark, d):
+    """Per method: the facts it gives after resolution, how many against others, and how many candidates it beat."""
+    f = resolve.resolve(stored_facts(spark, d), "run_id").select("method", F.size("conflict_values").alias("n"))
+    return f.groupBy("method").agg(F.count(F.lit(1)).alias("facts"), F.count_if(F.col("n") > 0).alias("won"), F.sum("n").cast("bigint").alias("beaten"))
+
+
+@query("missing_counts", f"""SELECT field, count(*) AS runs FROM (SELECT unnest(from_json(missing_fields, '["VARCHAR"]')) AS field FROM {_R}) GROUP BY 1""")
+def missing_counts(spark, d):
+    m = whole_runs(spark, d, "missing_fields").select(F.explode(F.from_json("missing_fields", "array<string>")).alias("field"))
+    return m.groupBy("field").agg(F.count(F.lit(1)).alias("runs"))
+
+
+def _meta_sql(by: str, name: str) -> str:
+    return f"""coalesce(list_transform(list_filter(m, lambda x: lower(regexp_extract(x, '(?i)\\b{by}="([^"]*)"', 1)) = '{name}'), lambda x: trim(regexp_extract(x, '(?i)\\bcontent="([^"]*)"', 1)))[1], '')"""
+
+
+_CLAIM_SQL = " UNION ALL ".join(
+    [f"SELECT page_id, 'opengraph' AS source, 1 AS rank, '{f}' AS field, {_meta_sql('property', p)} AS value FROM m" for p, f in extract.CLAIMED_OG]
+    + [f"SELECT page_id, 'meta', 2, '{f}', {_meta_sql('name', f)} FROM m" for f in ("description", "author", "keywords")]
+    + ["SELECT page_id, 'visible', 3, 'title', coalesce(nullif(t, ''), h1) FROM m", "SELECT page_id, 'visible', 3, 'name', h1 FROM m"]
+    + ["SELECT page_id, 'jsonld', 0, unnest(['name', 'brand', 'price', 'currency', 'availability']), unnest([p_name, p_brand, price, 'EUR', 'https://schema.org/InStock']) FROM p WHERE page_id % 3 <> 0"]
+)
+
+
+@query(
+    "truth_sources",
+    f"""WITH p AS (SELECT p_partkey AS page_id, p_name, p_brand, {fixtures.PRICE} AS price FROM part), m AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<meta\\b[^>]*>') AS m, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS t, trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)) AS h1 FROM ({fixtures.PRODUCT_PAGES})) SELECT * FROM ({_CLAIM_SQL}) WHERE trim(value) <> ''""",
+)
+def truth_sources(spark, d):
+    """What each source of a page claims: JSON-LD, Open Graph, standard meta, visible elements."""
+    return extract.claims(fixtures.product_pages(spark, d)).select("page_id", "source", "rank", "field", "value")
+
+
+@query(
+    "truth_of_pages",
+    f"""WITH p AS (SELECT p_partkey AS page_id, p_name, p_brand, {fixtures.PRICE} AS price FROM part), m AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<meta\\b[^>]*>') AS m, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS t, trim(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1)) AS h1 FROM ({fixtures.PRODUCT_PAGES})), c AS (SELECT * FROM ({_CLAIM_SQL}) WHERE trim(value) <> ''),
+ g AS (SELECT page_id, field, lower(trim(value)) AS v, count(*) AS votes, min(rank) AS r, arg_min(value, rank) AS value FROM c GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY page_id, field ORDER BY votes DESC, r, v) AS n, sum(votes) OVER (PARTITION BY page_id, field) AS total FROM g)
+ SELECT page_id, field, value, votes, round(votes / total, 3) AS agreement FROM w WHERE n = 1""",
+)
+def truth_of_pages(spark, d):
+    """Consensus of a page's own sources."""
+    c = resolve.consensus(extract.claims(fixtures.product_pages(spark, d)), ["page_id", "field"], "value", "rank")
+    return c.select("page_id", "field", "value", "votes", "agreement")
+
+
 @query(
     "completeness_by_class",
     f"""WITH i AS (SELECT r.run_id, r.schema_hash AS class, f.field FROM (SELECT DISTINCT run_id, schema_hash FROM runs) r CROSS JOIN (VALUES ('title'), ('description'), ('source')) AS f(field)), h AS (SELECT DISTINCT run_id, field FROM {_CAND} WHERE length(trim(value)) > 0)
@@ -519,7 +589,13 @@ def value_warnings(spark, d):
     return table(spark, d, "facts").join(a, "field").select("fact_id", F.array_join(w, ",").alias("warnings")).distinct()
 
 
-@query("auto_truth")
+_WARNED = """concat_ws(',', CASE WHEN coalesce(trim(value), '') = '' THEN 'empty' END, CASE WHEN field = 'price' AND p IS NULL THEN 'no_number' END, CASE WHEN field = 'price' AND p <= 0 THEN 'not_positive' END, CASE WHEN field = 'price' AND p > 1000000 THEN 'very_high' END,
+ CASE WHEN field = 'currency' AND NOT coalesce(regexp_full_match(value, '[A-Z]{3}'), false) THEN 'no_code' END,
+ CASE WHEN field = 'availability' AND NOT coalesce(lower(split_part(trim(value), '/', -1)) IN ('instock', 'in_stock', 'outofstock', 'out_of_stock', 'preorder') OR value IN ('true', 'false', 'preorder'), false) THEN 'unknown_word' END, CASE WHEN field IN ('title', 'name') AND """ + _TITLE_WEAK + """ THEN 'weak_title' END)"""
+_PRICE = f"TRY_CAST(CASE WHEN length({_C}) - length(replace({_C}, ',', '')) = 1 AND strpos(reverse({_C}), ',') < CASE WHEN contains({_C}, '.') THEN strpos(reverse({_C}), '.') ELSE 100000 END THEN replace(replace({_C}, '.', ''), ',', '.') ELSE replace({_C}, ',', '') END AS DOUBLE)"
+
+
+@query("auto_truth", f"SELECT normalized_url, field, value, votes, agreement, distinct_values, {_WARNED} AS warnings FROM (SELECT *, {_PRICE} AS p FROM ({SQL['consensus_vote']})) WHERE agreement >= 0.5")
 def auto_truth(spark, d):
     """Consensus values of each page with an agreement of half or more."""
     runs = table(spark, d, "runs").select("run_id", "normalized_url").distinct()
@@ -573,7 +649,11 @@ def cache_hits(spark, d):
     return store.cached(q, r, ["normalized_url", "schema_hash"], ttl_s=_TTL).select(F.col("asked").alias("run_id"), "cached_run")
 
 
-@query("evidence_digests")
+@query(
+    "evidence_digests",
+    """WITH f AS (SELECT DISTINCT run_id, fact_id, field, coalesce(value, 'None') AS value, list_min(evidence_ids) AS e FROM facts), x AS (SELECT run_id, evidence_id, min({'b': extraction_backend, 's': selector, 'h': content_hash}) AS m FROM evidence GROUP BY ALL)
+ SELECT f.run_id, 'sha256:' || sha256(CAST(to_json(list_sort(list([coalesce(field, ''), value, coalesce(m.b, ''), coalesce(m.s, ''), coalesce(m.h, '')]))) AS VARCHAR)) AS evidence_digest FROM f LEFT JOIN x ON x.evidence_id = f.e AND x.run_id = f.run_id GROUP BY f.run_id""",
+)
 def evidence_digests(spark, d):
     return chain.evidence_digest(table(spark, d, "facts"), table(spark, d, "evidence"))
 
@@ -581,7 +661,11 @@ def evidence_digests(spark, d):
 _LINKED = ["run_id", "url", "level", "status", "evidence_digest"]
 
 
-@query("chain_verify")
+@query(
+    "chain_verify",
+    """WITH r AS (SELECT DISTINCT run_id, normalized_url, level, status, schema_hash, stored_at FROM runs WHERE run_id IN (SELECT run_id FROM facts)), n AS (SELECT *, row_number() OVER (PARTITION BY schema_hash ORDER BY strftime(stored_at, '%Y%m%d%H%M%S%f'), run_id) AS i FROM r)
+ SELECT schema_hash, bool_and(schema_hash <> 'sc_docs' OR coalesce(level, '') <> 'L2') AS ok, CAST(coalesce(min(i) FILTER (WHERE schema_hash = 'sc_docs' AND level = 'L2') - 1, count(*)) AS BIGINT) AS verified, CASE WHEN NOT bool_and(schema_hash <> 'sc_docs' OR coalesce(level, '') <> 'L2') THEN 'hash mismatch' END AS error FROM n GROUP BY schema_hash""",
+)
 def chain_verify(spark, d):
     """A chain per schema over all runs, appended and verified, with one entry altered in the second."""
     r = table(spark, d, "runs").select("run_id", F.col("normalized_url").alias("url"), "level", "status", "schema_hash", "stored_at").distinct()
@@ -618,16 +702,30 @@ def candidate_facts(spark, d):
     return a.unionByName(extract.candidates(pages(spark, d), schema)).select("page_id", "page_class", "tactic", "stage", "method", "field", "value", "confidence", "selector")
 
 
-@query("extracted_facts", f"SELECT p_partkey AS page_id, unnest(['title', 'name', 'price', 'currency', 'source']) AS field, unnest([p_name, p_name, {fixtures.PRICE}, 'EUR', 'Shop']) AS value FROM part")
+_LEAD = "'A part of size ' || CAST(p_size AS VARCHAR) || ' for everyday use, made by ' || p_brand || ', that fits where other parts of its type do not.'"
+
+
+@query(
+    "extracted_facts",
+    f"""WITH p AS (SELECT *, {fixtures.PRICE} AS price, CASE WHEN p_partkey % 3 <> 0 THEN 'json-ld' WHEN p_partkey % 2 = 0 THEN 'microdata' END AS m FROM part)
+ SELECT page_id, field, value, method, validation_status FROM (SELECT p_partkey AS page_id, unnest(['title', 'name', 'price', 'currency', 'source', 'main_text', 'availability', 'brand']) AS field, unnest([p_name, p_name, price, 'EUR', 'Shop', {_LEAD}, 'true', CASE WHEN p_partkey % 3 <> 0 THEN p_brand END]) AS value,
+ unnest([coalesce(m, 'og_manual'), coalesce(m, 'meta_og'), coalesce(m, 'og_manual'), CASE WHEN p_partkey % 3 <> 0 THEN 'json-ld' ELSE 'og_manual' END, 'meta_og', 'main_text', CASE WHEN p_partkey % 3 <> 0 THEN 'json-ld' ELSE 'url_derived' END, 'json-ld']) AS method, 'valid' AS validation_status FROM p) WHERE value IS NOT NULL""",
+)
 def extracted_facts(spark, d):
+    """All facts of the product pages, resolved, with what they came from."""
     f = engine.extract(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).facts
-    return f.filter(F.col("field").isin("title", "name", "price", "currency", "source")).select("page_id", "field", "value")
+    return f.select("page_id", "field", "value", "method", "validation_status")
 
 
-@query("extracted_runs")
+@query(
+    "extracted_runs",
+    """SELECT p_partkey AS page_id, 'partial' AS status, 'product' AS tactic, 'L1' AS level, CASE WHEN p_partkey % 3 = 0 THEN 'brand,category' ELSE 'category' END AS missing, CAST(CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE 8 END AS BIGINT) AS n_facts, 'tactic:product:browser_hint' AS reason,
+ array_to_string(list_filter([CASE WHEN p_partkey % 3 <> 0 THEN 'jsonld_detected' END, 'spa_score:0.0', 'canonical:https://shop.example.com/product/' || CAST(p_partkey AS VARCHAR), 'page_class:product', 'tactic:product',
+  'missing_fields: ' || CASE WHEN p_partkey % 3 = 0 THEN 'brand, category' ELSE 'category' END, 'route:L1_http:tactic:product:browser_hint'], lambda x: x IS NOT NULL), '|') AS warnings FROM part""",
+)
 def extracted_runs(spark, d):
     r = engine.extract(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).runs
-    return r.select("page_id", "status", "tactic", F.array_join("missing", ",").alias("missing"), "n_facts", F.col("route.reason").alias("reason"), F.to_json("warnings").alias("warnings"))
+    return r.select("page_id", "status", "tactic", "level", F.array_join("missing", ",").alias("missing"), "n_facts", F.col("route.reason").alias("reason"), F.array_join("warnings", "|").alias("warnings"))
 
 
 @query("page_snapshots", "SELECT p_partkey AS page_id, p_name || ' | Shop' AS title, 'en' AS language, '/product/' || CAST(p_partkey AS VARCHAR) AS canonical, 1 AS sections, CAST(4 AS INT) AS metas FROM part")
@@ -641,11 +739,15 @@ def canonical_links(spark, d):
     return extract.primary_canonical(extract.links(fixtures.product_pages(spark, d)))
 
 
-@query("text_pages_snapshots")
+@query(
+    "text_pages_snapshots",
+    f"""SELECT page_id, nullif(regexp_extract(html, '(?i)<html[^>]*\\blang="([^"]*)"', 1), '') AS language, len(regexp_extract_all(html, '(?i)<(?:header|main|article|section|aside|footer)[\\s>]')) AS sections, len(regexp_extract_all(html, '(?i)<a\\s[^>]*href="http')) AS links,
+ len(list_distinct(list_filter(regexp_extract_all(html, '(?i)<meta[^>]*?(?:name|property)="([^"]+)"', 1), lambda x: x <> ''))) AS metas FROM {_DOC}""",
+)
 def text_pages_snapshots(spark, d):
     """Sections, links and meta of the stored pages."""
     s = extract.snapshots(pages(spark, d))
-    return s.select("page_id", "title", "language", F.size("sections").alias("sections"), F.size("links").alias("links"), F.size("meta").alias("metas"))
+    return s.select("page_id", "language", F.size("sections").alias("sections"), F.size("links").alias("links"), F.size("meta").alias("metas"))
 
 
 # -- streams ---------------------------------------------------------------------------------------------------------

@@ -16,6 +16,12 @@ FACTS = "run_id string, fact_id string, field string, value string, datatype str
 EVIDENCE = "run_id string, evidence_id string, source_id string, source_url string, evidence_text string, selector string, content_hash string, content_signature string, retrieved_at timestamp, extraction_backend string, payload string"
 
 
+def create(spark: SparkSession, folder: str) -> None:
+    """Empty tables of runs, facts and evidence in a folder; those that are there stay as they are."""
+    for name, schema in (("runs", RUNS), ("facts", FACTS), ("evidence", EVIDENCE)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}.parquet")
+
+
 def hash_json(x) -> str:
     """First 16 hex digits of the SHA-256 of JSON with sorted keys."""
     return hashlib.sha256(json.dumps(x, sort_keys=True).encode()).hexdigest()[:16]
@@ -33,8 +39,18 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order: str, chang
     return both.groupBy(*keys).agg(*pick)
 
 
-def save(df: DataFrame, path: str, by: str | None = None, mode: str = "append") -> None:
-    """Write a table as parquet, partitioned by a column of few values where one is given."""
+def frozen(df: DataFrame) -> DataFrame:
+    """df as it is now: its list of files is taken once, so rows that others append later are not read, in however many queries
+    it is used. For tables of files that are only added to."""
+    files = df.inputFiles()
+    return df.sparkSession.read.schema(df.schema).parquet(*files) if files else df.limit(0)
+
+
+def save(df: DataFrame, path: str, by: str | None = None, mode: str = "append", key: list[str] | None = None) -> None:
+    """Write a table as parquet, partitioned by a column of few values where one is given. key: rows are range-partitioned and
+    sorted by these columns, so that look-ups by key read few files and row groups."""
+    if key:
+        df = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in key]).sortWithinPartitions(*key)
     w = df.write.mode(mode)
     (w.partitionBy(by) if by else w).parquet(path)
 

@@ -200,7 +200,7 @@ def test_product_links_and_hop(spark):
     assert got[0] == "https://h.example/product/9" and "https://cdn.example/dp/3?x=1" in got and got[1] == "https://h.example/product/8"
     schema = {"title": "string", "price": "number", "availability": "string"}
     plain = {(r.page_id, r.field): r.value for r in engine.extract(pages, schema).facts.collect()}
-    assert (1, "price") not in plain and plain[2, "price"] == "7.50" and plain[2, "availability"] == "InStock"
+    assert (1, "price") not in plain and plain[2, "price"] == "7.50" and plain[2, "availability"] == "true"
     assert {(r.page_id, r.field): r.value for r in engine.extract(pages, schema, hop=True).facts.collect()}[1, "price"] == "7.50"
 
 
@@ -344,7 +344,7 @@ def test_walls_keep_no_titles_and_ask_no_model(spark):
 
 def test_warnings_and_validation(spark):
     html = '<head><meta name="generator" content="Gatsby 5"><script src="https://www.googletagmanager.com/gtag/js"></script><script type="application/ld+json">{"@type": "Product", "name": "A lamp of green glass", "offers": {"price": "from ten"}}</script></head>'
-    pages = spark.createDataFrame([(1, "https://h.example/product/1", html, {"Server": "cloudflare", "ETag": "W1", "Age": "99"}, "https://h.example/p")], "page_id long, url string, html string, headers map<string,string>, canonical string")
+    pages = spark.createDataFrame([(1, "https://h.example/product/1", html.replace("<head>", "<head><link rel='canonical' href='/p'>"), {"Server": "cloudflare", "ETag": "W1", "Age": "99"})], "page_id long, url string, html string, headers map<string,string>")
     t = engine.extract(pages, {"name": "string", "price": "number", "brand": "string", "sku": "string"})
     w = t.runs.first().warnings
     tags = [x.split(":")[0] for x in w]
@@ -374,3 +374,53 @@ def test_class_precision(spark):
     lat = spark.createDataFrame([("i0", "a", 5.0), ("i1", "a", 1.0), ("i2", "b", None), ("i3", "b", 7.0)], "item_id string, class string, latency_ms double")
     got = {r["class"]: r for r in measures.class_precision(rules, facts, lat, "class").collect()}
     assert (got["a"].precision, got["a"].p50_ms, got["b"].precision, got["b"].p95_ms) == (0.5, 5.0, 0.5, 7.0)
+
+
+class Browser:
+    def get(self, url):
+        if "boom" in url:
+            raise TimeoutError("slow")
+        return ("http://10.0.0.1/" if "away" in url else url + "/final"), f"<h1>{url}</h1>"
+
+    def close(self):
+        raise RuntimeError("closing is not trusted")
+
+
+def test_render_with_a_pool(spark):
+    urls = [f"https://h.example/{x}" for x in ("a", "boom", "b", "away", "c")] + ["http://localhost/", None]
+    got = {r.url: r for r in acquire.render(spark.createDataFrame([(u,) for u in urls], "url string"), Browser, pool=2, resolve=lambda h: []).collect()}
+    assert got["https://h.example/a"].html == "<h1>https://h.example/a</h1>" and got["https://h.example/c"].final_url.endswith("/c/final")
+    assert got["https://h.example/boom"].error == "TimeoutError: slow" and got["https://h.example/away"].error == "PolicyError: private_ip" and got["https://h.example/away"].html is None
+    assert got["http://localhost/"].error == "PolicyError: blocked_host" and got[None].error == "PolicyError: unsupported"
+
+
+def test_tables_of_the_store(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    store.create(spark, folder)
+    runs = spark.read.parquet(f"{folder}/runs.parquet")
+    assert runs.count() == 0 and "payload" in runs.columns
+    store.save(spark.range(100).selectExpr("cast(id % 10 as string) AS k", "id"), f"{folder}/t", key=["k", "id"])
+    t = spark.read.parquet(f"{folder}/t")
+    now = store.frozen(t)
+    store.save(spark.range(5).selectExpr("'x' AS k", "id"), f"{folder}/t")
+    assert now.count() == 100 and spark.read.parquet(f"{folder}/t").count() == 105 and now.filter("k = '3'").count() == 10
+
+
+def test_main_article_without_its_element():
+    page = '<head><meta name="author" content="Ann"><meta property="article:published_time" content="2024-02-03"></head><div><p><a>Menu of many many words</a></p></div><div><h1>Title here</h1><p>One long paragraph about the river and the mill.</p><p>Another one.</p></div>'
+    got = extract.main_article(Tree(page))
+    assert got["main_text"] == "One long paragraph about the river and the mill.\n\nAnother one." and (got["title"], got["author"], got["date"]) == ("Title here", "Ann", "2024-02-03")
+    assert extract.main_article(Tree("<p></p>")) == {} and extract.main_article(Tree("")) == {}
+    assert extract._typed("1.234", "number", "de-DE") == "1234.0" and extract._typed("1.234", "number", "en-US") == "1.234" and extract._typed("1.234", "number") == "1.234" and extract._typed("yes", "boolean") == "true"
+
+
+def test_staged_tables_go_with_their_block(spark):
+    from factloom.session import stage, staged_here
+
+    with staged_here():
+        df = stage(spark.range(3), "gone")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3
+    import os
+
+    assert not os.path.exists(path)
