@@ -183,10 +183,37 @@ def head_links(spark, d):
     return p.select("page_id", "h.canonical", "h.hreflang_count", langs, F.array_join("h.rss", ",").alias("rss"), "h.preload_count", "h.rel_next", "h.rel_prev", "h.theme_color")
 
 
-@query("header_profiles", f"SELECT k, cdn, static_hint, age_s FROM (VALUES {fixtures.HEADER_TRUTH}) AS t(k, cdn, static_hint, age_s)")
+_LINK_HEADER = "CASE page_id % 3 WHEN 0 THEN '<https://h.example/n>; rel=\"next\"; type=\"text/html\", </p,q>; rel=prev; title=\"a, b\"' END"
+
+
+@query(
+    "all_links",
+    f"""WITH h AS (SELECT page_id, list_filter({_TAGS}, lambda x: {_attr("x", "rel")} <> '' AND {_attr("x", "href")} <> '') AS l FROM ({fixtures.HEAD_PAGES})),
+ u AS (SELECT page_id, len(l) AS n, unnest(l) AS x, unnest(range(len(l))) AS pos FROM h)
+ SELECT page_id, CAST(pos AS INT) AS pos, {_FULL} AS url, lower({_attr("x", "rel")}) AS rel, nullif({_attr("x", "type")}, '') AS type, nullif({_attr("x", "hreflang")}, '') AS hreflang, 'html' AS source FROM u
+ UNION ALL SELECT page_id, CAST(len(l) AS INT), 'https://h.example/n', 'next', 'text/html', NULL, 'http_header' FROM h WHERE page_id % 3 = 0 UNION ALL SELECT page_id, CAST(len(l) + 1 AS INT), 'https://h.example/p,q', 'prev', NULL, NULL, 'http_header' FROM h WHERE page_id % 3 = 0""",
+)
+def all_links(spark, d):
+    """Link elements of the pages, then the links of their Link headers."""
+    p = fixtures.head_pages(spark, d).withColumn("link", F.expr(_LINK_HEADER))
+    return extract.links(p, header="link").select("page_id", "pos", "url", F.array_join("rel", " ").alias("rel"), "type", "hreflang", "source")
+
+
+_BLOB = "lower(concat_ws(' ', coalesce(powered, ''), server))"
+_COOKIES = "list_filter(list_transform(string_split(coalesce(cookie, ''), ','), lambda x: lower(trim(split_part(x, '=', 1)))), lambda x: " + " OR ".join(f"contains(x, '{w}')" for w in ("ab_", "experiment", "variant", "optimize", "split", "flag")) + ")"
+
+
+@query(
+    "header_profiles",
+    f"""SELECT k, CASE WHEN contains(lower(server), 'cloudflare') OR cfs IS NOT NULL THEN 'cloudflare' WHEN contains(lower(server), 'amazon') OR coalesce(contains(lower(via), 'cloudfront'), false) THEN 'cloudfront' WHEN contains(lower(server), 'fastly') OR coalesce(contains(lower(via), 'fastly'), false) THEN 'fastly'
+  WHEN contains(lower(server), 'akamai') THEN 'akamai' WHEN contains(lower(server), 'vercel') THEN 'vercel' WHEN contains(lower(server), 'netlify') THEN 'netlify' END AS cdn,
+ coalesce(cfs = 'HIT', false) OR coalesce(contains(lower(xcache), 'hit'), false) OR (NOT contains(coalesce(cc, ''), 'no-cache') AND coalesce(CAST(nullif(regexp_extract(cc, 'max-age=([0-9]+)', 1), '') AS BIGINT) >= 300, false)) OR coalesce(TRY_CAST(age AS BIGINT) >= 60, false) AS static_hint,
+ CASE WHEN contains({_BLOB}, 'next.js') THEN 'next.js' WHEN contains({_BLOB}, 'express') THEN 'express' WHEN contains({_BLOB}, 'php') THEN 'php' WHEN contains({_BLOB}, 'asp.net') THEN 'asp.net' END AS framework,
+ TRY_CAST(age AS BIGINT) AS age_s, array_to_string({_COOKIES}, ',') AS ab_cookies, hsts IS NOT NULL AS hsts, etag FROM ({fixtures.HEADER_ROWS})""",
+)
 def header_profiles(spark, d):
-    h = web.header_profile(F.col("h"))
-    return spark.sql(fixtures.HEADERS).select("k", h["cdn"].alias("cdn"), h["static_hint"].alias("static_hint"), h["age_s"].alias("age_s"))
+    h = fixtures.header_rows(spark, d).select("k", web.header_profile(F.col("h")).alias("p"))
+    return h.select("k", "p.cdn", "p.static_hint", "p.framework", "p.age_s", F.array_join("p.ab_cookies", ",").alias("ab_cookies"), "p.hsts", "p.etag")
 
 
 # -- addresses -------------------------------------------------------------------------------------------------------
@@ -271,6 +298,32 @@ def price_numbers(spark, d):
     return table(spark, d, "facts").join(a, "field", "left_semi").select("fact_id", tx.price_number(F.col("value")).alias("price")).distinct()
 
 
+_D = "trim(regexp_replace(value, '[^0-9,.\\s-]', '', 'g'))"
+_LAST = lambda sign: f"CASE WHEN contains(c, '{sign}') THEN length(c) - strpos(reverse(c), '{sign}') ELSE -1 END"
+_COUNT = lambda sign: f"(length(c) - length(replace(c, '{sign}', '')))"
+
+
+@query(
+    "plain_numbers",
+    f"""SELECT DISTINCT fact_id, CASE WHEN NOT regexp_matches(n, '\\s') THEN TRY_CAST(n AS DOUBLE) END AS number FROM (SELECT fact_id, CASE WHEN {_COUNT(",")} = 0 AND {_COUNT(".")} = 0 THEN c WHEN {_LAST(",")} > {_LAST(".")} AND {_COUNT(",")} = 1 THEN replace(replace(c, '.', ''), ',', '.')
+ WHEN {_LAST(".")} > {_LAST(",")} AND {_COUNT(".")} = 1 THEN replace(c, ',', '') WHEN TRY_CAST(replace(c, ',', '') AS DOUBLE) IS NOT NULL THEN replace(c, ',', '') ELSE replace(replace(c, '.', ''), ',', '.') END AS n
+ FROM (SELECT fact_id, {_D} AS c FROM facts JOIN field_aliases USING (field) WHERE canonical_field = 'price'))""",
+)
+def plain_numbers(spark, d):
+    a = table(spark, d, "field_aliases").filter("canonical_field = 'price'").select("field")
+    return table(spark, d, "facts").join(a, "field", "left_semi").select("fact_id", tx.coerced(F.col("value"), "number").alias("number")).distinct()
+
+
+@query(
+    "canonical_values",
+    """SELECT DISTINCT fact_id, CASE canonical_field WHEN 'price' THEN regexp_replace(lower(trim(value)), '[\\s\\x{A0},]', '', 'g') WHEN 'availability' THEN regexp_replace(lower(trim(value)), '^https?://schema\\.org/', '') ELSE lower(trim(value)) END AS value
+ FROM facts JOIN field_aliases USING (field) WHERE canonical_field IN ('price', 'availability', 'brand', 'currency')""",
+)
+def canonical_values(spark, d):
+    a = table(spark, d, "field_aliases").filter(F.col("canonical_field").isin("price", "availability", "brand", "currency"))
+    return table(spark, d, "facts").join(a, "field").select("fact_id", tx.canonical_value(F.col("canonical_field"), F.col("value")).alias("value")).distinct()
+
+
 @query(
     "currency_availability",
     """SELECT DISTINCT fact_id, canonical_field AS field, CASE WHEN canonical_field = 'currency' THEN CASE trim(value) WHEN '$' THEN 'USD' WHEN '€' THEN 'EUR' WHEN '£' THEN 'GBP' WHEN '¥' THEN 'JPY' WHEN '₽' THEN 'RUB' WHEN 'руб' THEN 'RUB' WHEN 'руб.' THEN 'RUB' ELSE upper(left(trim(value), 3)) END
@@ -432,7 +485,7 @@ def run_metrics(spark, d):
     return measures.run_metrics(whole_runs(spark, d, "level", "status", "bytes_downloaded"), table(spark, d, "facts").select("run_id", "fact_id", *_FACT_ROW).distinct(), 8)
 
 
-@query("method_stats", f"SELECT coalesce(extraction_method, 'unknown') AS method, count(*) AS facts, count(DISTINCT field) AS fields, round(avg(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END), 6) AS mean_confidence FROM {_F} GROUP BY 1")
+@query("method_stats", f"SELECT coalesce(extraction_method, 'unknown') AS method, count(*) AS facts, count(DISTINCT field) AS fields, round(CAST(sum(CAST(CASE WHEN confidence BETWEEN 0 AND 1 THEN confidence END AS DECIMAL(20,10))) AS DOUBLE) / nullif(count(CASE WHEN confidence BETWEEN 0 AND 1 THEN 1 END), 0), 6) AS mean_confidence FROM {_F} GROUP BY 1")
 def method_stats(spark, d):
     return measures.method_stats(table(spark, d, "facts").select("run_id", "fact_id", *_FACT_ROW, "field", "confidence").distinct())
 
@@ -649,6 +702,12 @@ def cache_hits(spark, d):
     return store.cached(q, r, ["normalized_url", "schema_hash"], ttl_s=_TTL).select(F.col("asked").alias("run_id"), "cached_run")
 
 
+@query("cache_keys", f"SELECT run_id, concat_ws('|', normalized_url, schema_hash, content_signature) AS key FROM (SELECT DISTINCT run_id, normalized_url, schema_hash, content_signature FROM runs)")
+def cache_keys(spark, d):
+    r = whole_runs(spark, d, "normalized_url", "schema_hash", "content_signature")
+    return r.select("run_id", store.cache_key(F.col("normalized_url"), F.col("schema_hash"), F.col("content_signature")).alias("key"))
+
+
 @query(
     "evidence_digests",
     """WITH f AS (SELECT DISTINCT run_id, fact_id, field, coalesce(value, 'None') AS value, list_min(evidence_ids) AS e FROM facts), x AS (SELECT run_id, evidence_id, min({'b': extraction_backend, 's': selector, 'h': content_hash}) AS m FROM evidence GROUP BY ALL)
@@ -694,15 +753,79 @@ def meta_facts(spark, d):
     return extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).filter("method = 'meta_og'").select("page_id", "field", "value")
 
 
-@query("candidate_facts")
+_LEAD = "'A part of size ' || CAST(p_size AS VARCHAR) || ' for everyday use, made by ' || p_brand || ', that fits where other parts of its type do not.'"
+
+_AT = """'json-ld:$[0]' || CASE WHEN p_partkey % 5 = 0 THEN '["@graph"][1]' ELSE '' END"""
+_OFFER = """'["offers"]' || CASE WHEN p_partkey % 7 = 0 THEN '[0]' ELSE '' END"""
+
+
+def _rows(stage: int, method: str, confidence: float, backend: str, rows: list[tuple[str, str, str]], when: str = "true") -> str:
+    """Candidates (field, value, selector) of one extractor, as SQL over the parts."""
+    pick = lambda i: ", ".join(r[i] for r in rows)
+    return f"SELECT p_partkey AS page_id, {stage} AS stage, '{method}' AS method, unnest([{pick(0)}]) AS field, unnest([{pick(1)}]) AS value, CAST({confidence} AS DOUBLE) AS confidence, unnest([{pick(2)}]) AS selector, '{backend}' AS backend FROM p WHERE {when}"
+
+
+_NUMBER = "CAST(CAST(price AS DOUBLE) AS VARCHAR)"
+_CANDIDATES = " UNION ALL ".join(
+    [
+        _rows(0, "json-ld", 0.96, "L1_structured", [(f"'{f}'", v, f"{_AT} || {w}") for f, v, w in (("title", "p_name", """'["name"]'"""), ("name", "p_name", """'["name"]'"""), ("price", "price", f"""{_OFFER} || '["price"]'"""), ("currency", "'EUR'", f"""{_OFFER} || '["priceCurrency"]'"""), ("availability", "'https://schema.org/InStock'", f"""{_OFFER} || '["availability"]'"""), ("brand", "p_brand", """'["brand"]["name"]'"""))], "p_partkey % 3 <> 0"),
+        _rows(0, "microdata", 0.91, "L1_structured", [(f"'{f}'", v, f"""'microdata:$[0]["{w}"]'""") for f, v, w in (("title", "p_name", "name"), ("name", "p_name", "name"), ("price", "price", "price"))], "p_partkey % 2 = 0"),
+        _rows(0, "og_manual", 0.88, "L1_structured", [("'title'", "p_name", "'og_manual:og:title'"), ("'price'", "price", "'og_manual:product:price:amount'")], "p_partkey % 3 = 0 AND p_partkey % 2 <> 0"),
+        _rows(0, "og_manual", 0.88, "L1_structured", [("'currency'", "'EUR'", "'og_manual:product:price:currency'")], "p_partkey % 3 = 0"),
+        _rows(3, "meta_og", 0.93, "L1_meta", [(f"'{f}'", v, f"""'meta[property="{w}"]'""") for f, v, w in (("title", "p_name", "og:title"), ("name", "p_name", "og:title"), ("source", "'Shop'", "og:site_name"), ("price", "price", "product:price:amount"), ("currency", "'EUR'", "product:price:currency"))]),
+        _rows(4, "main_text", 0.90, "L1_text", [("'title'", "p_name", "'main::title'"), ("'main_text'", _LEAD, "'main::main_text'")]),
+        _rows(6, "css_selector", 0.85, "L1_css", [("'name'", "p_name", "'h1'"), *[(f"'{f}'", v, f"""'meta[property="{w}"]'""") for f, v, w in (("title", "p_name", "og:title"), ("price", _NUMBER, "product:price:amount"), ("currency", "'EUR'", "product:price:currency"), ("source", "'Shop'", "og:site_name"))]]),
+        _rows(7, "microdata", 0.87, "L1_microdata", [("'name'", "p_name", """'[itemprop="name"]'"""), ("'price'", "price", """'[itemprop="price"]'""")], "p_partkey % 2 = 0"),
+        _rows(10, "price_regex", 0.75, "L1_price_regex", [("'price'", _NUMBER, "'price_regex:near_price_class'")], "p_partkey % 2 = 0"),
+        _rows(10, "price_regex", 0.5, "L1_price_regex", [("'price'", _NUMBER, "'price_regex:body_context'")], "p_partkey % 2 <> 0"),
+        _rows(12, "url_derived", 0.65, "L1_domain", [("'currency'", "'USD'", "'domain_heuristic::currency'")]),
+    ]
+)
+
+
+@query("candidate_facts", f"WITH p AS (SELECT *, {fixtures.PRICE} AS price FROM part) {_CANDIDATES}")
 def candidate_facts(spark, d):
-    """Candidates of every extractor, for product pages and for the stored pages."""
+    """Candidates of every extractor for the product pages."""
+    return extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA).select("page_id", "stage", "method", "field", "value", "confidence", "selector", "backend")
+
+
+@query("page_candidates")
+def page_candidates(spark, d):
+    """Candidates of every extractor for the stored pages."""
     schema = {"fields": {"title": "string", "description": "string", "source": "string", "category": "string", "version": {"type": "string", "optional": True}}}
-    a = extract.candidates(fixtures.product_pages(spark, d), PRODUCT_SCHEMA)
-    return a.unionByName(extract.candidates(pages(spark, d), schema)).select("page_id", "page_class", "tactic", "stage", "method", "field", "value", "confidence", "selector")
+    return extract.candidates(pages(spark, d), schema).select("page_id", "page_class", "tactic", "stage", "method", "field", "value", "confidence", "selector")
 
 
-_LEAD = "'A part of size ' || CAST(p_size AS VARCHAR) || ' for everyday use, made by ' || p_brand || ', that fits where other parts of its type do not.'"
+@query(
+    "state_facts",
+    """SELECT s_suppkey AS page_id, field, value, selector FROM (SELECT s_suppkey, unnest(CASE s_suppkey % 4 WHEN 0 THEN ['name', 'price'] WHEN 1 THEN ['title', 'brand'] WHEN 2 THEN ['name', 'price'] ELSE ['name', 'availability'] END) AS field,
+ unnest(CASE s_suppkey % 4 WHEN 0 THEN [s_name, '12.5'] WHEN 1 THEN [s_name, 'Acme'] WHEN 2 THEN [s_name, '990.0'] ELSE [s_name, 'false'] END) AS value,
+ unnest(CASE s_suppkey % 4 WHEN 0 THEN ['state:productName', 'state:currentPrice'] WHEN 1 THEN ['state:fullTitle', 'state:brand'] WHEN 2 THEN ['state:name', 'state:price'] ELSE ['state:name', 'state:availability'] END) AS selector FROM supplier)""",
+)
+def state_facts(spark, d):
+    """Facts from embedded state."""
+    return extract.candidates(fixtures.state_pages(spark, d), PRODUCT_SCHEMA).filter("stage = 2").select("page_id", "field", "value", "selector")
+
+
+def _model(prompt: str) -> str:
+    """A text model that knows the article number of a page alone."""
+    n = prompt.partition("/product/")[2].partition('"')[0]
+    return f'It is this: ```json\n{{"sku": "S-{n}", "name": "no", "brand": null}}\n``` I hope it helps.'
+
+
+@query(
+    "filled_facts",
+    """SELECT p_partkey AS page_id, field, value, method, backend, validation_status, CASE WHEN p_partkey % 3 = 0 THEN 'L3' ELSE 'L2' END AS level FROM (SELECT p_partkey, 'sku' AS field, 'S-' || CAST(p_partkey AS VARCHAR) AS value, 'llm_fill' AS method, 'L2' AS backend, 'unverified' AS validation_status FROM part
+ UNION ALL SELECT p_partkey, 'brand', CASE WHEN p_partkey % 3 = 0 THEN 'Made by ' || p_brand ELSE p_brand END, CASE WHEN p_partkey % 3 = 0 THEN 'L3_og_manual' ELSE 'json-ld' END, 'L1_structured', 'valid' FROM part)""",
+)
+def filled_facts(spark, d):
+    """What the later levels add: the model the missing article number, the rendered page the missing brand."""
+    p = fixtures.product_pages(spark, d)
+    brand = p.join(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), "p_brand"), "page_id")
+    shown = brand.select("page_id", "url", F.replace("html", F.lit("<head>"), F.concat(F.lit('<head><meta property="product:brand" content="Made by '), "p_brand", F.lit('">'))).alias("html"))
+    t = engine.extract(p, {"name": "string", "brand": "string", "sku": "string"}, ask=_model, rendered=shown)
+    f = t.facts.filter(F.col("field").isin("sku", "brand")).join(t.runs.select("page_id", "level"), "page_id")
+    return f.select("page_id", "field", "value", "method", "backend", "validation_status", "level")
 
 
 @query(
@@ -728,10 +851,15 @@ def extracted_runs(spark, d):
     return r.select("page_id", "status", "tactic", "level", F.array_join("missing", ",").alias("missing"), "n_facts", F.col("route.reason").alias("reason"), F.array_join("warnings", "|").alias("warnings"))
 
 
-@query("page_snapshots", "SELECT p_partkey AS page_id, p_name || ' | Shop' AS title, 'en' AS language, '/product/' || CAST(p_partkey AS VARCHAR) AS canonical, 1 AS sections, CAST(4 AS INT) AS metas FROM part")
+@query(
+    "page_snapshots",
+    f"""SELECT p_partkey AS page_id, p_name || ' | Shop' AS title, 'en' AS language, '/product/' || CAST(p_partkey AS VARCHAR) AS canonical, 'main: ' || p_name || ' ' || CASE WHEN p_partkey % 2 = 0 THEN p_name || ' x ' ELSE '' END || {_LEAD} AS sections,
+ 'og:site_name=Shop,og:title=' || p_name || ',product:price:amount=' || {fixtures.PRICE} || ',product:price:currency=EUR' AS meta, 0 AS links FROM part""",
+)
 def page_snapshots(spark, d):
     s = extract.snapshots(fixtures.product_pages(spark, d))
-    return s.select("page_id", "title", "language", "canonical", F.size("sections").alias("sections"), F.size("meta").alias("metas"))
+    meta = F.array_join(F.array_sort(F.transform(F.map_entries("meta"), lambda x: F.concat_ws("=", x["key"], x["value"]))), ",")
+    return s.select("page_id", "title", "language", "canonical", F.array_join(F.transform("sections", lambda x: F.concat_ws(": ", x["tag"], x["text"])), "|").alias("sections"), meta.alias("meta"), F.size("links").alias("links"))
 
 
 @query("canonical_links", "SELECT p_partkey AS page_id, 'https://shop.example.com/product/' || CAST(p_partkey AS VARCHAR) AS canonical FROM part")
