@@ -225,27 +225,24 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 # -- 8: mixing -------------------------------------------------------------------------------------------------------
 
 
-def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(counted(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[0]
-
-
-def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(counted(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[1]
-
-
-def _full_mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The mix with as many tokens as the corpus has: capped sources are filled up by the others."""
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mix with as many tokens as the corpus has: sources at their cap are filled up by the others."""
     n = counted(spark, d)
     total = n.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     return mixing.mix(n, table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens", total=total)
 
 
-def p8_full(spark: SparkSession, d: str) -> DataFrame:
-    return _full_mix(spark, d)[0]
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
 
 
-def p8_full_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _full_mix(spark, d)[1]
+def p8_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mix in which every source with texts keeps its target."""
+    return mixing.mix(counted(spark, d), table(spark, d, "mix_targets"), "doc_id", "source", "n_tokens")[1]
 
 
-QUERIES |= {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_full": p8_full, "p8_full_shares": p8_full_shares}
+QUERIES |= {"p7_packed": p7_packed, "p7_fill": p7_fill, "p8_mixed": p8_mixed, "p8_shares": p8_shares, "p8_exact": p8_exact}

@@ -496,9 +496,9 @@ def test_mix(spark):
 
 
 def test_full_mix(spark, data):
-    draws = queries.QUERIES["p8_full"](spark, data)
+    draws = queries.QUERIES["p8_mixed"](spark, data)
     uses = draws.groupBy("doc_id", "source").count().collect()
-    shares = {r.source: r for r in queries.QUERIES["p8_full_shares"](spark, data).collect()}
+    shares = {r.source: r for r in queries.QUERIES["p8_shares"](spark, data).collect()}
     assert any(r.capped for r in shares.values()) and all(r["count"] <= shares[r.source].max_repeats for r in uses)
     corpus = queries.counted(spark, data).agg(F.sum("n_tokens").alias("n")).first()["n"]
     assert sum(r.tokens for r in shares.values()) == pytest.approx(corpus, rel=0.05)
