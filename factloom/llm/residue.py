@@ -20,6 +20,7 @@ from http import HTTPStatus
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.functions.signature import once
 from factloom.llm.lookalike import Rewriter, consistent_form, look_alikes, representatives
 from factloom.session import stage
 
@@ -108,31 +109,39 @@ def placeholder(text: str) -> bool:
 
 class Masks:
     """Columns that mask texts. Upper case is compared, in the form of `to`: look-alikes of two alphabets may differ in lower
-    case only."""
+    case only. Every step names its input once, so generated code stays small; what comes of the address is a column."""
 
-    def __init__(self, to: dict[str, str], url: Column) -> None:
+    def __init__(self, to: dict[str, str]) -> None:
         self.single = [(m, r) for m, r in to.items() if len(m) == len(r) == 1 and ord(m) < 0x10000 and ord(r) < 0x10000 and m.lower() != m]
-        self.host = F.upper(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-        parts = F.split(self.host, r"\.")
-        self.brand = F.coalesce(F.try_element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(-1))), F.lit(""))
-        self.slug = self.words(F.upper(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")))
+        self.host, self.brand, self.slug = F.col("_host"), F.col("_brand"), F.col("_slug")
+
+    def of_address(self, df: DataFrame, url: str = "url") -> DataFrame:
+        """df with `_host`, `_brand` and `_slug`, the words of the path. What does not occur in texts stands for an empty one."""
+        u = F.coalesce(F.col(url), F.lit(""))
+        df = df.withColumn("_host", F.upper(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
+        parts = F.split("_host", r"\.")
+        df = df.withColumn("_brand", F.coalesce(F.try_element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(-1))), F.lit("")))
+        path = F.regexp_replace(F.regexp_replace(u, r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+        return df.withColumns({"_slug": self.words(F.upper(path)), "_brand": F.when(F.length("_brand") > 2, F.col("_brand")).otherwise(_NO_TEXT), "_host": F.when(F.col("_host") != "", F.col("_host")).otherwise(_NO_TEXT)})
 
     def upper(self, x: Column) -> Column:
-        return F.translate(F.upper(x), "".join(m for m, _ in self.single), "".join(r for _, r in self.single))
+        plain = lambda u: F.when(u.rlike(r"^\p{ASCII}*$"), u).otherwise(F.translate(u, "".join(m for m, _ in self.single), "".join(r for _, r in self.single)))
+        return once(F.upper(x), plain)
 
-    def mask(self, x: Column) -> Column:
+    def mask(self, upper: Column) -> Column:
         """Upper case without host name, paths, ids and numbers: @, /, # and 9."""
-        u = F.regexp_replace(self.upper(x), r"(?<!\S)/\S+", "/")
-        u = F.when(self.host == "", u).otherwise(F.replace(u, self.host, F.lit("@")))
-        u = F.when(F.length(self.brand) > 2, F.replace(u, self.brand, F.lit("@"))).otherwise(u)
-        u = F.regexp_replace(F.regexp_replace(u, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9")
-        return _stripped(u)
+        u = F.replace(F.replace(F.regexp_replace(upper, r"(\s|^)/\S+", "$1/"), self.host, F.lit("@")), self.brand, F.lit("@"))
+        return _stripped(F.regexp_replace(F.regexp_replace(u, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9"))
 
     @staticmethod
     def words(x: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(x, F.lit(r"\p{L}{3,}"), F.lit(0)))
 
 
+#: Stands for a host or brand that no text can hold.
+_NO_TEXT = "\0\0"
+
+
 def agree(a: Column, b: Column) -> Column:
     """Whether half of the words of a stand in b."""
     return (F.size(a) > 0) & (2 * F.size(F.array_intersect(a, b)) >= F.size(a))
@@ -159,16 +168,16 @@ def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: in
 
     marked = F.col("_form").rlike(_MARKS)
     rows = rows.withColumn("_bad", F.coalesce(F.when(marked, unfilled(F.when(marked, F.col("_form")))), F.lit(False)))
-    k = Masks(to, F.col("url"))
+    k = Masks(to)
     own = F.coalesce(F.col("own"), F.lit(False))
     said = F.when(~own, F.array("_form")).when(F.col("_form").rlike(_OWN), F.array().cast("array<string>")).otherwise(F.array_distinct(F.array("_form", F.regexp_replace("_form", _TAG, ""))))
     page = F.when(F.col("url").isNotNull(), F.xxhash64(F.regexp_replace("url", r"\?.*$", "")))
-    rows = rows.select("kind", "rec_id", "url", "own", page.alias("page"), "_bad", F.explode_outer(said).alias("t"))
+    rows = k.of_address(rows.select("kind", "rec_id", "url", "own", page.alias("page"), "_bad", F.explode_outer(said).alias("t")))
     rows = rows.withColumn("frags", F.filter(F.split(F.regexp_replace("t", r"https?://\S+", " "), _SPLIT), lambda x: x.rlike(r"\S")))
     n_words = lambda x: F.regexp_count(x, F.lit(r"\p{L}{2,}"))
     single = F.size("frags") <= 1  # then the fragment is the whole
-    rows = rows.select("kind", "rec_id", "url", "own", "page", "_bad", F.col("t").rlike(r"(?U)(?:…|\.\.\.)\s*$").alias("cut"), F.when(~single, k.mask(F.col("t"))).alias("_m"), F.posexplode_outer("frags").alias("pos", "x"))
-    rows = rows.withColumn("m", k.mask(F.col("x"))).withColumn("u", k.upper(F.col("x")))
+    rows = rows.select("kind", "rec_id", "url", "own", "page", "_bad", "_host", "_brand", "_slug", F.col("t").rlike(r"(?U)(?:…|\.\.\.)\s*$").alias("cut"), F.when(~single, k.mask(k.upper(F.col("t")))).alias("_m"), F.posexplode_outer("frags").alias("pos", "x"))
+    rows = rows.withColumn("u", k.upper(F.col("x"))).withColumn("m", k.mask(F.col("u")))
     rows = rows.withColumn("words", k.words(F.col("u"))).withColumn("n", n_words(F.col("m"))).withColumn("whole", F.when(F.col("pos") == 0, F.coalesce("_m", "m")))
     rows = rows.withColumn("says", agree(F.col("words"), k.slug))  # what the address says is content
     low = n_words(F.col("whole")).between(least_words, most_words) & (n_words(F.col("whole")) > F.regexp_count(F.col("whole"), F.lit("[9#]"))) & ~F.col("cut") & ~own
@@ -181,7 +190,7 @@ def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: in
     filler = (latin >= 4) & (latin >= 0.6 * F.size("words"))
     rows = rows.withColumn("after", after)
     rows = rows.select(
-        "kind", "rec_id", "page", F.when(k.host != "", F.xxhash64(k.host)).alias("host"), "url", "says",
+        "kind", "rec_id", "page", F.when(k.host != _NO_TEXT, F.xxhash64(k.host)).alias("host"), "url", "says",
         (F.col("_bad") | F.coalesce((F.col("after") == "") | filler, F.lit(False))).alias("bad"),
         F.when(F.col("n") > 0, F.xxhash64("m")).alias("h"), F.when(low, F.col("whole")).alias("whole"), F.when(F.col("after") != "", F.xxhash64(_stripped(F.col("after")))).alias("after"),
         F.when(F.col("n").between(2, 2 * most_words), F.col("m")).alias("m"),
@@ -206,7 +215,7 @@ def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: in
 
 
 def _stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^[\s.!|–—]+|[\s.!|–—]+$", "")
+    return F.btrim(x, F.lit(" \t\n\r\f\u00a0.!|–—"))
 
 
 def _learnt(rows: DataFrame, titles: DataFrame | None, to: dict[str, str], least_pages: int, least_hosts: int, agreeing: float) -> DataFrame:
@@ -219,14 +228,15 @@ def _learnt(rows: DataFrame, titles: DataFrame | None, to: dict[str, str], least
     often = stage(often.filter((F.col("n") >= least_pages) & (F.col("hosts") >= least_hosts)).select(F.col("w").alias("_w"), "head"), "often")
     # only for these texts: what addresses and titles of their pages say
     here = r.join(often.select("_w"), F.col("w") == F.col("_w"), "left_semi").groupBy("w", "page").agg(F.min("url").alias("url"), F.min("whole").alias("whole"))
-    k = Masks(to, F.col("url"))
+    k = Masks(to)
+    here = k.of_address(here)
     if titles is not None:
         t = titles.select(F.xxhash64(F.regexp_replace("url", r"\?.*$", "")).alias("_page"), F.col("title").alias("_title")).filter("_page IS NOT NULL AND length(_title) > 0").groupBy("_page").agg(F.min("_title").alias("_title"))
         here = here.join(t, F.col("page") == F.col("_page"), "left")
     else:
         here = here.withColumn("_title", F.lit(None).cast("string"))
     # a title that repeats the message itself, or its beginning, is no second voice
-    mine, title = k.words(F.col("whole")), k.words(k.mask(F.coalesce("_title", F.lit(""))))
+    mine, title = k.words(F.col("whole")), k.words(k.mask(k.upper(F.coalesce("_title", F.lit("")))))
     echo = (F.size(title) > 0) & (F.size(F.array_except(title, mine)) == 0)
     voices = F.when(echo, k.slug).otherwise(F.array_union(k.slug, title))
     here = here.select("w", (F.size(voices) > 0).cast("int").alias("heard"), agree(mine, voices).cast("int").alias("yes"))
