@@ -258,13 +258,14 @@ def same_look_classes(df: DataFrame, scope: list[str], id_: str, text: str, form
     such id, links the number of ids that look the same and are stored as another text. What the pairs say, in a row per
     id: a hot class is two aggregates, never pairs. Blank forms are left out and repeated rows count once."""
     rows = df.filter(F.col(text).isNotNull() & ~F.col(form).rlike(r"(?U)^\s*$"))
-    rows = stage(rows.select(*scope, F.col(id_), F.xxhash64(form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t")).distinct(), "forms")
-    key = [*scope, "_f"]
-    per = rows.groupBy(*key, "_t").agg(F.count(F.lit(1)).alias("_n"), F.min(id_).alias("_lo"))
-    whole = per.groupBy(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(key)]).agg(F.sum("_n").alias("_all"), F.min("_lo").alias("class"), F.count(F.lit(1)).alias("_texts")).filter("_texts > 1")
-    on = lambda other: [F.col(c).eqNullSafe(F.col(f"{other}{i}")) for i, c in enumerate(key)]
-    mine = per.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(key)], F.col("_t").alias("_pt"), "_n")
-    j = rows.join(whole, on("_w")).join(mine, [*on("_p"), F.col("_t") == F.col("_pt")])
+    rows = rows.select(*scope, F.col(id_), F.xxhash64(*scope, form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t"))
+    rows = stage(rows, "forms")
+    mixed = rows.groupBy("_f").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).filter("_lo <> _hi").select(F.col("_f").alias("_m"))
+    rows = rows.join(mixed, F.col("_f") == F.col("_m"), "left_semi").distinct()  # what follows is as large as the look-alikes alone
+    per = rows.groupBy("_f", "_t").agg(F.count(F.lit(1)).alias("_n"), F.min(id_).alias("_lo"))
+    whole = per.groupBy(F.col("_f").alias("_w")).agg(F.sum("_n").alias("_all"), F.min("_lo").alias("class"))
+    mine = per.select(F.col("_f").alias("_p"), F.col("_t").alias("_pt"), "_n")
+    j = rows.join(whole, F.col("_f") == F.col("_w")).join(mine, (F.col("_f") == F.col("_p")) & (F.col("_t") == F.col("_pt")))
     return j.select(*scope, id_, "class", (F.col("_all") - F.col("_n")).alias("links"))
 
 
