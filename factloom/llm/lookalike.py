@@ -257,7 +257,7 @@ def same_look_classes(df: DataFrame, scope: list[str], id_: str, text: str, form
     """(scope, id, class, links) for each id that looks like another one of its scope stored differently: class is the smallest
     such id, links the number of ids that look the same and are stored as another text. What the pairs say, in a row per
     id: a hot class is two aggregates, never pairs. Blank forms are left out and repeated rows count once."""
-    rows = df.filter(F.col(text).isNotNull() & ~F.col(form).rlike(r"(?U)^\s*$"))
+    rows = df.filter(F.col(text).isNotNull() & ~F.col(form).rlike(r"(?U)^\s*$")).dropna(subset=scope)  # a null scope is none
     rows = rows.select(*scope, F.col(id_), F.xxhash64(*scope, form, F.length(form)).alias("_f"), F.xxhash64(text, F.length(text)).alias("_t"))
     rows = stage(rows, "forms")
     mixed = rows.groupBy("_f").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi")).filter("_lo <> _hi").select(F.col("_f").alias("_m"))

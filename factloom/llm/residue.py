@@ -125,13 +125,15 @@ class Masks:
         return df.withColumns({"_slug": self.words(F.upper(path)), "_brand": F.when(F.length("_brand") > 2, F.col("_brand")).otherwise(_NO_TEXT), "_host": F.when(F.col("_host") != "", F.col("_host")).otherwise(_NO_TEXT)})
 
     def upper(self, x: Column) -> Column:
-        plain = lambda u: F.when(u.rlike(r"^\p{ASCII}*$"), u).otherwise(F.translate(u, "".join(m for m, _ in self.single), "".join(r for _, r in self.single)))
-        return once(F.upper(x), plain)
+        members, forms = ("".join(pair[i] for pair in self.single) for i in (0, 1))
+        low, high = min(members, default="\uffff"), max(members, default="\uffff")  # one range, for it is looked up at every character
+        return once(F.upper(x), lambda u: F.when(u.rlike(f"[{low}-{high}&&[^\\u2000-\\u206f]]"), F.translate(u, members, forms)).otherwise(u))
 
     def mask(self, upper: Column) -> Column:
         """Upper case without host name, paths, ids and numbers: @, /, # and 9."""
         u = F.replace(F.replace(F.regexp_replace(upper, r"(\s|^)/\S+", "$1/"), self.host, F.lit("@")), self.brand, F.lit("@"))
-        return _stripped(F.regexp_replace(F.regexp_replace(u, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9"))
+        numbers = lambda v: F.regexp_replace(F.regexp_replace(v, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9")
+        return _stripped(once(u, lambda v: F.when(v.rlike(r"\d"), numbers(v)).otherwise(v)))
 
     @staticmethod
     def words(x: Column) -> Column:
