@@ -132,7 +132,7 @@ class Masks:
     def mask(self, upper: Column) -> Column:
         """Upper case without host name, paths, ids and numbers: @, /, # and 9."""
         u = F.replace(F.replace(F.regexp_replace(upper, r"(\s|^)/\S+", "$1/"), self.host, F.lit("@")), self.brand, F.lit("@"))
-        numbers = lambda v: F.regexp_replace(F.regexp_replace(v, r"\b(?=[0-9A-F-]*\d)[0-9A-F][0-9A-F-]{5,}\b", "#"), r"\d+", "9")
+        numbers = lambda v: F.regexp_replace(F.regexp_replace(v, r"\b[0-9A-F][0-9A-F-]{5,}+\b", "#"), r"\d+", "9")
         return _stripped(once(u, lambda v: F.when(v.rlike(r"\d"), numbers(v)).otherwise(v)))
 
     @staticmethod
@@ -192,10 +192,10 @@ def residue(records: DataFrame, titles: DataFrame | None = None, least_pages: in
     filler = (latin >= 4) & (latin >= 0.6 * F.size("words"))
     rows = rows.withColumn("after", after)
     rows = rows.select(
-        "kind", "rec_id", "page", F.when(k.host != _NO_TEXT, F.xxhash64(k.host)).alias("host"), "url", "says",
+        "kind", "rec_id", "page", F.when(k.host != _NO_TEXT, F.xxhash64(k.host)).alias("host"), F.when(low, F.col("url")).alias("url"), "says",
         (F.col("_bad") | F.coalesce((F.col("after") == "") | filler, F.lit(False))).alias("bad"),
         F.when(F.col("n") > 0, F.xxhash64("m")).alias("h"), F.when(low, F.col("whole")).alias("whole"), F.when(F.col("after") != "", F.xxhash64(_stripped(F.col("after")))).alias("after"),
-        F.when(F.col("n").between(2, 2 * most_words), F.col("m")).alias("m"),
+        F.when(~F.col("says") & F.col("n").between(2, 2 * most_words), F.col("m")).alias("m"),
     )
     rows = stage(rows, "fragments")
     learnt = stage(_learnt(rows, titles, to, least_pages, least_hosts, agreeing), "messages")
