@@ -421,6 +421,13 @@ def _keys(lines: list[Line]) -> set[int]:
     return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces: what Python holds at once is bounded by a few hundred pages, however many rows a batch has."""
+    for b in batches:
+        for at in range(0, b.num_rows, most):
+            yield b.slice(at, most)
+
+
 def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(schema)], [n for n, _ in schema])
 
@@ -433,7 +440,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     """Every text read once: its tree as bytes, its layout if it has containers, and the keys of its lines if it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for src, rec, url, text in zip(*(c.to_pylist() for c in b.columns)):
                 host = host_of(url)
@@ -479,7 +486,7 @@ def aligned(pages: DataFrame, wrapper: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for src, rec, url, host, address, shape, data, refs in zip(*(c.to_pylist() for c in b.columns)):
                 if host not in known:
@@ -549,7 +556,7 @@ def main_body(docs: DataFrame, plain_rule: bool = True, layouts: int = 3, **opti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frozenset(everywhere)
         hosts: dict[str, dict] = {}
-        for b in batches:
+        for b in _slices(batches):
             out: list[tuple] = []
             for src, rec, url, host, shape, data, places in zip(*(c.to_pylist() for c in b.columns)):
                 if host not in hosts:
