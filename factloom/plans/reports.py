@@ -11,7 +11,7 @@ from factloom.functions import signature as sg, text as tx, web
 from factloom.operators import chain, extract, measures, resolve
 from factloom.plans import fixtures
 from factloom.session import shared_folder
-from factloom.sources import store
+from factloom.sources import acquire, store
 from factloom.sources.tables import table
 from factloom.streaming import streams
 
@@ -677,9 +677,89 @@ _ONE = "(SELECT min(normalized_url) FROM runs)"
 @query("query_by_url", f"SELECT run_id, retrieved_at FROM (SELECT DISTINCT run_id, retrieved_at, normalized_url FROM runs) WHERE normalized_url = {_ONE} ORDER BY retrieved_at DESC NULLS LAST, run_id LIMIT 10")
 def query_by_url(spark, d):
     r = table(spark, d, "runs").select("run_id", "retrieved_at", "normalized_url").distinct()
-    one = r.agg(F.min("normalized_url").alias("_u"))  # a single row
-    mine = r.join(F.broadcast(one), F.col("normalized_url") == F.col("_u"), "left_semi")
-    return mine.orderBy(F.desc_nulls_last("retrieved_at"), "run_id").limit(10).select("run_id", "retrieved_at")
+    return store.by_url(r, r.agg(F.min("normalized_url")).scalar()).select("run_id", "retrieved_at")
+
+
+@query("query_by_signature", "SELECT run_id, retrieved_at FROM (SELECT DISTINCT run_id, retrieved_at, content_signature FROM runs) WHERE content_signature = (SELECT max(content_signature) FROM runs)")
+def query_by_signature(spark, d):
+    r = whole_runs(spark, d, "retrieved_at", "content_signature")
+    return store.by_signature(r, r.agg(F.max("content_signature")).scalar()).select("run_id", "retrieved_at")
+
+
+@query("get_run", f"SELECT run_id, status, level, latency_ms FROM {_R} WHERE run_id = (SELECT min(run_id) FROM runs)")
+def get_run(spark, d):
+    r = whole_runs(spark, d, "status", "level", "latency_ms")
+    return store.by_id(r, r.agg(F.min("run_id")).scalar())
+
+
+@query(
+    "candidate_maps",
+    f"SELECT run_id, array_to_string(list_sort(list(field || '=' || value)), '|') AS candidates FROM (SELECT run_id, field, arg_min(value, seq) AS value FROM {_CAND} GROUP BY run_id, field) GROUP BY run_id",
+)
+def candidate_maps(spark, d):
+    m = resolve.candidate_map(stored_facts(spark, d), "run_id")
+    return m.select("run_id", F.array_join(F.array_sort(F.transform(F.map_entries("candidates"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), "|").alias("candidates"))
+
+
+@query(
+    "merged_verdicts",
+    f"""WITH {_RANKED} SELECT run_id, field, CASE field WHEN 'title' THEN 'accepted' WHEN 'price' THEN 'rejected' WHEN 'currency' THEN 'edited' ELSE 'skipped' END AS verdict, CASE field WHEN 'currency' THEN 'XXX' ELSE value END AS value FROM r WHERE n = 1""",
+)
+def merged_verdicts(spark, d):
+    """A person's decisions over all resolved facts: titles accepted, prices rejected, currencies edited, the rest left alone."""
+    best = resolve.resolve(stored_facts(spark, d), "run_id", losers=False).select("run_id", "field", "value")
+    said = F.when(F.col("field") == "title", "accepted").when(F.col("field") == "price", "rejected").otherwise("edited")
+    decisions = best.filter(F.col("field").isin("title", "price", "currency")).select("run_id", "field", said.alias("verdict"), F.when(F.col("field") == "currency", "XXX").alias("edited_value"))
+    return measures.verdicts(best, decisions, ["run_id", "field"]).select("run_id", "field", "verdict", "value")
+
+
+_HOSTS = f"SELECT DISTINCT {_HOST} AS host FROM runs"
+
+
+@query(
+    "robots_check",
+    f"""SELECT DISTINCT url, NOT (starts_with(h, 'docs.') AND regexp_matches(url, '^[a-z]+://[^/]*/en/')) AS allowed, CASE WHEN starts_with(h, 'docs.') THEN 4.0 END AS crawl_delay, CASE WHEN starts_with(h, 'docs.') THEN 'https://' || h || '/s.xml' ELSE '' END AS sitemaps FROM (SELECT url, {_HOST} AS h FROM runs WHERE url IS NOT NULL)""",
+)
+def robots_check(spark, d):
+    """Rules of the documentation hosts are fresh, those of the shops too old to count, other hosts have none."""
+    runs = table(spark, d, "runs").filter("url IS NOT NULL").select("url").distinct()
+    hosts = runs.select(web.host(F.col("url")).alias("host")).distinct().filter(F.col("host").startswith("docs.") | F.col("host").startswith("shop."))
+    text = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/\nCrawl-delay: 4\nSitemap: https://"), "host", F.lit("/s.xml\n"))
+    rules = hosts.select("host", text.alias("text"), F.when(F.col("host").startswith("docs."), "2024-01-01 11:30:00").otherwise("2024-01-01 08:00:00").alias("fetched_at"))
+    r = acquire.robots(runs.withColumn("now", F.lit("2024-01-01 12:00:00")), rules, "ours/1", at="now")
+    return r.select("url", "allowed", "crawl_delay", F.array_join("sitemaps", ",").alias("sitemaps"))
+
+
+@query(
+    "crawl_schedule",
+    f"""SELECT url, CAST(epoch(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) + 3 * (row_number() OVER (PARTITION BY {_HOST} ORDER BY url) - 1) AS at FROM (SELECT DISTINCT url FROM runs WHERE url IS NOT NULL)""",
+)
+def crawl_schedule(spark, d):
+    """When each address is asked for: one after the other per host, three seconds apart."""
+    u = table(spark, d, "runs").filter("url IS NOT NULL").select("url").distinct().withColumn("crawl_delay", F.lit(3.0))
+    return acquire.planned(u, "2024-01-01 00:00:00").select("url", F.unix_timestamp("scheduled_at").alias("at"))
+
+
+def _answer(url: str) -> dict:
+    """A web in which what lies under /en/ leads into a private network."""
+    if "/en/" in url:
+        return {"status": 302, "headers": {"Location": "http://10.0.0.1/inner"}}
+    return {"status": 200, "headers": {"Content-Type": "text/html; charset=utf-8"}, "body": url.encode(), "ttfb_ms": 1.0}
+
+
+def _nowhere(host: str) -> list[str]:
+    return []
+
+
+@query(
+    "fetched_pages",
+    f"""SELECT url, CASE WHEN verdict <> 'ok' THEN url WHEN contains(url, '/en/') THEN 'http://10.0.0.1/inner' ELSE url END AS final_url, CASE WHEN verdict <> 'ok' THEN 'PolicyError: ' || verdict WHEN contains(url, '/en/') THEN 'PolicyError: private_ip' END AS error,
+ CASE WHEN verdict = 'ok' AND NOT contains(url, '/en/') THEN url END AS text FROM ({SQL['url_policy']})""",
+)
+def fetched_pages(spark, d):
+    """Pages of all addresses, with the policy on every hop, decoded."""
+    p = acquire.fetch(fixtures.urls(spark, d).distinct(), _answer, resolve=_nowhere)
+    return acquire.decoded(p).select("url", "final_url", "error", "text")
 
 
 @query("changed_signatures", f"SELECT run_id, before AS previous_signature FROM (SELECT *, lag(content_signature) OVER (PARTITION BY normalized_url ORDER BY retrieved_at NULLS FIRST, run_id) AS before FROM {_R}) WHERE before IS NOT NULL AND before <> content_signature")
@@ -893,6 +973,17 @@ def stream_telemetry(spark, d):
     return streams.materialised(streams.telemetry(rows.filter("retrieved_at IS NOT NULL"), late="3650 days"), ["start", "level"], folder).select("start", "level", "runs", "failed")
 
 
+@query("stream_first_seen", "SELECT DISTINCT normalized_url, content_signature FROM runs WHERE retrieved_at IS NOT NULL")
+def stream_first_seen(spark, d):
+    """Each address and content once, from a stream that has read the whole table."""
+    schema = table(spark, d, "runs").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/runs.parquet" if _is_folder(spark, f"{d}/runs.parquet") else _alone(d))
+    folder = f"{shared_folder(spark)}/first-{uuid.uuid4().hex}"
+    seen = streams.first_seen(rows.filter("retrieved_at IS NOT NULL"), ["normalized_url", "content_signature"], late="3650 days").select("normalized_url", "content_signature")
+    streams.append_to(seen, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(seen.schema).parquet(f"{folder}/rows")
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

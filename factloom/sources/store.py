@@ -55,16 +55,16 @@ def save(df: DataFrame, path: str, by: str | None = None, mode: str = "append",
     (w.partitionBy(by) if by else w).parquet(path)
 
 
-def by_url(runs: DataFrame, url: str, limit: int = 10) -> DataFrame:
-    """The latest runs of an address: the filter reaches the scan, the limit is a top-k."""
+def by_url(runs: DataFrame, url: str | Column, limit: int = 10) -> DataFrame:
+    """The latest runs of an address, a text or a scalar subquery: the filter reaches the scan, the limit is a top-k."""
     return runs.filter(F.col("normalized_url") == url).orderBy(F.desc_nulls_last("retrieved_at"), "run_id").limit(limit)
 
 
-def by_signature(runs: DataFrame, signature: str) -> DataFrame:
+def by_signature(runs: DataFrame, signature: str | Column) -> DataFrame:
     return runs.filter(F.col("content_signature") == signature).orderBy(F.desc_nulls_last("retrieved_at"), "run_id")
 
 
-def by_id(runs: DataFrame, run_id: str) -> DataFrame:
+def by_id(runs: DataFrame, run_id: str | Column) -> DataFrame:
     return runs.filter(F.col("run_id") == run_id)
 
 
