@@ -55,8 +55,17 @@ _PROSE_END = re.compile(r"[.!?…][»”\"')\]]*$|:$")
 _ITEMS = re.compile(r"\s*[|·•/]\s*|\s{2,}|\s+[>›»–]\s+")
 
 
+def _parts(url: str | None) -> tuple[str, str]:
+    """(host, path) of an address; both are empty where it is none."""
+    try:
+        u = urlsplit(url or "")
+        return (u.hostname or "").lower(), unquote(u.path)
+    except ValueError:  # brackets that hold no address
+        return "", ""
+
+
 def host_of(url: str | None) -> str:
-    return (urlsplit(url or "").hostname or "").lower()
+    return _parts(url)[0]
 
 
 @lru_cache(maxsize=4096)
@@ -322,7 +331,7 @@ def blocks_of_html(blocks: list[Block], slots: dict[int, int], constant: Callabl
 
 
 def slug_words(url: str | None) -> list[str]:
-    path = unquote(urlsplit(url or "").path).rstrip("/").rpartition("/")[2]
+    path = _parts(url)[1].rstrip("/").rpartition("/")[2]
     words = [w for w in re.split(r"[-_.]+", _fold(path)) if w]
     return words[:-1] if words and words[-1].isdigit() else words
 
@@ -406,7 +415,8 @@ PARSED = "src string, rec_id string, url string, host string, address bigint, la
 
 
 def _address(url: str | None) -> str:
-    return host_of(url) + unquote(urlsplit(url or "").path).rstrip("/").lower()
+    host, path = _parts(url)
+    return host + path.rstrip("/").lower() if host else url or ""
 
 
 def _keys(lines: list[Line]) -> set[int]:

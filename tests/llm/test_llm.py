@@ -159,6 +159,8 @@ def test_main_body(spark):
         assert got[row[1]] == want, row[1]
     assert "err" not in got and "null" not in got and "empty" not in got and got["e"] == {3, 4, 5, 7}
     assert mainbody.main_body(df.limit(0)).collect() == []
+    strange = [(None, None, None, "<div>\n<p>One line of the text is here.</p>\n</div>", None), ("page", "x", "http://[bad", "One line of the text here.\nAnother line of it.", True), ("page", "y", "https://h.example/%zz?x", "<", None)]
+    assert {r.rec_id for r in mainbody.main_body(spark.createDataFrame(strange, df.drop("host").schema)).collect()} >= {None, "x"}
 
 
 def test_tree_matching():
