@@ -38,6 +38,14 @@ def test_links():
     assert st.html_links(Tree("<link rel='Canonical alternate' href='/c'><a href>none</a>"), "https://h.example")[0]["rel"] == ["canonical", "alternate"]
 
 
+def test_addresses_that_are_none(spark):
+    assert st.html_links(Tree("<link rel=next href='http://[x'>"), "http://[y")[0]["url"] == "http://[x" and st.header_links("<http://[x>; rel=next", "https://h.example/")[0]["url"] == "http://[x"
+    pages = spark.createDataFrame([(1, "http://[x", "<link rel=canonical href='http://[y'><h1>A longer title here</h1>"), (2, "", ""), (3, None, None)], "page_id long, url string, html string")
+    assert engine.extract(pages, {"title": "string"}).runs.count() == 3 and extract.links(pages).count() == 1 and extract.snapshots(pages).count() == 3
+    bad = [r.error for r in acquire.fetch(pages.select("url"), lambda u: 1 / 0, resolve=lambda h: []).collect()]
+    assert bad == ["PolicyError: unsupported"] * 3
+
+
 def test_extract_article(spark):
     pages = spark.createDataFrame([(1, "https://www.h.example/en/news/rivers", ARTICLE), (2, "https://h.example/", None), (3, "https://h.example/", "<title>Just a moment</title>")], "page_id long, url string, html string")
     t = engine.extract(pages, {"fields": {"title": "string", "author": "string", "publish_date": "string", "category": {"type": "string", "optional": True}, "price": "number"}})
