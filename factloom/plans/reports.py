@@ -119,7 +119,7 @@ _FRAMES = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any(_LOW, [n
 @query(
     "signature_struct",
     f"""SELECT page_id, round({_RATIO}, 2) AS text_ratio, coalesce({_GEN}, nullif(regexp_extract(html, '(?i)<!--\\s*(WordPress|Drupal|Joomla|Shopify|Wix|Squarespace|Ghost|Hugo|Jekyll|TYPO3)[^>]*>', 1), '')) AS generator, {_SPA} AS likely_spa,
- round(least(1.0, {_SPA_SCORE} + CASE WHEN body_bytes < 8000 AND ttfb_ms < 400 THEN 0.2 ELSE 0 END), 2) AS spa_score, regexp_matches(html, '(?i)<time[\\s>]') OR contains({_LOW}, 'article:published_time') AS has_time, contains({_LOW}, 'ld+json') AS has_jsonld, {_CLASS} AS page_class, {_FRAMES} AS frameworks,
+ CAST(round(least(1.0, {_SPA_SCORE} + CASE WHEN body_bytes < 8000 AND ttfb_ms < 400 THEN 0.2 ELSE 0 END), 2) AS DOUBLE) AS spa_score, regexp_matches(html, '(?i)<time[\\s>]') OR contains({_LOW}, 'article:published_time') AS has_time, contains({_LOW}, 'ld+json') AS has_jsonld, {_CLASS} AS page_class, {_FRAMES} AS frameworks,
  {_list(sg.STATE_MARKERS, "html")} AS embedded_blobs, len({_SCRIPT}) AS scripts_total, len(list_filter({_SCRIPT}, lambda x: regexp_matches(x, '(?i)\\bsrc='))) AS scripts_external, {_CHUNKS} AS scripts_chunks, {_list([(t, t) for t in sg.TRACKERS], _LOW)} AS trackers, {_WALL} AS bot_wall FROM {_ALL_PAGES}""",
 )
 def signature_struct(spark, d):
@@ -408,8 +408,8 @@ _ROUTED = "coalesce(bytes_downloaded, 0)"
  v AS (SELECT *, regexp_replace(h, '^www\\.', '') AS site, tactic IN ('product', 'spa') AS hint FROM u)
  SELECT run_id, CASE WHEN mode = 'http' THEN 'mode=http' WHEN rule IS NOT NULL THEN 'domain_rule:' || site WHEN mode = 'browser' THEN 'mode=browser' WHEN wall THEN 'bot_wall' WHEN fault THEN 'failure:needs_browser:http' WHEN gaps AND hint THEN 'browser_hint+missing' WHEN price AND score THEN 'price_missing+spa_score'
   WHEN gaps AND spa THEN 'likely_spa+missing' WHEN hint THEN 'tactic:' || tactic || ':browser_hint' ELSE 'tactic:' || tactic END AS reason,
- CASE WHEN mode = 'http' THEN 1.0 WHEN rule = 'L3_browser' THEN 0.9 WHEN rule IS NOT NULL THEN 0.7 WHEN mode = 'browser' THEN 1.0 WHEN wall THEN 0.95 WHEN fault THEN 0.9 WHEN gaps AND hint THEN 0.85 WHEN price AND score THEN 0.8 WHEN gaps AND spa THEN 0.75 WHEN hint THEN 0.55 WHEN tactic = 'docs' THEN 0.9 ELSE 0.7 END AS confidence,
- mode <> 'http' AND (coalesce(rule = 'L3_browser', false) OR (rule IS NULL AND (mode = 'browser' OR wall OR fault OR (gaps AND hint) OR (price AND score) OR (gaps AND spa)))) AS escalate, CASE WHEN spa OR hint THEN 0.3 ELSE 0.8 END AS predicted FROM v""",
+ CAST(CASE WHEN mode = 'http' THEN 1.0 WHEN rule = 'L3_browser' THEN 0.9 WHEN rule IS NOT NULL THEN 0.7 WHEN mode = 'browser' THEN 1.0 WHEN wall THEN 0.95 WHEN fault THEN 0.9 WHEN gaps AND hint THEN 0.85 WHEN price AND score THEN 0.8 WHEN gaps AND spa THEN 0.75 WHEN hint THEN 0.55 WHEN tactic = 'docs' THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence,
+ mode <> 'http' AND (coalesce(rule = 'L3_browser', false) OR (rule IS NULL AND (mode = 'browser' OR wall OR fault OR (gaps AND hint) OR (price AND score) OR (gaps AND spa)))) AS escalate, CAST(CASE WHEN spa OR hint THEN 0.3 ELSE 0.8 END AS DOUBLE) AS predicted FROM v""",
 )
 def route_decision(spark, d):
     """All branches of the decision: mode, rules, faults and signs are derived from each run's columns."""
@@ -718,7 +718,7 @@ _HOSTS = f"SELECT DISTINCT {_HOST} AS host FROM runs"
 
 @query(
     "robots_check",
-    f"""SELECT DISTINCT url, NOT (starts_with(h, 'docs.') AND regexp_matches(url, '^[a-z]+://[^/]*/en/')) AS allowed, CASE WHEN starts_with(h, 'docs.') THEN 4.0 END AS crawl_delay, CASE WHEN starts_with(h, 'docs.') THEN 'https://' || h || '/s.xml' ELSE '' END AS sitemaps FROM (SELECT url, {_HOST} AS h FROM runs WHERE url IS NOT NULL)""",
+    f"""SELECT DISTINCT url, NOT (starts_with(h, 'docs.') AND regexp_matches(url, '^[a-z]+://[^/]*/en/')) AS allowed, CASE WHEN starts_with(h, 'docs.') THEN CAST(4 AS DOUBLE) END AS crawl_delay, CASE WHEN starts_with(h, 'docs.') THEN 'https://' || h || '/s.xml' ELSE '' END AS sitemaps FROM (SELECT url, {_HOST} AS h FROM runs WHERE url IS NOT NULL)""",
 )
 def robots_check(spark, d):
     """Rules of the documentation hosts are fresh, those of the shops too old to count, other hosts have none."""
