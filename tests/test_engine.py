@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 from pyspark.sql import Row, functions as F
 
@@ -66,6 +67,47 @@ def test_fill_levels(spark):
     assert extract.json_object("x {\"a\": 1} y") == {"a": 1} and extract.json_object(None) == {} and extract.json_object("{broken") == {}
 
 
+def test_rendered_pages_are_read_once_where_fields_are_missing(spark, tmp_path, monkeypatch):
+    read, log = extract.page_candidates, tmp_path / "read"
+
+    def noted(page, *rest):
+        with log.open("a") as f:
+            f.write(page + "\n")
+        return read(page, *rest)
+
+    monkeypatch.setattr(extract, "page_candidates", noted)
+    whole, part = "<h1>A longer page title</h1><meta property='product:brand' content='Acme'>", "<h1>Another page title</h1>"
+    sch = "page_id long, url string, html string"
+    pages = spark.createDataFrame([(1, "https://h.example/a", whole), (2, "https://h.example/b", part)], sch)
+    rendered = spark.createDataFrame([(i, f"https://h.example/{u}", f"<p>{u}</p><meta property='product:brand' content='Other {u}'>") for i, u in ((1, "a"), (2, "b"))], sch)
+    t = engine.extract(pages, {"title": "string", "brand": "string"}, rendered=rendered)
+    assert {(r.page_id, r.value, r.method) for r in t.facts.filter("field = 'brand'").collect()} == {(1, "Acme", "og_manual"), (2, "Other b", "L3_og_manual")}
+    assert {(r.page_id, r.level) for r in t.runs.collect()} == {(1, "L1"), (2, "L3")}
+    assert Counter(log.read_text().splitlines()) == {whole: 1, part: 1, "<p>b</p><meta property='product:brand' content='Other b'>": 1}
+
+
+def test_parts_by_page_give_the_same_facts(spark, monkeypatch):
+    rows = [(i, f"https://h.example/product/{i}", f"<title>Shop</title><h1>Title of page number {i}</h1>" + (f"<meta property='product:brand' content='B{i}'>" if i % 2 else "")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rendered = spark.createDataFrame([(i, u, f"<meta property='product:brand' content='R{i}'>") for i, u, _ in rows], pages.schema)
+
+    def facts():
+        f = engine.extract(pages, {"name": "string", "brand": "string"}, rendered=rendered).facts
+        return sorted(map(repr, f.drop("conflict_values").collect()))
+
+    whole = facts()
+    monkeypatch.setattr(engine, "PAGES_A_TASK", 4)
+    assert engine._spread(pages).rdd.getNumPartitions() == 10 and facts() == whole and len(whole) >= 80
+
+
+def test_batches_of_many_pages(spark):
+    n = 2 * extract.AT_ONCE + 1
+    pages = spark.range(n).coalesce(1).selectExpr("id AS page_id", "'https://h.example/' AS url", "IF(id % 3 = 0, NULL, concat('<h1>Title of page number ', id, '</h1>')) AS html")
+    got = {(r.page_id, r.value) for r in extract.candidates(pages, {"title": "string"}).filter("method = 'css_selector'").collect()}
+    assert got == {(i, f"Title of page number {i}") for i in range(n) if i % 3}
+    assert extract.candidates(pages.limit(0), {"title": "string"}).count() == 0
+
+
 def test_numbers(spark):
     df = spark.createDataFrame([("1,234.56",), ("1.234,56",), ("99",), ("1 234",), ("129900",), (None,), ("",), ("EUR 12,5",)], "v string")
     got = {r.v: (r.p, r.n) for r in df.select("v", tx.price_number(F.col("v")).alias("p"), tx.plain_number(F.col("v")).alias("n")).collect()}
